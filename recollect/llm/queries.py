@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query and module.
 WHERE = {
     "op1_token_files": "token_ids",
+    "op3_bpe": "bpe",
     "op6_packing": "packing",
 }
 
