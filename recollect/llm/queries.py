@@ -9,6 +9,7 @@ WHERE = {
     "op1_token_files": "token_ids",
     "op3_bpe": "bpe",
     "op6_packing": "packing",
+    "op9_simhash": "simhash",
 }
 
 
