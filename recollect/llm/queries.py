@@ -9,6 +9,7 @@ WHERE = {
     "op1_token_files": "token_ids",
     "op3_bpe": "bpe",
     "op6_packing": "packing",
+    "op7_topk": "topk",
     "op9_simhash": "simhash",
 }
 
@@ -18,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .topk import OP7_SQL
+
+    return {"op7_topk": OP7_SQL}
