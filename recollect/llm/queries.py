@@ -11,6 +11,7 @@ WHERE = {
     "op5_sharding": "sharding",
     "op6_packing": "packing",
     "op7_topk": "topk",
+    "op8_language": "langid",
     "op9_simhash": "simhash",
 }
 
