@@ -8,6 +8,7 @@ from importlib import import_module
 WHERE = {
     "op1_token_files": "token_ids",
     "op3_bpe": "bpe",
+    "op4_quality": "quality",
     "op5_sharding": "sharding",
     "op6_packing": "packing",
     "op7_topk": "topk",
