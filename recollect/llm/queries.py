@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query and module.
 WHERE = {
+    "op10_pii": "pii",
     "op1_token_files": "token_ids",
     "op3_bpe": "bpe",
     "op4_quality": "quality",
