@@ -8,6 +8,7 @@ from importlib import import_module
 WHERE = {
     "op10_pii": "pii",
     "op1_token_files": "token_ids",
+    "op2_licenses": "licenses",
     "op3_bpe": "bpe",
     "op4_quality": "quality",
     "op5_sharding": "sharding",
