@@ -131,15 +131,19 @@ def scaled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"u{k}": (F.col(f"x{k}") - F.col(f"c{k}")) * by for k in (1, 2, 3)})
 
 
-def grouped(rows: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """`rows` with their group as ``g``, and the sizes of languages and sources."""
-    sizes = rows.filter(~F.col("base_failed")).groupBy(lang, source).agg(F.count("*").alias("n"))
-    langs = sizes.groupBy(lang).agg(F.sum("n").alias("n_lang")).withColumnRenamed(lang, "_lang")
-    sizes = sizes.join(langs, F.col(lang).eqNullSafe(F.col("_lang"))).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), "n", "n_lang")
-    sizes = written(sizes, "group-sizes")
-    both = rows.join(sizes, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    name = F.when(F.col("n") >= LEAST, F.to_json(F.struct(lang, source))).when(F.col("n_lang") >= LEAST, F.to_json(F.struct(lang))).otherwise("{}")
-    return both.withColumn("g", name).drop("_lang", "_source", "n", "n_lang"), sizes
+def group_sizes(rows: DataFrame) -> DataFrame:
+    """For each language and source, the documents with it (n) and with the language (n_lang) that passed the base rules."""
+    sizes = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    langs = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"))
+    both = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
+    return written(both.select("_lang", F.col("source").alias("_source"), "n", "n_lang"), "group-sizes")
+
+
+def grouped(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`rows` with their group as ``g``."""
+    both = rows.join(sizes, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    name = F.when(F.col("n") >= LEAST, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= LEAST, F.to_json(F.struct("lang"))).otherwise("{}")
+    return both.withColumn("g", name).drop("_lang", "_source", "n", "n_lang")
 
 
 def estimates(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -167,16 +171,31 @@ def estimates(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
     return written(centres.join(state, "g"), "estimates")
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """`rows` (of ``statistics`` with lang and source) with ``kept`` and ``distance2``, the squared distance of those that were compared."""
-    rows, _ = grouped(written(rows, "statistics"))
-    rows = written(rows, "grouped")
-    of = estimates(rows.filter(~F.col("base_failed")))
-    compared = scaled(rows.join(of, "g", "left")).withColumn("distance2", F.when(~F.col("base_failed"), distance()))
-    kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi3_quantile(1 - TAIL))
+def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sizes and the estimates of the groups of `rows` (of ``statistics`` with lang and source)."""
+    sizes = group_sizes(rows)
+    return sizes, estimates(grouped(rows.filter(~F.col("base_failed")), sizes))
+
+
+def judged(rows: DataFrame, sizes: DataFrame, of: DataFrame) -> DataFrame:
+    """`rows` with ``kept`` and ``distance2``, the squared distance of those that were compared."""
+    compared = scaled(grouped(rows, sizes).join(of, "g", "left")).withColumn("distance2", F.when(~F.col("base_failed"), distance()))
+    # One comparison: a conjunction would be split, and its base part pushed down to where it repeats all the counting.
+    far = F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(F.coalesce("distance2", F.lit(0.0)))
+    kept = far <= chi3_quantile(1 - TAIL)
     return compared.withColumn("kept", kept).drop("g", "c1", "c2", "c3", "u1", "u2", "u3", "m1", "m2", "m3", *(f"i{i}{j}" for i, j in PAIRS))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    The statistics are taken twice, once for the estimates and once where they judge the row they came from; so no text is moved.
+    """
+    sizes, of = fit(written(statistics(docs, "lang", "source"), "statistics"))
+    rows = statistics(docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source"), "_row", "lang", "source")
+    return judged(rows, sizes, of).filter("kept").select("_row.*")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(statistics(documents(spark, sf_dir), "doc_id", "lang", "source"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = written(statistics(documents(spark, sf_dir), "doc_id", "lang", "source"), "statistics")
+    return judged(rows, *fit(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
