@@ -323,18 +323,21 @@ def greedy_chunks(spark, d):
     return timeline.greedy_chunks(B.evidence(spark, d))
 
 
-_CARDS = """k AS (SELECT fact_id, subject, valid_from, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z][a-z0-9]{2,}'), lambda w: NOT list_contains(%s, w)))[1:6] AS words FROM live)""" % (str(list(text.STOP)),)
+_CARDS = (
+    "kw AS (SELECT fact_id, subject, valid_from, list_filter(regexp_extract_all(lower(content), '[a-z][a-z0-9]{2,}'), lambda w: NOT list_contains(%s, w)) AS w FROM live),"
+    " k AS (SELECT fact_id, subject, valid_from, list_filter(w, lambda x, i: list_position(w, x) = i)[1:6] AS words FROM kw)"
+) % (str(list(text.STOP)),)
 
 
-@query("later_siblings", B.with_tables("live", then=f"""WITH k0 AS (SELECT 1), {_CARDS}, g AS (SELECT fact_id, subject, valid_from, unnest(words) AS g FROM k),
-    m AS (SELECT a.fact_id, b.fact_id AS later_id, b.valid_from AS at, count(*) AS shared FROM g a JOIN g b ON a.subject = b.subject AND a.g = b.g AND b.valid_from > a.valid_from + INTERVAL 12 HOURS GROUP BY ALL HAVING count(*) >= 3)
-    SELECT fact_id, later_id, shared, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY shared DESC, at DESC, later_id) AS INTEGER) AS place FROM m QUALIFY place <= 5"""))
+@query("later_siblings", B.with_tables("live", then=f"""WITH {_CARDS}, g AS (SELECT fact_id, subject, valid_from, unnest(words) AS g FROM k),
+    m AS (SELECT a.fact_id, b.fact_id AS later_id, b.valid_from AS later_at, count(*) AS shared FROM g a JOIN g b ON a.subject = b.subject AND a.g = b.g AND b.valid_from > a.valid_from + INTERVAL 12 HOURS GROUP BY ALL HAVING count(*) >= 3)
+    SELECT fact_id, later_id, shared, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY shared DESC, later_at DESC, later_id) AS INTEGER) AS place FROM m QUALIFY place <= 5"""))
 def later_siblings(spark, d):
     live = recall.live(B.facts(spark, d)).withColumn("grams", _sorted_words())
     return timeline.later_siblings(live)
 
 
-@query("timeline_candidates", B.with_tables("live", then=f"""WITH k0 AS (SELECT 1), {_CARDS}, g AS (SELECT fact_id, subject, CAST(valid_from AS DATE) AS day, unnest(words) AS g FROM k),
+@query("timeline_candidates", B.with_tables("live", then=f"""WITH {_CARDS}, g AS (SELECT fact_id, subject, CAST(valid_from AS DATE) AS day, unnest(words) AS g FROM k),
     m AS (SELECT a.fact_id, b.fact_id AS earlier_id, a.g, b.day FROM g a JOIN g b ON a.subject = b.subject AND a.g = b.g AND b.day < a.day QUALIFY row_number() OVER (PARTITION BY a.fact_id, a.g ORDER BY b.day DESC, b.fact_id DESC) <= 4)
     SELECT fact_id, earlier_id, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY day DESC, earlier_id DESC) AS INTEGER) AS place FROM (SELECT DISTINCT fact_id, earlier_id, day FROM m) QUALIFY place <= 6"""))
 def timeline_candidates(spark, d):
@@ -411,7 +414,7 @@ def members_hash(spark, d):
 # -- text -----------------------------------------------------------------------------------------
 
 
-@query("latin_keywords", B.with_tables("live", then=f"WITH k0 AS (SELECT 1), {_CARDS} SELECT fact_id, array_to_string(words, ',') AS words FROM k"))
+@query("latin_keywords", B.with_tables("live", then=f"WITH {_CARDS} SELECT fact_id, array_to_string(words, ',') AS words FROM k"))
 def latin_keywords(spark, d):
     return recall.live(B.facts(spark, d)).select("fact_id", F.array_join(text.keywords(F.col("content")), ",").alias("words"))
 
@@ -453,7 +456,7 @@ def clause_classify(spark, d):
     return B.evidence(spark, d).withColumn("c", text.clause_type(F.col("content"))).select("id", "c.fact_type", F.round("c.confidence", 6).alias("confidence"))
 
 
-@query("redaction_counts", B.with_tables("facts", then="SELECT fact_id, " + " + ".join(f"len(regexp_extract_all(content, '{p}'))" for _, p in text.SECRETS) + " AS n FROM facts WHERE n > 0"))
+@query("redaction_counts", B.with_tables("facts", then="SELECT fact_id, " + " + ".join("len(regexp_extract_all(content, '" + p.replace("'", "''") + "'))" for _, p in text.SECRETS) + " AS n FROM facts WHERE n > 0"))
 def redaction_counts(spark, d):
     n = sum((F.regexp_count("content", F.lit(p)) for _, p in text.SECRETS), F.lit(0))
     return B.facts(spark, d).select("fact_id", n.cast("long").alias("n")).filter("n > 0")
