@@ -134,7 +134,7 @@ def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("leader").alias("lead"), F.col("settled").alias("known")), "a")
         seen = earlier.groupBy("b").agg(F.min(F.when(F.col("known") & (F.col("lead") == F.col("a")), F.col("a"))).alias("first"), F.min("known").alias("all_known"), F.min(F.when(~F.col("known"), F.col("a"))).alias("open"))
         new = state.join(seen, F.col("id") == F.col("b"), "left")
-        ready = ~F.col("settled") & (F.coalesce("all_known", F.lit(True)) | (F.col("first") < F.coalesce("open", F.lit(2**62))))
+        ready = ~F.col("settled") & (F.coalesce("all_known", F.lit(True)) | F.coalesce(F.col("first") < F.coalesce("open", F.lit(2**62)), F.lit(False)))
         state = saved(new.select("id", F.when(ready, F.coalesce("first", "id")).otherwise(F.col("leader")).alias("leader"), (F.col("settled") | ready).alias("settled")))
         if state.filter("NOT settled").limit(1).count() == 0:
             return state.select("id", "leader")
