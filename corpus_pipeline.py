@@ -25,9 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or whose language is unsure, go."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    found = langid.predict(rows, langid.fit(docs), ("_row",))
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)).select("_row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    found = langid.predict(docs.select(F.struct(*rest).alias("_row"), "text"), langid.fit(docs), ("_row", "text"))
+    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE))
+    return kept.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, whole_text
-from .segments import PieceTable, byte_chars
+from .segments import PieceTable, byte_chars, slices
 
 NEVER = np.iinfo(np.int32).max
 
@@ -159,7 +159,7 @@ def encoded(df: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
 
     def run(batches):
         table = _table(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows, lists, size = 0, [], 0
 
             def out(last):

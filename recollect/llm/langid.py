@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text, written
-from .segments import LETTER, Pieces, PieceTable, classes, lower_nfc, portions
+from .common import documents, written
+from .segments import LETTER, Pieces, PieceTable, classes, lower_nfc, portions, slices
 
 SAMPLE, KEEP, LANGUAGES = 2000, 8000, 100
 LONGEST = 5
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP, languages: int
             types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "kind", "gram", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mine = counts.setdefault(lang, [Counter() for _ in range(LONGEST + 1)])
                 for _, parts in portions([lower_nfc(text.lower())]):
@@ -140,14 +140,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP, languages: int
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns `keep` of `docs` with lang_pred and score (a softmax of the summed scores, tempered by the number of words)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most KEEP grams for each language and kind
-    rest = docs.select(*keep, whole_text().alias("_text"))
+    place = keep.index("text") if "text" in keep else len(keep)
+    rest = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
     def run(batches):
         model = sent.value
         table, wide = model.table(), len(model.languages) + 1
         names = np.array([*model.languages, UNDETERMINED], object)
-        for batch in batches:
-            texts = [lower_nfc(t.lower()) for t in batch.column(len(keep)).to_pylist()]
+        for batch in slices(batches):
+            texts = [lower_nfc((t or "").lower()) for t in batch.column(place).to_pylist()]
             sums = np.zeros((len(texts), wide))
             for numbers, parts in portions(texts):
                 found = Pieces(parts, "word")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, whole_text
-from .segments import library_table
+from .segments import library_table, slices
 
 WINDOW = 2048
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
                 }
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids = batch.column(0).to_pylist()
             for k, ids in table.encode(batch.column(1).to_pylist()):
                 packer.add((doc_ids[k], len(ids) + 1), np.append(ids, np.uint32(end_id)))

@@ -25,7 +25,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points with the property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Texts are handled in portions of about so many code points; a longer text is cut between two words.
-PORTION = 3_000_000
+PORTION = 2_000_000
 #: Below this, no code point has been added since Unicode 15.1.
 _LATE = regex.compile("[\u1c89-\U0010ffff]")
 _CUT = regex.compile(r"\p{L} (?=\p{L})")
@@ -54,6 +54,14 @@ def only_letters_beyond_ascii(data: bytes) -> bool:
     return a.max() < 0xCA and not (a == 0xC2).any() and b"\xc3\x97" not in data and b"\xc3\xb7" not in data
 
 
+def slices(batches, rows: int = 600):
+    """The record batches in slices, so that few texts are Python strings at once."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
     """(numbers of the texts, parts of them) of at most about PORTION code points; a long text has several parts, in order."""
     numbers, parts, size = [], [], 0
@@ -160,7 +168,7 @@ class Pieces:
 class PieceTable:
     """Encodes texts by encoding each distinct piece once; pieces met lately are kept, at most twice `keep` of them."""
 
-    def __init__(self, kind: str, encode: Callable[[list[bytes]], list[bytes]], special: dict[str, int], whole: Callable[[str], np.ndarray] | None = None, keep: int = 200_000):
+    def __init__(self, kind: str, encode: Callable[[list[bytes]], list[bytes]], special: dict[str, int], whole: Callable[[str], np.ndarray] | None = None, keep: int = 120_000):
         """`whole` encodes a text with code points that this Python's tables don't know yet."""
         self.kind, self.encode_pieces, self.keep, self.whole = kind, encode, keep, whole
         self.special = special

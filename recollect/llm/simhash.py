@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, whole_text, written
+from .segments import slices
 
 SEED = 42
 BITS = 64
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text, to tell rows of one doc_id apart) and fp."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(majority(batch.column(1).to_pylist(), width))], ["doc_id", "text_hash", "fp"])
 
     text = whole_text()

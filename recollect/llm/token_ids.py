@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, new_path, whole_text, written
-from .segments import library_table
+from .segments import library_table, slices
 
 MAGIC = b"S8B1"
 BLOCK = 512
@@ -209,7 +209,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches):
         table = library_table(tokenizer, "byte")
-        for batch in batches:
+        for batch in slices(batches):
             ids, lists, size = [], [], 0
             doc_ids = batch.column(0).to_pylist()
             for k, x in table.encode(batch.column(1).to_pylist()):
