@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,28 @@ def grams(word: str, n: int) -> list[str]:
     return [s[k : k + n] for k in range(len(s) - n + 1)]
 
 
+@dataclass
+class Grams:
+    """Known grams, and in the rows of one matrix what is known of them; far smaller than an array for each gram."""
+
+    known: list[str]
+    values: np.ndarray
+
+    @cached_property
+    def rows(self) -> dict[str, int]:
+        """The row of each gram; built where it is first used, so that it is not sent."""
+        return dict(zip(self.known, range(len(self.known)), strict=True))
+
+    def get(self, gram: str) -> np.ndarray | None:
+        return None if (row := self.rows.get(gram)) is None else self.values[row]
+
+
 @dataclass
 class Model:
     """`scores[kind][gram]`: for each language the log of its share in this gram; kind 0 is words, n the n-grams."""
 
     languages: list[str]
-    scores: list[dict[str, np.ndarray]]
+    scores: list[Grams] | list[dict[str, np.ndarray]]
 
     def word(self, word: str) -> np.ndarray:
         if (v := self.scores[0].get(word)) is not None:
@@ -127,13 +144,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP, languages: int
     rows = wide.select("kind", "gram", F.array(*(F.coalesce(F.element_at("n", F.lit(x)), F.lit(0)) for x in names)).alias("n")).toArrow()
     kinds, spelled = rows.column("kind").to_numpy(), rows.column("gram").to_pylist()
     n = rows.column("n").combine_chunks().flatten().to_numpy().reshape(-1, len(names)).astype(float) if len(spelled) else np.zeros((0, len(names)))
-    scores: list[dict] = [{} for _ in range(LONGEST + 1)]
+    scores = []
     for kind in range(LONGEST + 1):
         mine = np.flatnonzero(kinds == kind)
         size = np.array([totals.get((x, kind), (0, 0)) for x in names], float)
         logs = np.log(n[mine] + SMOOTH) - np.log(size[:, 0] + SMOOTH * (size[:, 1] + 1))
         logs -= np.log(np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + logs.max(axis=1, keepdims=True)
-        scores[kind] = {spelled[k]: v for k, v in zip(mine, logs.astype(np.float32), strict=True)}
+        scores.append(Grams([spelled[k] for k in mine], logs.astype(np.float32)))
     return Model(names, scores)
 
 
