@@ -108,3 +108,71 @@ def redact(text: Column) -> Column:
     for kind, pattern in SECRETS:
         out = F.regexp_replace(out, pattern, f"[redacted:{kind}]")
     return out
+
+
+def token_estimate(text: Column) -> Column:
+    """0.75 for each CJK character and 0.3 for any other."""
+    cjk = F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]"))
+    return F.round(0.75 * cjk + 0.3 * (F.length(text) - cjk), 2)
+
+
+def entropy(text: Column) -> Column:
+    """Bits for each character, from the frequencies of the characters; none for an empty text."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.size(chars)
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+    return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+
+
+#: What looks like a key: long runs of the letters of keys; those with much information in each character are masked.
+KEYLIKE = r"[A-Za-z0-9_-]{20,}"
+
+
+def keylike(text: Column, least: float = 3.5) -> Column:
+    """The runs that look like random keys, in order."""
+    return F.filter(F.regexp_extract_all(text, F.lit(KEYLIKE), F.lit(0)), lambda t: entropy(t) >= least)
+
+
+def masked(token: Column, kind: str) -> Column:
+    """Kind, first four and last two characters."""
+    return F.concat(F.lit(f"[{kind}:"), F.substring(token, 1, 4), F.lit("…"), F.right(token, F.lit(2)), F.lit("]"))
+
+
+def without_thoughts(text: Column) -> Column:
+    """Without tagged thoughts, also where the opening or the closing tag is lost."""
+    paired = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(paired, r"(?s)^.*</think>", ""), r"(?s)<think>.*$", ""))
+
+
+def clipped(text: Column, limit: int) -> Column:
+    """At most `limit` characters, up to the last end of a sentence in their second half, if there is one."""
+    head = F.substring(text, 1, limit)
+    upto = F.regexp_extract(head, r"(?s)^(.*[.!?。！？])", 1)
+    return F.when(F.length(text) <= limit, text).when(F.length(upto) * 2 >= limit, upto).otherwise(head)
+
+
+def snippet(text: Column, term: Column, reach: int = 30) -> Column:
+    """The places of the first two hits of a term, `reach` characters around each, joined where they meet; null without a hit."""
+    low = F.lower(text)
+    first = F.instr(low, term)
+    rest = low.substr(first + F.length(term), F.length(low))
+    again = F.instr(rest, term)
+    second = F.when(again > 0, first + F.length(term) + again - 1)
+    start = lambda at: F.greatest(at - reach, F.lit(1))
+    stop = lambda at: F.least(at + F.length(term) - 1 + reach, F.length(text))
+    cut = lambda a, b: text.substr(a, b - a + 1)
+    two = F.when(start(second) <= stop(first) + 1, cut(start(first), stop(second))).otherwise(F.concat(cut(start(first), stop(first)), F.lit(" … "), cut(start(second), stop(second))))
+    return F.when(first > 0, F.when(second.isNull(), cut(start(first), stop(first))).otherwise(two))
+
+
+def compound(text: Column) -> Column:
+    """Whether a fact says several things: 50 characters and more, two clauses and more, and no transcript."""
+    clauses = F.filter(F.split(text, r"[.!?;]+\s*"), lambda c: F.length(F.trim(c)) >= 8)
+    return (F.length(text) >= 50) & (F.size(clauses) >= 2) & ~text.rlike(r"(?m)^[A-Za-z]+: ")
+
+
+def slot_gate(text: Column, pinned: Column, verified: Column) -> Column:
+    """(keep, slots, importance, confidence): pinned facts stay, others need a slot."""
+    n = sum((text.rlike(p).cast("int") for _, p in SLOTS), F.lit(0))
+    importance = F.least(F.lit(1.0), 0.3 + 0.12 * n + F.when(F.length(text) >= 30, 0.1).otherwise(0.0))
+    return F.struct((pinned | (n > 0)).alias("keep"), n.cast("long").alias("slots"), F.round(importance, 6).alias("importance"), F.round(0.6 + 0.1 * verified.cast("int"), 6).alias("confidence"))

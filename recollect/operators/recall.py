@@ -130,3 +130,16 @@ def select_scored(pool: DataFrame, threshold: Column, most: int = 2, follow: flo
     w = Window.partitionBy("query_id").orderBy(F.desc("xscore"), "fact_id")
     kept = pool.filter(F.col("xscore") >= threshold).withColumns({"place": F.row_number().over(w), "best": F.first("xscore").over(w)})
     return kept.filter((F.col("place") <= most) & (F.col("xscore") >= follow * F.col("best"))).drop("best")
+
+
+def discover(cards: DataFrame, terms: DataFrame, limit: int, config: Config = CONFIG) -> DataFrame:
+    """query_id, fact_id, score, rank: three times the limit by terms found on the card, then echoes weakened, ordered anew and cut.
+
+    cards: fact_id, card (lower case), act, echo.
+    """
+    hits = cards.join(small(terms), F.contains("card", F.col("term"))).groupBy("query_id", "fact_id").agg(F.count("*").alias("n"), F.first("act").alias("act"), F.first("echo").alias("echo"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("act"), "fact_id")
+    more = hits.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= 3 * limit)
+    score = F.round(F.col("n") * F.col("act") * F.when(F.col("echo"), config.echo_factor).otherwise(1.0), 6)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
+    return more.withColumn("score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "fact_id", "score", "rank")

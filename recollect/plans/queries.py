@@ -562,3 +562,6 @@ def relation_closure(spark, d):
 @query("events_props_json", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
 def events_props_json(spark, d):
     return B.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
+
+
+from recollect.plans import dialogue  # noqa: E402, F401  registers its queries here
