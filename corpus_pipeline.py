@@ -13,9 +13,11 @@ from recollect.llm.common import documents, written
 
 #: Score of language ID below which a document goes.
 SURE = 0.5
-#: Fingerprints of near-duplicates differ in so many bits at most: covering masks make any radius exact, and five bits, in 63
-#: tables, find far more of the near copies than three do.
-RADIUS = 5
+#: Candidates for near-duplicates: fingerprints of two-word shingles within six bits (127 covering tables).  An edit changes fewer
+#: shingles of two words than of three or five, so similar texts stay close; unrelated ones are far beyond six bits.
+RADIUS, WIDTH = 6, 2
+#: A link then needs this Jaccard similarity of the sets of five-word shingles.
+SIMILAR = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
-    return simhash.kept(docs, RADIUS)
+    """One document of each component of near copies (verified by their five-word shingles) stays."""
+    return simhash.kept(docs, RADIUS, WIDTH, SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

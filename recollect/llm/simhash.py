@@ -180,9 +180,88 @@ def groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     return rows.join(to, "fp")
 
 
-def kept(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """One row of each component, with all columns of `docs`: the one of least doc_id, and of least text hash among those."""
-    found = groups(docs, radius, width)
+def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, text_hash and shingles (the distinct shingles of so many words, as sorted XXH64); fewer words are one shingle, none an empty set."""
+    from xxhash import xxh64_intdigest
+
+    def of(text: str) -> np.ndarray:
+        found = text.encode("utf-8", "surrogatepass").lower().split()
+        runs = map(b" ".join, zip(*(found[j:] for j in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)] if found else []
+        return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in runs), np.uint64)).view(np.int64)
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = pa.array([of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets], ["doc_id", "text_hash", "shingles"])
+
+    return texts.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, shingles array<long>")
+
+
+def verified(members: DataFrame, radius: int, similar: float, rows: int = 128, size: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) of text hashes that connect all texts of one `root` at most `radius` bits apart and `similar` in their shingles.
+
+    members: root, text_hash (each once), fp, shingles.  A root of more than `rows` texts or `size` shingles is dealt to parts, and
+    each pair of parts is one tile.  Pairs that earlier ones connect already need no test.
+    """
+    n = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.size("shingles")) / size), F.lit(1)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int")
+    dealt = members.join(n, "root").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "text_hash", "fp", "shingles")
+
+    def tested(tile):
+        import pandas as pd
+
+        tile = tile.sort_values("text_hash")
+        fp, part, ids, sets = tile["fp"].to_numpy(), tile["part"].to_numpy(), tile["text_hash"].to_numpy(), list(tile["shingles"])
+        sizes = np.array([len(x) for x in sets])
+        top = np.arange(len(ids))
+        edges = []
+        across = tile["i"].iloc[0] != tile["j"].iloc[0]
+        for x in range(len(ids) - 1):
+            near = np.bitwise_count(fp[x] ^ fp[x + 1 :]) <= radius
+            fits = np.minimum(sizes[x], sizes[x + 1 :]) >= similar * np.maximum(sizes[x], sizes[x + 1 :])
+            for y in np.flatnonzero(near & fits & ((part[x] != part[x + 1 :]) | (not across))) + x + 1:
+                if top[x] == top[y]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= similar * (sizes[x] + sizes[y] - both):
+                    edges.append((ids[x], ids[y]))
+                    top[top == top[y]] = top[x]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return tiles.groupBy("root", "i", "j").applyInPandas(tested, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, radius: int, width: int, similar: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id, text_hash, component_id and keep_hash as in `groups`, where a link also asks for a Jaccard similarity of at least `similar`.
+
+    Fingerprints of shingles of `width` words find the candidates; the similarity is that of sets of shingles of `words` words.
+    Only texts that share a component of fingerprints with another text are read again.
+    """
+    rows = written(fingerprints(docs, width), "fingerprints")
+    texts = rows.groupBy("text_hash", "fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
+    texts = written(texts, "texts")
+    roots = components(links(texts.select("fp").distinct(), radius)).withColumnRenamed("a", "fp")
+    placed = texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    many = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    candidates = written(placed.join(many, "root"), "candidates")
+    text = whole_text()
+    here = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    wanted = here.join(candidates.select("text_hash", F.col("first").alias("doc_id")), ["text_hash", "doc_id"], "left_semi")
+    sets = shingle_sets(wanted, words).dropDuplicates(["text_hash"]).drop("doc_id")
+    same = components(verified(written(candidates.join(sets, "text_hash").select("root", "text_hash", "fp", "shingles"), "shingles"), radius, similar), "similar")
+    top = texts.join(same.withColumnRenamed("a", "text_hash"), "text_hash", "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "first")
+    least = top.groupBy("root").agg(F.min(F.struct(F.col("first").alias("doc_id"), "text_hash")).alias("least"))
+    to = top.select("text_hash", "root").join(least, "root").select("text_hash", F.nullif("least.doc_id", F.lit(LAST)).alias("component_id"), F.col("least.text_hash").alias("keep_hash"))
+    return rows.select("doc_id", "text_hash").join(to, "text_hash")
+
+
+def kept(docs: DataFrame, radius: int = 3, width: int = 3, similar: float | None = None) -> DataFrame:
+    """One row of each component, with all columns of `docs`: the one of least doc_id, and of least text hash among those.
+
+    With `similar`, links are tested as in `similar_groups`.
+    """
+    found = groups(docs, radius, width) if similar is None else similar_groups(docs, radius, width, similar)
     ids = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_key", F.xxhash64(whole_text())).alias("d")
     here = rows.join(ids, F.col("_id").eqNullSafe(F.col("d.doc_id").cast("long")) & (F.col("_hash") == F.col("_key")), "left_semi")

@@ -307,3 +307,38 @@ def test_base_digest(spark, sf, docs):
     for r in pii.op10_pii(spark, sf).collect():
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(texts[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and r["spans"].startswith(joined)
+
+
+def test_similar_groups_against_brute_force(spark, odd, none, docs):
+    def shingles(text, width):
+        words = (text or "").encode().lower().split()
+        return [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
+
+    base = [r["text"] for r in docs.filter("length(text) > 600").orderBy("doc_id").limit(25).collect()]
+    rng, rows = np.random.default_rng(3), []
+    for n, text in enumerate(base):
+        for edits in (0, 0, 1, 2, 3, 5, 8):
+            words = text.split()
+            for at in rng.integers(0, len(words), edits):
+                words[at] = f"w{rng.integers(1000)}"
+            rows.append((len(rows), " ".join(words) if n else text))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "three small words"), (len(rows) + 3, "three  small words")]
+    radius, width = 6, 2
+    fp = simhash.majority([t or "" for _, t in rows], width)
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    top = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if np.bitwise_count(fp[a] ^ fp[b]) <= radius and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top[a], top[b]
+                top = [min(x, y) if t in (x, y) else t for t in top]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, radius, width).collect()}
+    assert got == dict(enumerate(top)) and len(set(top)) < len(rows) - 40
+    assert sorted(r["doc_id"] for r in simhash.kept(df, radius, width, 0.8).collect()) == sorted(set(top))
+    # Tiles: the same components when each root is dealt to many parts.
+    members = simhash.shingle_sets(df.selectExpr("doc_id", "coalesce(text, '') AS text", "doc_id AS text_hash")).join(spark.createDataFrame([(k, int(x)) for k, x in enumerate(fp)], "text_hash long, fp long"), "text_hash").selectExpr("1L AS root", "text_hash", "fp", "shingles")
+    roots = {r["a"]: r["root"] for r in simhash.components(simhash.verified(members, radius, 0.8, rows=20)).collect()}
+    assert {k: roots.get(k, k) for k in range(len(rows))} == dict(enumerate(top))
+    assert simhash.similar_groups(none, radius, width).count() == 0 and simhash.similar_groups(odd, radius, width).count() == odd.count()
