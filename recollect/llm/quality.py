@@ -4,7 +4,7 @@ A document that passes the base rules is described by three statistics: the loga
 the square root of its share of characters that are neither letters nor digits, and the logarithm of its distinct words
 over that of its words.  Each is taken as the distance from the group's median and scaled by sqrt(n / (n + `SETTLED`)) for n
 words, because short texts scatter more.  A group is a language and source, or the language, or all documents, whichever is
-the first with `LEAST` documents.
+the first with `LEAST` documents; its estimate is over all documents that belong to it, whichever their own group is.
 
 The estimate of a group is the mean and covariance of the part `ALPHA` of its vectors whose covariance has the least
 determinant, sought by concentration steps: from the distances by medians and median absolute deviations, the closest
@@ -132,18 +132,27 @@ def scaled(rows: DataFrame) -> DataFrame:
 
 
 def group_sizes(rows: DataFrame) -> DataFrame:
-    """For each language and source, the documents with it (n) and with the language (n_lang) that passed the base rules."""
-    sizes = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    langs = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"))
-    both = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
-    return written(both.select("_lang", F.col("source").alias("_source"), "n", "n_lang"), "group-sizes")
+    """For each language and source of documents that passed the base rules: their group g (null if too few of all), and all the groups
+    they count in (`counts_in`).
+
+    A language, or the whole table, is only estimated if a part of it has fewer than LEAST documents and so falls back on it; but
+    then over all of its documents.
+    """
+    sizes = written(rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")), "group-sizes")
+    langs = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    whole = langs.agg(F.sum("n_lang").alias("n_all"), F.min("n_lang").alias("least_lang"))
+    both = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(whole))  # one row
+    # Nulls are written, so that no source of a language shares the name of the language.
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    own, lang, all_ = F.when(F.col("n") >= LEAST, name("lang", "source")), F.when(F.col("n_lang") >= LEAST, name("lang")), F.when(F.col("n_all") >= LEAST, F.lit("{}"))
+    counts_in = F.array_compact(F.array(own, F.when(F.col("least") < LEAST, lang), F.when(F.col("least_lang") < LEAST, all_)))
+    return written(both.select("_lang", F.col("source").alias("_source"), F.coalesce(own, lang, all_).alias("g"), counts_in.alias("counts_in")), "groups")
 
 
 def grouped(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """`rows` with their group as ``g``."""
+    """`rows` with their group as ``g`` and the groups they count in as ``counts_in``."""
     both = rows.join(sizes, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    name = F.when(F.col("n") >= LEAST, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= LEAST, F.to_json(F.struct("lang"))).otherwise("{}")
-    return both.withColumn("g", name).drop("_lang", "_source", "n", "n_lang")
+    return both.drop("_lang", "_source")
 
 
 def estimates(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -172,9 +181,10 @@ def estimates(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sizes and the estimates of the groups of `rows` (of ``statistics`` with lang and source)."""
+    """The groups and their estimates of `rows` (of ``statistics`` with lang and source)."""
     sizes = group_sizes(rows)
-    return sizes, estimates(grouped(rows.filter(~F.col("base_failed")), sizes))
+    members = grouped(rows.filter(~F.col("base_failed")), sizes).drop("g").withColumn("g", F.explode("counts_in"))
+    return sizes, estimates(members)
 
 
 def judged(rows: DataFrame, sizes: DataFrame, of: DataFrame) -> DataFrame:
@@ -183,7 +193,7 @@ def judged(rows: DataFrame, sizes: DataFrame, of: DataFrame) -> DataFrame:
     # One comparison: a conjunction would be split, and its base part pushed down to where it repeats all the counting.
     far = F.when(F.col("base_failed"), F.lit(float("inf"))).otherwise(F.coalesce("distance2", F.lit(0.0)))
     kept = far <= chi3_quantile(1 - TAIL)
-    return compared.withColumn("kept", kept).drop("g", "c1", "c2", "c3", "u1", "u2", "u3", "m1", "m2", "m3", *(f"i{i}{j}" for i, j in PAIRS))
+    return compared.withColumn("kept", kept).drop("g", "counts_in", "c1", "c2", "c3", "u1", "u2", "u3", "m1", "m2", "m3", *(f"i{i}{j}" for i, j in PAIRS))
 
 
 def kept(docs: DataFrame) -> DataFrame:

@@ -92,6 +92,25 @@ def test_outliers_against_numpy(spark):
     assert not any(got[k]["kept"] for k in range(40)) and sum(got[k]["kept"] for k in range(40, n)) >= 0.99 * (n - 40)
 
 
+def test_small_sources_fall_back_on_the_whole_language(spark):
+    rng = np.random.default_rng(4)
+    sizes = [("en", "a", 10_000), ("en", "b", 50), ("en", None, 60), ("de", "a", 30), (None, None, 20)]
+    rows, outliers = [], set()
+    for lang, source, n in sizes:
+        x = np.stack([rng.normal(1.6, 0.05, n), rng.normal(0.2, 0.02, n), rng.normal(0.95, 0.02, n)], 1)
+        x[:5] += [0.6, 0.3, -0.2]
+        outliers |= set(range(len(rows), len(rows) + 5))
+        rows += [(len(rows) + k, lang, source, 1000, False, *map(float, v)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, base_failed boolean, x1 double, x2 double, x3 double")
+    groups, of = quality.fit(df)
+    assert {r["g"] for r in of.collect()} == {'{"lang":"en","source":"a"}', '{"lang":"en"}', "{}"}
+    got = quality.judged(df, groups, of).collect()
+    assert len(got) == len(rows) and all(r["distance2"] is not None for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == outliers
+    few = df.filter("lang = 'de'")  # fewer than LEAST in all: none is rejected
+    assert all(r["kept"] for r in quality.judged(few, *quality.fit(few)).collect())
+
+
 def test_chi_squared():
     assert quality.chi3_quantile(0.95) == pytest.approx(7.814728, abs=1e-5)
     draws = np.random.default_rng(0).normal(size=(200_000, 3))
