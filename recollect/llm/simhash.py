@@ -32,11 +32,21 @@ LAST = 2**63 - 1  # stands for a null doc_id
 
 
 def masks(radius: int = 3) -> list[int]:
-    """The covering masks, as signed 64-bit numbers."""
+    """The covering masks, as signed 64-bit numbers.
+
+    The vectors of the positions are distinct as far as there are enough, and spread over all dimensions (the fairest of a few
+    fixed shuffles), so that each mask keeps about half of the bits.
+    """
     span = 1 << (radius + 1)
-    of = [i % (span - 1) + 1 for i in range(BITS)]
-    found = [sum(1 << i for i in range(BITS) if (of[i] & v).bit_count() % 2) for v in range(1, span)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
+    fairest: tuple[int, list[int]] = (BITS + 1, [])
+    for seed in range(16):
+        vectors = np.random.RandomState(seed).permutation(np.arange(1, span))
+        of = np.resize(vectors, BITS)
+        odd = np.bitwise_count(of[None] & np.arange(1, span)[:, None]).astype(int) % 2
+        uneven = int(np.abs(2 * odd.sum(axis=1) - BITS).max())
+        if uneven < fairest[0]:
+            fairest = uneven, [sum(1 << i for i in np.flatnonzero(row).tolist()) for row in odd]
+    return [m - (1 << 64) if m >> 63 else m for m in fairest[1]]
 
 
 def majority(texts: list[str], width: int = 3, portion: int = 300_000) -> np.ndarray:

@@ -239,6 +239,16 @@ def test_masks_cover():
             assert any(not m & flips for m in found)
 
 
+def test_masks_keep_half_of_the_bits():
+    for radius in (3, 5, 6, 8, 9):
+        kept = [(m & 2**64 - 1).bit_count() for m in simhash.masks(radius)]
+        assert len(kept) == 2 ** (radius + 1) - 1 and min(kept) >= 16 and max(kept) <= 48, radius
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(64, 6, replace=False))
+        assert any(not m & flips for m in simhash.masks(6))
+
+
 def test_simhash(spark, odd, none, docs):
     for df in (odd, docs):
         texts = [(r["doc_id"], r["text"]) for r in df.collect()]
