@@ -1,11 +1,13 @@
-"""What the operators share: the shared folder, written tables and input checks."""
+"""What the operators share: the shared folder, written tables, a filter of keys and input checks."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="recollect-")
@@ -51,6 +55,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Filter:
+    """A Bloom filter of 64-bit keys: what it lets through may be among them, what it stops is not.
+
+    It has 16 bits for each key, but at most `MOST` words (16 MB), so it can be sent to every task whatever the number of keys.  Beyond
+    some ten million keys it lets more and more through: what is done with the rest has to be exact, and only costs more.
+    """
+
+    words: np.ndarray  # of 64 bits
+
+    MOST = 1 << 21
+    HASHES = 4
+
+    @staticmethod
+    def mixed(keys: np.ndarray, k: int) -> np.ndarray:
+        h = keys.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """The filter of the only column of `keys`; its words are made in the tasks, and only they come to the driver."""
+        import pyarrow as pa
+
+        size = 1
+        n = keys.count()
+        while size * 4 < n and size < cls.MOST:
+            size *= 2
+
+        def bits(batches):
+            words = np.zeros(size, np.uint64)
+            for batch in batches:
+                x = batch.column(0).to_numpy()
+                for k in range(cls.HASHES):
+                    h = cls.mixed(x, k)
+                    np.bitwise_or.at(words, (h >> np.uint64(6)) % np.uint64(size), np.uint64(1) << (h & np.uint64(63)))
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "word"])
+
+        found = keys.mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        words = np.zeros(size, np.uint64)
+        words[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for k in range(self.HASHES):
+            h = self.mixed(np.ascontiguousarray(keys), k)
+            found &= (self.words[(h >> np.uint64(6)) % np.uint64(len(self.words))] >> (h & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

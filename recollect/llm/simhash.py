@@ -6,9 +6,15 @@ span less than the whole space, so some v is orthogonal to all of them: two fing
 most r bits agree under that mask.  Hence every such pair meets in one of the 2^(r+1) - 1 tables (15 for
 r = 3, each keeping about half of the 64 bits) and no pair is lost.
 
-Equal fingerprints are one node, so groups of copies cost nothing.  Within a bucket only a spanning forest
-of the links is kept.  A bucket of more than `TILE` fingerprints is dealt to tiles, a tile for each pair of parts,
-so that all its pairs are tested but no task holds it whole.  Components come from alternating large and small stars.
+Equal fingerprints are one node, so groups of copies cost nothing.  The first few tables are searched before the others, and
+their components name the nodes: later, a bucket whose nodes all bear one name is passed over, so that a large family costs no
+edges in each table.  Within a bucket a search from node to node (`forest`) finds a spanning forest of the links and not
+all pairs.  Buckets of more than `TILE` nodes are dealt to parts (`linked`): every part also gets the few hubs of its bucket,
+which ties a family together whatever its size, and then only the nodes outside the largest component are compared with other
+parts.  Components come from alternating large and small stars.
+
+``kept`` can also ask for a similarity of shingle sets (`similar_groups`): fingerprints find the candidates, and texts
+of one component of candidates are compared by their sets, again from node to node and in parts.
 
 Results for odd input: null and empty texts, and those of white space alone, have fingerprint zero and are linked like
 others; fewer than three words are one shingle; repeated rows and ties give one row each, in the same component; a null
@@ -17,17 +23,25 @@ others; fewer than three words are one shingle; repeated rows and ties give one
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text, written
+from .common import Filter, documents, whole_text, written
 from .segments import slices
 
 SEED = 42
 BITS = 64
-TILE = 1024
+#: Nodes of a bucket that one task compares; larger buckets are dealt to parts.
+TILE = 4096
+#: Nodes of a divided bucket that every part of it gets, on average.
+HUBS = 32
+#: Shingles of a root that one task compares (8 bytes each).
+SHINGLES = 1 << 20
 LAST = 2**63 - 1  # stands for a null doc_id
 
 
@@ -49,112 +63,206 @@ def masks(radius: int = 3) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in fairest[1]]
 
 
-def majority(texts: list[str], width: int = 3, portion: int = 300_000) -> np.ndarray:
-    """The fingerprint of each text, as int64."""
-    from xxhash import xxh64_intdigest
+# -- fingerprints --------------------------------------------------------------------------------
 
-    counts = np.zeros((len(texts), BITS), np.int64)
-    total = np.zeros(len(texts), np.int64)
 
-    def add(owners, sizes, hashes):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.cumsum(sizes) - sizes
-        np.add.at(counts, owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
-        np.add.at(total, owners, sizes)
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space
 
-    owners, sizes, hashes = [], [], []
-    for k, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space
-        if not words:
-            continue
-        if len(words) < width:
-            shingles = iter([b" ".join(words)])
-            n = 1
-        else:
-            shingles = map(b" ".join, zip(*(words[j:] for j in range(width)), strict=False))
-            n = len(words) - width + 1
-        while n:
-            take = min(n, portion)
-            hashes += [xxh64_intdigest(s, SEED) for s, _ in zip(shingles, range(take), strict=False)] if take < n else [xxh64_intdigest(s, SEED) for s in shingles]
-            owners.append(k)
-            sizes.append(take)
-            n -= take
-            if len(hashes) >= portion:
-                add(owners, np.array(sizes), hashes)
-                owners, sizes, hashes = [], [], []
-    if hashes:
-        add(owners, np.array(sizes), hashes)
-    ones = counts * 2 > total[:, None]
-    return np.packbits(ones, axis=1, bitorder="little").view("<i8").ravel()
 
+def shingles(words: list[bytes], width: int) -> list[bytes] | Iterator[bytes]:
+    """All runs of so many words, repeats included; fewer words are one run."""
+    if len(words) < width:
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(words[j:] for j in range(width)), strict=False))
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, text_hash (XXH64 of the text, to tell rows of one doc_id apart) and fp."""
+
+def hashed(features) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(x, SEED) for x in features), np.uint64)
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a row of hash functions, from the values of the first (k = 0)."""
+    if k == 0:
+        return h
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def majority(hashes: list[np.ndarray], count: int = 1, portion: int = 300_000) -> np.ndarray:
+    """`count` fingerprints for each array of hashes, as int64: a bit is 1 if it is in more than half of them."""
+    ones = np.zeros((len(hashes), count, BITS), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def add():
+        starts = np.cumsum([0, *(len(x) for _, x in held[:-1])])
+        joined = np.concatenate([x for _, x in held])
+        owners = np.array([k for k, _ in held])
+        for j in range(count):
+            bits = np.unpackbits(mixed(joined, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(ones, (owners, j), np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+        held.clear()
+
+    size = 0
+    for k, h in enumerate(hashes):
+        for at in range(0, len(h), portion):
+            held.append((k, h[at : at + portion]))
+            size += len(held[-1][1])
+            if size >= portion:
+                add()
+                size = 0
+    if held:
+        add()
+    total = np.array([len(h) for h in hashes], np.int64)
+    set_ = ones * 2 > total[:, None, None]
+    return np.packbits(set_, axis=2, bitorder="little").reshape(len(hashes), -1).view("<i8").reshape(len(hashes), count)
+
+
+def _printed(docs: DataFrame, features: Callable[[list[bytes]], np.ndarray], count: int) -> DataFrame:
+    names = [f"fp{j}" for j in range(count)]
 
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(majority(batch.column(1).to_pylist(), width))], ["doc_id", "text_hash", "fp"])
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            prints, n = majority([features(w) for w in words], count), pa.array([len(w) for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, *(pa.array(prints[:, j]) for j in range(count))], ["doc_id", "text_hash", "n_words", *names])
 
     text = whole_text()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_words long, " + ", ".join(f"{n} long" for n in names))
 
 
-def forest(x: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint, the least one of its component within this set."""
-    root = x.copy()
-    while True:
-        old = root.copy()
-        for at in range(0, len(x), 512):
-            near = np.bitwise_count(x[at : at + 512, None] ^ x[None]) <= radius
-            root[at : at + 512] = np.where(near, root[None], np.iinfo(x.dtype).max).min(axis=1)
-        if (root == old).all():
-            return root
-
-
-def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all pairs at most `radius` bits apart; nodes: fp, each once."""
-    keys = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)))).alias("mask", "key"))
-    shared = keys.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / tile).cast("int")
-    members = keys.join(shared, ["mask", "key"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "mask", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp"
-    )
-    at = ["mask", "key", "i", "j"]
-
-    def linked(group: np.ndarray, fp: np.ndarray):
-        """Edges within runs of equal group numbers."""
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        sizes = np.diff(np.append(starts, len(fp)))
-        two = starts[sizes == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-        a, b = [np.maximum(fp[two], fp[two + 1])], [np.minimum(fp[two], fp[two + 1])]
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            x = fp[s : s + n]
-            root = forest(x, radius)
-            a.append(x[x != root])
-            b.append(root[x != root])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, text_hash (XXH64 of the text, to tell rows of one doc_id apart) and fp, of all shingles of `width` words."""
+    return _printed(docs, lambda words: hashed(shingles(words, width)), 1).select("doc_id", "text_hash", F.col("fp0").alias("fp"))
 
-    def run(batches):
-        rest = None  # the last group may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
+
+def several_fingerprints(docs: DataFrame, count: int) -> DataFrame:
+    """doc_id, text_hash and fp0, fp1, ...: fingerprints by independent hash functions of all pairs of words and each distinct word.
+
+    An edit changes few of these, so similar texts stay close; pairs of words keep long unrelated texts of one language apart.
+    """
+    return _printed(docs, lambda words: np.concatenate([hashed(set(words)), hashed(shingles(words, 2))]), count)
+
+
+# -- links ---------------------------------------------------------------------------------------
+
+
+def forest(label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (label, label) that tie together what `near` links, directly or by others; rows of equal label are tied already.
+
+    `near(x, others)` tells which of the rows `others` are linked to row x.  The search goes from row to row and compares each only
+    with rows not reached yet, so that a dense family needs few comparisons.
+    """
+    left = np.argsort(label, kind="stable")
+    a, b = [], []
+    while len(left):
+        first = label[left[0]]
+        same = label[left] == first
+        stack, left = left[same].tolist(), left[~same]
+        while stack and len(left):
+            hit = near(stack.pop(), left)
+            if hit.any():
+                reached = np.unique(label[left[hit]])
+                a += [first] * len(reached)
+                b += reached.tolist()
+                along = np.isin(label[left], reached)
+                stack += left[along].tolist()
+                left = left[~along]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def runs_of(batches, keys: int, most: float = float("inf")) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+    """The record batches, sorted by their first `keys` columns, as tables of whole runs and the place where each run begins.
+
+    Of a run of more than `most` rows portions are handed on as they come, with None for the places.
+    """
+    rest, over = None, None
+    key = lambda table, at: tuple(table.column(k)[at].as_py() for k in range(keys))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for k in range(keys):
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        starts, rest = np.concatenate([[0], np.flatnonzero(new)]), None
+        if over is not None and key(table, 0) == over:
+            end = int(starts[1]) if len(starts) > 1 else table.num_rows
+            yield table.slice(0, end), None
+            table, starts = table.slice(end), starts[1:] - end
+            if not table.num_rows:
                 continue
-            columns = [np.asarray(batch.column(k)) for k in range(5)]
-            if rest:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            change = np.zeros(len(columns[0]), bool)
-            for c in columns[:4]:
-                change[1:] |= c[1:] != c[:-1]
-            group = np.cumsum(change)
-            cut = group.searchsorted(group[-1])
-            rest = [c[cut:] for c in columns]
-            yield linked(group[:cut], columns[4][:cut])
-        if rest:
-            yield linked(np.zeros(len(rest[4]), int), rest[4])
-
-    return tiles.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a long, b long").distinct()
+        over, last = None, int(starts[-1])
+        if last:
+            yield table.slice(0, last), starts[:-1]
+        table = table.slice(last)
+        if table.num_rows > most:
+            yield table, None
+            over = key(table, 0)
+        else:
+            rest = table
+    if rest is not None:
+        yield rest, np.array([0])
+
+
+def tied_in(table: pa.Table, starts: np.ndarray, near_of: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all runs of a table with the column ``name``; `near_of(table)` makes the test of a run."""
+    names = table.column("name").to_numpy()
+    ends = np.append(starts[1:], len(names))
+    several = (ends - starts > 1) & (np.minimum.reduceat(names, starts) != np.maximum.reduceat(names, starts))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        x, y = forest(names[s:e], near_of(table.slice(s, e - s)))
+        a.append(x)
+        b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def linked(rows: DataFrame, near_of: Callable, hubs: int = HUBS) -> DataFrame:
+    """Edges (a, b) of names that tie together all linked rows of a group.
+
+    rows: g, parts (into how many the group is dealt), name, and what `near_of` looks at in the column ``held``.  Every part gets its rows and
+    the hubs of its group.  Where a group is more than one component after that, the rows outside its largest one are compared with
+    all parts; so every pair is tested that nothing ties together yet.
+    """
+
+    def of(keys):
+        def run(batches):
+            for table, starts in runs_of(batches, keys):
+                a, b = tied_in(table, starts, near_of)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return run
+
+    def tested(tiles, *keys):
+        return tiles.select(*keys, "name", "held").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(of(len(keys)), "a long, b long")
+
+    part = F.pmod(F.xxhash64(F.lit("part"), "held"), F.col("parts")).cast("int")
+    all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    large = rows.filter("parts > 1")
+    sizes = large.groupBy("g").agg(F.count("*").alias("n"))
+    hub = large.join(sizes, "g").filter(F.pmod(F.xxhash64(F.lit("hub"), "held"), F.col("n")) < hubs).withColumn("part", F.explode(all_parts))
+    first = tested(rows.withColumn("part", part).unionByName(hub.drop("n")), "g", "part")
+    if large.isEmpty():
+        return first
+    edges = written(first, "tied-in-parts")
+    roots = components(edges, "tied-in-parts")
+    named = large.join(roots.select(F.col("a").alias("name"), "root"), "name", "left").withColumn("name", F.coalesce("root", "name")).drop("root")
+    each = named.groupBy("g", "parts", "name").agg(F.count("*").alias("n"))
+    open_ = each.groupBy("g", "parts").agg(F.max_by("name", F.struct("n", "name")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("n > most")
+    blocks = F.ceil(F.col("parts") * (F.col("n") - F.col("most")) / F.col("n")).cast("int")
+    open_ = written(open_.select("g", "major", blocks.alias("blocks")), "open-groups")
+    there = named.join(open_, "g").withColumn("part", part)
+    minor = there.filter("name != major").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "held"), F.col("blocks")).cast("int")).withColumn("part", F.explode(all_parts))
+    whole = there.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return edges.union(tested(whole.unionByName(minor), "g", "part", "block"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -174,108 +282,170 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         tied = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = written(tied.filter("a != b").distinct(), name)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == sign:
+        if tuple(row) == sign or not row[0]:
             return edges.select("a", F.col("b").alias("root"))
         sign = tuple(row)
 
 
+def families(nodes: DataFrame, prints: tuple[str, ...] = ("fp",), radius: int = 3, tile: int = TILE) -> DataFrame:
+    """(a, root) as `components`, of nodes of which some fingerprint differs in at most `radius` bits; nodes: a, each once, and `prints`."""
+
+    def near_of(table: pa.Table):
+        fp = table.column("held").to_numpy()
+        return lambda x, others: np.bitwise_count(fp[others] ^ fp[x]) <= radius
+
+    def run(batches):
+        for table, starts in runs_of(batches, 1, tile):
+            if starts is None:
+                yield pa.RecordBatch.from_arrays([table.column(k).combine_chunks() for k in (0, 1, 2)], ["a", "b", "fp"])
+                continue
+            fp, names = table.column("held").to_numpy(), table.column("name").to_numpy()
+            sizes = np.diff(np.append(starts, len(fp)))
+            two = starts[sizes == 2]
+            two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (names[two] != names[two + 1])]
+            more = starts[sizes > 2]
+            picked = np.repeat(sizes > 2, sizes)
+            a, b = tied_in(table.filter(pa.array(picked)).combine_chunks(), np.cumsum(sizes[sizes > 2]) - sizes[sizes > 2], near_of) if len(more) else (names[:0], names[:0])
+            a, b = np.concatenate([names[two], a]), np.concatenate([names[two + 1], b])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "fp"])
+
+    found = masks(radius)
+    ahead = max(1, len(found) // 7)
+    ties, roots = [], None
+    for numbers in (range(ahead), range(ahead, len(found))):
+        named = nodes.withColumn("name", F.col("a")) if roots is None else nodes.join(roots, "a", "left").withColumn("name", F.coalesce("root", "a"))
+        each = named.select("name", F.posexplode(F.array(*prints)).alias("print", "held"))
+        keys = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), F.col("held").bitwiseAND(F.lit(found[t])).alias("key")) for t in numbers)))
+        buckets = each.select("print", "held", "name", keys.alias("k")).select(F.xxhash64("print", "k.table", "k.key").alias("bucket"), "name", "held")
+        pairs = written(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, fp long"), "links")
+        ties.append(pairs.filter("fp IS NULL").select("a", "b"))
+        # Buckets beyond a tile, unless all of their nodes bear one name already.
+        over = pairs.filter("fp IS NOT NULL").toDF("g", "name", "held")
+        open_ = over.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"), F.min("name").alias("x"), F.max("name").alias("y")).filter("x != y")
+        open_ = written(open_.drop("x", "y"), "large-buckets")
+        if not open_.isEmpty():
+            ties.append(linked(written(over.join(open_, "g"), "large-buckets"), near_of))
+        edges = ties[0]
+        for more in ties[1:]:
+            edges = edges.union(more)
+        roots = components(edges)
+    return roots
+
+
+# -- groups --------------------------------------------------------------------------------------
+
+
 def groups(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """doc_id, text_hash, fp, component_id (least doc_id of the component) and keep_hash (the text_hash of the row to keep)."""
     rows = written(fingerprints(docs, width), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text_hash")).alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("a", "fp")
+    roots = families(nodes.select(F.col("fp").alias("a"), "fp"), ("fp",), radius).withColumnRenamed("a", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = placed.groupBy("root").agg(F.min("first").alias("least"))
     to = placed.join(first, "root").select("fp", F.nullif("least.doc_id", F.lit(LAST)).alias("component_id"), F.col("least.text_hash").alias("keep_hash"))
     return rows.join(to, "fp")
 
 
-def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, text_hash and shingles (the distinct shingles of so many words, as sorted XXH64); fewer words are one shingle, none an empty set."""
-    from xxhash import xxh64_intdigest
+def similar_sets(similar: float) -> Callable:
+    """The test of runs whose column ``held`` has sets of shingles: a Jaccard similarity of at least `similar`."""
+
+    def near_of(table: pa.Table):
+        lists = table.column("held").combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        ends, values = offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]]
+        sizes = np.diff(ends)
+        distinct, codes = np.unique(values, return_inverse=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(codes, kind="stable")]
+        many = np.bincount(codes, minlength=len(distinct))
+        at = np.cumsum(many) - many
+
+        def near(x, others):
+            mine = codes[ends[x] : ends[x + 1]]
+            n = many[mine]
+            places = np.repeat(at[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[places], minlength=len(sizes))[others]
+            return both + 1e-9 >= similar * (sizes[x] + sizes[others] - both)
+
+        return near
+
+    return near_of
 
-    def of(text: str) -> np.ndarray:
-        found = text.encode("utf-8", "surrogatepass").lower().split()
-        runs = map(b" ".join, zip(*(found[j:] for j in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)] if found else []
-        return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in runs), np.uint64)).view(np.int64)
+
+def shingle_sets(texts: DataFrame, wanted: Filter, words: int = 5) -> DataFrame:
+    """text_hash and shingles (the distinct shingles of so many words, as sorted XXH64; fewer words are one) of the rows whose ``key`` may be wanted.
+
+    texts: key, text_hash, text.
+    """
 
     def run(batches):
         for batch in slices(batches):
-            sets = pa.array([of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets], ["doc_id", "text_hash", "shingles"])
+            batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy(zero_copy_only=False))))
+            sets = pa.array([np.unique(hashed(shingles(words_of(t), words))).view(np.int64) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), sets], ["text_hash", "held"])
 
-    return texts.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, shingles array<long>")
+    return texts.select("key", "text_hash", "text").mapInArrow(run, "text_hash long, held array<long>")
 
 
-def verified(members: DataFrame, radius: int, similar: float, rows: int = 128, size: int = 1 << 20) -> DataFrame:
-    """Edges (a, b) of text hashes that connect all texts of one `root` at most `radius` bits apart and `similar` in their shingles.
+def _key(doc_id: Column, text_hash: Column) -> Column:
+    """A row, as far as the operator tells rows apart."""
+    return F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(LAST)), text_hash)
 
-    members: root, text_hash (each once), fp, shingles.  A root of more than `rows` texts or `size` shingles is dealt to parts, and
-    each pair of parts is one tile.  Pairs that earlier ones connect already need no test.
-    """
-    n = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.size("shingles")) / size), F.lit(1)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int")
-    dealt = members.join(n, "root").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = dealt.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "text_hash", "fp", "shingles")
-
-    def tested(tile):
-        import pandas as pd
-
-        tile = tile.sort_values("text_hash")
-        fp, part, ids, sets = tile["fp"].to_numpy(), tile["part"].to_numpy(), tile["text_hash"].to_numpy(), list(tile["shingles"])
-        sizes = np.array([len(x) for x in sets])
-        top = np.arange(len(ids))
-        edges = []
-        across = tile["i"].iloc[0] != tile["j"].iloc[0]
-        for x in range(len(ids) - 1):
-            near = np.bitwise_count(fp[x] ^ fp[x + 1 :]) <= radius
-            fits = np.minimum(sizes[x], sizes[x + 1 :]) >= similar * np.maximum(sizes[x], sizes[x + 1 :])
-            for y in np.flatnonzero(near & fits & ((part[x] != part[x + 1 :]) | (not across))) + x + 1:
-                if top[x] == top[y]:
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both >= similar * (sizes[x] + sizes[y] - both):
-                    edges.append((ids[x], ids[y]))
-                    top[top == top[y]] = top[x]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    return tiles.groupBy("root", "i", "j").applyInPandas(tested, "a long, b long").distinct()
-
-
-def similar_groups(docs: DataFrame, radius: int, width: int, similar: float = 0.8, words: int = 5) -> DataFrame:
+
+def similar_groups(docs: DataFrame, count: int = 5, radius: int = 4, similar: float = 0.8, words: int = 5, rows_per_task: int = 1024) -> DataFrame:
     """doc_id, text_hash, component_id and keep_hash as in `groups`, where a link also asks for a Jaccard similarity of at least `similar`.
 
-    Fingerprints of shingles of `width` words find the candidates; the similarity is that of sets of shingles of `words` words.
-    Only texts that share a component of fingerprints with another text are read again.
+    `count` fingerprints find the candidates: texts of which one differs in at most `radius` bits, and what is tied together by those.
+    The similarity is that of sets of shingles of `words` words, of any two texts that are tied together.  Texts themselves
+    aren't moved: only the sets of candidates are.
     """
-    rows = written(fingerprints(docs, width), "fingerprints")
-    texts = rows.groupBy("text_hash", "fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
-    texts = written(texts, "texts")
-    roots = components(links(texts.select("fp").distinct(), radius)).withColumnRenamed("a", "fp")
-    placed = texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    many = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    candidates = written(placed.join(many, "root"), "candidates")
+    prints = tuple(f"fp{j}" for j in range(count))
+    rows = written(several_fingerprints(docs, count), "fingerprints")
+    texts = written(rows.groupBy("text_hash", "n_words", *prints).agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first")), "texts")
+    roots = families(texts.select(F.col("text_hash").alias("a"), *prints), prints, radius).withColumnRenamed("a", "text_hash")
+    placed = texts.join(roots, "text_hash", "left").select("text_hash", "n_words", "first", F.coalesce("root", "text_hash").alias("g"))
+    many = placed.groupBy("g").agg(F.count("*").alias("n"), F.sum("n_words").alias("size")).filter("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / rows_per_task), F.ceil(F.col("size") / SHINGLES), F.lit(1)).cast("int")
+    candidates = written(placed.join(many.select("g", parts.alias("parts")), "g").select("g", "parts", "text_hash", "first"), "candidates")
     text = whole_text()
-    here = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    wanted = here.join(candidates.select("text_hash", F.col("first").alias("doc_id")), ["text_hash", "doc_id"], "left_semi")
-    sets = shingle_sets(wanted, words).dropDuplicates(["text_hash"]).drop("doc_id")
-    same = components(verified(written(candidates.join(sets, "text_hash").select("root", "text_hash", "fp", "shingles"), "shingles"), radius, similar), "similar")
+    wanted = Filter.of(candidates.select(_key(F.col("first"), F.col("text_hash"))))
+    sets = shingle_sets(docs.select(_key(F.col("doc_id"), F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text")), wanted, words)
+    held = candidates.join(sets, "text_hash").dropDuplicates(["text_hash"]).select("g", "parts", F.col("text_hash").alias("name"), "held")
+    same = components(linked(written(held, "shingles"), similar_sets(similar)), "similar")
     top = texts.join(same.withColumnRenamed("a", "text_hash"), "text_hash", "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "first")
     least = top.groupBy("root").agg(F.min(F.struct(F.col("first").alias("doc_id"), "text_hash")).alias("least"))
     to = top.select("text_hash", "root").join(least, "root").select("text_hash", F.nullif("least.doc_id", F.lit(LAST)).alias("component_id"), F.col("least.text_hash").alias("keep_hash"))
     return rows.select("doc_id", "text_hash").join(to, "text_hash")
 
 
-def kept(docs: DataFrame, radius: int = 3, width: int = 3, similar: float | None = None) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of each component, with all columns of `docs`: the one of least doc_id, and of least text hash among those.
 
-    With `similar`, links are tested as in `similar_groups`.
+    found: doc_id, text_hash, component_id and keep_hash of each row of `docs`.  Only rows that may have to go are moved.
     """
-    found = groups(docs, radius, width) if similar is None else similar_groups(docs, radius, width, similar)
-    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64(whole_text())).alias("d")
-    here = rows.join(ids, F.col("_id").eqNullSafe(F.col("d.doc_id").cast("long")) & (F.col("_hash") == F.col("_key")), "left_semi")
-    return here.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    each = found.groupBy(_key(F.col("doc_id"), F.col("text_hash")).alias("_k")).agg(F.bool_or(stays).alias("_stays"), F.count("*").alias("n"))
+    touched = written(each.filter(~F.col("_stays") | (F.col("n") > 1)).select("_k", "_stays"), "touched")
+    may = Filter.of(touched.select("_k"))
+
+    @F.pandas_udf("boolean")
+    def has(keys: pd.Series) -> pd.Series:
+        return pd.Series(may.has(keys.to_numpy()))
+
+    rows = docs.withColumn("_k", _key(F.col("doc_id"), F.xxhash64(whole_text())))
+    rows = rows.withColumn("_may", has("_k"))
+    clean = rows.filter(~F.col("_may")).select(*docs.columns)
+    doubtful = rows.filter("_may").join(touched, "_k", "left").filter(F.coalesce("_stays", F.lit(True)))
+    return clean.unionByName(doubtful.dropDuplicates(["_k"]).select(*docs.columns))
+
+
+def kept(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """One row of each component of `groups`, with all columns of `docs`."""
+    return first_of_each(docs, groups(docs, radius, width))
+
+
+def kept_similar(docs: DataFrame, count: int = 5, radius: int = 4, similar: float = 0.8) -> DataFrame:
+    """One row of each component of `similar_groups`, with all columns of `docs`."""
+    return first_of_each(docs, similar_groups(docs, count, radius, similar))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,20 +266,63 @@ def test_simhash(spark, odd, none, docs):
     assert simhash.groups(none).count() == 0 and simhash.kept(none).count() == 0
 
 
-def test_large_buckets_go_to_tiles(spark):
+@pytest.mark.parametrize("tile", [4, 20, 4096])
+def test_large_buckets_are_dealt_to_parts(spark, tile):
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2**62))
     prints = {base}
     while len(prints) < 300:  # a chain of near fingerprints, most of them in one bucket
         prints.add(int(rng.choice(list(prints))) ^ (1 << int(rng.integers(0, 16))) ^ (1 << int(rng.integers(0, 16))))
     prints |= {int(x) for x in rng.integers(0, 2**62, 50)}
-    nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
-    edges = simhash.links(nodes, 3, tile=20)
-    assert all((r["a"] ^ r["b"]).bit_count() < 64 for r in edges.collect())
-    roots = {r["a"]: r["root"] for r in simhash.components(edges).collect()}
+    nodes = spark.createDataFrame([(p, p) for p in prints], "a long, fp long").repartition(5)
+    roots = {r["a"]: r["root"] for r in simhash.families(nodes, ("fp",), 3, tile).collect()}
     assert {p: roots.get(p, p) for p in prints} == brute_components(prints)
 
 
+def test_parts_lose_no_link(spark):
+    """Several groups dealt to parts: a dense one, one of small families, a chain, and one without links."""
+    rng = np.random.default_rng(5)
+    rows = [(0, 1 << k) for k in range(40)] + [(1, int(x) << 8 | k) for x in rng.integers(0, 2**40, 30) for k in range(3)]
+    rows += [(2, (1 << k) - 1) for k in range(60)] + [(3, int(x)) for x in rng.integers(0, 2**62, 80)]
+    near_of = lambda t: lambda x, others: np.bitwise_count(t.column("held").to_numpy()[others] ^ t.column("held").to_numpy()[x]) <= 1
+    df = spark.createDataFrame([(g, 7, (g << 60) + k, fp) for k, (g, fp) in enumerate(rows)], "g long, parts int, name long, held long").repartition(3)
+    for hubs in (0, 3, 1000):
+        roots = {r["a"]: r["root"] for r in simhash.components(simhash.linked(df, near_of, hubs)).collect()}
+        want = {}
+        for g in range(4):
+            of = brute_components([fp for h, fp in rows if h == g], 1)
+            least = {}
+            for k, (h, fp) in enumerate(rows):
+                if h == g:
+                    want[(g << 60) + k] = least.setdefault(of[fp], (g << 60) + k)
+        assert {n: roots.get(n, n) for n in want} == want
+
+
+def test_runs():
+    import pyarrow as pa
+
+    keys = np.repeat([1, 2, 5, 6, 9], [3, 1, 40, 2, 30])
+    batches = [pa.RecordBatch.from_pydict({"k": keys[k : k + 7], "v": np.arange(len(keys))[k : k + 7]}) for k in range(0, len(keys), 7)]
+    whole, over = [], []
+    for table, starts in simhash.runs_of(batches, 1, 10):
+        if starts is None:
+            over += table.column("v").to_pylist()
+        else:
+            whole += [table.column("k")[int(s)].as_py() for s in starts]
+    assert whole == [1, 2, 6] and over == [*range(4, 44), *range(46, 76)]
+
+
+def test_filter_stops_no_member(spark):
+    from recollect.llm.common import Filter
+
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS k")
+    found = Filter.of(keys)
+    members = np.array([r["k"] for r in keys.collect()])
+    others = np.random.default_rng(0).integers(-(2**62), 2**62, 20_000)
+    assert found.has(members).all() and found.has(others).mean() < 0.02
+    assert not Filter.of(keys.limit(0)).has(members).any()
+
+
 # -- personal data
 
 PATTERNS = {
@@ -352,22 +395,40 @@ def test_similar_groups_against_brute_force(spark, odd, none, docs):
                 words[at] = f"w{rng.integers(1000)}"
             rows.append((len(rows), " ".join(words) if n else text))
     rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "three small words"), (len(rows) + 3, "three  small words")]
-    radius, width = 6, 2
-    fp = simhash.majority([t or "" for _, t in rows], width)
+    count, radius = 5, 4
+    features = [np.array([xxhash.xxh64_intdigest(x, 42) for x in [*set(shingles(t, 1)), *shingles(t, 2)]], np.uint64) for _, t in rows]
+    fp = simhash.majority(features, count)
     sets = [set(shingles(t, 5)) for _, t in rows]
-    top = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if np.bitwise_count(fp[a] ^ fp[b]) <= radius and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = top[a], top[b]
-                top = [min(x, y) if t in (x, y) else t for t in top]
+
+    def joined(near):
+        top = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                if near(a, b):
+                    x, y = top[a], top[b]
+                    top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    tied = joined(lambda a, b: (np.bitwise_count(fp[a] ^ fp[b]) <= radius).any())
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    top = joined(lambda a, b: tied[a] == tied[b] and alike(a, b))
+    every = joined(alike)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, radius, width).collect()}
-    assert got == dict(enumerate(top)) and len(set(top)) < len(rows) - 40
-    assert sorted(r["doc_id"] for r in simhash.kept(df, radius, width, 0.8).collect()) == sorted(set(top))
-    # Tiles: the same components when each root is dealt to many parts.
-    members = simhash.shingle_sets(df.selectExpr("doc_id", "coalesce(text, '') AS text", "doc_id AS text_hash")).join(spark.createDataFrame([(k, int(x)) for k, x in enumerate(fp)], "text_hash long, fp long"), "text_hash").selectExpr("1L AS root", "text_hash", "fp", "shingles")
-    roots = {r["a"]: r["root"] for r in simhash.components(simhash.verified(members, radius, 0.8, rows=20)).collect()}
-    assert {k: roots.get(k, k) for k in range(len(rows))} == dict(enumerate(top))
-    assert simhash.similar_groups(none, radius, width).count() == 0 and simhash.similar_groups(odd, radius, width).count() == odd.count()
+    for per_task in (1024, 3):  # the same components when each root is dealt to many parts
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, count, radius, rows_per_task=per_task).collect()}
+        assert got == dict(enumerate(top)) and len(set(top)) < len(rows) - 40
+    assert len(set(top)) <= len(set(every)) + 3  # few of the links that all pairs of texts have are lost
+    assert sorted(r["doc_id"] for r in simhash.kept_similar(df, count, radius).collect()) == sorted(set(top))
+    assert simhash.similar_groups(none).count() == 0 and simhash.similar_groups(odd).count() == odd.count()
+    kept = simhash.kept_similar(odd)
+    assert kept.columns == odd.columns and len({r["text"] or "" for r in kept.collect()}) == kept.count()
+
+
+def test_several_fingerprints_are_majorities():
+    rng = np.random.default_rng(0)
+    hashes = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 7, 1000)]
+    got = simhash.majority(hashes, 3, portion=64)
+    for h, prints in zip(hashes, got, strict=True):
+        for k in range(3):
+            values = [int(x) for x in simhash.mixed(h, k)]
+            assert int(prints[k]) & 2**64 - 1 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
