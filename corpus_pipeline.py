@@ -13,9 +13,8 @@ from recollect.llm.common import documents, written
 
 #: Score of language ID below which a document goes.
 SURE = 0.5
-#: Candidates for near-duplicates: fingerprints of two-word shingles within six bits (127 covering tables).  An edit changes fewer
-#: shingles of two words than of three or five, so similar texts stay close; unrelated ones are far beyond six bits.
-RADIUS, WIDTH = 6, 2
+#: Candidates for near-duplicates: one of five fingerprints (of pairs of words and distinct words) within four bits, 155 covering tables.
+PRINTS, RADIUS = 5, 4
 #: A link then needs this Jaccard similarity of the sets of five-word shingles.
 SIMILAR = 0.8
 
@@ -35,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (verified by their five-word shingles) stays."""
-    return simhash.kept(docs, RADIUS, WIDTH, SIMILAR)
+    return simhash.kept_similar(docs, PRINTS, RADIUS, SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
