@@ -1,8 +1,9 @@
 """Operator 2: license scans by ordered signature rules.
 
-A text is reduced to its lower-case words, and each rule is a regular expression over them.  Rules are generated from the table
-of licenses below: each name, alone and with each of its versions, in several phrases, gives a rule with a priority (hundreds in
-all).  A rule is only tried on texts that hold its keyword, and no rule on texts without any of a few words.  Of
+A text is reduced to its lower-case words, and each rule is a regular expression over them.  Hundreds of rules stand for the
+wording of licenses, their notices and addresses (written by hand in `signatures`) and for their names, alone and with each of their
+versions, in several phrases (from the table of names below).  Each rule has a priority.  A rule is only tried on texts that hold its
+keyword, and no rule on texts without any of a few words (`gates`, which every keyword holds one of).  Of
 the places found, one that lies within a place of a rule of the same or a higher priority is suppressed; among equal places the
 higher priority stays, then the earlier rule.  Base phrases always stay.
 
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, whole_text
+from .signatures import BODY, HEADER, HINT, SIGNATURES, URL
+from .spans import greatest_so_far, let, sums
 
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,9 +72,16 @@ LATER = " (?:or (?:any )?later(?: version)?|or at your option any later version|
 #: Priorities, from a bare name to a machine-readable tag; a hundredth is the score.
 NAME, GRANTED, VERSIONED, GRANTED_VERSION, OR_LATER, TAGGED = 30, 50, 60, 70, 80, 95
 BASE_SCORE = 40
-LEVELS = (NAME, GRANTED, VERSIONED, GRANTED_VERSION, OR_LATER, TAGGED)
-#: Without any of these no rule can match.
-GATES = ("licen", "cc", "gpl", "spdx", "public", "creative", "mpl", "epl", "cddl", "eupl", "0bsd", "gfdl", "odbl", "font", "database")
+LEVELS = tuple(sorted({NAME, HINT, GRANTED, VERSIONED, GRANTED_VERSION, HEADER, OR_LATER, BODY, URL, TAGGED - 1, TAGGED}))
+#: Each keyword and each base phrase holds one of these (`gates` sees to that): without any no rule can match.
+GATES = (
+    "licen", "cc", "gpl", "public", "mpl", "epl", "cddl", "0bsd", "gfdl", "odbl", "wtfpl", "copy", "software", "merchant", "consortium",
+    "redistribut", "endorse", "patent", "as is", "eric", "represent", "permission", "agreement", "w3c", "nara", "liable", "mark", "altered", "png",
+    "organization", "jpeg", "freetype", "beer", "fuck", "unicode", "imagemagick", "vim", "ruby", "psf", "cnri", "writing", "terms",
+    "developed", "version", "hope", "received", "freedom", "circumvent", "exception", "autoconf", "invariant", "cecill", "control", "font", "bitstream",
+    "material", "credit", "commercial", "extent", "open", "polyform", "eclipse", "mozilla", "sil org", "zlib", "illinois",
+    "document", "distribution", "contents of", "source code", "good not evil", "risk", "work", "commons", "eupl",
+)
 _SPAN = "array<struct<start:int,end:int,priority:int,number:int,label:string>>"
 
 
@@ -107,9 +117,18 @@ def rules() -> list[Rule]:
             major, minor = v.split(".")
             add(f"{label}-{v}", TAGGED, "spdx license identifier", f"spdx license identifier {tag} {major} {minor}(?: only)?")
         add(label, TAGGED - 1 if versions else TAGGED, "spdx license identifier", f"spdx license identifier {tag}")
+    for label, priority, keyword, body in SIGNATURES:
+        add(label, priority, keyword, body)
     return out
 
 
+def gates() -> tuple[str, ...]:
+    """GATES, if each keyword holds one."""
+    if free := [k for k in {r.keyword for r in rules()} | set(BASE) if not any(g in k for g in GATES)]:
+        raise ValueError(f"no gate for {sorted(free)}")
+    return GATES
+
+
 def words_of(text: Column) -> Column:
     """The words of a lower-case text, with one space before, between and after them."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, GAP, " ")), F.lit(" "))
@@ -123,15 +142,12 @@ def places(words: Column, pattern: Column) -> Column:
     """Array of (start, end) of all matches in words from 0, end exclusive."""
     found = F.transform(F.regexp_extract_all(words, pattern, F.lit(0)), _spaces)
     gaps = F.transform(F.split(words, pattern, -1), _spaces)
-    return F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("n")),
-        F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"] + 1).alias("end")))).alias("found"),
-        ),
-        lambda a: a["found"],
-    )
+
+    def placed(n):
+        both = F.zip_with(n, F.slice(gaps, 1, F.size(n)), lambda x, gap: x + gap)
+        return let(sums(both), lambda ends: F.transform(n, lambda x, i: F.struct((F.get(ends, i) - x - 1).alias("start"), F.get(ends, i).alias("end"))))
+
+    return let(found, lambda n: F.when(F.size(n) > 0, placed(n)).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
 
 
 def detections(words: Column) -> Column:
@@ -163,30 +179,33 @@ def surviving(spans: Column) -> Column:
     """The spans that no span of the same or a higher priority contains.
 
     In order of start (then longest, then highest priority, then rule), a span is contained if an earlier one of such a priority
-    ends no sooner; so the furthest end of each priority is all that has to be kept.
+    ends no sooner; so the furthest end so far of each priority and those above it is all that has to be known.
     """
     key = lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["priority"]).alias("c"), s["number"].alias("d"), s["label"].alias("e"))
-    ordered = F.array_sort(F.transform(spans, key))
-    levels = sorted({*LEVELS, TAGGED - 1})
-    start = F.struct(*(F.lit(-1).alias(f"p{p}") for p in levels), F.array().cast(_SPAN).alias("kept"))
 
-    def step(a, s):
-        end, priority = -s["b"], -s["c"]
-        contained = F.lit(False)
-        for p in levels:
-            contained = contained | ((F.lit(p) >= priority) & (a[f"p{p}"] >= end))
-        span = F.struct(s["a"].alias("start"), end.alias("end"), priority.alias("priority"), s["d"].alias("number"), s["e"].alias("label"))
-        ends = [F.when(priority == p, F.greatest(a[f"p{p}"], end)).otherwise(a[f"p{p}"]).alias(f"p{p}") for p in levels]
-        return F.struct(*ends, F.when(contained, a["kept"]).otherwise(F.concat(a["kept"], F.array(span))).alias("kept"))
+    def of(ordered):
+        furthest = F.struct(*(greatest_so_far(F.transform(ordered, lambda s: F.when(-s["c"] >= p, -s["b"]).otherwise(-1))).alias(f"p{p}") for p in LEVELS))
+
+        def free(ends):
+            def stays(s, i):
+                end = F.lit(-1)
+                for p in LEVELS:
+                    end = F.when(-s["c"] == p, F.coalesce(F.get(ends[f"p{p}"], i - 1), F.lit(-1))).otherwise(end)
+                return end < -s["b"]
+
+            return F.filter(ordered, stays)
+
+        return let(furthest, free)
 
-    return F.aggregate(ordered, start, step, lambda a: a["kept"])
+    kept = let(F.array_sort(F.transform(spans, key)), of)
+    return F.transform(kept, lambda s: F.struct(s["a"].alias("start"), (-s["b"]).alias("end"), (-s["c"]).alias("priority"), s["d"].alias("number"), s["e"].alias("label")))
 
 
 def scanned(docs: DataFrame, *keep: str) -> DataFrame:
     """`keep` and n_words, ``base`` (array of (start, end, label)) and ``spans`` (the surviving detections)."""
     low = docs.select(*keep, F.lower(whole_text()).alias("_low"))
     gate = F.lit(False)
-    for word in GATES:
+    for word in gates():
         gate = gate | F.contains("_low", F.lit(word))
     words = low.select(*keep, F.regexp_count("_low", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, words_of(F.col("_low"))).alias("_words"))
     bases = F.array(*(F.struct(F.lit(f"(?<= ){p}(?= )").alias("pattern"), F.lit(label).alias("label")) for p, label in BASE.items()))
