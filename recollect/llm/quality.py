@@ -7,8 +7,10 @@ words, because short texts scatter more.  A group is a language and source, or t
 the first with `LEAST` documents; its estimate is over all documents that belong to it, whichever their own group is.
 
 The estimate of a group is the mean and covariance of the part `ALPHA` of its vectors whose covariance has the least
-determinant, sought by concentration steps: from the distances by medians and median absolute deviations, the closest
-part gives a mean and covariance, these give new distances, and so on; no step raises the determinant.  Equal vectors
+determinant, sought by concentration steps from three fixed starts: medians with median absolute deviations, mean and covariance of
+all, and the covariance of directions from the median.  The part closest by a start's distances gives a mean and covariance, these give
+new distances, and so on; no step raises the determinant, and a start is done when it falls by less than `SETTLES` of it.
+Of the three ends the one of least determinant is taken.  Equal vectors
 count once, so that copies don't pass for a narrow distribution.  Documents beyond the `TAIL` quantile of the
 squared Mahalanobis distance are rejected.  All steps are aggregations over the vectors; a step's estimates are a small
 written table, one row for each group, so Spark knows its size and broadcasts it or not by its own threshold.
@@ -31,7 +33,7 @@ WHITE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 LEAST = 100
 ALPHA = 0.6
-STEPS = 3
+SETTLES = 1e-3
 SETTLED = 1000
 TAIL = 1e-9
 #: Standard deviations below which a group's spread is not believed, for each statistic.
@@ -111,12 +113,12 @@ def consistency(alpha: float) -> float:
     return alpha / chi5
 
 
-def inverse(c: dict[tuple[int, int], Column]) -> list[Column]:
-    """The inverse of a symmetric 3 by 3 matrix, in the order of PAIRS."""
+def inverse(c: dict[tuple[int, int], Column]) -> tuple[Column, list[Column]]:
+    """The determinant and the inverse of a symmetric 3 by 3 matrix, in the order of PAIRS."""
     m = lambda i, j: c[min(i, j), max(i, j)]
     minor = lambda i, j: m((j + 1) % 3, (i + 1) % 3) * m((j + 2) % 3, (i + 2) % 3) - m((j + 1) % 3, (i + 2) % 3) * m((j + 2) % 3, (i + 1) % 3)
     det = sum(m(0, j) * minor(j, 0) for j in range(3))
-    return [minor(i, j) / det for i, j in PAIRS]
+    return det, [minor(i, j) / det for i, j in PAIRS]
 
 
 def distance() -> Column:
@@ -163,21 +165,48 @@ def estimates(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
     centres = written(large.drop("size"), "centres")
     vectors = scaled(rows.distinct().join(centres, "g")).select("g", *us)
     vectors = written(vectors, "scaled")
-    spread = vectors.groupBy("g").agg(*(F.percentile_approx(F.abs(u), 0.5, accuracy).alias(f"s{k}") for k, u in enumerate(us, 1)))
-    first = {f"i{i}{j}": F.pow(F.greatest(F.col(f"s{i + 1}") * 1.4826, F.lit(FLOORS[i])), F.lit(-2.0)) if i == j else F.lit(0.0) for i, j in PAIRS}
-    state = written(spread.select("g", *(F.lit(0.0).alias(f"m{k}") for k in (1, 2, 3)), *(c.alias(n) for n, c in first.items())), "estimate")
-    for _ in range(STEPS):
-        far = vectors.join(state, "g").select("g", *us, distance().alias("d"))
-        bound = written(far.groupBy("g").agg(F.percentile_approx("d", ALPHA, accuracy).alias("bound")), "bound")
-        near = far.join(bound, "g").filter("d <= bound")
-        spread = near.groupBy("g").agg(
-            *(F.avg(u).alias(f"m{k}") for k, u in enumerate(us, 1)),
-            *(F.covar_pop(us[i], us[j]).alias(f"v{i}{j}") for i, j in PAIRS),
-        )
-        c = {(i, j): F.greatest(F.col(f"v{i}{j}") * consistency(ALPHA), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"v{i}{j}") * consistency(ALPHA) for i, j in PAIRS}
-        inverted = [x.alias(f"i{i}{j}") for x, (i, j) in zip(inverse(c), PAIRS, strict=True)]
-        state = written(spread.select("g", "m1", "m2", "m3", *inverted), "estimate")
-    return written(centres.join(state, "g"), "estimates")
+    ids = [f"i{i}{j}" for i, j in PAIRS]
+    state = written(starts(vectors, us, accuracy), "estimate")
+    done = None
+    while True:
+        far = vectors.join(state, "g").select("g", "start", "before", *us, distance().alias("d"))
+        bound = written(far.groupBy("g", "start").agg(F.percentile_approx("d", ALPHA, accuracy).alias("bound")), "bound")
+        near = far.join(bound, ["g", "start"]).filter("d <= bound")
+        state = written(shape(near.groupBy("g", "start", "before"), us, consistency(ALPHA)).withColumn("settled", F.coalesce(F.col("det") >= F.col("before") * (1 - SETTLES), F.lit(False))), "estimate")
+        ends = state.filter("settled")
+        done = ends if done is None else done.unionByName(ends)
+        state = state.filter(~F.col("settled")).drop("before").withColumnRenamed("det", "before").drop("settled")
+        if state.isEmpty():
+            break
+    best = done.groupBy("g").agg(F.min_by(F.struct("m1", "m2", "m3", *ids), F.struct("det", "start")).alias("b")).select("g", "b.*")
+    return written(centres.join(best, "g"), "estimates")
+
+
+def shape(groups, us: tuple[str, ...], factor: float) -> DataFrame:
+    """Keys of `groups`, mean m1..m3, det and inverse i00..i22 of the covariance times `factor`, with no variance below its floor."""
+    spread = groups.agg(*(F.avg(u).alias(f"m{k}") for k, u in enumerate(us, 1)), *(F.covar_pop(us[i], us[j]).alias(f"v{i}{j}") for i, j in PAIRS))
+    keys = [c for c in spread.columns if not (c[0] in "mv" and c[1:].isdigit())]
+    return spread.select(*keys, "m1", "m2", "m3", *inverted({(i, j): F.col(f"v{i}{j}") * factor for i, j in PAIRS}))
+
+
+def inverted(c: dict[tuple[int, int], Column]) -> list[Column]:
+    det, inv = inverse({(i, j): F.greatest(v, F.lit(FLOORS[i] ** 2)) if i == j else v for (i, j), v in c.items()})
+    return [det.alias("det"), *(x.alias(f"i{i}{j}") for x, (i, j) in zip(inv, PAIRS, strict=True))]
+
+
+def starts(vectors: DataFrame, us: tuple[str, ...], accuracy: int) -> DataFrame:
+    """Three estimates for each g: g, start, before (the determinant before, none yet), m1..m3 and i00..i22."""
+    spread = written(vectors.groupBy("g").agg(*(F.greatest(F.percentile_approx(F.abs(u), 0.5, accuracy) * 1.4826, F.lit(FLOORS[k])).alias(f"s{k}") for k, u in enumerate(us))), "spread")
+    zero = [F.lit(0.0).alias(f"m{k}") for k in (1, 2, 3)]
+    deviations = spread.select("g", *zero, *inverted({(i, j): F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i, j in PAIRS}))
+    classical = shape(vectors.groupBy("g"), us, 1.0)
+    w = [F.col(u) / F.col(f"s{k}") for k, u in enumerate(us)]
+    size = sum((x * x for x in w), F.lit(0.0))
+    directions = vectors.join(spread, "g").withColumns({f"w{k}": F.when(size > 0, x / F.sqrt(size)).otherwise(0.0) for k, x in enumerate(w)})
+    signs = directions.groupBy("g", "s0", "s1", "s2").agg(*(F.avg(F.col(f"w{i}") * F.col(f"w{j}")).alias(f"v{i}{j}") for i, j in PAIRS))
+    signs = signs.select("g", *zero, *inverted({(i, j): 3 * F.col(f"v{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}") for i, j in PAIRS}))
+    each = [x.select("g", F.lit(k).alias("start"), F.lit(None).cast("double").alias("before"), "m1", "m2", "m3", *(f"i{i}{j}" for i, j in PAIRS)) for k, x in enumerate((deviations, classical, signs))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
