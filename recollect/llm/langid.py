@@ -4,9 +4,9 @@ A word that was seen in training is scored by the logarithm of its frequency in
 character n-grams instead: by those of length five that are known, or if there is none by those of length four, and so
 on down to single characters.  Scores are made relative to the other languages before they are added up.
 
-The model is fitted on a bounded sample: about `SAMPLE` labelled documents of each language (drawn by a hash of
-``doc_id``), whole texts, and of these the `KEEP` most frequent words and n-grams of each length and language, for
-at most `LANGUAGES` languages (the most frequent ones).  This bounds what is sent to the tasks.
+The model is fitted on a bounded sample of labelled rows: about `SAMPLE` documents of each language (drawn by a hash of ``doc_id``), or
+fewer if there are more than `TOTAL` / `SAMPLE` languages.  Of these it keeps every language, every word and every n-gram, each with
+the languages that it was seen in; so what is sent to the tasks is bounded by the sample.
 
 Results for odd input: null and empty texts and texts without a letter are ``und`` with score 0; without a labelled row
 everything is ``und``; a null ``doc_id`` is not held out and not learned from; rows with a null ``lang`` are not learned from;
@@ -22,13 +22,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
 from .segments import LETTER, Pieces, PieceTable, classes, lower_nfc, portions, slices
 
-SAMPLE, KEEP, LANGUAGES = 2000, 8000, 100
+#: Labelled documents that a language is learned from, and those of all languages.
+SAMPLE, TOTAL = 2000, 200_000
 LONGEST = 5
 #: What an unseen word or n-gram counts as.
 SMOOTH = 0.5
@@ -36,7 +37,8 @@ UNDETERMINED = "und"
 
 
 def letters(piece: str) -> bool:
-    return classes(0x110000 if ord(piece[0]) > 0x3000 else 0x3001)[ord(piece[0])] == LETTER
+    """Whether there is a letter in it (``'s`` has one)."""
+    return any(classes(0x110000 if ord(c) > 0x3000 else 0x3001)[ord(c)] == LETTER for c in piece)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -47,10 +49,13 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Grams:
-    """Known grams, and in the rows of one matrix what is known of them; far smaller than an array for each gram."""
+    """Known grams; for each, the languages it was seen in and the logarithm of its frequency there.  `rest` is that of a gram not seen."""
 
     known: list[str]
-    values: np.ndarray
+    offsets: np.ndarray
+    languages: np.ndarray
+    logs: np.ndarray
+    rest: np.ndarray
 
     @cached_property
     def rows(self) -> dict[str, int]:
@@ -58,7 +63,13 @@ class Grams:
         return dict(zip(self.known, range(len(self.known)), strict=True))
 
     def get(self, gram: str) -> np.ndarray | None:
-        return None if (row := self.rows.get(gram)) is None else self.values[row]
+        """For each language the logarithm of its share in the gram."""
+        if (row := self.rows.get(gram)) is None:
+            return None
+        logs, at = self.rest.copy(), slice(self.offsets[row], self.offsets[row + 1])
+        logs[self.languages[at]] = self.logs[at]
+        logs -= logs.max()
+        return logs - np.log(np.exp(logs).sum())
 
 
 @dataclass
@@ -93,14 +104,15 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
         return Model([], [{} for _ in range(LONGEST + 1)])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    drawn = labelled.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+    each = min(sample, total / len(sizes))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000_000)) / 1_000_000_000
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", "text")  # one row for each language
 
     def count(batches):
         counts: dict[str, list[Counter]] = {}
@@ -136,27 +148,29 @@ def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP, languages: int
 
     each = drawn.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     counted = written(each, "gram-counts")
-    totals = {(r["lang"], r["kind"]): (r["total"], r["distinct"]) for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).collect()}
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")  # over the grams of the sample
-    best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("kind", "gram").distinct()
     names = sorted(r["lang"] for r in sizes)
-    wide = counted.join(best, ["kind", "gram"], "left_semi").groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    rows = wide.select("kind", "gram", F.array(*(F.coalesce(F.element_at("n", F.lit(x)), F.lit(0)) for x in names)).alias("n")).toArrow()
-    kinds, spelled = rows.column("kind").to_numpy(), rows.column("gram").to_pylist()
-    n = rows.column("n").combine_chunks().flatten().to_numpy().reshape(-1, len(names)).astype(float) if len(spelled) else np.zeros((0, len(names)))
+    totals = {(r["lang"], r["kind"]): (r["total"], r["distinct"]) for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).collect()}
+    rows = counted.toArrow()  # of the sample
+    number = {x: k for k, x in enumerate(names)}
+    kinds, langs = rows.column("kind").to_numpy(), np.array([number[x] for x in rows.column("lang").to_pylist()], np.int32)
+    n, spelled = rows.column("n").to_numpy().astype(float), rows.column("gram").combine_chunks()
     scores = []
     for kind in range(LONGEST + 1):
         mine = np.flatnonzero(kinds == kind)
+        coded = spelled.take(pa.array(mine)).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.lexsort((langs[mine], codes))
         size = np.array([totals.get((x, kind), (0, 0)) for x in names], float)
-        logs = np.log(n[mine] + SMOOTH) - np.log(size[:, 0] + SMOOTH * (size[:, 1] + 1))
-        logs -= np.log(np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + logs.max(axis=1, keepdims=True)
-        scores.append(Grams([spelled[k] for k in mine], logs.astype(np.float32)))
+        below = np.log(size[:, 0] + SMOOTH * (size[:, 1] + 1))
+        logs = np.log(n[mine] + SMOOTH) - below[langs[mine]]
+        offsets = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        scores.append(Grams(coded.dictionary.to_pylist(), offsets, langs[mine][order], logs[order].astype(np.float32), (np.log(SMOOTH) - below).astype(np.float32)))
     return Model(names, scores)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns `keep` of `docs` with lang_pred and score (a softmax of the summed scores, tempered by the number of words)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most KEEP grams for each language and kind
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # what the sample holds
     place = keep.index("text") if "text" in keep else len(keep)
     rest = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
