@@ -4,10 +4,11 @@ Each task packs the documents of its own partition.  A document of `window` ids
 sequences first; what is left of it is one item.  With N(h) the number of open sequences that are filled
 to level h, an item of size s goes to the level (or a new sequence) for which the sum of N(h)^2 over all
 levels is least afterwards; a full sequence is closed.  The numbers N(h) are the level array, and they
-alone decide.  When a partition ends, or when `most_open` sequences are open (the bound of a task's
-memory), the open sequences are emptied into whole ones, cutting pieces where one ends; what is
+alone decide.  When a partition ends, the fullest open sequences are filled up with what the emptiest ones hold, cutting a piece
+where the sequence is full; so what the rule placed stays where it is but for the emptiest.  What is
 left at the end of the partition goes into sequences whose lengths are powers of two, which need no
-padding.  So every id is in exactly one piece, and none is lost.
+padding.  The same is done to halve the open sequences when there are `most_open` (the bound of a task's memory).  So every id
+is in exactly one piece, and none is lost.
 
 Results for odd input: a null text is an empty one, whose only id is the end id; equal rows are packed like
 any others; an empty table gives no rows; other columns are not looked at.
@@ -38,6 +39,7 @@ class SumOfSquares:
         self.levels = np.zeros(window, np.int64)  # N(h); N(0) stays 0
         self.open: list[list[list]] = [[] for _ in range(window)]  # by level: the sequences, each a list of pieces
         self.placed: list[tuple] = []
+        self.moved = 0  # ids that filling up has put elsewhere
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -79,26 +81,34 @@ class SumOfSquares:
                 self.settle(last=False)
 
     def settle(self, last: bool = True) -> None:
-        """Empties the open sequences into whole ones; a remainder stays open, or is cut at powers of two if this is the `last` call."""
-        row, size = [], 0
-        for h in range(self.window - 1, 0, -1):
-            for sequence in self.open[h]:
-                for owner, ids, start in sequence:
-                    while len(ids):
-                        part = ids[: self.window - size]
-                        row.append((owner, part, start))
-                        size, start, ids = size + len(part), start + len(part), ids[len(part) :]
-                        if size == self.window:
-                            self._close(row)
-                            row, size = [], 0
-            self.open[h] = []
+        """Fills up the fullest open sequences from the emptiest, until half as many are open; or, if this is the `last` call, until
+        one is, which is cut at powers of two."""
+        sequences = [(h, x) for h in range(self.window - 1, 0, -1) for x in self.open[h]]
+        self.open = [[] for _ in range(self.window)]
         self.levels[:] = 0
-        if not row:
-            return
+        full, empty, fewest = 0, len(sequences) - 1, 1 if last else self.most_open // 2
+        while full < empty and empty - full + 1 > fewest:
+            level, pieces = sequences[full]
+            left, from_ = sequences[empty]
+            owner, ids, start = from_.pop(0)
+            taken = ids[: self.window - level]
+            self.moved += len(taken)
+            pieces.append((owner, taken, start))
+            if len(taken) < len(ids):
+                from_.insert(0, (owner, ids[len(taken) :], start + len(taken)))
+            sequences[full], sequences[empty] = (level + len(taken), pieces), (left - len(taken), from_)
+            if level + len(taken) == self.window:
+                self._close(pieces)
+                full += 1
+            if not from_:
+                empty -= 1
+        rest = sequences[full : empty + 1]
         if not last:
-            self.open[size].append(row)
-            self.levels[size] = 1
+            for level, pieces in rest:
+                self.open[level].append(pieces)
+                self.levels[level] += 1
             return
+        row = rest[0][1] if rest else []
         while row:
             left = 1 << (sum(len(x[1]) for x in row).bit_length() - 1)
             taken = []
