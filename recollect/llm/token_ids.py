@@ -201,11 +201,18 @@ def read_records(data: bytes, portion: int = 400_000) -> Iterator[tuple[int | No
 # -- Spark ---------------------------------------------------------------------------------------
 
 
+#: Bytes that a file may come to: it is read back as one value.
+FILE = 1 << 28
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, per_file: int = 4096) -> None:
     """Encodes ``text`` and writes the ids, with `end_id` behind each document, to `path`.
 
-    The rows are dealt to tasks by ranges of ``doc_id`` before they are encoded, so each text moves once.
+    The rows are dealt to tasks by ranges of ``doc_id`` before they are encoded, so each text moves once.  A file has `per_file` documents,
+    or fewer where so many of the longest one would come to more than `FILE` bytes.
     """
+    longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    per_file = max(1, min(per_file, FILE // (8 * longest + 64)))  # a byte of text is one id at most, and that at most a word of 64 bits
 
     def encode(batches):
         table = library_table(tokenizer, "byte")
@@ -287,7 +294,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = written(_files(spark, path).mapInArrow(decode, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-index")
     # One row for each file: a window over them all is small.
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    before = sizes.select("file", (F.sum("size").over(Window.orderBy("file")) - F.col("size")).alias("before"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")  # noqa: E731  file names are not in order beyond so many digits
+    order = Window.orderBy(number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)\.[^/]*$"))
+    before = sizes.select("file", (F.sum("size").over(order) - F.col("size")).alias("before"))
     return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -156,3 +156,28 @@ def test_sum_of_squares_places_by_the_least_sum():
         packer.add(k, np.arange(size, dtype=np.uint32))
     packer.settle()
     assert not packer.levels.any()
+
+
+@pytest.mark.parametrize("most_open", [8, 4096])
+def test_filling_up_moves_little_and_loses_nothing(most_open):
+    rng = np.random.default_rng(7)
+    packer = packing.SumOfSquares(window=64, most_open=most_open)
+    sizes = rng.integers(1, 150, 2000)
+    for k, n in enumerate(sizes):
+        packer.add(k, np.arange(n, dtype=np.uint32))
+        assert packer.levels.sum() < most_open
+    packer.settle()
+    per, sequences = defaultdict(list), Counter()
+    for owner, ids, start, sequence, offset in packer.placed:
+        assert offset == sequences[sequence] and ids.tolist() == list(range(start, start + len(ids)))
+        per[owner].append((start, len(ids)))
+        sequences[sequence] += len(ids)
+    for k, n in enumerate(sizes):
+        at = 0
+        for start, size in sorted(per[k]):
+            assert start == at
+            at += size
+        assert at == n
+    assert sum(n != 64 for n in sequences.values()) <= 6 and all(n & (n - 1) == 0 for n in sequences.values())
+    if most_open > 1000:
+        assert packer.moved < 0.05 * sizes.sum()
