@@ -92,18 +92,26 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: For each byte a word of eight counts, the k-th of which is its bit k.
+_LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(k) & np.uint64(1)) << np.uint64(8 * k) for k in range(8)), np.zeros(256, np.uint64))
+
+
 def majority(hashes: list[np.ndarray], count: int = 1, portion: int = 300_000) -> np.ndarray:
     """`count` fingerprints for each array of hashes, as int64: a bit is 1 if it is in more than half of them."""
     ones = np.zeros((len(hashes), count, BITS), np.int64)
     held: list[tuple[int, np.ndarray]] = []
 
     def add():
-        starts = np.cumsum([0, *(len(x) for _, x in held[:-1])])
+        # Eight counts of a byte's bits go into one word, which holds at most 255 hashes; so texts are summed in pieces.
+        sizes = [len(x) for _, x in held]
         joined = np.concatenate([x for _, x in held])
-        owners = np.array([k for k, _ in held])
+        owners = np.repeat([k for k, _ in held], [-(-n // 255) for n in sizes])
+        starts = np.concatenate([np.arange(at, at + n, 255) for at, n in zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True)])
+        first = np.flatnonzero(np.diff(owners, prepend=-1))
         for j in range(count):
-            bits = np.unpackbits(mixed(joined, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            np.add.at(ones, (owners, j), np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+            words = _LANES[mixed(joined, j).astype("<u8").view(np.uint8).reshape(-1, 8)]
+            pieces = np.add.reduceat(words, starts, axis=0).astype("<u8").view(np.uint8).reshape(len(starts), BITS)
+            np.add.at(ones, (owners[first], j), np.add.reduceat(pieces, first, axis=0, dtype=np.int64))
         held.clear()
 
     size = 0
@@ -315,8 +323,9 @@ def families(nodes: DataFrame, prints: tuple[str, ...] = ("fp",), radius: int =
     for numbers in (range(ahead), range(ahead, len(found))):
         named = nodes.withColumn("name", F.col("a")) if roots is None else nodes.join(roots, "a", "left").withColumn("name", F.coalesce("root", "a"))
         each = named.select("name", F.posexplode(F.array(*prints)).alias("print", "held"))
-        keys = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), F.col("held").bitwiseAND(F.lit(found[t])).alias("key")) for t in numbers)))
-        buckets = each.select("print", "held", "name", keys.alias("k")).select(F.xxhash64("print", "k.table", "k.key").alias("bucket"), "name", "held")
+        tables = F.posexplode(F.array(*(F.lit(found[t]) for t in numbers)))
+        key = F.xxhash64("print", F.col("table") + numbers.start, F.col("held").bitwiseAND(F.col("mask")))
+        buckets = each.select("print", "held", "name", tables.alias("table", "mask")).select(key.alias("bucket"), "name", "held")
         pairs = written(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, fp long"), "links")
         ties.append(pairs.filter("fp IS NULL").select("a", "b"))
         # Buckets beyond a tile, unless all of their nodes bear one name already.
