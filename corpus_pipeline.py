@@ -25,9 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or whose language is unsure, go."""
+    """Documents without a language, or whose language is unsure, go.  Without a labelled row there is nothing to judge by: all with a letter stay."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rest = [c for c in docs.columns if c != "text"]
-    found = langid.predict(docs.select(F.struct(*rest).alias("_row"), "text"), langid.fit(docs), ("_row", "text"))
+    found = langid.predict(docs.select(F.struct(*rest).alias("_row"), "text"), model, ("_row", "text"))
     kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE))
     return kept.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
