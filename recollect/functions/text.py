@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 def bigrams(text: Column) -> Column:
     """Distinct two-character windows without white space; a shorter text is its own gram."""
     s = F.regexp_replace(F.lower(text), r"\s+", "")
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))
-    return F.when(F.length(s) >= 2, many).when(F.length(s) == 1, F.array(s)).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    n = F.length(s)
+    many = F.array_distinct(F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: F.concat(a, b)))
+    return F.when(n >= 2, many).when(n == 1, F.array(s)).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -33,10 +35,15 @@ def card(text: Column) -> Column:
 STOP = ("the", "and", "for", "that", "this", "with", "was", "are", "what", "when", "where", "who", "how", "did", "does", "you", "your", "our", "his", "her", "its", "from", "have", "has", "had", "not", "but", "she", "him", "they", "them")
 
 
-def keywords(text: Column, k: int = 6) -> Column:
-    """Up to k distinct Latin words of three letters and more that are no stop words, in the order they come."""
+def all_keywords(text: Column) -> Column:
+    """The distinct Latin words of three letters and more that are no stop words, in the order they come."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]{2,}"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP))), 1, k)
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP)))
+
+
+def keywords(text: Column, k: int = 6) -> Column:
+    """Up to k of them, to ask with."""
+    return F.slice(all_keywords(text), 1, k)
 
 
 def numbers(text: Column) -> Column:

@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,28 +25,74 @@ _OWN: dict[str, str] = {}
 def _own(spark: SparkSession) -> str:
     import tempfile
 
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="recollect-"))
 
 
-def jaccard_pairs(rows: DataFrame, threshold: float, *within: str) -> DataFrame:
-    """(a, b, jaccard) for all pairs of one group with at least this similarity; rows: id, grams (distinct) and `within`.
+def gram_classes(rows: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): rows of equal grams (and equal `by`) are one class, named by its least id.
+
+    rows: id, grams (distinct), `by`.  classes: id, `by`, grams (sorted), size, n; members: id, class.
+    """
+    keyed = saved(rows.filter(F.size("grams") > 0).select("id", *by, F.array_sort("grams").alias("grams")))
+    classes = saved(keyed.groupBy(*by, "grams").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("size", F.size("grams")))
+    members = keyed.select("id", *by, "grams").join(classes.select(F.col("id").alias("class"), *by, "grams"), [*by, "grams"]).select("id", "class")
+    return classes, members
+
+
+def _ranked(classes: DataFrame, *within: str) -> DataFrame:
+    """id, size, `within` and the grams as ``order``, numbers that ascend from rare grams to frequent ones."""
+    held = classes.select("id", *within, "size", F.explode("grams").alias("g"))
+    df = held.groupBy(*within, "g").agg(F.count("*").alias("df"))
+    return held.join(df, [*within, "g"]).groupBy("id", *within, "size").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("g").alias("g")))).alias("order"))
+
+
+def _met(ranked: DataFrame, prefix: Column, possible: Column, *within: str) -> DataFrame:
+    """(a, b), a < b, each once: classes that share one of the first `prefix` grams of their order and where `possible` holds.
+
+    `possible` sees size_a, size_b and, for a shared gram, how many more grams the two orders have after it at most (rest).
+    """
+    keys = ranked.select("id", *within, "size", F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "p")).select("id", *within, "size", "at", F.col("p.g").alias("g"))
+    keys = saved(keys)
+    side = lambda x: keys.select(F.col("id").alias(x), *within, "g", F.col("size").alias(f"size_{x}"), F.col("at").alias(f"at_{x}"))
+    met = side("a").join(side("b"), [*within, "g"]).filter("a < b")
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return met.withColumn("rest", rest).filter(possible).select("a", "b").distinct()
+
+
+def _shared(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """a, b, size_a, size_b and shared, the number of common grams."""
+    grams = ranked.select("id", "size", F.transform("order", lambda x: x["g"]).alias("g"))
+    side = lambda x: grams.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("g").alias(f"g_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
+
+
+def jaccard_pairs(classes: DataFrame, threshold: float, *within: str) -> DataFrame:
+    """(a, b, jaccard) for all pairs of classes of one group with at least this similarity, a < b; classes as in `gram_classes`.
 
     Prefix filtering: grams are ordered from rare to frequent; two sets of that similarity share a gram among the
-    first n - ceil(t n) + 1 of each, so only those are joined, and the candidates are then verified.
+    first n - ceil(t n) + 1 of each.  Only ids, sizes and places meet there; the sets are looked up once for each pair that is left.
+    """
+    ranked = saved(_ranked(classes, *within))
+    n, t = F.col("size"), F.lit(threshold)
+    prefix = (n - F.ceil(t * n - 1e-9) + 1).cast("int")
+    fits = (F.least("size_a", "size_b") >= t * F.greatest("size_a", "size_b") - 1e-9) & (F.col("rest") >= t / (1 + t) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    # What comes before the gram in both orders may be shared as well, but then an earlier gram has found the pair.
+    both = _shared(_met(ranked, prefix, fits, *within), ranked)
+    jaccard = F.round(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 6)
+    return both.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+
+def overlap_pairs(classes: DataFrame, shared: int, *within: str) -> DataFrame:
+    """(a, b, shared) for all pairs of classes of one group with at least so many common grams, a < b.
+
+    Two such sets share a gram among all but the `shared` - 1 most frequent ones of each.
     """
-    at = list(within)
-    held = rows.select("id", *at, "grams", F.explode("grams").alias("g"))
-    df = held.groupBy(*at, "g").agg(F.count("*").alias("df"))
-    ranked = held.select("id", *at, "g").join(df, [*at, "g"]).groupBy("id", *at).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("order"))
-    n = F.size("order")
-    prefix = F.slice("order", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    keyed = saved(ranked.join(rows, ["id", *at]).select("id", *at, "grams", F.explode(prefix).alias("p")).select("id", *at, "grams", F.col("p.g").alias("g")))
-    a, b = keyed.select(F.col("id").alias("a"), *at, "g", F.col("grams").alias("ga")), keyed.select(F.col("id").alias("b"), *at, "g", F.col("grams").alias("gb"))
-    sizes = F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb")) - 1e-9
-    both = F.size(F.array_intersect("ga", "gb"))
-    similar = both / (F.size("ga") + F.size("gb") - both)
-    met = a.join(b, [*at, "g"]).filter((F.col("a") < F.col("b")) & sizes)
-    return met.withColumn("jaccard", F.round(similar, 6)).filter(F.col("jaccard") >= threshold).select("a", "b", *at, "jaccard").distinct()
+    ranked = saved(_ranked(classes.filter(F.col("size") >= shared), *within))
+    prefix = (F.col("size") - shared + 1).cast("int")
+    return _shared(_met(ranked, prefix, F.col("rest") >= shared, *within), ranked).filter(F.col("shared") >= shared).select("a", "b", "shared")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

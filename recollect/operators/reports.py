@@ -60,10 +60,10 @@ def handoff(turns: DataFrame, last: int, clip: int) -> DataFrame:
 
 
 def corrections(turns: DataFrame, cue: str) -> DataFrame:
-    """(id, path, corrected_id): a turn of another speaker right after the one it corrects, with a cue in its first 60 characters."""
+    """(id, path, corrected_id): a turn of another speaker right after the one it corrects, with a cue in it."""
     w = Window.partitionBy("path").orderBy("occurred_at", "id")
     said = turns.withColumns({"corrected_id": F.lag("id").over(w), "by": F.lag("actor").over(w)})
-    return said.filter((F.col("by") != F.col("actor")) & F.substring("content", 1, 60).rlike(cue)).select("id", "path", "corrected_id")
+    return said.filter((F.col("by") != F.col("actor")) & F.col("content").rlike(cue)).select("id", "path", "corrected_id")
 
 
 def quoted(notes: DataFrame, turns: DataFrame, hours: int = 24) -> DataFrame:

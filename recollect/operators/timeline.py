@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG, Config
+from recollect.operators import graphs
 
 
 def context_window(evidence: DataFrame, before: int = 8, after: int = 8) -> DataFrame:
@@ -53,23 +54,37 @@ def due_sessions(pending: DataFrame, now: Column, config: Config = CONFIG) -> Da
     return each.withColumn("state", state)
 
 
-def later_siblings(facts: DataFrame, grams: str = "grams", shared: int = 3, hours: int = 12, keep: int = 5) -> DataFrame:
-    """(fact_id, later_id, shared, place): later facts on the same subject that share at least so many grams."""
-    g = facts.select("fact_id", "subject", "valid_from", F.explode(grams).alias("g"))
-    a, b = g.alias("a"), g.alias("b")
-    met = a.join(b, (F.col("a.subject") == F.col("b.subject")) & (F.col("a.g") == F.col("b.g")) & (F.col("b.valid_from") > F.col("a.valid_from") + F.expr(f"INTERVAL {hours} HOURS")))
-    n = met.groupBy(F.col("a.fact_id").alias("fact_id"), F.col("b.fact_id").alias("later_id"), F.col("b.valid_from").alias("at")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= shared)
+def later_siblings(facts: DataFrame, shared: int = 3, hours: int = 12, keep: int = 5) -> DataFrame:
+    """(fact_id, later_id, shared, place): later facts on the same subject that share at least so many words; facts: fact_id, subject, valid_from, words.
+
+    Sets of words meet, each once.  Of the facts with one set only the newest `keep` can be among the best of any fact.
+    """
+    rows = facts.select(F.col("fact_id").alias("id"), "subject", F.col("words").alias("grams"))
+    classes, members = graphs.gram_classes(rows, "subject")
+    pairs = graphs.overlap_pairs(classes, shared, "subject")
+    same = classes.filter(F.col("size") >= shared).select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("size").alias("shared"))
+    ways = pairs.union(pairs.select("b", "a", "shared")).union(same)
+    dated = graphs.saved(members.withColumnRenamed("id", "fact_id").join(facts.select("fact_id", "valid_from"), "fact_id"))
+    newest = Window.partitionBy("class").orderBy(F.desc("valid_from"), "fact_id")
+    later = dated.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= keep)
+    later = later.select(F.col("class").alias("b"), F.col("fact_id").alias("later_id"), F.col("valid_from").alias("at"))
+    met = dated.select("fact_id", "valid_from", F.col("class").alias("a")).join(ways, "a").join(later, "b").filter(F.col("at") > F.col("valid_from") + F.expr(f"INTERVAL {hours} HOURS"))
     w = Window.partitionBy("fact_id").orderBy(F.desc("shared"), F.desc("at"), "later_id")
-    return n.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("fact_id", "later_id", "shared", "place")
-
-
-def timeline_candidates(facts: DataFrame, words: str = "words", per_term: int = 4, keep: int = 6) -> DataFrame:
-    """(fact_id, earlier_id, place): facts of the subject from an earlier day that share a keyword, newest first."""
-    g = facts.select("fact_id", "subject", F.to_date("valid_from").alias("day"), F.explode(words).alias("g"))
-    a, b = g.alias("a"), g.alias("b")
-    met = a.join(b, (F.col("a.subject") == F.col("b.subject")) & (F.col("a.g") == F.col("b.g")) & (F.col("b.day") < F.col("a.day")))
-    rows = met.select(F.col("a.fact_id").alias("fact_id"), F.col("b.fact_id").alias("earlier_id"), F.col("a.g").alias("g"), F.col("b.day").alias("day"))
-    each = Window.partitionBy("fact_id", "g").orderBy(F.desc("day"), F.desc("earlier_id"))
-    capped = rows.withColumn("n", F.row_number().over(each)).filter(F.col("n") <= per_term).select("fact_id", "earlier_id", "day").distinct()
+    return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("fact_id", "later_id", F.col("shared").cast("long").alias("shared"), "place")
+
+
+def timeline_candidates(facts: DataFrame, per_term: int = 4, keep: int = 6) -> DataFrame:
+    """(fact_id, earlier_id, place): facts of the subject from an earlier day that share a keyword, newest first; facts: fact_id, subject, valid_from, words.
+
+    For each subject, word and day the newest facts of the days before are gathered by a window over days, so facts never meet facts.
+    """
+    at = ["subject", "g"]
+    g = graphs.saved(facts.select("fact_id", "subject", F.to_date("valid_from").alias("day"), F.explode("words").alias("g")))
+    of_day = Window.partitionBy(*at, "day").orderBy(F.desc("fact_id"))
+    some = g.withColumn("n", F.row_number().over(of_day)).filter(F.col("n") <= per_term)
+    days = some.groupBy(*at, "day").agg(F.sort_array(F.collect_list(F.struct("day", "fact_id")), asc=False).alias("own"))  # at most per_term
+    before = F.collect_list("own").over(Window.partitionBy(*at).orderBy("day").rowsBetween(-per_term, -1))
+    days = days.withColumn("earlier", F.slice(F.sort_array(F.flatten(before), asc=False), 1, per_term)).filter(F.size("earlier") > 0).drop("own")
+    found = g.join(days, [*at, "day"]).select("fact_id", F.explode("earlier").alias("e")).select("fact_id", F.col("e.fact_id").alias("earlier_id"), F.col("e.day").alias("day")).distinct()
     w = Window.partitionBy("fact_id").orderBy(F.desc("day"), F.desc("earlier_id"))
-    return capped.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("fact_id", "earlier_id", "place")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("fact_id", "earlier_id", "place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.config import CONFIG
 from recollect.functions import text
 from recollect.operators import entities, gates, graphs, recall, reports, supersession
-from recollect.plans.queries import _GRAMS, ACTIVE, WORDS, _values, active, query, terms
+from recollect.plans.queries import _GRAMS, _JACCARD, _SETS, ACTIVE, WORDS, _said, _values, active, query, terms
 from recollect.sources import bindings as B
 
 POOL = 40
@@ -159,10 +159,10 @@ def snippets(spark, d):
 _G = f"goals AS (SELECT g, weight FROM ({_values([(i, t, w) for i, (t, w) in enumerate(GOALS)])}) v(i, t, weight), LATERAL (SELECT regexp_replace(lower(t), '\\s+', '', 'g') AS s), LATERAL (SELECT {_GRAMS} AS g))"
 
 
-@query("goal_relevance", B.with_tables("live", then=f"""WITH {_grams("fg", "live", "fact_id", "substr(content, 1, 40)")}, {_G},
+@query("goal_relevance", B.with_tables("live", then=f"""WITH {_grams("fg", "live", "fact_id", "content")}, {_G},
     m AS (SELECT fact_id, f.g AS fgr, len(list_intersect(f.g, goals.g)) AS n, weight FROM fg f, goals) SELECT fact_id, round(max(CASE WHEN n >= 2 THEN n::DOUBLE / len(fgr) * weight ELSE 0.0::DOUBLE END), 6) AS relevance FROM m GROUP BY fact_id"""))
 def goal_relevance(spark, d):
-    rows = recall.live(B.facts(spark, d)).select("fact_id", text.bigrams(F.substring("content", 1, 40)).alias("grams"))
+    rows = recall.live(B.facts(spark, d)).select("fact_id", text.bigrams(F.col("content")).alias("grams"))
     goals = spark.createDataFrame(GOALS, "text string, weight double").select(text.bigrams(F.col("text")).alias("grams"), "weight")
     return reports.relevance_to_goals(rows, goals)
 
@@ -193,25 +193,35 @@ def lexical_probe(spark, d):
     return reports.probe(met.select("query_id", "fact_id", "term", "df", "hit"), sims)
 
 
-@query("card_discovery", B.with_tables("live", then=f"""WITH {ACTIVE}, t(query_id, term_rank, term) AS {_values(WORDS)}, c AS (SELECT fact_id, act, layer, lower(substr(content, 1, 80)) AS card FROM act),
+_BODY = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
+_MADE = f"CASE WHEN length(regexp_extract({_BODY}, '^[^.!?]*[.!?]?')) BETWEEN 8 AND 40 THEN regexp_extract({_BODY}, '^[^.!?]*[.!?]?') WHEN length({_BODY}) <= 40 THEN {_BODY} ELSE substr({_BODY}, 1, 40) || '…' END"
+
+
+@query("card_discovery", B.with_tables("live", then=f"""WITH {ACTIVE}, t(query_id, term_rank, term) AS {_values(WORDS)}, c AS (SELECT fact_id, act, layer, lower({_MADE}) AS card FROM act),
     h AS (SELECT query_id, fact_id, count(*) AS n, any_value(act) AS act, any_value(layer) AS layer FROM c JOIN t ON contains(card, term) GROUP BY ALL), o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, act DESC, fact_id) <= 24),
     s AS (SELECT query_id, fact_id, round(n * act * CASE WHEN layer = 'cold' THEN {CONFIG.echo_factor}::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM o) SELECT query_id, fact_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8"""))
 def card_discovery(spark, d):
-    cards = active(spark, d).select("fact_id", "act", F.lower(F.substring("content", 1, 80)).alias("card"), (F.col("layer") == "cold").alias("echo"))
+    cards = active(spark, d).select("fact_id", "act", F.lower(text.card(F.col("content"))).alias("card"), (F.col("layer") == "cold").alias("echo"))
     return recall.discover(cards, terms(spark, WORDS), 8)
 
 
 # -- notes, hand-off, reports --------------------------------------------------------------------------
 
 
-@query("note_duplicates", B.with_tables("facts", then=f"""WITH {_grams("cg", "facts", "fact_id, subject, valid_from", "substr(content, 1, 40)")}
-    SELECT a.fact_id AS a, b.fact_id AS b, a.subject, round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS jaccard FROM cg a JOIN cg b ON a.subject = b.subject AND a.fact_id < b.fact_id AND abs(date_diff('day', a.valid_from, b.valid_from)) <= 14
-    WHERE len(a.g) > 0 AND len(b.g) > 0 AND round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= {CONFIG.near_duplicate}"""))
+@query("note_duplicates", B.with_tables("statements", then=f"""WITH {_SETS}, k AS (SELECT min(id) AS id, subject, CAST(valid_from AS DATE) AS day, g FROM g WHERE len(g) > 0 GROUP BY ALL)
+    SELECT a.id AS a, b.id AS b, a.subject, {_JACCARD} AS jaccard FROM k a JOIN k b ON a.subject = b.subject AND a.id < b.id AND abs(date_diff('day', a.day, b.day)) <= 14
+    AND least(len(a.g), len(b.g)) >= {CONFIG.near_duplicate}::DOUBLE * greatest(len(a.g), len(b.g)) - 1e-9 WHERE {_JACCARD} >= {CONFIG.near_duplicate}"""))
 def note_duplicates(spark, d):
-    facts = B.facts(spark, d)
-    cards = facts.select(F.col("fact_id").alias("id"), "subject", text.bigrams(F.substring("content", 1, 40)).alias("grams"))
-    day = lambda c: facts.select(F.col("fact_id").alias(c), F.to_date("valid_from").alias(f"day_{c}"))
-    pairs = graphs.jaccard_pairs(cards, CONFIG.near_duplicate, "subject").join(day("a"), "a").join(day("b"), "b")
+    """Pairs of notes of one subject at most 14 days apart; notes of one day with equal grams are one, named by the least id.
+
+    A note lies in the slot of its days and the next one, so notes only meet those of about a month.
+    """
+    notes = _said(spark, d).withColumn("day", F.to_date("valid_from"))
+    classes, _ = graphs.gram_classes(notes, "subject", "day")
+    slot = F.floor(F.unix_date("day") / 15)
+    slotted = classes.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    days = lambda x: classes.select(F.col("id").alias(x), F.col("day").alias(f"day_{x}"))
+    pairs = graphs.jaccard_pairs(slotted, CONFIG.near_duplicate, "subject", "slot").distinct().join(days("a"), "a").join(days("b").join(classes.select(F.col("id").alias("b"), "subject"), "b"), "b")
     return pairs.filter(F.abs(F.date_diff("day_a", "day_b")) <= 14).select("a", "b", "subject", "jaccard")
 
 
@@ -248,7 +258,7 @@ def handoff_pages(spark, d):
 
 
 @query("corrections", B.with_tables("evidence", then=f"""WITH l AS (SELECT id, path, actor, content, lag(id) OVER w AS corrected_id, lag(actor) OVER w AS speaker FROM evidence WINDOW w AS (PARTITION BY path ORDER BY occurred_at, id))
-    SELECT id, path, corrected_id FROM l WHERE speaker <> actor AND regexp_matches(substr(content, 1, 60), '{CUE}')"""))
+    SELECT id, path, corrected_id FROM l WHERE speaker <> actor AND regexp_matches(content, '{CUE}')"""))
 def corrections(spark, d):
     return reports.corrections(B.evidence(spark, d), CUE)
 

@@ -329,48 +329,51 @@ _CARDS = (
 ) % (str(list(text.STOP)),)
 
 
-@query("later_siblings", B.with_tables("live", then=f"""WITH {_CARDS}, g AS (SELECT fact_id, subject, valid_from, unnest(words) AS g FROM k),
+_ALL_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z][a-z0-9]{2,}'), lambda w: NOT list_contains(%s, w)))" % (str(list(text.STOP)),)
+
+
+@query("later_siblings", B.with_tables("statements", then=f"""WITH g AS (SELECT fact_id, subject, valid_from, unnest({_ALL_WORDS}) AS g FROM statements),
     m AS (SELECT a.fact_id, b.fact_id AS later_id, b.valid_from AS later_at, count(*) AS shared FROM g a JOIN g b ON a.subject = b.subject AND a.g = b.g AND b.valid_from > a.valid_from + INTERVAL 12 HOURS GROUP BY ALL HAVING count(*) >= 3)
     SELECT fact_id, later_id, shared, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY shared DESC, later_at DESC, later_id) AS INTEGER) AS place FROM m QUALIFY place <= 5"""))
 def later_siblings(spark, d):
-    live = recall.live(B.facts(spark, d)).withColumn("grams", _sorted_words())
-    return timeline.later_siblings(live)
+    return timeline.later_siblings(B.statements(spark, d).withColumn("words", text.all_keywords(F.col("content"))))
 
 
-@query("timeline_candidates", B.with_tables("live", then=f"""WITH {_CARDS}, g AS (SELECT fact_id, subject, CAST(valid_from AS DATE) AS day, unnest(words) AS g FROM k),
+@query("timeline_candidates", B.with_tables("statements", then=f"""WITH g AS (SELECT fact_id, subject, CAST(valid_from AS DATE) AS day, unnest({_ALL_WORDS}) AS g FROM statements),
     m AS (SELECT a.fact_id, b.fact_id AS earlier_id, a.g, b.day FROM g a JOIN g b ON a.subject = b.subject AND a.g = b.g AND b.day < a.day QUALIFY row_number() OVER (PARTITION BY a.fact_id, a.g ORDER BY b.day DESC, b.fact_id DESC) <= 4)
     SELECT fact_id, earlier_id, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY day DESC, earlier_id DESC) AS INTEGER) AS place FROM (SELECT DISTINCT fact_id, earlier_id, day FROM m) QUALIFY place <= 6"""))
 def timeline_candidates(spark, d):
-    live = recall.live(B.facts(spark, d)).withColumn("words", _sorted_words())
-    return timeline.timeline_candidates(live)
-
-
-def _sorted_words():
-    return text.keywords(F.col("content"))
+    return timeline.timeline_candidates(B.statements(spark, d).withColumn("words", text.all_keywords(F.col("content"))))
 
 
 # -- similarity and clusters ------------------------------------------------------------------------
 
 _GRAMS = "list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2)))"
-_CARD = "c AS (SELECT fact_id, source, trim(regexp_replace(content, '[ \\t-\\r]+', ' ', 'g')) AS body FROM facts)"
+_SETS = f"s AS (SELECT fact_id, subject, valid_from, regexp_replace(lower(content), '\\s+', '', 'g') AS s FROM statements), g AS (SELECT fact_id AS id, subject, valid_from, list_sort(CASE WHEN length(s) >= 2 THEN {_GRAMS} WHEN length(s) = 1 THEN [s] ELSE [] END) AS g FROM s)"
+_JACCARD = "round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6)"
 
 
-def _carded(spark, d):
-    card = F.substring(F.trim(F.regexp_replace("content", r"[ \t-\r]+", " ")), 1, 40)
-    return B.facts(spark, d).select(F.col("fact_id").alias("id"), "source", text.bigrams(card).alias("grams"))
+def _said(spark, d):
+    return B.statements(spark, d).select(F.col("fact_id").alias("id"), "subject", "valid_from", text.bigrams(F.col("content")).alias("grams"))
 
 
-@query("bigram_jaccard_pairs", B.with_tables("facts", then=f"""WITH {_CARD}, s AS (SELECT fact_id, source, replace(lower(substr(body, 1, 40)), ' ', '') AS s FROM c), g AS (SELECT fact_id AS id, source, CASE WHEN length(s) >= 2 THEN {_GRAMS} WHEN length(s) = 1 THEN [s] ELSE [] END AS g FROM s)
-    SELECT a.id AS a, b.id AS b, a.source, round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS jaccard
-    FROM g a JOIN g b ON a.source = b.source AND a.id < b.id WHERE len(a.g) > 0 AND len(b.g) > 0 AND round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= {CONFIG.near_duplicate}"""))
+@query("bigram_jaccard_pairs", B.with_tables("statements", then=f"""WITH {_SETS}, k AS (SELECT min(id) AS id, subject, g, count(*) AS n FROM g WHERE len(g) > 0 GROUP BY subject, g)
+    SELECT a.id AS a, b.id AS b, a.subject, a.n AS n_a, b.n AS n_b, {_JACCARD} AS jaccard FROM k a JOIN k b ON a.subject = b.subject AND a.id < b.id
+    AND least(len(a.g), len(b.g)) >= {CONFIG.near_duplicate}::DOUBLE * greatest(len(a.g), len(b.g)) - 1e-9 WHERE {_JACCARD} >= {CONFIG.near_duplicate}"""))
 def bigram_jaccard_pairs(spark, d):
-    return graphs.jaccard_pairs(_carded(spark, d), CONFIG.near_duplicate, "source")
+    """Pairs of classes of equal gram sets, named by their least id, with the numbers of their members."""
+    classes, _ = graphs.gram_classes(_said(spark, d), "subject")
+    n = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    return graphs.jaccard_pairs(classes, CONFIG.near_duplicate, "subject").join(n("a"), "a").join(n("b").join(classes.select(F.col("id").alias("b"), "subject"), "b"), "b").select("a", "b", "subject", "n_a", "n_b", "jaccard")
 
 
 @query("near_dup_leaders")
 def near_dup_leaders(spark, d):
-    cards = _carded(spark, d)
-    return graphs.leaders(graphs.jaccard_pairs(cards, 0.7, "source"), cards.select("id"))
+    """The report of near duplicates: statements of the last 14 days, each with its leader."""
+    recent = _said(spark, d).filter(F.col("valid_from") >= F.expr(f"TIMESTAMP_NTZ '{CONFIG.now}' - INTERVAL 14 DAYS"))
+    classes, members = graphs.gram_classes(recent, "subject")
+    led = graphs.leaders(graphs.jaccard_pairs(classes, 0.7, "subject"), classes.select("id"))
+    return members.join(led.withColumnRenamed("id", "class"), "class").select("id", "leader")
 
 
 THRESHOLD = 0.4

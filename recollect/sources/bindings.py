@@ -35,6 +35,13 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said, sentence by sentence: the short facts that similarity is about."""
+    parts = F.filter(F.transform(F.split("content", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
+    said = evidence(spark, sf_dir).select("id", "path", "actor", "occurred_at", F.posexplode(parts).alias("k", "content"))
+    return said.select((F.col("id") * 1000 + F.col("k") + 1).alias("fact_id"), F.col("id").alias("evidence_id"), "path", F.col("actor").alias("subject"), F.col("occurred_at").alias("valid_from"), "content")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     status = F.when(i % 20 < 14, "candidate").when(i % 20 < 17, "confirmed").when(i % 20 == 17, "superseded").when(i % 20 == 18, "invalid").otherwise("uncertain")
@@ -91,9 +98,11 @@ SQL = {
     "vectors": "SELECT vec_id AS fact_id, embedding AS vec FROM embeddings",
     "marks": """SELECT * FROM (SELECT o_orderkey AS old_id, lead(o_orderkey) OVER w AS new_id, o_custkey AS subject, lead(o_orderdate) OVER w AS marked_at
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE new_id IS NOT NULL""",
+    "statements": """SELECT id * 1000 + r.i AS fact_id, id AS evidence_id, path, actor AS subject, occurred_at AS valid_from, parts[r.i] AS content
+        FROM (SELECT *, list_filter(list_transform(string_split_regex(content, '[.!?\\n]+'), lambda x: trim(x)), lambda x: length(x) >= 3) AS parts FROM evidence) p, LATERAL (SELECT unnest(range(1, len(p.parts) + 1)) AS i) r""",
     "live": f"SELECT * FROM facts WHERE status IN {CONFIG.live}",
 }
-_NEEDS = {"live": ["facts"]}
+_NEEDS = {"live": ["facts"], "statements": ["evidence"]}
 
 
 def with_tables(*names: str, then: str) -> str:
