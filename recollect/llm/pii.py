@@ -1,11 +1,14 @@
 """Operator 10: personal data, and the terms that give it away.
 
 Base spans are emails, IPs, card numbers and phone numbers by pattern.  Their values are the protected entities.
-The corpus then tells which words near an entity reveal it.  With document frequencies as probabilities, an entity e carries
-IC(e) = -log2 P(e) bits, and a term t reveals PMI(e; t) = log2 (P(e, t) / (P(e) P(t))) of them.  A term whose part
-PMI / IC reaches `GENERALISE` is a span of the kind ``term`` wherever it stands near that entity: it is replaced by a general
-word for it, or removed if the part reaches `REMOVE`.  A pair must be seen in `SUPPORT` different texts, so that a word of one
-text (or of its copies) is not taken for a habit.
+The corpus then tells which words of the texts that hold an entity reveal it.  With document frequencies as probabilities, an
+entity e carries IC(e) = -log2 P(e) bits, and a term t reveals PMI(e; t) = log2 (P(e, t) / (P(e) P(t))) of them.  A term
+whose part PMI / IC reaches `GENERALISE` is a span of the kind ``term`` wherever it stands in a text that holds that entity: it is
+replaced by the kind of entity that it points to (``[EMAIL TERM]``), or removed if the part reaches `REMOVE`.  A pair
+must be seen in `SUPPORT` different texts, so that a word of one text (or of its copies) is not taken for a habit; with 1, every pair counts.
+
+A part of at least `GENERALISE` needs P(t) <= P(e, t) / P(e) * P(e)^GENERALISE <= P(e)^GENERALISE: the term must be rare.  So terms
+are counted first, over all texts, and only those that are rare enough for an entity meet it, within the texts that hold the entity.
 
 The patterns never read a character more than a few times: runs are matched possessively and begin where a run begins (or the
 last match ended), which gives the same matches as the plain patterns.
@@ -23,15 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, whole_text, written
-from .spans import joined, matches, replaced
+from .spans import blanked, joined, matches, replaced
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Code points on either side of an entity whose words may reveal it.
-NEAR = 80
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.98
@@ -79,84 +80,77 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def near(text: Column, span: Column, spans: Column) -> Column:
-    """Array of (term, start, end): the words close to a span that lie in no span."""
-    low = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    # A word that the edge of the window cuts is left out.
-    head = F.when(low > 0, F.length(F.regexp_extract(before, r"^\p{L}*", 0))).otherwise(0)
-    tail = F.length(F.regexp_replace(after, r"\p{L}+$", ""))
-    full = F.when(F.length(after) < NEAR, F.length(after)).otherwise(tail)
-    one = lambda m, base: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end"))
-    left = F.transform(F.filter(matches(before, WORD), lambda m: m["start"] >= head), lambda m: one(m, low))
-    right = F.transform(F.filter(matches(after, WORD), lambda m: m["end"] <= full), lambda m: one(m, span["end"]))
-    return F.filter(F.concat(left, right), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-
-
-def telling_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(base, terms).  base: doc_id, text_hash and ``base`` spans of each row; terms: for each text that has some, text_hash and
-    ``terms``, an array of (start, end, part) where part is the part of the entity's information."""
-    text = F.col("_text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
-    spans = docs.withColumn("base", base_spans(text))
-    near_each = F.flatten(F.transform("base", lambda s: F.transform(near(text, s, F.col("base")), lambda t: F.struct(entity(s).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))))
-    entities = F.array_distinct(F.transform("base", lambda s: entity(s)))
-    some = F.size("base") > 0
-    base = written(spans.select("doc_id", F.xxhash64("_text").alias("text_hash"), "base", F.when(some, near_each).alias("near"), F.when(some, entities).alias("entities")), "pii-base")
-    n = base.count()
-    there = base.filter(some)
-    of_entity = there.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = there.select("text_hash", F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"], t["term"])))).alias("p")).select("text_hash", "p.*")
-    # One row for each pair and text, with the number of its copies, first.
-    pairs = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
-    often = written(pairs.filter(F.col("texts") >= SUPPORT).join(of_entity, "entity"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    asked = written(often.select("term").distinct(), "pii-asked")
-    of_term = words.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    part = pmi / F.log2(F.lit(float(n)) / F.col("n_e"))
-    telling = written(often.join(of_term, "term").filter(F.col("n_e") < n).withColumn("part", part).filter(F.col("part") >= GENERALISE).select("entity", "term", "part"), "pii-terms")
-    # A text's terms depend on the text alone, so copies are looked up once.
-    each = there.dropDuplicates(["text_hash"]).select("text_hash", F.explode("near").alias("t")).select("text_hash", "t.*")
-    hits = each.join(telling, ["entity", "term"]).groupBy("text_hash", "start", "end").agg(F.max("part").alias("part"))
-    terms = hits.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "part"))).alias("terms"))
-    return base.select("doc_id", "text_hash", "base"), written(terms, "pii-hits")
-
-
-_NONE = "array<struct<start:int,end:int,part:double>>"
-
-
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, ``base`` and ``terms`` of each row."""
-    base, terms = telling_terms(docs)
-    return base.join(terms, "text_hash", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_NONE)))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text, without its email addresses (the other kinds have no letters)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, EMAIL, " ")), F.lit(WORD), F.lit(0)))
 
 
-def _kinded(terms: str = "terms") -> Column:
-    return F.transform(terms, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+def telling_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """For each text that has some: text_hash and ``telling``, an array of (term, part, kind), one for each term.
 
+    part is the greatest part of an entity's information that the term reveals, kind that entity's kind.
+    """
+    rows = docs.select(whole_text().alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    some = F.size("_base") > 0
+    entities = F.when(some, F.array_distinct(F.transform("_base", entity)))
+    base = written(rows.select(F.xxhash64("_text").alias("text_hash"), entities.alias("entities"), F.when(some, terms_of(F.col("_text"))).alias("terms")), "pii-base")
+    n = float(base.count())
+    there = base.filter("entities IS NOT NULL")
+    # Copies of a text are one row with their number.
+    held = there.select("text_hash", F.explode("entities").alias("entity")).groupBy("entity", "text_hash").agg(F.count("*").alias("copies"))
+    sizes = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter((F.col("texts") >= support) & (F.col("n_e") < n))
+    rare = F.pow(F.col("n_e") / n, F.lit(GENERALISE)) * n
+    asked = written(held.join(sizes.select("entity", "n_e", rare.alias("rare")), "entity"), "pii-entities")
+    most = asked.agg(F.max("rare")).first()[0]
+    none = "text_hash long, telling array<struct<term:string,part:double,kind:string>>"
+    if most is None:  # no entity is in enough texts
+        return docs.sparkSession.createDataFrame([], none)
+    counts = docs.select(F.explode(terms_of(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    seldom = written(counts.filter((F.col("n_t") >= support) & (F.col("n_t") <= most)), "pii-terms")
+    words = there.join(asked.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", F.explode("terms").alias("term"))
+    pairs = asked.join(words.join(seldom, "term"), "text_hash").filter("n_t <= rare")
+    pairs = written(pairs.select("entity", "term", "text_hash", "copies", "n_e", "n_t"), "pii-pairs")
+    both = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    pmi = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
+    part = pmi / F.log2(F.lit(n) / F.col("n_e"))
+    telling = both.withColumn("part", part).filter(F.col("part") >= GENERALISE).select("entity", "term", "part")
+    best = F.max(F.struct("part", F.substring_index("entity", ":", 1).alias("kind"))).alias("b")
+    each = pairs.select("entity", "term", "text_hash").join(telling, ["entity", "term"]).groupBy("text_hash", "term").agg(best)
+    return written(each.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("term", "b.part", "b.kind"))).alias("telling")), "pii-telling")
+
+
+def marked(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """`rows` (which have ``_text``) with ``base``, the base spans, and ``terms``: (start, end, part, points_to) of each place of a telling term."""
+    telling = telling_terms(rows.select(F.col("_text").alias("text")), support).withColumnRenamed("text_hash", "_hash")
+    both = rows.withColumns({"base": base_spans(F.col("_text")), "_hash": F.xxhash64("_text")}).join(telling, "_hash", "left")
+    of = lambda word: F.element_at(F.filter("telling", lambda t: t["term"] == F.lower(word)), 1)
+    words = F.filter(matches(blanked(F.col("_text"), EMAIL), WORD), lambda m: F.exists("telling", lambda t: t["term"] == F.lower(m["value"])))
+    places = F.transform(words, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), of(m["value"])["part"].alias("part"), of(m["value"])["kind"].alias("points_to")))
+    none = F.array().cast("array<struct<start:int,end:int,part:double,points_to:string>>")
+    return both.withColumn("terms", F.when(F.col("telling").isNotNull(), places).otherwise(none)).drop("telling", "_hash")
+
+
+def found(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """doc_id, text_hash, ``base`` and ``terms`` of each row."""
+    rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text")), support)
+    return rows.select("doc_id", F.xxhash64("_text").alias("text_hash"), "base", "terms")
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """`docs` with each span in ``text`` replaced: base spans by their kind, terms by ``[TERM]`` or nothing.
 
-    Base spans are found where the text is; only the terms, which are few, are joined to it.
-    """
-    _, terms = telling_terms(docs)
-    terms = terms.select(F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), whole_text().alias("_text"))
-    rows = rows.withColumns({"_base": base_spans(F.col("_text")), "_hash": F.xxhash64("_text")}).join(terms, "_hash", "left")
+def cleaned(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """`docs` with each span in ``text`` replaced: base spans by their kind, terms by the kind that they point to, or by nothing."""
+    rows = marked(docs.select(F.struct(*docs.columns).alias("_row"), whole_text().alias("_text")), support)
+    named = lambda kind, more: F.concat(F.lit("["), F.upper(kind), F.lit(more))
     label = F.concat(
-        F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))),
-        F.transform(F.coalesce("_terms", F.array().cast(_NONE)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["part"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("label"))),
+        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), named(s["kind"], "]").alias("label"))),
+        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["part"] >= REMOVE, F.lit("")).otherwise(named(t["points_to"], " TERM]")).alias("label"))),
     )
-    rows = rows.withColumn("_spans", F.array_sort(label))
-    text = F.when(F.size("_spans") > 0, replaced(F.col("_text"), F.col("_spans"))).otherwise(F.col("_row.text"))
-    return rows.withColumn("_row", F.col("_row").withField("text", text)).select("_row.*")
+    text = F.when(F.size("base") + F.size("terms") > 0, replaced(F.col("_text"), F.array_sort(label))).otherwise(F.col("_row.text"))
+    return rows.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select("doc_id", *(count(k) for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, _kinded())).alias("spans"))
+    terms = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    return rows.select("doc_id", *(count(k) for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, terms)).alias("spans"))

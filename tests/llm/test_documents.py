@@ -43,13 +43,49 @@ def check_licenses(rows, texts):
 
 
 def test_licenses(spark, odd, none, docs):
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 300 and len(licenses.SIGNATURES) > 150
+    assert all(any(g in r.keyword for g in licenses.gates()) for r in licenses.rules())
     for df in (odd, docs):
         rows = licenses.scanned(df, "doc_id", "text").collect()
         check_licenses(rows, [(r["doc_id"], r["text"]) for r in rows])
     assert licenses.scanned(none, "doc_id").count() == 0
 
 
+NOTICES = {
+    "Released under WTFPL.": "wtfpl",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    "Neither the name of Foo, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "see https://creativecommons.org/licenses/by-sa/4.0/ for it": "cc-by-sa-4.0",
+    "THE BEER-WARE LICENSE: you can buy me a beer in return": "beerware",
+    "a permission of no kind, and software without a word on its use": "",
+}
+
+
+def test_wording_of_licenses(spark):
+    texts = list(NOTICES)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = licenses.scanned(rows, "doc_id", "text").collect()
+    check_licenses(found, [(r["doc_id"], r["text"]) for r in found])
+    assert {r["text"]: ",".join(sorted({s["label"] for s in r["spans"]})) for r in found} == NOTICES
+    many = "gpl and the mit license " * 20_000  # one text with tens of thousands of places
+    row = licenses.scanned(spark.createDataFrame([(many,)], "text string"), "text").first()
+    assert len(row["base"]) == 20_000 and len(row["spans"]) == 40_000
+
+
+def test_license_digest(spark, sf, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in licenses.op2_licenses(spark, sf).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(texts[r["doc_id"]] or ""))
+        base = [(k, label) for p, label in licenses.BASE.items() for q in [p.split()] for k in range(len(words) - len(q) + 1) if words[k : k + len(q)] == q]
+        more = brute_labels(words)
+        starts = [k for k, _ in base]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(base), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in base})) and r["labels"] == ",".join(sorted({x for _, x in base} | {x[4] for x in more}))
+        assert r["score"] == max([0, *(x[2] for x in more), *([licenses.BASE_SCORE] if base else [])]) / 100
+
+
 # -- quality
 
 
@@ -80,13 +116,25 @@ def test_outliers_against_numpy(spark):
     got = {r["doc_id"]: r for r in quality.judged(rows, *quality.fit(rows)).collect()}
     lower_median = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
     u = (x - lower_median(x)) * np.sqrt(1000 / (1000 + quality.SETTLED))
-    mean, inv = np.zeros(3), np.diag(np.maximum(1.4826 * lower_median(np.abs(u)), quality.FLOORS) ** -2.0)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", u - mean, inv, u - mean)
-        near = u[d <= np.sort(d)[int(np.ceil(quality.ALPHA * n)) - 1]]
-        cov = np.cov(near.T, bias=True) * quality.consistency(quality.ALPHA)
-        np.fill_diagonal(cov, np.maximum(np.diag(cov), np.array(quality.FLOORS) ** 2))
-        mean, inv = near.mean(axis=0), np.linalg.inv(cov)
+    floored = lambda c: np.where(np.eye(3, dtype=bool), np.maximum(c, np.array(quality.FLOORS) ** 2), c)
+    mad = np.maximum(1.4826 * lower_median(np.abs(u)), quality.FLOORS)
+    w = u / mad
+    w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+    starts = [(np.zeros(3), np.diag(mad**2)), (u.mean(axis=0), floored(np.cov(u.T, bias=True))), (np.zeros(3), floored(3 * np.diag(mad) @ (w.T @ w / n) @ np.diag(mad)))]
+    ends = []
+    for mean, cov in starts:
+        before = None
+        while True:
+            d = np.einsum("ij,jk,ik->i", u - mean, np.linalg.inv(cov), u - mean)
+            near = u[d <= np.sort(d)[int(np.ceil(quality.ALPHA * n)) - 1]]
+            mean, cov = near.mean(axis=0), floored(np.cov(near.T, bias=True) * quality.consistency(quality.ALPHA))
+            det = np.linalg.det(cov)
+            if before is not None and det >= before * (1 - quality.SETTLES):
+                break
+            before = det
+        ends.append((det, mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
+    inv = np.linalg.inv(cov)
     d = np.einsum("ij,jk,ik->i", u - mean, inv, u - mean)
     assert np.allclose([got[k]["distance2"] for k in range(n)], d, rtol=1e-6)
     assert not any(got[k]["kept"] for k in range(40)) and sum(got[k]["kept"] for k in range(40, n)) >= 0.99 * (n - 40)
@@ -198,6 +246,68 @@ def test_language(spark, odd, none, docs):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(none), ("doc_id",)).collect()} == {"und"}
 
 
+def test_und_only_without_a_letter(spark, docs):
+    model = langid.fit(docs)
+    texts = ["5's", "'re 7", "12 !? 9", "", None, "ß", "'", "3.14 %", "ª"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["lang_pred"] for r in langid.predict(rows, model, ("text",)).collect()}
+    assert {t for t in texts if got[t] == "und"} == {"12 !? 9", "", None, "'", "3.14 %"}
+
+
+def test_language_against_brute_force(spark, docs):
+    """The counts, the backoff and the scores once more, with dictionaries and without arrays."""
+    import math
+    import unicodedata
+
+    import regex
+
+    cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    words_of = lambda t: [w for w in cut.findall(unicodedata.normalize("NFC", (t or "").lower())) if regex.search(r"\p{L}", w)]
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            mine = counts.setdefault(r["lang"], [Counter() for _ in range(6)])
+            for w in words_of(r["text"]):
+                mine[0][w] += 1
+                for k in range(1, 6):
+                    mine[k].update(langid.grams(w, k))
+    names = sorted(counts)
+
+    def share(kind, gram):
+        if not any(gram in counts[x][kind] for x in names):
+            return None
+        logs = [math.log(counts[x][kind][gram] + 0.5) - math.log(sum(counts[x][kind].values()) + 0.5 * (len(counts[x][kind]) + 1)) for x in names]
+        top = max(logs)
+        whole = top + math.log(sum(math.exp(v - top) for v in logs))
+        return [v - whole for v in logs]
+
+    def scored(w):
+        if (v := share(0, w)) is not None:
+            return v
+        for k in range(5, 0, -1):
+            known = [v for g in langid.grams(w, k) if (v := share(k, g)) is not None]
+            if known:
+                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+        return [0.0] * len(names)
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.fit(docs, sample=10**9, total=10**9), ("doc_id",)).collect()}
+    memo = {}
+    for r in rows:
+        words = words_of(r["text"])
+        sums = [0.0] * len(names)
+        for w in words:
+            v = memo.setdefault(w, None) or memo.__setitem__(w, scored(w)) or memo[w]
+            sums = [a + b for a, b in zip(sums, v, strict=True)]
+        z = [v / math.sqrt(max(1, len(words))) for v in sums]
+        if not words:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        score = 1 / sum(math.exp(v - max(z)) for v in z)
+        lang, found = got[r["doc_id"]]
+        assert found == pytest.approx(score, rel=1e-3) and z[names.index(lang)] >= max(z) - 1e-3
+
+
 def test_backoff_goes_to_shorter_grams():
     model = langid.Model(["a", "b"], [{"known": np.array([0.0, -1.0])}, {"x": np.array([-2.0, 0.0])}, {}, {"abc": np.array([0.0, -3.0])}, {}, {}])
     assert model.word("known").tolist() == [0.0, -1.0] and model.word("zabcz").tolist() == [0.0, -3.0]
@@ -363,15 +473,92 @@ def test_base_spans(spark, odd, none, docs):
     assert pii.found(none).count() == 0 and pii.cleaned(none).count() == 0
 
 
+def brute_terms(texts, support):
+    """For each text the places of its telling terms, with the greatest part of an entity's information that they reveal."""
+    import math
+
+    import regex
+
+    bare = [re.sub(PATTERNS["email"], lambda m: " " * len(m[0]), t or "") for t in texts]
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    entities = [{k + ":" + (digits(t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for k, a, b in brute_spans(t)} if t else set() for t in texts]
+    words = [{w.lower() for w in regex.findall(r"\p{L}{3,}", t)} for t in bare]
+    n, n_e, n_t, n_et, where = len(texts), Counter(), Counter(), Counter(), {}
+    for t, es, ws in zip(texts, entities, words, strict=True):
+        n_e.update(es)
+        n_t.update(ws)
+        for pair in ((e, w) for e in es for w in ws):
+            n_et[pair] += 1
+            where.setdefault(pair, set()).add(t)
+    part = {p: math.log2(c * n / (n_e[p[0]] * n_t[p[1]])) / math.log2(n / n_e[p[0]]) for p, c in n_et.items() if len(where[p]) >= support and n_e[p[0]] < n}
+    out = []
+    for text, es in zip(bare, entities, strict=True):
+        of = lambda w, es=es: max((v for e in es if (v := part.get((e, w.lower()), 0)) >= pii.GENERALISE), default=None)
+        out.append([(m.start(), m.end(), of(m[0])) for m in regex.finditer(r"\p{L}{3,}", text) if of(m[0])])
+    return out
+
+
 def test_telling_terms(spark):
-    texts = [f"Some common words number {k} here and Zaphod Beeble writes from box{k}@mail.org today" for k in range(30)]
-    texts = [t.replace(f"box{k}@", "secret@") if k < 6 else t.replace("Zaphod Beeble", "a person") for k, t in enumerate(texts)]
+    filler = "each of these words stands apart from all other sentences " * 4  # more than a window of a few dozen characters
+    texts = [f"Zaphod Beeble wrote number {k} here. {filler} Some common words and box{k}@mail.org today, says BEEBLE." for k in range(30)]
+    texts = [t.replace(f"box{k}@", "secret@") if k < 6 else t.replace("Zaphod Beeble", "a person").replace("BEEBLE", "she") for k, t in enumerate(texts)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.found(rows).collect():
-        said = {texts[r["doc_id"]][t["start"] : t["end"]].lower() for t in r["terms"]}
-        assert said == ({"zaphod", "beeble"} if r["doc_id"] < 6 else set())
+        said = [texts[r["doc_id"]][t["start"] : t["end"]].lower() for t in r["terms"]]
+        assert said == (["zaphod", "beeble", "beeble"] if r["doc_id"] < 6 else [])
     clean = {r["doc_id"]: r["text"] for r in pii.cleaned(rows).collect()}
-    assert clean[2] == "Some common words number 2 here and   writes from [EMAIL] today" and "box9" not in clean[9]
+    assert clean[2].startswith("  wrote number 2 here.") and clean[2].endswith("words and [EMAIL] today, says .") and "box9" not in clean[9]
+
+
+@pytest.mark.parametrize("support", [1, 3])
+def test_telling_terms_against_brute_force(spark, support):
+    rng = np.random.default_rng(6)
+    common, names = [f"word{c}" for c in "abcdefghijklmnop"], [f"name{c}" for c in "abcdefghij"]
+    people = {n: e for n, e in zip(names, ["x@y.org", "a.b@c.de", "10.1.2.3", "+49 30 1234567", "4111 1111 1111 1111", "q@r.st", "10.9.9.9", "m@n.op", "u@v.wx", "k@l.mn"], strict=True)}
+    texts = []
+    for _ in range(160):
+        words = rng.choice(common, 12).tolist()
+        for name in rng.choice(names, rng.integers(0, 3), replace=False):
+            words.insert(rng.integers(len(words)), people[name])
+            if rng.random() < 0.95:
+                words.insert(rng.integers(len(words)), str(rng.choice([name, name.upper(), f"né{name}"])))
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0], texts[5], None, "", "namea without its address"]
+    want = brute_terms(texts, support)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: [(t["start"], t["end"], t["part"]) for t in r["terms"]] for r in pii.found(rows, support).collect()}
+    assert {k: [x[:2] for x in v] for k, v in got.items()} == {k: [x[:2] for x in v] for k, v in enumerate(want)}
+    assert sum(map(len, want)) > 20 and all(x[2] == pytest.approx(y[2]) for k, v in enumerate(want) for x, y in zip(got[k], v, strict=True))
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    n = 32_000
+    text = " ".join(f"u{k}@x{k % 7}.org" for k in range(n))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.time()
+    row = pii.found(rows).collect()[0]
+    assert len(row["base"]) == n and (row["base"][-1]["start"], row["base"][-1]["end"]) == (len(text) - len("u31999@x2.org"), len(text))
+    assert pii.cleaned(rows).collect()[0]["text"] == " ".join(["[EMAIL]"] * n)
+    assert time.time() - begun < 60
+
+
+def test_replaced(spark):
+    from recollect.llm.spans import replaced
+
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 40):
+        text = "".join(rng.choice(list("abc é😀"), 9000))
+        spans = sorted((int(a), int(a + rng.integers(1, 300)), f"<{k}>") for k, a in enumerate(rng.integers(0, 9000, n)))
+        spans = [(a, min(b, 9000), s) for a, b, s in spans]
+        out, at = [], 0
+        for a, b, label in spans:
+            if a >= at:
+                out += [text[at:a], label]
+            at = max(at, b)
+        row = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,label:string>>")
+        assert row.select(replaced(row["t"], row["s"])).first()[0] == "".join(out) + text[at:]
 
 
 def test_base_digest(spark, sf, docs):
