@@ -42,8 +42,8 @@ def pool(spark, d):
     return graphs.saved(hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= POOL).select("query_id", "fact_id", "valid_from", "content"))
 
 
-@query("in_pool_supersession", B.with_tables("live", then=f"""WITH RECURSIVE {ACTIVE}, {_POOL},
-    se AS (SELECT query_id, fact_id, unnest(string_split_regex(lower(content), '[.!?]\\s+')) AS s, generate_subscripts(string_split_regex(lower(content), '[.!?]\\s+'), 1) AS sn FROM pool),
+#: Groups of one matter within a pool, from the tables pool and t: members dd (query_id, id, k, valid_from) and the newest of each, nw.
+_SUPERSEDED = """se AS (SELECT query_id, fact_id, unnest(string_split_regex(lower(content), '[.!?]\\s+')) AS s, generate_subscripts(string_split_regex(lower(content), '[.!?]\\s+'), 1) AS sn FROM pool),
     wo AS (SELECT query_id, fact_id, sn, unnest(list_distinct(regexp_extract_all(s, '[a-z0-9'']+'))) AS word FROM se),
     sz AS (SELECT query_id, count(*) AS n FROM pool GROUP BY ALL), df AS (SELECT query_id, word, count(DISTINCT fact_id) AS df FROM wo GROUP BY ALL),
     ra AS (SELECT query_id, word, df FROM df JOIN sz USING (query_id) WHERE length(word) > 2 AND df <= greatest(2, n // 2)),
@@ -55,7 +55,11 @@ def pool(spark, d):
     un AS (SELECT query_id, a, b FROM ed UNION SELECT query_id, b, a FROM ed),
     re(query_id, id, x) AS (SELECT query_id, fact_id, fact_id FROM pool UNION SELECT re.query_id, re.id, un.b FROM re JOIN un ON re.query_id = un.query_id AND re.x = un.a),
     co AS (SELECT query_id, id, min(x) AS k FROM re GROUP BY ALL), dd AS (SELECT co.query_id, id, k, valid_from FROM co JOIN pool ON pool.query_id = co.query_id AND fact_id = id WHERE valid_from IS NOT NULL),
-    nw AS (SELECT query_id, k, id AS new_id, valid_from AS newest FROM dd QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY valid_from DESC, id) = 1)
+    nw AS (SELECT query_id, k, id AS new_id, valid_from AS newest FROM dd QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY valid_from DESC, id) = 1)"""
+
+
+@query("in_pool_supersession", B.with_tables("live", then=f"""WITH RECURSIVE {ACTIVE}, {_POOL},
+    {_SUPERSEDED}
     SELECT query_id, id AS old_id, new_id FROM dd JOIN nw USING (query_id, k) WHERE valid_from < newest""".replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1))
 def in_pool_supersession(spark, d):
     return supersession.superseded(pool(spark, d), terms(spark, WORDS).select("query_id", F.col("term").alias("word")))
