@@ -54,3 +54,86 @@ def same_owner(question: Column, candidate: Column) -> Column:
     mine, thing = F.lower(F.regexp_extract(question, pattern, 1)), F.regexp_extract(question, pattern, 2)
     theirs, other = F.lower(F.regexp_extract(candidate, pattern, 1)), F.regexp_extract(candidate, pattern, 2)
     return ~((thing != "") & (thing == other) & (mine != theirs))
+
+
+#: What looks like a name, by kind; the first group is the name (an English rule pack).
+FOUND = [
+    ("title", r"[«“]([^«»“”\n]{2,20})[»”]"),
+    ("named", r"(?:called|named|nicknamed) ([A-Za-z][A-Za-z0-9]{1,15})"),
+    ("ident", r"([A-Za-z][A-Za-z0-9]*[0-9_-][A-Za-z0-9_-]*[A-Za-z0-9])"),
+    ("quoted", r"\"([^\"\n]{2,10})\""),
+]
+PRECEDENCE = ("config", "title", "named", "ident", "quoted")
+#: Names that say nothing, and beginnings that make a fragment of a found name.
+GENERIC = ("http", "https", "www", "json", "file", "text")
+
+
+def generic(term: Column, kind: Column) -> Column:
+    """Whether a found name is too general to lead a recall directly; configured ones never are."""
+    return (kind != "config") & (F.lower(term).isin(*GENERIC) | (kind.isin("named", "quoted") & (F.length(term) <= 2)))
+
+
+def discovered(facts: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """(term, kind, facts, direct): names found in facts, each of its strongest kind, with the number of facts; direct if it is not generic and
+    of a strong kind.  facts: fact_id, content; configured: term."""
+    rows = facts.select("fact_id", F.explode(F.concat(*(_kinded(kind, pattern) for kind, pattern in FOUND))).alias("t")).select("fact_id", "t.*").filter(F.length("term") >= 2)
+    if configured is not None:
+        rows = rows.unionByName(configured.select(F.lit(None).cast("long").alias("fact_id"), "term", F.lit("config").alias("kind")))
+    out = strongest(rows.distinct(), list(PRECEDENCE))
+    return out.withColumn("direct", F.col("kind").isin("config", "title", "named", "ident") & ~generic(F.col("term"), F.col("kind")))
+
+
+def _kinded(kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda t: F.struct(F.trim(t).alias("term"), F.lit(kind).alias("kind")))
+
+
+#: A glossary: lines ``a / b = meaning``, ``#! parent x < y`` and ``#! foreign w``.
+def glossary(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(aliases (alias, name), parents (name, parent), foreign (word)) of the lines (value) of a glossary."""
+    value = F.trim(F.regexp_replace("value", r"^\s*-\s*", ""))
+    rows = lines.select(value.alias("value")).filter((F.col("value") != "") & (~F.col("value").startswith("#") | F.col("value").startswith("#!")))
+    group = F.explode(F.split("value", ";"))
+    sides = rows.filter(~F.col("value").startswith("#!")).select(group.alias("g")).filter(F.contains("g", F.lit("="))).select(F.split(F.substring_index("g", "=", 1), r"\s*/\s*").alias("names"))
+    sides = sides.select(F.filter(F.transform("names", lambda x: F.trim(F.regexp_replace(x, '["“”]', ""))), lambda x: x != "").alias("names")).filter(F.size("names") > 0)
+    aliases = sides.select(F.lower(F.explode("names")).alias("alias"), F.get("names", F.lit(0)).alias("name")).distinct()
+    parent = r"^#!\s*parent\s+(.+?)\s*<\s*(.+)$"
+    parents = rows.filter(F.col("value").rlike(parent)).select(F.trim(F.regexp_extract("value", parent, 1)).alias("name"), F.trim(F.regexp_extract("value", parent, 2)).alias("parent"))
+    foreign = r"^#!\s*foreign\s+(.+)$"
+    words = rows.filter(F.col("value").rlike(foreign)).select(F.explode(F.split(F.regexp_extract("value", foreign, 1), r"\s*/\s*")).alias("word"))
+    return aliases, parents, words
+
+
+def attribution(rows: DataFrame, aliases: dict[str, str], parents: dict[str, str], foreign: list[str]) -> DataFrame:
+    """`rows` with ``verdict``: whether what was said supports the names in a fact: ok, strip, review or reject.
+
+    rows: content, source (the words it rests on), context.  A name is supported by itself in the source, or by its parent there (to be
+    reviewed in a foreign context); one that only the context has is reviewed if the source names others; one that only stands in brackets is
+    stripped; one that nothing supports is rejected if the source names others, else reviewed.  The glossary is a small configuration.
+    """
+    groups = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in aliases.items()))
+    up = F.create_map(*(F.lit(x) for kv in parents.items() for x in kv)) if parents else F.create_map().cast("map<string,string>")
+    names = lambda c: F.array_distinct(F.transform(F.filter(groups, lambda g: F.contains(F.lower(F.coalesce(c, F.lit(""))), g["alias"])), lambda g: g["name"]))
+    outside = F.exists(F.array(*map(F.lit, foreign)) if foreign else F.array().cast("array<string>"), lambda w: F.contains(F.concat_ws("\n", "source", "context"), w))
+    bare = F.regexp_replace("content", r"\([^()]{1,20}\)", " ")
+    seen = rows.withColumns({"_c": names(F.col("content")), "_s": names(F.col("source")), "_x": names(F.col("context")), "_b": names(bare), "_f": outside})
+    has = lambda a, n: F.coalesce(F.array_contains(a, n), F.lit(False))
+
+    def one(n):
+        above = F.element_at(up, n)
+        others = F.size(F.array_remove("_s", n)) > 0
+        return (
+            F.when(has("_s", n), "ok").when(has("_s", above), F.when(F.col("_f"), "review").otherwise("ok"))
+            .when(has("_x", n), F.when(others | (above.isNotNull() & F.col("_f")), "review").otherwise("ok")).when(has("_x", above), "review")
+            .when(~has("_b", n), "strip").when(others, "reject").otherwise("review")
+        )
+
+    each = F.transform("_c", one)
+    worst = F.when(F.array_contains(each, "reject"), "reject").when(F.array_contains(each, "review"), "review").when(F.array_contains(each, "strip"), "strip").otherwise("ok")
+    return seen.withColumn("verdict", worst).drop("_c", "_s", "_x", "_b", "_f")
+
+
+def to_review(log: DataFrame, judged: DataFrame, now: Column) -> DataFrame:
+    """Rows for the state log: facts whose verdict is review become uncertain; judged: fact_id, verdict."""
+    from recollect.operators import lifecycle
+
+    return lifecycle.current(log).join(judged.filter("verdict = 'review'").select("fact_id"), "fact_id", "left_semi").withColumns({"version": F.col("version") + 1, "status": F.lit("uncertain"), "updated_at": now})

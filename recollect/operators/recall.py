@@ -21,6 +21,14 @@ def live(facts: DataFrame, config: Config = CONFIG) -> DataFrame:
     return facts.filter(F.col("status").isin(*config.live))
 
 
+def narrowed(facts: DataFrame, *, who: str | None = None, types: list[str] | None = None, extracted: bool = False, spoken: str | None = None) -> DataFrame:
+    """`facts` of one subject, of some types, written by an extractor (by ``reason``), and without those that begin as `spoken` says."""
+    for on, keep in ((who, lambda: F.col("subject") == who), (types, lambda: F.col("fact_type").isin(*types)), (extracted, lambda: F.col("reason").startswith("extract-llm-")), (spoken, lambda: ~F.col("content").rlike(spoken))):
+        if on:
+            facts = facts.filter(keep())
+    return facts
+
+
 def current_stances(stances: DataFrame) -> DataFrame:
     """The latest stance of each actor on each fact."""
     newest = F.max_by(F.struct("id", "stance", "created_at"), F.struct("created_at", "id"))
