@@ -57,19 +57,33 @@ class Grams:
     logs: np.ndarray
     rest: np.ndarray
 
+    #: Numbers up to which the shares of all grams are kept as one matrix.
+    DENSE = 1 << 24
+
     @cached_property
     def rows(self) -> dict[str, int]:
         """The row of each gram; built where it is first used, so that it is not sent."""
         return dict(zip(self.known, range(len(self.known)), strict=True))
 
-    def get(self, gram: str) -> np.ndarray | None:
-        """For each language the logarithm of its share in the gram."""
-        if (row := self.rows.get(gram)) is None:
+    @cached_property
+    def matrix(self) -> np.ndarray | None:
+        return self._shares(np.arange(len(self.known))) if len(self.known) * len(self.rest) <= self.DENSE else None
+
+    def _shares(self, rows: np.ndarray) -> np.ndarray:
+        n = self.offsets[rows + 1] - self.offsets[rows]
+        at = np.repeat(self.offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out = np.tile(self.rest, (len(rows), 1))
+        out[np.repeat(np.arange(len(rows)), n), self.languages[at]] = self.logs[at]
+        out -= out.max(axis=1, keepdims=True, initial=-np.inf)
+        return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+
+    def get(self, grams: list[str]) -> np.ndarray | None:
+        """The mean over the known ones of the grams of the logarithms of each language's share; null if none is known."""
+        rows = [r for g in grams if (r := self.rows.get(g)) is not None]
+        if not rows:
             return None
-        logs, at = self.rest.copy(), slice(self.offsets[row], self.offsets[row + 1])
-        logs[self.languages[at]] = self.logs[at]
-        logs -= logs.max()
-        return logs - np.log(np.exp(logs).sum())
+        found = self.matrix[rows] if self.matrix is not None else self._shares(np.array(rows))
+        return found[0] if len(rows) == 1 else found.mean(axis=0)
 
 
 @dataclass
@@ -77,15 +91,12 @@ class Model:
     """`scores[kind][gram]`: for each language the log of its share in this gram; kind 0 is words, n the n-grams."""
 
     languages: list[str]
-    scores: list[Grams] | list[dict[str, np.ndarray]]
+    scores: list[Grams]
 
     def word(self, word: str) -> np.ndarray:
-        if (v := self.scores[0].get(word)) is not None:
-            return v
-        for n in range(LONGEST, 0, -1):
-            known = [v for g in grams(word, n) if (v := self.scores[n].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
+        for n in (0, *range(LONGEST, 0, -1)) if self.scores else ():
+            if (v := self.scores[n].get(grams(word, n) if n else [word])) is not None:
+                return v
         return np.zeros(len(self.languages), np.float32)
 
     def table(self) -> PieceTable:
@@ -108,7 +119,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sizes = labelled.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
-        return Model([], [{} for _ in range(LONGEST + 1)])
+        return Model([], [])
     each = min(sample, total / len(sizes))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000_000)) / 1_000_000_000
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
