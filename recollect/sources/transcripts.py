@@ -24,15 +24,15 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.select("path", "line", F.col("r.message.role").alias("role"), F.trim(body).alias("body"), F.to_timestamp("r.timestamp").alias("ts")).filter(F.length("body") > 0)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line (from 1) and value of each line of the files; a file is numbered by its reader, so files are the unit of work."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).filter(F.length("value") > 0)
 
 
 def exported(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """locator, role, body and ts of the messages of the named conversations in an export."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", EXPORT)).alias("c")).filter(F.col("c.name").isin(*names))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", EXPORT)).alias("c")).filter(F.col("c.name").isin(*names))
     rows = whole.select("c.uuid", F.explode("c.chat_messages").alias("m"))
     return rows.select(F.concat(F.lit("conv:"), "uuid", F.lit("#msg:"), "m.uuid").alias("locator"), F.col("m.sender").alias("role"), F.col("m.text").alias("body"), F.to_timestamp("m.created_at").alias("ts"))
 

@@ -1,7 +1,9 @@
 """Incremental ingest: transcript lines become evidence, once each, as files grow.
 
-Progress is by arrival and not by event time, so late records are never dropped; exactly-once comes from an anti-join on the
-record's identity together with a ledger that is written last.
+A run looks at the files that are new or changed since the last one (by size and time) and reads each on from the line it came to, or from
+the beginning if it has shrunk.  Progress is by arrival and not by event time, so late records are never dropped; exactly-once comes
+from an anti-join on the record's identity together with a ledger; the places in the files are written last, so a run that breaks off is
+only repeated.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG, Config
-from recollect.functions import text
+from recollect.functions import redaction
 from recollect.operators import timeline
 from recollect.sources import transcripts
 
@@ -23,7 +25,7 @@ def evidence_rows(lines: DataFrame) -> DataFrame:
     """path, line, actor, content (redacted), sha and occurred_at."""
     rows = transcripts.parsed(lines)
     actor = F.when(F.col("role") == "user", CONFIG.owner).when(F.col("role") == "assistant", CONFIG.assistants[0])
-    clean = text.redact(F.col("body"))
+    clean = redaction.redacted(F.col("body"))
     return rows.select("path", "line", actor.alias("actor"), clean.alias("content"), F.sha2(clean, 256).alias("sha"), F.col("ts").alias("occurred_at")).filter("actor IS NOT NULL")
 
 
@@ -61,8 +63,36 @@ def committed(spark: SparkSession, store: str) -> DataFrame | None:
     return _store(spark, store)
 
 
+CURSOR = "path string, line int, size long, changed timestamp, run long"
+
+
+def places(spark: SparkSession, store: str) -> DataFrame:
+    """How far each file was read: path, line, size, changed."""
+    seen = _read(spark, f"{store}/cursor", CURSOR)
+    return seen.groupBy("path").agg(F.max_by(F.struct("line", "size", "changed"), "run").alias("c")).select("path", "c.*")
+
+
 def collect(spark: SparkSession, source: str, store: str) -> None:
-    """Takes in all transcript files under `source` that are new to the store's checkpoint, then stops."""
+    """Takes in what the transcript files under `source` have gained since the last run."""
+    files = spark.read.format("binaryFile").load(source).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+    before = places(spark, store).select("path", "line", F.col("size").alias("old_size"), F.col("changed").alias("old_changed"))
+    both = files.join(before, "path", "left").filter(F.col("old_size").isNull() | (F.col("size") != F.col("old_size")) | (F.col("changed") != F.col("old_changed")))
+    start = F.when(F.col("size") >= F.col("old_size"), F.col("line")).otherwise(0)
+    found = both.select("path", "size", "changed", F.coalesce(start, F.lit(0)).alias("start")).collect()  # a row for each changed file, which the driver has listed
+    if not found:
+        return
+    changed = spark.createDataFrame(found, "path string, size long, changed timestamp, start int")
+    lines = transcripts.read_lines(spark, [r["path"] for r in found]).join(changed, "path")
+    run = (_read(spark, f"{store}/ledger", "batch_id long").agg(F.max("batch_id")).first()[0] or 0) + 1
+    append_new(spark, evidence_rows(lines.filter(F.col("line") > F.col("start")).select("path", "line", "value")), store, run)
+    # A last line that no line break ends may still grow: it is read again.
+    ends = lines.groupBy("path").agg(F.max("line").alias("line"))
+    reached = changed.join(ends, "path", "left").select("path", F.greatest(F.coalesce("line", F.lit(0)) - 1, F.lit(0)).cast("int").alias("line"), "size", "changed", F.lit(run).cast("long").alias("run"))
+    reached.write.mode("append").parquet(f"{store}/cursor")
+
+
+def follow(spark: SparkSession, source: str, store: str) -> None:
+    """The same for a folder whose files are complete when they appear: a file stream takes each once."""
     files = spark.readStream.format("text").option("wholetext", True).schema("value string").load(source)
     named = files.select(F.col("_metadata.file_path").alias("path"), "value")
 
@@ -82,29 +112,64 @@ def backoff(fails: Column, config: Config = CONFIG) -> Column:
     return F.when(fails > 0, F.element_at(steps, F.least(fails, F.lit(len(config.backoff_minutes))))).otherwise(0)
 
 
-def take_due(pending: DataFrame, cursor: DataFrame, now: Column, config: Config = CONFIG) -> DataFrame:
-    """The pending rows (session, id, ts) of due sessions beyond their cursor (session, last_id, fails, failed_at), without the newest that still settle."""
-    rows = pending.join(cursor, "session", "left").filter(F.col("last_id").isNull() | (F.col("id") > F.col("last_id")))
+def take_due(pending: DataFrame, cursor: DataFrame, now: Column, config: Config = CONFIG, baseline: int = -1) -> DataFrame:
+    """The pending rows (session, id, ts) of due sessions beyond their cursor (session, last_id, fails, failed_at) and the baseline, without
+    the newest that still settle."""
+    rows = pending.filter(F.col("id") > baseline).join(cursor, "session", "left").filter(F.col("last_id").isNull() | (F.col("id") > F.col("last_id")))
     due = timeline.due_sessions(rows.select("session", "ts"), now, config).filter(F.col("state").isin("idle", "capped")).select("session", "state")
     waits = F.coalesce("failed_at", F.lit("1970-01-01").cast("timestamp")) + F.make_interval(mins=backoff(F.coalesce("fails", F.lit(0)), config))
     settled = F.col("ts").cast("timestamp") <= now.cast("timestamp") - F.expr(f"INTERVAL {config.settle_minutes} MINUTES")
     return rows.filter(waits <= now.cast("timestamp")).join(due, "session").filter((F.col("state") == "idle") | settled).select("session", "id", "ts", "state")
 
 
-def process(taken: DataFrame, cursor: DataFrame, work: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, new cursor, dead letters).  `work` gives a row for each session with ``ok`` and ``result``.
+def process(taken: DataFrame, cursor: DataFrame, now: Column, work: Callable[[DataFrame], DataFrame], config: Config = CONFIG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, the whole new cursor, dead letters).  `work` gives a row for each session with ``ok``, ``permanent`` and ``result``.
 
-    A session that fails keeps its place and counts the failure; at five it is skipped past and becomes a dead letter.
+    A session that fails keeps its place and counts the failure, from whose time it waits; at the last step of the wait, or if the failure is
+    permanent, it is skipped past and becomes a dead letter.  Sessions that were not taken keep their rows.
     """
-    done = work(taken)
     ends = taken.groupBy("session").agg(F.max("id").alias("end"))
-    both = done.join(ends, "session").join(cursor, "session", "left")
+    both = work(taken).join(ends, "session").join(cursor, "session", "left")
     fails = F.when(F.col("ok"), 0).otherwise(F.coalesce("fails", F.lit(0)) + 1)
-    dead = ~F.col("ok") & (fails >= len(CONFIG.backoff_minutes))
-    moved = both.select("session", F.when(F.col("ok") | dead, F.col("end")).otherwise(F.col("last_id")).alias("last_id"), F.when(dead, 0).otherwise(fails).alias("fails"))
-    return both.filter("ok").select("session", "result"), moved, both.filter(dead).select("session", F.coalesce("last_id", F.lit(0)).alias("after"), "end")
+    dead = ~F.col("ok") & ((fails >= len(config.backoff_minutes)) | F.coalesce("permanent", F.lit(False)))
+    moved = both.select(
+        "session", F.when(F.col("ok") | dead, F.col("end")).otherwise(F.col("last_id")).alias("last_id"), F.when(dead, 0).otherwise(fails).cast("int").alias("fails"),
+        F.when(~F.col("ok") & ~dead, now.cast("timestamp")).alias("failed_at"),
+    )
+    rest = cursor.join(moved.select("session"), "session", "left_anti").select("session", "last_id", F.col("fails").cast("int").alias("fails"), F.col("failed_at").cast("timestamp").alias("failed_at"))
+    letters = both.filter(dead).select("session", F.coalesce("last_id", F.lit(0)).alias("after"), "end")
+    return both.filter("ok").select("session", "result"), moved.unionByName(rest), letters
 
 
-def session_stream(events: DataFrame, minutes: int = CONFIG.idle_minutes, late: str = "1 day") -> DataFrame:
-    """Sessions of a stream (user_id, ts), closed by idleness; the watermark only frees state."""
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{minutes} minutes")).agg(F.count("*").alias("n"))
+def retried(cursor: DataFrame, letters: DataFrame) -> DataFrame:
+    """`cursor` set back for the sessions of dead letters, so that they are taken anew."""
+    again = letters.groupBy("session").agg(F.min("after").alias("after"))
+    both = cursor.join(again, "session", "left")
+    back = F.col("after").isNotNull()
+    return both.select("session", F.when(back, F.least("last_id", "after")).otherwise(F.col("last_id")).alias("last_id"), F.when(back, 0).otherwise(F.col("fails")).cast("int").alias("fails"), F.when(~back, F.col("failed_at")).alias("failed_at"))
+
+
+def session_stream(events: DataFrame, seconds: int = CONFIG.idle_minutes * 60) -> DataFrame:
+    """user_id, n, first and last of sessions of a stream (user_id, ts), each closed when nothing has arrived for so many seconds.
+
+    It is arrival that counts, so a record that comes late belongs to the session that is open when it comes, and none is dropped.
+    """
+
+    def update(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            n, first, last = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "first": [first], "last": [last]})
+            return
+        n, first, last = state.get if state.exists else (0, None, None)
+        for rows in batches:
+            n += len(rows)
+            first = rows["ts"].min() if first is None else min(first, rows["ts"].min())
+            last = rows["ts"].max() if last is None else max(last, rows["ts"].max())
+        state.update((n, first, last))
+        state.setTimeoutDuration(seconds * 1000)
+
+    at = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return at.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, first timestamp, last timestamp", "n long, first timestamp, last timestamp", "append", "ProcessingTimeTimeout")

@@ -1,5 +1,7 @@
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.sources import transcripts
@@ -33,21 +35,44 @@ def test_digest_and_quotes(spark):
     assert {r["low"]: r["line"] for r in transcripts.located(quotes, lines).collect()} == {2: 66, 5: None}
 
 
-def test_stream_takes_each_line_once(spark, tmp_path):
+@pytest.mark.parametrize("take", [ingest.collect, ingest.follow])
+def test_each_line_is_taken_once(spark, tmp_path, take):
     source, store = tmp_path / "in", tmp_path / "store"
     source.mkdir()
     (source / "a.jsonl").write_text("\n".join(LINES))
-    ingest.collect(spark, str(source), str(store))
+    take(spark, str(source), str(store))
     assert ingest.committed(spark, str(store)).count() == 2
     (source / "b.jsonl").write_text(LINES[0] + "\n" + LINES[0])
-    ingest.collect(spark, str(source), str(store))
-    ingest.collect(spark, str(source), str(store))
+    take(spark, str(source), str(store))
+    take(spark, str(source), str(store))
     rows = ingest.committed(spark, str(store))
     assert rows.count() == 4
     ingest.append_new(spark, rows.drop("batch_id"), str(store), 99)  # a replay under another number adds nothing
     assert ingest.committed(spark, str(store)).count() == 4
 
 
+def test_files_that_grow_and_shrink(spark, tmp_path):
+    source, store = tmp_path / "in", tmp_path / "store"
+    source.mkdir()
+    file, count = source / "a.jsonl", lambda: ingest.committed(spark, str(store)).count()
+    file.write_text(record("user", "one") + "\n")
+    ingest.collect(spark, str(source), str(store))
+    assert count() == 1
+    with file.open("a") as f:
+        f.write(record("user", "two") + "\n" + record("user", "thr")[:30])  # the last line is not whole yet
+    ingest.collect(spark, str(source), str(store))
+    assert count() == 2
+    file.write_text("\n".join(record("user", x) for x in ("one", "two", "three", "four")))
+    ingest.collect(spark, str(source), str(store))
+    ingest.collect(spark, str(source), str(store))
+    assert count() == 4
+    file.write_text(record("user", "new"))  # shorter: read from the beginning
+    ingest.collect(spark, str(source), str(store))
+    assert count() == 5
+    assert [r["line"] for r in ingest.committed(spark, str(store)).orderBy("line", "content").collect()] == [1, 1, 2, 3, 4]
+    ingest.places(spark, str(store)).count()
+
+
 def test_uncommitted_batches_are_not_seen(spark, tmp_path):
     store = str(tmp_path / "store")
     rows = ingest.evidence_rows(spark.createDataFrame([("f", 1, LINES[0])], "path string, line int, value string"))
@@ -56,16 +81,53 @@ def test_uncommitted_batches_are_not_seen(spark, tmp_path):
     assert ingest.committed(spark, store).count() == 1
 
 
-def test_sessions(spark):
-    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
-    pending = spark.createDataFrame([("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:01:00"), ("b", 3, "2024-01-01 23:59:00")], "session string, id long, t string").select("session", "id", F.col("t").cast("timestamp").alias("ts"))
-    cursor = spark.createDataFrame([("a", 1, 0, None)], "session string, last_id long, fails int, failed_at timestamp")
+CURSOR = "session string, last_id long, fails int, failed_at timestamp"
+
+
+def test_rounds_of_sessions(spark):
+    at = lambda t: F.lit(t).cast("timestamp")
+    rows = [("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:01:00"), ("b", 3, "2024-01-01 23:59:00"), ("c", 4, "2024-01-01 01:00:00"), ("d", 5, "2024-01-01 02:00:00")]
+    pending = spark.createDataFrame(rows, "session string, id long, t string").select("session", "id", F.col("t").cast("timestamp").alias("ts"))
+    cursor = spark.createDataFrame([("a", 1, 0, None), ("z", 9, 0, None)], CURSOR)
+    work = lambda t: t.select("session").distinct().withColumns({"ok": F.col("session") == "a", "permanent": F.col("session") == "d", "result": F.lit("r")})
+    state = lambda c: {r["session"]: (r["last_id"], r["fails"], r["failed_at"] is not None) for r in c.collect()}
+
+    now = at("2024-01-02 00:00:00")
+    taken = ingest.take_due(pending, cursor, now)
+    assert sorted((r["session"], r["id"]) for r in taken.collect()) == [("a", 2), ("c", 4), ("d", 5)]
+    out, cursor, dead = ingest.process(taken, cursor, now, work)
+    assert [r["session"] for r in out.collect()] == ["a"] and [tuple(r) for r in dead.collect()] == [("d", 0, 5)]
+    assert state(cursor) == {"a": (2, 0, False), "c": (None, 1, True), "d": (5, 0, False), "z": (9, 0, False)}
+
+    assert ingest.take_due(pending, cursor, at("2024-01-02 00:09:00")).count() == 0  # c waits ten minutes
+    now = at("2024-01-02 06:00:00")
     taken = ingest.take_due(pending, cursor, now)
-    assert [(r["session"], r["id"]) for r in taken.collect()] == [("a", 2)]
-    for ok, fails, want in ((True, 0, (2, 0)), (False, 0, (1, 1)), (False, 4, (2, 0))):
-        done = lambda t, ok=ok: t.select("session").distinct().withColumns({"ok": F.lit(ok), "result": F.lit("r")})
-        out, moved, dead = ingest.process(taken, cursor.withColumn("fails", F.lit(fails)), done)
-        assert tuple(moved.select("last_id", "fails").first()) == want and (out.count(), dead.count()) == (int(ok), int(not ok and fails == 4))
+    assert sorted(r["session"] for r in taken.collect()) == ["b", "c"]
+    _, cursor, _ = ingest.process(taken, cursor, now, work)
+    assert state(cursor)["c"] == (None, 2, True) and state(cursor)["b"] == (None, 1, True) and state(cursor)["z"] == (9, 0, False)
+    assert state(ingest.retried(cursor, dead))["d"] == (0, 0, False)
+    assert ingest.take_due(pending, cursor, now, baseline=5).count() == 0
+
+    last = spark.createDataFrame([("c", None, 4, None)], CURSOR)
+    _, moved, dead = ingest.process(ingest.take_due(pending.filter("session = 'c'"), last, now), last, now, work)
+    assert state(moved) == {"c": (4, 0, False)} and dead.count() == 1  # the fifth failure
+
+
+def test_late_records_are_not_dropped(spark, tmp_path):
+    source = tmp_path / "in"
+    rows = lambda *r: spark.createDataFrame(list(r), "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts"))
+    rows((1, "2024-01-05 00:00:00"), (2, "2024-01-05 00:00:00")).coalesce(1).write.mode("append").parquet(str(source))
+    rows((1, "2020-01-01 00:00:00")).coalesce(1).write.mode("append").parquet(str(source))  # years late
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
+    run = ingest.session_stream(stream, 4).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if spark.table("closed").count() == 2:
+                break
+    finally:
+        run.stop()
+    assert sorted((r["user_id"], r["n"]) for r in spark.table("closed").collect()) == [(1, 2), (2, 1)]
 
 
 def test_backoff(spark):
