@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG
-from recollect.functions import text
+from recollect.functions import redaction, text
 from recollect.operators import entities, provenance, recall, records, timeline
 from recollect.plans.memory import AIDE, GROUP, OWNER, grams, hit, names, q
 from recollect.plans.queries import _BIN, _EFF, _FE, _SUP, NOW, _bin, _effective, _links, active, query
@@ -263,3 +263,21 @@ def chunk_sizes(spark, d):
     """The chunks of sessions with their sizes."""
     chunks = timeline.greedy_chunks(B.evidence(spark, d))
     return chunks.join(B.evidence(spark, d).select("id", F.length("content").alias("n")), "id").groupBy("path", "chunk").agg(F.sum("n").alias("chars"), F.count("*").alias("lines"))
+
+
+@query("redaction_masks")
+def redaction_masks(spark, d):
+    """How many secrets of each kind are masked in the documents."""
+    masked = B.facts(spark, d).select("fact_id", redaction.redacted(F.col("content")).alias("clean"))
+    return masked.select("fact_id", F.explode(redaction.masks(F.col("clean"))).alias("m")).select("fact_id", "m.kind", "m.n")
+
+
+@query("handoff_notes")
+def handoff_notes(spark, d):
+    """What a new session is given of each session's note, which lists its first lines as summary and its last ones as pending."""
+    w = Window.partitionBy("path").orderBy("turn")
+    line = F.concat(F.lit("- "), F.regexp_replace("content", r"\s+", " "))
+    rows = B.evidence(spark, d).withColumns({"n": F.row_number().over(w), "line": line})
+    lines = lambda low, high: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n").between(low, high), F.struct("n", "line")))), lambda x: x["line"]), "\n")
+    notes = rows.groupBy("path").agg(F.concat(F.lit("## Summary\n"), lines(1, 3), F.lit("\n## Pending\n"), lines(4, 6), F.lit("\n## State\n"), lines(7, 8)).alias("note"), F.max("occurred_at").alias("last"))
+    return notes.select("path", records.injected(F.col("note"), F.col("last"), B.now()).alias("injected"))
