@@ -95,7 +95,7 @@ def glossary(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     group = F.explode(F.split("value", ";"))
     sides = rows.filter(~F.col("value").startswith("#!")).select(group.alias("g")).filter(F.contains("g", F.lit("="))).select(F.split(F.substring_index("g", "=", 1), r"\s*/\s*").alias("names"))
     sides = sides.select(F.filter(F.transform("names", lambda x: F.trim(F.regexp_replace(x, '["“”]', ""))), lambda x: x != "").alias("names")).filter(F.size("names") > 0)
-    aliases = sides.select(F.lower(F.explode("names")).alias("alias"), F.get("names", F.lit(0)).alias("name")).distinct()
+    aliases = sides.select(F.explode("names").alias("alias"), F.get("names", F.lit(0)).alias("name")).select(F.lower("alias").alias("alias"), "name").distinct()
     parent = r"^#!\s*parent\s+(.+?)\s*<\s*(.+)$"
     parents = rows.filter(F.col("value").rlike(parent)).select(F.trim(F.regexp_extract("value", parent, 1)).alias("name"), F.trim(F.regexp_extract("value", parent, 2)).alias("parent"))
     foreign = r"^#!\s*foreign\s+(.+)$"

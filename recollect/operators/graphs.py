@@ -132,41 +132,100 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each row: the two clusters of greatest mean similarity merge while it reaches the threshold."""
-    sim = vectors @ vectors.T
-    size, of = np.ones(len(vectors)), np.arange(len(vectors))
-    np.fill_diagonal(sim, -np.inf)
-    while len(vectors) > 1:
-        i, j = divmod(int(sim.argmax()), len(sim))
-        if sim[i, j] < threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-        sim[i], sim[:, i] = row, row
-        sim[i, i], sim[j], sim[:, j] = -np.inf, -np.inf, -np.inf
-        size[i] += size[j]
-        of[of == j] = i
+    """Cluster of each row (the least row in it): the two clusters of greatest mean similarity merge while it reaches the threshold.
+
+    The mean similarity of two clusters is that of their sums over their sizes, so nothing but sums is kept.  A chain of nearest
+    neighbours ends in two clusters that are each other's nearest: such pairs merge in the order of no matter what, with the same result.  A
+    cluster whose nearest is below the threshold is done, for no merge of others brings them closer to it.
+    """
+    sums, size = vectors.astype(float), np.ones(len(vectors))
+    of, live, chain = np.arange(len(vectors)), np.ones(len(vectors), bool), []
+    while live.any():
+        if not chain:
+            chain.append(int(live.argmax()))
+        top = chain[-1]
+        sim = np.round(sums @ sums[top] / (size * size[top]), 9)
+        sim[~live] = -np.inf
+        sim[top] = -np.inf
+        # Among equals the one we came from, then the least.
+        best = chain[-2] if len(chain) > 1 and sim[chain[-2]] == sim.max() else int(sim.argmax())
+        if not sim[best] >= threshold:
+            live[top] = False
+            chain.pop()
+        elif len(chain) > 1 and best == chain[-2]:
+            i, j = min(top, best), max(top, best)
+            sums[i], size[i], live[j] = sums[i] + sums[j], size[i] + size[j], False
+            of[of == j] = i
+            chain = chain[:-2]
+        else:
+            chain.append(best)
     return of
 
 
-def linked_clusters(vectors: DataFrame, threshold: float, largest: int = 12_000) -> DataFrame:
-    """(id, component, cluster, oversize): average linkage within each component of the threshold graph.
+def linked_clusters(vectors: DataFrame, threshold: float, largest: int = 20_000) -> DataFrame:
+    """(id, component, cluster): average linkage within each component of the threshold graph.
 
-    A mean at the threshold needs a pair at the threshold, so no cluster crosses components.  Components beyond `largest`
-    are not clustered; their rows come back as ``oversize``, each a cluster of its own.
+    A mean at the threshold needs a pair at the threshold, so no cluster crosses components.  Components of up to `largest` vectors are
+    clustered in one task each, larger ones in rounds over all tasks (`merge_rounds`), to the same result.
     """
-    of = components(cosine_pairs(vectors, threshold), vectors)
+    of = saved(components(cosine_pairs(vectors, threshold), vectors))
     sizes = of.groupBy("component").agg(F.count("*").alias("n"))
-    placed = of.join(sizes, "component").join(vectors, "id")
-    alone = placed.filter((F.col("n") == 1) | (F.col("n") > largest)).select("id", "component", F.col("id").alias("cluster"), (F.col("n") > largest).alias("oversize"))
+    placed = saved(of.join(sizes, "component").join(vectors, "id"))
+    alone = placed.filter("n = 1").select("id", "component", F.col("id").alias("cluster"))
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").reset_index(drop=True)
         found = average_linkage(np.stack(rows["vec"]).astype(float), threshold)
-        return pd.DataFrame({"id": rows["id"], "component": rows["component"], "cluster": rows["id"].to_numpy()[found], "oversize": False})
+        return pd.DataFrame({"id": rows["id"], "component": rows["component"], "cluster": rows["id"].to_numpy()[found]})
+
+    some = placed.filter(F.col("n").between(2, largest)).select("id", "component", "vec").groupBy("component").applyInPandas(cluster, "id long, component long, cluster long")
+    out = alone.unionByName(some)
+    many = placed.filter(F.col("n") > largest)
+    return out if many.isEmpty() else out.unionByName(merge_rounds(many.select("id", "component", "vec"), threshold))
 
-    many = placed.filter(F.col("n").between(2, largest)).select("id", "component", "vec").groupBy("component").applyInPandas(cluster, "id long, component long, cluster long, oversize boolean")
-    return alone.unionByName(many)
+
+def merge_rounds(rows: DataFrame, threshold: float) -> DataFrame:
+    """The same for components of any size: in each round every cluster finds its nearest one, and all pairs that are each other's merge.
+
+    rows: id, component, vec.  Clusters are sums and sizes; blocks of them meet in tiles, as vectors do in `cosine_pairs`, and each tile
+    keeps one candidate for a cluster.
+    """
+    of = saved(rows.select("id", "component", F.col("id").alias("cluster")))
+    state = saved(rows.select(F.col("id").alias("cluster"), "component", F.col("vec").cast("array<double>").alias("sum"), F.lit(1.0).alias("size")))
+
+    def nearest(tile: pd.DataFrame) -> pd.DataFrame:
+        i, j = tile["i"].iloc[0], tile["j"].iloc[0]
+        left, right = tile[tile["part"] == i], tile[tile["part"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"cluster": [], "other": [], "sim": []}).astype({"cluster": "int64", "other": "int64"})
+        mean = lambda x: np.stack(x["sum"]) / x["size"].to_numpy()[:, None]
+        sim = np.round(mean(left) @ mean(right).T, 9)
+        a, b = left["cluster"].to_numpy(), right["cluster"].to_numpy()
+        sim[(a[:, None] == b[None]) | (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None])] = -np.inf
+        found = []
+        for ids, others, s in ((a, b, sim), (b, a, sim.T)) if i != j else ((a, b, sim),):
+            order = np.argsort(others, kind="stable")
+            at = order[s[:, order].argmax(axis=1)]  # among equals the least
+            best = s[np.arange(len(ids)), at]
+            found.append(pd.DataFrame({"cluster": ids, "other": others[at], "sim": best})[best >= threshold])
+        return pd.concat(found)
+
+    while True:
+        parts = max(1, -(-state.count() // BLOCK))
+        blocked = state.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int"))
+        tiles = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+        near = tiles.select("i", "j", "part", "cluster", "component", "sum", "size").groupBy("i", "j").applyInPandas(nearest, "cluster long, other long, sim double")
+        best = saved(near.groupBy("cluster").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("b")).select("cluster", (-F.col("b.o")).alias("other")))
+        pairs = best.alias("x").join(best.alias("y"), (F.col("x.other") == F.col("y.cluster")) & (F.col("y.other") == F.col("x.cluster"))).filter("x.cluster < x.other")
+        merged = saved(pairs.select(F.col("x.other").alias("cluster"), F.col("x.cluster").alias("into")))
+        if merged.isEmpty():
+            return of
+        into = lambda df: df.join(merged, "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).drop("into")
+        of = saved(into(of))
+        # What has no partner at the threshold never will: only clusters that have one go on.
+        going = into(state.join(best.select("cluster"), "cluster", "left_semi"))
+        pairs_of = going.groupBy("component", "cluster").agg(F.sum("size").alias("size"), F.collect_list("sum").alias("sums"))  # two at most
+        state = saved(pairs_of.select("cluster", "component", F.expr("aggregate(slice(sums, 2, 1), sums[0], (a, x) -> zip_with(a, x, (p, q) -> p + q))").alias("sum"), "size"))
 
 
 def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

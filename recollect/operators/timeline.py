@@ -25,20 +25,26 @@ def without_repeats(evidence: DataFrame, seconds: int) -> DataFrame:
 
 
 def greedy_chunks(evidence: DataFrame, budget: int = CONFIG.chunk_chars) -> DataFrame:
-    """(id, path, chunk): a new chunk begins where the running size would pass the budget.  The counter resets, so a session is one group."""
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["occurred_at", "id"])
-        chunk, size, out = 0, 0, []
-        for n in rows["n"]:
-            if size and size + n > budget:
-                chunk, size = chunk + 1, 0
-            size += n
-            out.append(chunk)
-        return pd.DataFrame({"id": rows["id"], "path": rows["path"], "chunk": out})
+    """(id, path, chunk): a new chunk begins where the running size would pass the budget.
+
+    The counter starts anew at each chunk, so lines are read in order; a task holds one batch of them and the counter, however long a session is.
+    """
+
+    def cut(batches):
+        path, chunk, size = None, 0, 0
+        for rows in batches:
+            out = []
+            for p, n in zip(rows["path"], rows["n"], strict=True):
+                if p != path:
+                    path, chunk, size = p, 0, 0
+                elif size and size + n > budget:
+                    chunk, size = chunk + 1, 0
+                size += n
+                out.append(chunk)
+            yield pd.DataFrame({"id": rows["id"], "path": rows["path"], "chunk": out})
 
     sized = evidence.select("id", "path", F.col("occurred_at").cast("timestamp").alias("occurred_at"), F.length("content").alias("n"))
-    return sized.groupBy("path").applyInPandas(cut, "id long, path string, chunk int")
+    return sized.repartition("path").sortWithinPartitions("path", "occurred_at", "id").mapInPandas(cut, "id long, path string, chunk int")
 
 
 def due_sessions(pending: DataFrame, now: Column, config: Config = CONFIG) -> DataFrame:

@@ -318,7 +318,9 @@ def session_windows(spark, d):
     return e.groupBy("user_id", F.session_window("ts", f"{CONFIG.idle_minutes} minutes")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n")).drop("session_window")
 
 
-@query("greedy_chunks")
+@query("greedy_chunks", B.with_tables("evidence", then=f"""WITH RECURSIVE r AS (SELECT id, path, length(content) AS n, row_number() OVER (PARTITION BY path ORDER BY occurred_at, id) AS k FROM evidence),
+    g AS (SELECT id, path, k, n AS size, 0 AS chunk FROM r WHERE k = 1 UNION ALL SELECT r.id, r.path, r.k, CASE WHEN size > 0 AND size + n > {CONFIG.chunk_chars} THEN n ELSE size + n END, CASE WHEN size > 0 AND size + n > {CONFIG.chunk_chars} THEN chunk + 1 ELSE chunk END FROM g JOIN r ON r.path = g.path AND r.k = g.k + 1)
+    SELECT id, path, chunk FROM g""".replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_chunks(spark, d):
     return timeline.greedy_chunks(B.evidence(spark, d))
 
@@ -454,7 +456,12 @@ def key_match(spark, d):
     return B.facts(spark, d).withColumn("s", text.slot(F.col("content"))).filter("s IS NOT NULL").select("fact_id", "s.key", "s.value")
 
 
-@query("clause_classify")
+_CLAUSES = "list_filter(string_split_regex(lower(content), '[.!?;,\\n]+'), lambda c: length(trim(c)) >= 3)"
+
+
+@query("clause_classify", B.with_tables("evidence", then="WITH c AS (SELECT id, " + _CLAUSES + " AS cl FROM evidence), v AS (" + " UNION ALL ".join(f"SELECT id, '{n}' AS fact_type, least(0.98::DOUBLE, {conf}::DOUBLE * (0.75::DOUBLE + 0.25::DOUBLE * len(list_filter(cl, lambda x: regexp_matches(x, '{p}'))) / len(cl))) AS confidence, len(list_filter(cl, lambda x: regexp_matches(x, '{p}'))) AS n FROM c" for n, p, conf in text.CLAUSES)
+    + """), b AS (SELECT id, fact_type, confidence FROM v WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, fact_type DESC) = 1)
+    SELECT c.id, CASE WHEN confidence >= 0.55 THEN fact_type ELSE 'episodic' END AS fact_type, round(CASE WHEN confidence >= 0.55 THEN confidence ELSE 0.5::DOUBLE END, 6) AS confidence FROM c LEFT JOIN b ON b.id = c.id"""))
 def clause_classify(spark, d):
     return B.evidence(spark, d).withColumn("c", text.clause_type(F.col("content"))).select("id", "c.fact_type", F.round("c.confidence", 6).alias("confidence"))
 
