@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import documents, written
 from .segments import LETTER, Pieces, PieceTable, classes, lower_nfc, portions, slices
@@ -47,68 +47,86 @@ def grams(word: str, n: int) -> list[str]:
     return [s[k : k + n] for k in range(len(s) - n + 1)]
 
 
+def hashed(kind: int, grams: list[str]) -> np.ndarray:
+    """A key for each gram of a kind; kind 0 is words, n the n-grams."""
+    return np.fromiter((xxh64_intdigest(g.encode("utf-8", "surrogatepass"), kind) for g in grams), np.uint64, len(grams))
+
+
 @dataclass
-class Grams:
-    """Known grams; for each, the languages it was seen in and the logarithm of its frequency there.  `rest` is that of a gram not seen."""
+class Model:
+    """Known words and n-grams by the sorted 64-bit hashes of their kind and text (a few bytes each, far less than strings would take).
+
+    Of each it has the languages it was seen in and the logarithm of its frequency there; `rest[kind]` is that of one that was not seen.
+    """
 
-    known: list[str]
+    languages: list[str]
+    keys: np.ndarray
+    kinds: np.ndarray
     offsets: np.ndarray
-    languages: np.ndarray
+    seen: np.ndarray
     logs: np.ndarray
     rest: np.ndarray
 
-    #: Numbers up to which the shares of all grams are kept as one matrix.
-    DENSE = 1 << 24
-
-    @cached_property
-    def rows(self) -> dict[str, int]:
-        """The row of each gram; built where it is first used, so that it is not sent."""
-        return dict(zip(self.known, range(len(self.known)), strict=True))
-
-    @cached_property
-    def matrix(self) -> np.ndarray | None:
-        return self._shares(np.arange(len(self.known))) if len(self.known) * len(self.rest) <= self.DENSE else None
-
-    def _shares(self, rows: np.ndarray) -> np.ndarray:
+    @classmethod
+    def of(cls, languages: list[str], kinds: np.ndarray, grams: list[str], seen: np.ndarray, logs: np.ndarray, rest: np.ndarray) -> Model:
+        """From a row for each gram and language."""
+        keys = np.zeros(len(grams), np.uint64)
+        for kind in range(LONGEST + 1):
+            mine = np.flatnonzero(kinds == kind)
+            keys[mine] = hashed(kind, [grams[k] for k in mine])
+        order = np.lexsort((seen, keys))
+        distinct, first = np.unique(keys[order], return_index=True)
+        at = order.astype(np.int64)
+        return cls(languages, distinct, kinds[at][first].astype(np.uint8), np.append(first, len(grams)), seen[at].astype(np.int32), logs[at].astype(np.float32), rest.astype(np.float32))
+
+    def shares(self, rows: np.ndarray) -> np.ndarray:
+        """For each row the logarithm of each language's share in the gram."""
         n = self.offsets[rows + 1] - self.offsets[rows]
         at = np.repeat(self.offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        out = np.tile(self.rest, (len(rows), 1))
-        out[np.repeat(np.arange(len(rows)), n), self.languages[at]] = self.logs[at]
+        out = self.rest[self.kinds[rows]]
+        out[np.repeat(np.arange(len(rows)), n), self.seen[at]] = self.logs[at]
         out -= out.max(axis=1, keepdims=True, initial=-np.inf)
         return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
 
-    def get(self, grams: list[str]) -> np.ndarray | None:
-        """The mean over the known ones of the grams of the logarithms of each language's share; null if none is known."""
-        rows = [r for g in grams if (r := self.rows.get(g)) is not None]
-        if not rows:
-            return None
-        found = self.matrix[rows] if self.matrix is not None else self._shares(np.array(rows))
-        return found[0] if len(rows) == 1 else found.mean(axis=0)
-
-
-@dataclass
-class Model:
-    """`scores[kind][gram]`: for each language the log of its share in this gram; kind 0 is words, n the n-grams."""
-
-    languages: list[str]
-    scores: list[Grams]
-
-    def word(self, word: str) -> np.ndarray:
-        for n in (0, *range(LONGEST, 0, -1)) if self.scores else ():
-            if (v := self.scores[n].get(grams(word, n) if n else [word])) is not None:
-                return v
-        return np.zeros(len(self.languages), np.float32)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(self.keys.searchsorted(keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def scored(self, words: list[str]) -> np.ndarray:
+        """The scores of words in each language: of the word if it is known, else the mean of its longest n-grams that are."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        rows = self.find(hashed(0, words))
+        out[rows >= 0] = self.shares(rows[rows >= 0])
+        todo = np.flatnonzero(rows < 0)
+        for n in range(LONGEST, 0, -1):
+            if not len(todo):
+                break
+            parts = [grams(words[k], n) for k in todo]
+            sizes = np.array([len(p) for p in parts])
+            rows, owner = self.find(hashed(n, [g for p in parts for g in p])), np.repeat(np.arange(len(todo)), sizes)
+            owner, rows = owner[rows >= 0], rows[rows >= 0]
+            known = np.bincount(owner, minlength=len(todo))
+            sums = np.zeros((len(todo), len(self.languages)))
+            np.add.at(sums, owner, self.shares(rows))
+            out[todo[known > 0]] = sums[known > 0] / known[known > 0, None]
+            todo = todo[known == 0]
+        return out
 
     def table(self) -> PieceTable:
         """Each piece's scores and its weight (1 for a word, 0 for what is none), as float32 bytes."""
-        nothing = np.zeros(len(self.languages) + 1, np.float32).tobytes()
-        one = np.ones(1, np.float32)
 
         def encode(pieces: list[bytes]) -> list[bytes]:
             words = [p.decode("utf-8") for p in pieces]
-            return [np.concatenate([self.word(w), one]).astype(np.float32).tobytes() if letters(w) else nothing for w in words]
+            mine = np.array([letters(w) for w in words], bool)
+            out = np.zeros((len(words), len(self.languages) + 1), np.float32)
+            out[mine, -1] = 1
+            out[mine, :-1] = self.scored([w for w, m in zip(words, mine, strict=True) if m])
+            return [row.tobytes() for row in out]
 
-        return PieceTable("word", encode, {})
+        return PieceTable("word", encode, {}, keep=40_000)
 
 
 def held_out():
@@ -119,7 +137,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sizes = labelled.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
-        return Model([], [])
+        return Model.of([], *(np.zeros(0, int), []), np.zeros(0, int), np.zeros(0), np.zeros((LONGEST + 1, 0)))
     each = min(sample, total / len(sizes))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000_000)) / 1_000_000_000
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
@@ -144,7 +162,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
                     for w, n in zip(words, np.bincount(found.codes, minlength=len(words)).tolist(), strict=True):
                         if letters(w):
                             mine[0][w] += n
-                if len(mine[0]) > 50_000:
+                if len(mine[0]) > 10_000:
                     spell(counts)
                     yield out()
         spell(counts)
@@ -164,19 +182,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
     rows = counted.toArrow()  # of the sample
     number = {x: k for k, x in enumerate(names)}
     kinds, langs = rows.column("kind").to_numpy(), np.array([number[x] for x in rows.column("lang").to_pylist()], np.int32)
-    n, spelled = rows.column("n").to_numpy().astype(float), rows.column("gram").combine_chunks()
-    scores = []
-    for kind in range(LONGEST + 1):
-        mine = np.flatnonzero(kinds == kind)
-        coded = spelled.take(pa.array(mine)).dictionary_encode()
-        codes = coded.indices.to_numpy()
-        order = np.lexsort((langs[mine], codes))
-        size = np.array([totals.get((x, kind), (0, 0)) for x in names], float)
-        below = np.log(size[:, 0] + SMOOTH * (size[:, 1] + 1))
-        logs = np.log(n[mine] + SMOOTH) - below[langs[mine]]
-        offsets = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
-        scores.append(Grams(coded.dictionary.to_pylist(), offsets, langs[mine][order], logs[order].astype(np.float32), (np.log(SMOOTH) - below).astype(np.float32)))
-    return Model(names, scores)
+    size = np.array([[totals.get((x, kind), (0, 0)) for x in names] for kind in range(LONGEST + 1)], float)
+    below = np.log(size[:, :, 0] + SMOOTH * (size[:, :, 1] + 1))
+    logs = np.log(rows.column("n").to_numpy() + SMOOTH) - below[kinds, langs]
+    return Model.of(names, kinds, rows.column("gram").to_pylist(), langs, logs, np.log(SMOOTH) - below)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:

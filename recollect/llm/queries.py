@@ -16,6 +16,9 @@ WHERE = {
     "op7_topk": "topk",
     "op8_language": "langid",
     "op9_simhash": "simhash",
+    "base_licenses": "base_sql",
+    "base_quality": "base_sql",
+    "base_pii": "base_sql",
 }
 
 
@@ -24,6 +27,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .base_sql import SQL
     from .topk import OP7_SQL
 
-    return {"op7_topk": OP7_SQL}
+    return {"op7_topk": OP7_SQL} | SQL

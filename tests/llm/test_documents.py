@@ -309,17 +309,15 @@ def test_language_against_brute_force(spark, docs):
 
 
 def test_backoff_goes_to_shorter_grams():
-    def of(known):
-        """Grams of two languages with the given frequencies."""
-        rows = list(known.values())
-        return langid.Grams(list(known), np.arange(0, 2 * len(rows) + 1, 2), np.array([0, 1] * len(rows), np.int32), np.log(np.array(rows, np.float32).ravel()), np.zeros(2, np.float32))
-
-    for dense in (langid.Grams.DENSE, 0):
-        model = langid.Model(["a", "b"], [of({"known": (0.5, 0.5)}), of({"x": (0.2, 0.8)}), of({}), of({"abc": (0.9, 0.1), "bcz": (0.1, 0.9)}), of({}), of({})])
-        for g in model.scores:
-            g.DENSE = dense
-        assert np.allclose(np.exp(model.word("known")), [0.5, 0.5]) and np.allclose(np.exp(model.word("xx")), [0.2, 0.8])
-        assert np.allclose(model.word("zabcz"), np.log([[0.9, 0.1], [0.1, 0.9]]).mean(axis=0)) and model.word("q").tolist() == [0.0, 0.0]
+    known = {(0, "known"): (0.5, 0.5), (1, "x"): (0.2, 0.8), (3, "abc"): (0.9, 0.1), (3, "bcz"): (0.1, 0.9)}
+    rows = [(k, g, lang, np.log(v)) for (k, g), p in known.items() for lang, v in enumerate(p)]
+    kinds, names, seen, logs = zip(*rows, strict=True)
+    model = langid.Model.of(["a", "b"], np.array(kinds), list(names), np.array(seen), np.array(logs), np.zeros((6, 2)))
+    found = model.scored(["known", "xx", "zabcz", "q"])
+    assert np.allclose(np.exp(found[:2]), [[0.5, 0.5], [0.2, 0.8]], atol=1e-6)
+    assert np.allclose(found[2], np.log([[0.9, 0.1], [0.1, 0.9]]).mean(axis=0), atol=1e-6) and found[3].tolist() == [0.0, 0.0]
+    one = langid.Model.of(["a", "b"], np.array([0]), ["w"], np.array([1]), np.log([0.5]), np.log(np.full((6, 2), 0.25)))
+    assert np.allclose(np.exp(one.scored(["w"])), [[1 / 3, 2 / 3]], atol=1e-6)
 
 
 # -- simhash
