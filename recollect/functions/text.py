@@ -15,6 +15,16 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, many).when(n == 1, F.array(s)).otherwise(F.array().cast("array<string>"))
 
 
+def windows(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    out = chars
+    for k in range(1, n):
+        # An empty slice begins behind the end where the text is too short.
+        out = F.zip_with(F.slice(out, 1, F.greatest(F.size(chars) - k, F.lit(0))), F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(out)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))

@@ -81,3 +81,40 @@ def quota_picks(rows: DataFrame, stratum: str, total: int) -> DataFrame:
     quota = sizes.join(F.broadcast(all_), F.lit(True)).select(stratum, F.floor(F.lit(total) * F.col("n") / F.col("all")).alias("quota"))
     w = Window.partitionBy(stratum).orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
     return rows.join(quota, stratum).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("quota")).select(stratum, "id", "place")
+
+
+def put(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """The open working set with new entries: one of the same session, kind and content is renewed instead of kept twice.
+
+    Both: session, kind, content, id, confidence, created_at, updated_at.
+    """
+    both = rows.unionByName(new)
+    return both.groupBy("session", "kind", "content").agg(F.min("id").alias("id"), F.max("confidence").alias("confidence"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+
+
+def closed(rows: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """rows (id, status, ...) with the open ones that `done` (id, to: done, dropped or evicted) names closed; others stay as they are."""
+    to = done.filter(F.col("to").isin("done", "dropped", "evicted"))
+    both = rows.join(to, "id", "left")
+    on = (F.col("status") == "open") & F.col("to").isNotNull()
+    return both.withColumns({"status": F.when(on, F.col("to")).otherwise(F.col("status")), "closed_at": F.when(on, now).otherwise(F.lit(None))}).drop("to")
+
+
+def deleted(state: DataFrame, picks: DataFrame, now: Column, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
+    """(rows for the archive, rows for the state log) of facts put into the bin; pinned ones are refused.
+
+    state: fact_id, version, status, layer, user_pinned; picks: fact_id, batch_id, category.
+    """
+    hit = state.join(picks, "fact_id").filter("NOT user_pinned")
+    archive = hit.select("fact_id", "batch_id", "category", F.col("status").alias("prev_status"), F.col("layer").alias("prev_layer"), F.col("version").alias("prev_version"), F.lit("archived").alias("action"), now.alias("archived_at"))
+    gone = F.when(F.col("status").isin(*config.live), "invalid").otherwise(F.col("status"))
+    return archive, hit.select("fact_id", (F.col("version") + 1).alias("version"), gone.alias("status"), F.lit("cold").alias("layer"), "user_pinned")
+
+
+def restored(state: DataFrame, archive: DataFrame, batch: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows for the archive, rows for the state log) that bring a batch back as it was; what is back already is left out."""
+    mine = archive.filter(F.col("batch_id") == batch)
+    out = mine.filter("action = 'archived'").join(mine.filter("action = 'restored'").select("fact_id"), "fact_id", "left_anti")
+    back = out.select("fact_id", "batch_id", "category", "prev_status", "prev_layer", "prev_version", F.lit("restored").alias("action"), now.alias("archived_at"))
+    rows = state.join(out.select("fact_id", "prev_status", "prev_layer"), "fact_id")
+    return back, rows.select("fact_id", (F.col("version") + 1).alias("version"), F.col("prev_status").alias("status"), F.coalesce("prev_layer", "layer").alias("layer"), "user_pinned")

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG, Config
-from recollect.functions import scores
+from recollect.functions import scores, text
 
 #: Queries come in batches; a batch is sent to all tasks only up to this many rows.
 SMALL = 10_000
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(SMALL + 1).count() <= SMALL
+
+
 def small(df: DataFrame) -> DataFrame:
     """`df` marked for broadcast if it is known to be small, else as it is."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def live(facts: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -48,12 +52,22 @@ def with_activation(facts: DataFrame, now: Column) -> DataFrame:
 
 
 def term_matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, term, term_rank and fact_id of every fact whose text holds the term; terms: query_id, term_rank, term."""
-    return facts.join(small(terms), F.contains(F.lower("content"), F.col("term")))
+    """query_id, term, term_rank and the columns of every fact whose text holds the term; terms: query_id, term_rank, term.
+
+    A small batch of terms goes to the facts.  A larger one meets the facts' runs of up to three characters by equi-joins, on the first ones
+    of each term, and what is found is then looked at; facts need a ``fact_id`` for that.
+    """
+    if is_small(terms):
+        return facts.join(F.broadcast(terms), F.contains(F.lower("content"), F.col("term")))
+    low = F.lower("content")
+    runs = facts.select("fact_id", F.explode(F.concat(*(text.windows(low, n) for n in (1, 2, 3)))).alias("_run"))
+    wanted = terms.withColumn("_run", F.substring("term", 1, 3))
+    near = runs.join(wanted.select("_run").distinct(), "_run", "left_semi").join(wanted, "_run").drop("_run")
+    return facts.join(near, "fact_id").filter(F.contains(low, F.col("term")))
 
 
 def document_frequency(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    hits = term_matches(facts.select("content"), terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
+    hits = term_matches(facts.select("fact_id", "content"), terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
     return terms.join(hits, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
@@ -89,12 +103,41 @@ def dot(a: Column, b: Column) -> Column:
 def vector_channel(vectors: DataFrame, queries: DataFrame, k: int, floor: float, own: str | None = None) -> DataFrame:
     """query_id, fact_id, sim, rank: the k most similar vectors of each query above the floor; queries: query_id, query_vec.
 
-    The few query rows go to the vectors, which stay where they are.
+    A few query rows go to the vectors, which stay where they are.  Many are dealt to blocks, as the vectors are, and each pair of blocks is
+    one task that keeps the best of each query.
     """
-    met = vectors.join(small(queries), F.col("fact_id") != F.col(own) if own else F.lit(True))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "fact_id")
-    ranked = met.withColumn("sim", F.round(dot(F.col("vec"), F.col("query_vec")), 6)).withColumn("rank", F.row_number().over(w))
-    return ranked.filter((F.col("rank") <= k) & (F.col("sim") >= floor)).select("query_id", "fact_id", "sim", "rank")
+    if is_small(queries):
+        met = vectors.join(F.broadcast(queries), F.col("fact_id") != F.col(own) if own else F.lit(True))
+        scored = met.select("query_id", "fact_id", F.round(dot(F.col("vec"), F.col("query_vec")), 6).alias("sim"))
+    else:
+        scored = _tiled(vectors.select("fact_id", "vec"), queries.select("query_id", "query_vec", F.col(own).alias("own") if own else F.lit(None).cast("long").alias("own")), k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("sim") >= floor)).select("query_id", "fact_id", "sim", "rank")
+
+
+def _tiled(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """query_id, fact_id, sim: of each query the k best of every block of vectors."""
+    import numpy as np
+    import pandas as pd
+
+    parts = lambda df: max(1, -(-df.count() // block))
+    rows, asked = parts(vectors), parts(queries)
+    deal = lambda df, key, n, other, m, mine: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = deal(vectors, "fact_id", rows, "j", asked, "i"), deal(queries, "query_id", asked, "i", rows, "j")
+
+    def best(key, v, q):
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "fact_id": v["fact_id"][:0], "sim": np.zeros(0)})
+        v = v.sort_values("fact_id")
+        ids = v["fact_id"].to_numpy()
+        sim = np.round(np.stack(q["query_vec"]).astype(float) @ np.stack(v["vec"]).astype(float).T, 6)
+        sim[q["own"].to_numpy(dtype=float, na_value=np.nan)[:, None] == ids[None]] = -np.inf
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(sim, at, 1)
+        out = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), "fact_id": ids[at].ravel(), "sim": top.ravel()})
+        return out[np.isfinite(out["sim"])]
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, fact_id long, sim double")
 
 
 def fuse(*channels: tuple[str, DataFrame]) -> DataFrame:
@@ -115,8 +158,8 @@ def hybrid(facts: DataFrame, fused: DataFrame, config: Config = CONFIG) -> DataF
     return ranked.select("query_id", "rank", "fact_id", "score", "via", "act")
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def tokens(content: Column) -> Column:
+    return F.regexp_extract_all(F.lower(content), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def bm25(facts: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -126,7 +169,7 @@ def bm25(facts: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.2, b: fl
     size = docs.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     tf = docs.join(t, F.array_contains("words", F.col("term"))).select("query_id", "fact_id", "term", "len", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"))
     df = tf.select("term", "fact_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(size), F.lit(True))  # df: a row for each term asked for; size: one row
+    scored = tf.join(small(df), "term").join(F.broadcast(size), F.lit(True))  # df: a row for each term asked for; size: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")

@@ -298,3 +298,32 @@ def with_model(rows: DataFrame, judge: Callable[[DataFrame], DataFrame] | None)
         return judge(rows)
     types = {"model_promote": "boolean", "model_subject": "string", "model_quote": "string", "model_confidence": "double", "model_slots": "int"}
     return rows.withColumns({k: F.lit(None).cast(t) for k, t in types.items()})
+
+
+# -- other sources --------------------------------------------------------------------------------
+
+
+def mailbox(messages: DataFrame, done: DataFrame, until: Column, known: dict[str, str], skip: str) -> DataFrame:
+    """Evidence (locator, actor, content, occurred_at) of a log of messages: those before a cut-off, of known senders, with words, and not taken yet.
+
+    messages: id, ts, sender, text, imported; done: locator.
+    """
+    actors = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
+    said = F.trim(F.coalesce("text", F.lit("")))
+    rows = messages.filter((F.col("ts") < until) & ~F.coalesce("imported", F.lit(False)) & (F.length(said) >= 2) & ~said.rlike(skip))
+    rows = rows.select(F.concat(F.lit("id"), "id").alias("locator"), F.element_at(actors, F.col("sender")).alias("actor"), said.alias("content"), F.col("ts").alias("occurred_at"))
+    return rows.filter("actor IS NOT NULL").join(done.select("locator"), "locator", "left_anti")
+
+
+SUGGESTS = r"(?i)\b(you could|you should|how about|why not|shall we)\b"
+TECHNICAL = r"(?i)\b(code|server|database|function|error|file|script)\b"
+OWN_FAULT = r"(?i)\b(my mistake|i was wrong|sorry)\b"
+ASKS = r"\?\s*$"
+
+
+def own_speech_class(body: Column, slot: Column) -> Column:
+    """Which pool of the assistant's own sentences one belongs to when they are condensed (suggestion, technical or other), or null for none:
+    short ones without a slot and bare questions stay out, unless they own up to a fault."""
+    n = F.length(body)
+    out = ~body.rlike(OWN_FAULT) & ~slot & ((n < 25) | ((n <= 120) & body.rlike(ASKS)))
+    return F.when(out, None).when(body.rlike(SUGGESTS), "suggestion").when((n >= 150) & body.rlike(TECHNICAL), "technical").otherwise("other")

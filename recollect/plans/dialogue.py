@@ -184,16 +184,16 @@ def pinned_candidates(spark, d):
     return met.withColumn("place", F.row_number().over(w)).filter("place <= 3")
 
 
-_MATCH = f"""t(query_id, term_rank, term) AS {_values(WORDS)}, df AS (SELECT term, (SELECT count(*) FROM live WHERE contains(lower(content), term)) AS df FROM (SELECT DISTINCT term FROM t)),
-    m AS (SELECT query_id, fact_id, df, contains(lower(content), term) AS hit, confidence FROM live, t JOIN df USING (term))"""
-
-
-@query("lexical_probe", B.with_tables("live", then=f"WITH {_MATCH} SELECT query_id, fact_id, round(greatest(sum(CASE WHEN hit THEN 1 / log2(df + 2) ELSE 0.0::DOUBLE END) / sum(1 / log2(df + 2)), any_value(confidence) - 0.3::DOUBLE), 6) AS relevance FROM m GROUP BY ALL"))
+@query("lexical_probe", B.with_tables("live", then=f"""WITH {ACTIVE}, {_POOL}, df AS (SELECT term, (SELECT count(*) FROM live WHERE contains(lower(content), term)) AS df FROM (SELECT DISTINCT term FROM t)),
+    m AS (SELECT pool.query_id, fact_id, df, contains(lower(pool.content), term) AS hit, confidence FROM pool JOIN live USING (fact_id) JOIN t ON t.query_id = pool.query_id JOIN df USING (term))
+    SELECT query_id, fact_id, round(greatest(sum(CASE WHEN hit THEN 1 / log2(df + 2) ELSE 0.0::DOUBLE END) / sum(1 / log2(df + 2)), any_value(confidence) - 0.3::DOUBLE), 6) AS relevance FROM m GROUP BY ALL"""))
 def lexical_probe(spark, d):
+    """The cheap relevance of what is in the pool of each question."""
     facts = recall.live(B.facts(spark, d))
     df = recall.document_frequency(facts, terms(spark, WORDS))
-    met = facts.join(recall.small(df), F.lit(True)).withColumn("hit", F.contains(F.lower("content"), F.col("term")))
-    sims = facts.join(recall.small(terms(spark, WORDS).select("query_id").distinct()), F.lit(True)).select("query_id", "fact_id", (F.col("confidence") - 0.3).alias("sim"))
+    hits = pool(spark, d)
+    met = hits.join(recall.small(df), "query_id").withColumn("hit", F.contains(F.lower("content"), F.col("term")))
+    sims = hits.select("query_id", "fact_id").join(facts.select("fact_id", (F.col("confidence") - 0.3).alias("sim")), "fact_id")
     return reports.probe(met.select("query_id", "fact_id", "term", "df", "hit"), sims)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.config import CONFIG
 from recollect.functions import redaction, text
-from recollect.operators import entities, provenance, recall, records, timeline
+from recollect.operators import entities, lifecycle, provenance, recall, records, timeline, value_gate
 from recollect.plans.memory import AIDE, GROUP, OWNER, grams, hit, names, q
 from recollect.plans.queries import _BIN, _EFF, _FE, _SUP, NOW, _bin, _effective, _links, active, query
 from recollect.sources import bindings as B
@@ -281,3 +281,75 @@ def handoff_notes(spark, d):
     lines = lambda low, high: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n").between(low, high), F.struct("n", "line")))), lambda x: x["line"]), "\n")
     notes = rows.groupBy("path").agg(F.concat(F.lit("## Summary\n"), lines(1, 3), F.lit("\n## Pending\n"), lines(4, 6), F.lit("\n## State\n"), lines(7, 8)).alias("note"), F.max("occurred_at").alias("last"))
     return notes.select("path", records.injected(F.col("note"), F.col("last"), B.now()).alias("injected"))
+
+
+# -- working set and bin --------------------------------------------------------------------------
+
+
+@query("working_set_put", "SELECT user_id AS session, event_type AS kind, props AS content, min(event_id) AS id, max(value) AS confidence, max(ts) AS updated_at FROM events GROUP BY ALL")
+def working_set_put(spark, d):
+    rows = B.table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("kind"), F.col("props").alias("content"), F.col("event_id").alias("id"), F.col("value").alias("confidence"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    return lifecycle.put(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")).drop("created_at")
+
+
+@query("working_set_close", "SELECT event_id AS id, CASE WHEN event_type <> 'error' AND event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'done' ELSE 'dropped' END WHEN event_type = 'error' THEN 'evicted' ELSE 'open' END AS status FROM events")
+def working_set_close(spark, d):
+    e = B.table(spark, d, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "evicted").otherwise("open").alias("status"))
+    done = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "done").otherwise("dropped").alias("to"))
+    return lifecycle.closed(rows, done, B.now()).select("id", "status")
+
+
+def _state(spark, d):
+    return B.facts(spark, d).select("fact_id", F.lit(1).alias("version"), "status", "layer", F.col("pinned").alias("user_pinned"))
+
+
+def _deleted(spark, d):
+    picks = B.facts(spark, d).filter("fact_id % 3 = 0").select("fact_id", (F.col("fact_id") % 7).alias("batch_id"), F.lit("noise").alias("category"))
+    return lifecycle.deleted(_state(spark, d), picks, B.now())
+
+
+@query("bin_deletes", B.with_tables("facts", then=f"SELECT fact_id, 2 AS version, CASE WHEN status IN {CONFIG.live} THEN 'invalid' ELSE status END AS status, 'cold' AS layer FROM facts WHERE fact_id % 3 = 0 AND NOT pinned"))
+def bin_deletes(spark, d):
+    return _deleted(spark, d)[1].drop("user_pinned")
+
+
+@query("bin_restores", B.with_tables("facts", then="SELECT fact_id, 3 AS version, status, layer FROM facts WHERE fact_id % 3 = 0 AND NOT pinned AND fact_id % 7 = 2"))
+def bin_restores(spark, d):
+    archive, state = _deleted(spark, d)
+    return lifecycle.restored(state, archive, F.lit(2), B.now())[1].drop("user_pinned")
+
+
+# -- other sources and replays --------------------------------------------------------------------
+
+
+@query("mailbox_rows", f"SELECT 'id' || event_id AS locator, CASE event_type WHEN 'view' THEN '{OWNER}' ELSE '{AIDE}' END AS actor, props AS content FROM events WHERE ts < {NOW} - INTERVAL 2 DAYS AND event_id % 11 <> 0 AND length(trim(props)) >= 2 AND NOT regexp_matches(props, '\"k\": 1[}}]') AND event_type IN ('view', 'click') AND event_id % 10 <> 0")
+def mailbox_rows(spark, d):
+    e = B.table(spark, d, "events")
+    messages = e.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("sender"), F.col("props").alias("text"), (F.col("event_id") % 11 == 0).alias("imported"))
+    done = e.filter("event_id % 10 = 0").select(F.concat(F.lit("id"), "event_id").alias("locator"))
+    return records.mailbox(messages, done, F.expr(f"TIMESTAMP_NTZ '{CONFIG.now}' - INTERVAL 2 DAYS"), {"view": OWNER, "click": AIDE}, '"k": 1}').drop("occurred_at")
+
+
+_CLASS = f"CASE WHEN NOT {hit('content', records.OWN_FAULT)} AND NOT slot AND (length(content) < 25 OR (length(content) <= 120 AND {hit('content', records.ASKS)})) THEN NULL WHEN {hit('content', records.SUGGESTS)} THEN 'suggestion' WHEN length(content) >= 150 AND {hit('content', records.TECHNICAL)} THEN 'technical' ELSE 'other' END"
+
+
+@query("own_speech_classes", B.with_tables("statements", then=f"WITH s AS (SELECT fact_id, content, {hit('content', '[0-9]{2,}')} AS slot FROM statements WHERE subject = '{AIDE}') SELECT fact_id, {_CLASS} AS pool FROM s"))
+def own_speech_classes(spark, d):
+    rows = B.statements(spark, d).filter(F.col("subject") == AIDE)
+    return rows.select("fact_id", records.own_speech_class(F.col("content"), F.col("content").rlike("[0-9]{2,}")).alias("pool"))
+
+
+def _share(c: str) -> str:
+    return f"(len(g) < 4 OR len(list_intersect(g, {grams(c)}))::DOUBLE / len(g) >= 0.3)"
+
+
+@query("gate_replay", B.with_tables("evidence", "statements", then=f"""WITH c AS (SELECT id, coalesce(lag(content) OVER w, '') AS one, coalesce(string_agg(content, ' ') OVER (PARTITION BY path ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS three FROM evidence WINDOW w AS (PARTITION BY path ORDER BY turn)),
+    s AS (SELECT subject, one, three, {grams("content")} AS g FROM statements JOIN c ON c.id = evidence_id) SELECT subject, {_share("one")} AS by_line, {_share("three")} AS by_window, count(*) AS n FROM s GROUP BY ALL"""))
+def gate_replay(spark, d):
+    """What is grounded in the line before, and what in the three lines before: how many facts a wider window would let in."""
+    w = Window.partitionBy("path").orderBy("turn")
+    lines = B.evidence(spark, d).select(F.col("id").alias("evidence_id"), F.coalesce(F.lag("content").over(w), F.lit("")).alias("one"), F.array_join(F.collect_list("content").over(w.rowsBetween(-3, -1)), " ").alias("three"))
+    rows = B.statements(spark, d).join(lines, "evidence_id")
+    by = lambda c: value_gate.grounded(F.col("content"), F.col(c))
+    return rows.groupBy("subject", by("one").alias("by_line"), by("three").alias("by_window")).agg(F.count("*").alias("n"))

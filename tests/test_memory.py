@@ -255,3 +255,31 @@ def test_expired(spark, now):
     archive = spark.createDataFrame([(1, 1, at(1)), (1, 2, at(1)), (2, 3, at(10)), (3, 4, at(1))], "batch_id long, fact_id long, opened_at timestamp")
     gone = records.expired(archive, spark.createDataFrame([(1, 2)], "batch_id long, fact_id long"), spark.createDataFrame([(3,)], "batch_id long"), F.lit(now).cast("timestamp"))
     assert [tuple(r) for r in gone.select("batch_id", "fact_id").collect()] == [(1, 1)]
+
+
+def test_large_batches_find_the_same(spark, sf, monkeypatch):
+    from recollect.operators import recall
+    from recollect.sources import bindings
+
+    facts = bindings.facts(spark, sf).select("fact_id", "content")
+    terms = spark.createDataFrame([("q1", 1, "the"), ("q1", 2, "waser"), ("q2", 1, "an"), ("q3", 1, "e"), ("q4", 1, "zzzz"), ("q5", 1, "é")], "query_id string, term_rank int, term string")
+    vectors = bindings.vectors(spark, sf)
+    queries = vectors.filter("fact_id % 9 = 0").select(F.concat(F.lit("q"), "fact_id").alias("query_id"), F.col("fact_id").alias("own_id"), F.col("vec").alias("query_vec"))
+    found = lambda: ({tuple(r) for r in recall.term_matches(facts, terms).select("query_id", "term", "fact_id").collect()}, {tuple(r) for r in recall.vector_channel(vectors, queries, 5, 0.1, "own_id").collect()})
+    few = found()
+    monkeypatch.setattr(recall, "SMALL", 1)
+    many = found()
+    assert few[0] == many[0] and few[1] == many[1] and len(few[0]) > 100 and len(few[1]) > 50
+
+
+def test_working_set_and_bin(spark):
+    from recollect.operators import lifecycle
+
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    state = spark.createDataFrame([(1, 1, "candidate", "active", False), (2, 1, "confirmed", "active", True), (3, 4, "uncertain", "cold", False)], "fact_id long, version int, status string, layer string, user_pinned boolean")
+    picks = spark.createDataFrame([(1, 5, "noise"), (2, 5, "noise"), (3, 6, "noise")], "fact_id long, batch_id long, category string")
+    archive, log = lifecycle.deleted(state, picks, now)
+    assert {(r["fact_id"], r["version"], r["status"], r["layer"]) for r in log.collect()} == {(1, 2, "invalid", "cold"), (3, 5, "uncertain", "cold")}
+    back, log2 = lifecycle.restored(log, archive, F.lit(5), now)
+    assert [(r["fact_id"], r["version"], r["status"], r["layer"]) for r in log2.collect()] == [(1, 3, "candidate", "active")]
+    assert lifecycle.restored(log2, archive.unionByName(back), F.lit(5), now)[0].count() == 0  # once
