@@ -35,7 +35,7 @@ _BLOCKS = "dim int, number long, ids binary, values binary"
 
 
 def blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
-    """vec_id and v (array of long) as blocks: ids and values are little-endian longs, rows in ascending order of id."""
+    """vec_id and v (array of long) as blocks: ids are little-endian longs, values too or of 16 bits where that is enough; rows ascend by id."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -45,6 +45,8 @@ def blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
             nonlocal number
             ids = np.array([x[0] for x in held[dim]], "<i8")
             values = np.stack([x[1] for x in held[dim]]).astype("<i8")
+            if np.abs(values).max(initial=0) < 2**15:
+                values = values.astype("<i2")
             order = ids.argsort(kind="stable")
             held[dim] = []
             number += 1
@@ -75,7 +77,7 @@ def search(query_ids, queries, row_ids, rows, best, k: int, first: int = 16) ->
     Unused places of `best` have NONE as score.  Rows ascend by id.
     """
     n, m = len(queries), len(rows)
-    exact = np.abs(queries).max(initial=0) * float(np.abs(rows).max(initial=0)) * rows.shape[1] < 2**52
+    exact = float(np.abs(queries.astype(np.int64)).max(initial=0)) * float(np.abs(rows.astype(np.int64)).max(initial=0)) * rows.shape[1] < 2**52
     kind = np.float64 if exact else np.int64
     q, r = queries.astype(kind), rows.astype(kind)
     order = lists_of(rows)
@@ -131,14 +133,20 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, per_block: int = BLO
                 row = {c: batch.column(c)[x] for c in batch.schema.names}
                 dim = row["dim"].as_py()
                 array = lambda c: np.frombuffer(row[c].as_buffer(), "<i8")
-                ids, values = array("ids"), array("values").reshape(-1, dim)
+
+                def matrix(c, n):
+                    data = row[c].as_buffer()
+                    return np.frombuffer(data, f"<i{len(data) // (n * dim)}").reshape(n, dim)
+
+                ids = array("ids")
+                values = matrix("values", len(ids))
                 query = row["q"].as_py()
                 if query not in held:
                     if held:
                         yield out(*held.popitem()[1])
                     q_ids = array("q_ids").copy()
                     best = np.full((len(q_ids), k), NONE), np.full((len(q_ids), k), np.iinfo(np.int64).max)
-                    held[query] = [q_ids, array("q_values").reshape(-1, dim).copy(), best]
+                    held[query] = [q_ids, matrix("q_values", len(q_ids)).copy(), best]
                 q_ids, q_values, best = held[query]
                 search(q_ids, q_values, ids, values, best, k)
         if held:

@@ -199,9 +199,10 @@ def test_a_repeated_key_is_split(spark):
 # -- top-k
 
 
-def test_threshold_algorithm(spark):
+@pytest.mark.parametrize("scale", [1, 2**20])
+def test_threshold_algorithm(spark, scale):
     rng = np.random.default_rng(4)
-    vectors = rng.integers(-20, 20, (700, 6))
+    vectors = rng.integers(-20, 20, (700, 6)) * scale
     vectors[:100] = vectors[100:200]  # ties
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, v array<long>").repartition(3)
     got = topk.top_k(rows.filter("vec_id % 20 = 0"), rows, 20, per_block=64).collect()
