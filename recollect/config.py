@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -48,4 +51,33 @@ class Config:
     bin_days: int = 15
 
 
+    @classmethod
+    def load(cls, path: str) -> Config:
+        """The settings of a JSON file; what it doesn't name keeps its default, and a name that is none is an error."""
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        if unknown := set(given) - {x.name for x in fields(cls)}:
+            raise ValueError(f"no such settings: {sorted(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
 CONFIG = Config()
+
+
+@dataclass(frozen=True)
+class Switches:
+    """Named switches of a deployment, from the environment or any mapping; on is 1, true, yes or on."""
+
+    values: Mapping[str, str] = field(default_factory=lambda: os.environ)
+    prefix: str = "RECOLLECT_"
+
+    def raw(self, name: str, default: str = "") -> str:
+        return self.values.get(self.prefix + name, default)
+
+    def on(self, name: str, default: bool = False) -> bool:
+        return self.raw(name, str(default)).strip().lower() in ("1", "true", "yes", "on")
+
+    def require(self, name: str) -> str:
+        if not (found := self.raw(name).strip()):
+            raise KeyError(f"{self.prefix}{name} is not set")
+        return found

@@ -30,6 +30,23 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).filter(F.length("value") > 0)
 
 
+def harvested(lines: DataFrame, header: str, least: int = 8) -> DataFrame:
+    """`parsed` without sessions that are background tasks (their first words of the user begin with `header`), the last channel's body where a message
+    is wrapped in channels, and without bodies of fewer than `least` characters."""
+    from recollect.operators import inputs
+
+    rows = parsed(lines)
+    first = rows.filter("role = 'user'").groupBy("path").agg(F.min_by("body", "line").alias("first"))
+    tasks = first.filter(F.ltrim("first").startswith(header)).select("path")
+    return rows.join(tasks, "path", "left_anti").withColumn("body", inputs.incoming(F.col("body"))).filter(F.length("body") >= least)
+
+
+def windowed(spark: SparkSession, path: str, since: Column, until: Column, roles: list[str]) -> DataFrame:
+    """What known roles said in the transcripts from `since` up to, but not at, `until`, in order."""
+    rows = parsed(read_lines(spark, path))
+    return rows.filter((F.col("ts") >= since) & (F.col("ts") < until) & F.col("role").isin(*roles)).orderBy("ts", "path", "line")
+
+
 def exported(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """locator, role, body and ts of the messages of the named conversations in an export."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", EXPORT)).alias("c")).filter(F.col("c.name").isin(*names))
