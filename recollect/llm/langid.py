@@ -68,16 +68,11 @@ class Model:
     rest: np.ndarray
 
     @classmethod
-    def of(cls, languages: list[str], kinds: np.ndarray, grams: list[str], seen: np.ndarray, logs: np.ndarray, rest: np.ndarray) -> Model:
+    def of(cls, languages: list[str], kinds: np.ndarray, keys: np.ndarray, seen: np.ndarray, logs: np.ndarray, rest: np.ndarray) -> Model:
         """From a row for each gram and language."""
-        keys = np.zeros(len(grams), np.uint64)
-        for kind in range(LONGEST + 1):
-            mine = np.flatnonzero(kinds == kind)
-            keys[mine] = hashed(kind, [grams[k] for k in mine])
-        order = np.lexsort((seen, keys))
-        distinct, first = np.unique(keys[order], return_index=True)
-        at = order.astype(np.int64)
-        return cls(languages, distinct, kinds[at][first].astype(np.uint8), np.append(first, len(grams)), seen[at].astype(np.int32), logs[at].astype(np.float32), rest.astype(np.float32))
+        at = np.lexsort((seen, keys))
+        distinct, first = np.unique(keys[at], return_index=True)
+        return cls(languages, distinct, kinds[at][first].astype(np.uint8), np.append(first, len(keys)), seen[at].astype(np.int32), logs[at].astype(np.float32), rest.astype(np.float32))
 
     def shares(self, rows: np.ndarray) -> np.ndarray:
         """For each row the logarithm of each language's share in the gram."""
@@ -137,7 +132,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sizes = labelled.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
-        return Model.of([], *(np.zeros(0, int), []), np.zeros(0, int), np.zeros(0), np.zeros((LONGEST + 1, 0)))
+        return Model.of([], np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0), np.zeros((LONGEST + 1, 0)))
     each = min(sample, total / len(sizes))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000_000)) / 1_000_000_000
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
@@ -147,11 +142,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
         counts: dict[str, list[Counter]] = {}
 
         def out():
-            rows = [(lang, kind, g, n) for lang, cs in counts.items() for kind, c in enumerate(cs) for g, n in c.items()]
+            parts = [(lang, kind, c) for lang, cs in counts.items() for kind, c in enumerate(cs) if c]
             counts.clear()
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "kind", "gram", "n"])
+            sizes = [len(c) for _, _, c in parts]
+            join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.zeros(0, kind)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array([lang for lang, _, _ in parts], object), sizes), pa.string()),
+                    pa.array(np.repeat(np.array([kind for _, kind, _ in parts], np.int32), sizes)),
+                    pa.array(join([hashed(kind, list(c)) for _, kind, c in parts], np.uint64).view(np.int64)),
+                    pa.array(join([np.fromiter(c.values(), np.int64, len(c)) for _, _, c in parts], np.int64)),
+                ],
+                ["lang", "kind", "key", "n"],
+            )
 
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -175,17 +178,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
                     for g in grams(w, k):
                         cs[k][g] += n
 
-    each = drawn.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    each = drawn.mapInArrow(count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counted = written(each, "gram-counts")
     names = sorted(r["lang"] for r in sizes)
     totals = {(r["lang"], r["kind"]): (r["total"], r["distinct"]) for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).collect()}
-    rows = counted.toArrow()  # of the sample
-    number = {x: k for k, x in enumerate(names)}
-    kinds, langs = rows.column("kind").to_numpy(), np.array([number[x] for x in rows.column("lang").to_pylist()], np.int32)
+    number = F.create_map(*(F.lit(x) for k, name in enumerate(names) for x in (name, k)))
+    rows = counted.select("kind", "key", F.element_at(number, F.col("lang")).alias("lang"), "n").toArrow()  # of the sample: numbers alone
+    kinds, langs, keys = (rows.column(c).to_numpy() for c in ("kind", "lang", "key"))
     size = np.array([[totals.get((x, kind), (0, 0)) for x in names] for kind in range(LONGEST + 1)], float)
     below = np.log(size[:, :, 0] + SMOOTH * (size[:, :, 1] + 1))
     logs = np.log(rows.column("n").to_numpy() + SMOOTH) - below[kinds, langs]
-    return Model.of(names, kinds, rows.column("gram").to_pylist(), langs, logs, np.log(SMOOTH) - below)
+    return Model.of(names, kinds, keys.view(np.uint64), langs, logs, np.log(SMOOTH) - below)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:

@@ -313,11 +313,12 @@ def test_backoff_goes_to_shorter_grams():
     known = {(0, "known"): (0.5, 0.5), (1, "x"): (0.2, 0.8), (3, "abc"): (0.9, 0.1), (3, "bcz"): (0.1, 0.9)}
     rows = [(k, g, lang, np.log(v)) for (k, g), p in known.items() for lang, v in enumerate(p)]
     kinds, names, seen, logs = zip(*rows, strict=True)
-    model = langid.Model.of(["a", "b"], np.array(kinds), list(names), np.array(seen), np.array(logs), np.zeros((6, 2)))
+    keys = np.array([langid.hashed(k, [g])[0] for k, g in zip(kinds, names, strict=True)])
+    model = langid.Model.of(["a", "b"], np.array(kinds), keys, np.array(seen), np.array(logs), np.zeros((6, 2)))
     found = model.scored(["known", "xx", "zabcz", "q"])
     assert np.allclose(np.exp(found[:2]), [[0.5, 0.5], [0.2, 0.8]], atol=1e-6)
     assert np.allclose(found[2], np.log([[0.9, 0.1], [0.1, 0.9]]).mean(axis=0), atol=1e-6) and found[3].tolist() == [0.0, 0.0]
-    one = langid.Model.of(["a", "b"], np.array([0]), ["w"], np.array([1]), np.log([0.5]), np.log(np.full((6, 2), 0.25)))
+    one = langid.Model.of(["a", "b"], np.array([0]), langid.hashed(0, ["w"]), np.array([1]), np.log([0.5]), np.log(np.full((6, 2), 0.25)))
     assert np.allclose(np.exp(one.scored(["w"])), [[1 / 3, 2 / 3]], atol=1e-6)
 
 
