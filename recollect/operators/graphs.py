@@ -49,13 +49,19 @@ def _ranked(classes: DataFrame, *within: str) -> DataFrame:
     return held.join(df, [*within, "g"]).groupBy("id", *within, "size").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("g").alias("g")))).alias("order"))
 
 
-def _met(ranked: DataFrame, prefix: Column, possible: Column, *within: str) -> DataFrame:
+def _met(ranked: DataFrame, prefix: Column, possible: Column, *within: str, pairs: bool = False) -> DataFrame:
     """(a, b), a < b, each once: classes that share one of the first `prefix` grams of their order and where `possible` holds.
 
-    `possible` sees size_a, size_b and, for a shared gram, how many more grams the two orders have after it at most (rest).
+    `possible` sees size_a, size_b and how many grams the two have in common at most (rest), if the shared gram is the first they share.
+    With `pairs`, two grams of one more than `prefix` must be shared instead: many more keys, but far rarer ones.
     """
-    keys = ranked.select("id", *within, "size", F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "p")).select("id", *within, "size", "at", F.col("p.g").alias("g"))
-    keys = saved(keys)
+    head = F.slice("order", F.lit(1), prefix + 1 if pairs else prefix)
+    if pairs:
+        two = lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y, j: F.struct(F.xxhash64(x["g"], y["g"]).alias("g"), (i + j).alias("at")))
+        each = F.flatten(F.transform(head, two))
+    else:
+        each = F.transform(head, lambda x, i: F.struct(x["g"].alias("g"), i.alias("at")))
+    keys = saved(ranked.select("id", *within, "size", F.explode(each).alias("p")).select("id", *within, "size", "p.at", "p.g"))
     side = lambda x: keys.select(F.col("id").alias(x), *within, "g", F.col("size").alias(f"size_{x}"), F.col("at").alias(f"at_{x}"))
     met = side("a").join(side("b"), [*within, "g"]).filter("a < b")
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
@@ -73,14 +79,16 @@ def jaccard_pairs(classes: DataFrame, threshold: float, *within: str) -> DataFra
     """(a, b, jaccard) for all pairs of classes of one group with at least this similarity, a < b; classes as in `gram_classes`.
 
     Prefix filtering: grams are ordered from rare to frequent; two sets of that similarity share a gram among the
-    first n - ceil(t n) + 1 of each.  Only ids, sizes and places meet there; the sets are looked up once for each pair that is left.
+    first n - ceil(t n) + 1 of each, and two among one more of them if they share two at all, as they must above a half.  Two are looked for
+    where sets are small.  Only ids, sizes and places meet there; the sets are looked up once for each pair that is left.
     """
     ranked = saved(_ranked(classes, *within))
+    two = threshold > 0.5 and (classes.agg(F.avg("size")).first()[0] or 0) <= 64
     n, t = F.col("size"), F.lit(threshold)
     prefix = (n - F.ceil(t * n - 1e-9) + 1).cast("int")
     fits = (F.least("size_a", "size_b") >= t * F.greatest("size_a", "size_b") - 1e-9) & (F.col("rest") >= t / (1 + t) * (F.col("size_a") + F.col("size_b")) - 1e-9)
     # What comes before the gram in both orders may be shared as well, but then an earlier gram has found the pair.
-    both = _shared(_met(ranked, prefix, fits, *within), ranked)
+    both = _shared(_met(ranked, prefix, fits, *within, pairs=two), ranked)
     jaccard = F.round(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 6)
     return both.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
