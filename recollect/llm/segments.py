@@ -25,7 +25,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points with the property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Texts are handled in portions of about so many code points; a longer text is cut between two words.
-PORTION = 2_000_000
+PORTION = 500_000
 #: Below this, no code point has been added since Unicode 15.1.
 _LATE = regex.compile("[\u1c89-\U0010ffff]")
 _CUT = regex.compile(r"\p{L} (?=\p{L})")

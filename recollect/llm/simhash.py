@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -436,9 +435,9 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     touched = written(each.filter(~F.col("_stays") | (F.col("n") > 1)).select("_k", "_stays"), "touched")
     may = Filter.of(touched.select("_k"))
 
-    @F.pandas_udf("boolean")
-    def has(keys: pd.Series) -> pd.Series:
-        return pd.Series(may.has(keys.to_numpy()))
+    @F.arrow_udf("boolean")
+    def has(keys: pa.Array) -> pa.Array:
+        return pa.array(may.has(keys.to_numpy()))
 
     rows = docs.withColumn("_k", _key(F.col("doc_id"), F.xxhash64(whole_text())))
     rows = rows.withColumn("_may", has("_k"))
