@@ -8,6 +8,7 @@ from importlib import import_module
 WHERE = {
     "op10_pii": "pii",
     "op11_fim": "fim",
+    "op13_phrases": "phrases",
     "op1_token_files": "token_ids",
     "op2_licenses": "licenses",
     "op3_bpe": "bpe",
@@ -30,6 +31,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .base_sql import SQL
     from .fim import OP11_SQL
+    from .phrases import OP13_SQL
     from .topk import OP7_SQL
 
-    return {"op7_topk": OP7_SQL, "op11_fim": OP11_SQL} | SQL
+    return {"op7_topk": OP7_SQL, "op11_fim": OP11_SQL, "op13_phrases": OP13_SQL} | SQL
