@@ -8,6 +8,7 @@ from importlib import import_module
 WHERE = {
     "op10_pii": "pii",
     "op11_fim": "fim",
+    "op12_quality_model": "nbsvm",
     "op13_phrases": "phrases",
     "op1_token_files": "token_ids",
     "op2_licenses": "licenses",
