@@ -7,8 +7,10 @@ levels is least afterwards; a full sequence is closed.  The numbers N(h) are the
 alone decide.  When a partition ends, the fullest open sequences are filled up with what the emptiest ones hold, cutting a piece
 where the sequence is full; so what the rule placed stays where it is but for the emptiest.  What is
 left at the end of the partition goes into sequences whose lengths are powers of two, which need no
-padding.  The same is done to halve the open sequences when there are `most_open` (the bound of a task's memory).  So every id
-is in exactly one piece, and none is lost.
+padding.  So every id is in exactly one piece, and none is lost.
+
+A task holds the ids of its open sequences alone, two bytes each where the vocabulary allows; the rule keeps these few.  If no two items of a
+partition fit together they are all of it that is no full window, which the size of a partition bounds.
 
 Results for odd input: a null text is an empty one, whose only id is the end id; equal rows are packed like
 any others; an empty table gives no rows; other columns are not looked at.
@@ -34,8 +36,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 class SumOfSquares:
     """Packs items, one after the other; `placed` are the pieces that are settled: (owner, ids, start, sequence, offset)."""
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0, most_open: int = 4096):
-        self.window, self.most_open, self.next = window, most_open, first_sequence
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
+        self.window, self.next = window, first_sequence
         self.levels = np.zeros(window, np.int64)  # N(h); N(0) stays 0
         self.open: list[list[list]] = [[] for _ in range(window)]  # by level: the sequences, each a list of pieces
         self.placed: list[tuple] = []
@@ -71,23 +73,21 @@ class SumOfSquares:
         sequence = self.open[h].pop() if h else []
         if h:
             self.levels[h] -= 1
-        sequence.append((owner, ids[whole:], whole))
+        rest = ids[whole:]
+        sequence.append((owner, rest.astype(np.uint16 if rest.max() < 1 << 16 else np.uint32), whole))
         if h + size == window:
             self._close(sequence)
         else:
             self.open[h + size].append(sequence)
             self.levels[h + size] += 1
-            if self.levels.sum() >= self.most_open:
-                self.settle(last=False)
 
-    def settle(self, last: bool = True) -> None:
-        """Fills up the fullest open sequences from the emptiest, until half as many are open; or, if this is the `last` call, until
-        one is, which is cut at powers of two."""
+    def settle(self) -> None:
+        """At the end: fills up the fullest open sequences from the emptiest until one is left, which is cut at powers of two."""
         sequences = [(h, x) for h in range(self.window - 1, 0, -1) for x in self.open[h]]
         self.open = [[] for _ in range(self.window)]
         self.levels[:] = 0
-        full, empty, fewest = 0, len(sequences) - 1, 1 if last else self.most_open // 2
-        while full < empty and empty - full + 1 > fewest:
+        full, empty = 0, len(sequences) - 1
+        while full < empty:
             level, pieces = sequences[full]
             left, from_ = sequences[empty]
             owner, ids, start = from_.pop(0)
@@ -102,13 +102,7 @@ class SumOfSquares:
                 full += 1
             if not from_:
                 empty -= 1
-        rest = sequences[full : empty + 1]
-        if not last:
-            for level, pieces in rest:
-                self.open[level].append(pieces)
-                self.levels[level] += 1
-            return
-        row = rest[0][1] if rest else []
+        row = sequences[full][1] if full == empty else []
         while row:
             left = 1 << (sum(len(x[1]) for x in row).bit_length() - 1)
             taken = []
@@ -133,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 40)
 
         def out():
-            rows, packer.placed = packer.placed, []
+            rows, packer.placed = packer.placed[:2000], packer.placed[2000:]
             return pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([r[0][0] for r in rows], pa.int64()),
@@ -153,7 +147,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
                 if len(packer.placed) >= 2000:
                     yield out()
         packer.settle()
-        yield out()
+        while packer.placed:
+            yield out()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(packed, SCHEMA)
 

@@ -137,7 +137,7 @@ def test_packing(spark, sf, docs, odd, none, libraries):
 
 def test_sum_of_squares_places_by_the_least_sum():
     rng = random.Random(5)
-    packer = packing.SumOfSquares(window=16, most_open=10_000)
+    packer = packing.SumOfSquares(window=16)
     for k in range(400):
         size = rng.randint(1, 15)
         before = packer.levels.copy()
@@ -158,14 +158,16 @@ def test_sum_of_squares_places_by_the_least_sum():
     assert not packer.levels.any()
 
 
-@pytest.mark.parametrize("most_open", [8, 4096])
-def test_filling_up_moves_little_and_loses_nothing(most_open):
+@pytest.mark.parametrize(("least", "most"), [(1, 150), (40, 60), (64, 65)])
+def test_filling_up_moves_little_and_loses_nothing(least, most):
+    """Also where no two items fit together, so that all sequences stay open to the end, and where all are full at once."""
     rng = np.random.default_rng(7)
-    packer = packing.SumOfSquares(window=64, most_open=most_open)
-    sizes = rng.integers(1, 150, 2000)
+    packer = packing.SumOfSquares(window=64)
+    sizes = rng.integers(least, most, 2000)
     for k, n in enumerate(sizes):
         packer.add(k, np.arange(n, dtype=np.uint32))
-        assert packer.levels.sum() < most_open
+    opened = int(packer.levels.sum())
+    assert opened == sum(map(len, packer.open)) and (opened == 2000) == (least == 40) and (opened < 64 or least == 40)
     packer.settle()
     per, sequences = defaultdict(list), Counter()
     for owner, ids, start, sequence, offset in packer.placed:
@@ -179,5 +181,5 @@ def test_filling_up_moves_little_and_loses_nothing(most_open):
             at += size
         assert at == n
     assert sum(n != 64 for n in sequences.values()) <= 6 and all(n & (n - 1) == 0 for n in sequences.values())
-    if most_open > 1000:
+    if least == 1:
         assert packer.moved < 0.05 * sizes.sum()
