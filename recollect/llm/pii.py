@@ -7,6 +7,11 @@ whose part PMI / IC reaches `GENERALISE` is a span of the kind ``term`` wherever
 replaced by the kind of entity that it points to (``[EMAIL TERM]``), or removed if the part reaches `REMOVE`.  A pair
 must be seen in `SUPPORT` different texts, so that a word of one text (or of its copies) is not taken for a habit; with 1, every pair counts.
 
+An entity of fewer different texts (``rare``) shares all rare words of its one or two texts with them, most of them by chance.  There the unit of co-occurrence
+is the sentence: a term that stands in a sentence with the entity, and in no text without it, reveals all of the entity's information as far
+as the corpus tells.  As that rests on one or two texts, the part is shrunk by texts / (texts + `SHRINK`): such terms are generalised, not removed.
+`coverage` counts the entities of each number of texts, and those with telling terms.
+
 A part of at least `GENERALISE` needs P(t) <= P(e, t) / P(e) * P(e)^GENERALISE <= P(e)^GENERALISE: the term must be rare.  So terms
 are counted first, over all texts, and only those that are rare enough for an entity meet it, within the texts that hold the entity.
 
@@ -34,6 +39,9 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
+SHRINK = 0.1
+#: Where a sentence ends (before white space) or a line does.
+SENTENCE = r"(?<=[.!?])\s|\n"
 GENERALISE = 0.85
 REMOVE = 0.98
 WORD = r"\p{L}{3,}+"
@@ -85,40 +93,74 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, EMAIL, " ")), F.lit(WORD), F.lit(0)))
 
 
-def telling_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """For each text that has some: text_hash and ``telling``, an array of (term, part, kind), one for each term.
-
-    part is the greatest part of an entity's information that the term reveals, kind that entity's kind.
-    """
+def _entities(docs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """The texts with their entities (copies are one row with their number): text, text_hash, entity, copies, n_e, texts; all texts; and their number."""
     rows = docs.select(whole_text().alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     some = F.size("_base") > 0
     entities = F.when(some, F.array_distinct(F.transform("_base", entity)))
-    base = written(rows.select(F.xxhash64("_text").alias("text_hash"), entities.alias("entities"), F.when(some, terms_of(F.col("_text"))).alias("terms")), "pii-base")
+    base = written(rows.select(F.xxhash64("_text").alias("text_hash"), entities.alias("entities"), F.when(some, F.col("_text")).alias("text")), "pii-base")
     n = float(base.count())
     there = base.filter("entities IS NOT NULL")
-    # Copies of a text are one row with their number.
     held = there.select("text_hash", F.explode("entities").alias("entity")).groupBy("entity", "text_hash").agg(F.count("*").alias("copies"))
-    sizes = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter((F.col("texts") >= support) & (F.col("n_e") < n))
-    rare = F.pow(F.col("n_e") / n, F.lit(GENERALISE)) * n
-    asked = written(held.join(sizes.select("entity", "n_e", rare.alias("rare")), "entity"), "pii-entities")
-    most = asked.agg(F.max("rare")).first()[0]
-    none = "text_hash long, telling array<struct<term:string,part:double,kind:string>>"
-    if most is None:  # no entity is in enough texts
-        return docs.sparkSession.createDataFrame([], none)
-    counts = docs.select(F.explode(terms_of(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    seldom = written(counts.filter((F.col("n_t") >= support) & (F.col("n_t") <= most)), "pii-terms")
-    words = there.join(asked.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", F.explode("terms").alias("term"))
+    sizes = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("n_e") < n)
+    return written(held.join(sizes, "entity"), "pii-entities"), there.select("text_hash", "text"), n
+
+
+def _frequent(asked: DataFrame, texts: DataFrame, counts: DataFrame, n: float, support: int) -> DataFrame:
+    """entity, term, text_hash, part of the entities and terms that meet in `support` texts or more."""
+    asked = asked.filter(F.col("texts") >= support).withColumn("rare", F.pow(F.col("n_e") / n, F.lit(GENERALISE)) * n)
+    most = asked.agg(F.max("rare")).first()[0] or 0.0
+    seldom = counts.filter((F.col("n_t") >= support) & (F.col("n_t") <= most))
+    words = texts.join(asked.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", F.explode(terms_of(F.col("text"))).alias("term"))
     pairs = asked.join(words.join(seldom, "term"), "text_hash").filter("n_t <= rare")
     pairs = written(pairs.select("entity", "term", "text_hash", "copies", "n_e", "n_t"), "pii-pairs")
     both = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     pmi = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
     part = pmi / F.log2(F.lit(n) / F.col("n_e"))
     telling = both.withColumn("part", part).filter(F.col("part") >= GENERALISE).select("entity", "term", "part")
+    return pairs.select("entity", "term", "text_hash").join(telling, ["entity", "term"])
+
+
+def _seldom(asked: DataFrame, texts: DataFrame, counts: DataFrame, support: int) -> DataFrame:
+    """entity, term, text_hash, part of the entities of fewer texts: terms of their sentences that no text without them has."""
+    rare = asked.filter(F.col("texts") < support)
+    sentences = texts.join(rare.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    sentences = sentences.select("text_hash", F.explode(F.split("text", SENTENCE)).alias("s")).filter(F.col("s").rlike("[0-9@]"))
+    met = sentences.select("text_hash", F.array_distinct(F.transform(base_spans(F.col("s")), entity)).alias("e"), terms_of(F.col("s")).alias("t")).filter("size(e) > 0 AND size(t) > 0")
+    pairs = met.select("text_hash", "t", F.explode("e").alias("entity")).select("text_hash", "entity", F.explode("t").alias("term")).distinct()
+    pairs = pairs.join(rare, ["entity", "text_hash"])
+    alone = pairs.groupBy("entity", "term", "texts").agg(F.sum("copies").alias("n_et")).join(counts, "term").filter("n_et = n_t")
+    part = F.col("texts") / (F.col("texts") + SHRINK)
+    return pairs.select("entity", "term", "text_hash").join(alone.select("entity", "term", part.alias("part")), ["entity", "term"])
+
+
+def _telling(docs: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """Entities, and for each telling term of a text: entity, term, text_hash, part."""
+    asked, texts, n = _entities(docs)
+    # Terms are counted over all texts; every count is kept, as rare entities need the least and frequent ones the greater.
+    counts = docs.select(F.explode(terms_of(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = written(counts, "pii-terms")
+    return asked, _frequent(asked, texts, counts, n, support).unionByName(_seldom(asked, texts, counts, support))
+
+
+def telling_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """For each text that has some: text_hash and ``telling``, an array of (term, part, kind), one for each term.
+
+    part is the greatest part of an entity's information that the term reveals, kind that entity's kind.
+    """
+    _, telling = _telling(docs, support)
     best = F.max(F.struct("part", F.substring_index("entity", ":", 1).alias("kind"))).alias("b")
-    each = pairs.select("entity", "term", "text_hash").join(telling, ["entity", "term"]).groupBy("text_hash", "term").agg(best)
+    each = telling.groupBy("text_hash", "term").agg(best)
     return written(each.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("term", "b.part", "b.kind"))).alias("telling")), "pii-telling")
 
 
+def coverage(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """texts (the number of different texts that hold an entity), entities, and how many of these have a telling term."""
+    asked, telling = _telling(docs, support)
+    each = asked.select("entity", "texts").distinct().join(telling.select("entity").distinct().withColumn("told", F.lit(1)), "entity", "left")
+    return each.groupBy("texts").agg(F.count("*").alias("entities"), F.count("told").alias("with_terms"))
+
+
 def marked(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
     """`rows` (which have ``_text``) with ``base``, the base spans, and ``terms``: (start, end, part, points_to) of each place of a telling term."""
     telling = telling_terms(rows.select(F.col("_text").alias("text")), support).withColumnRenamed("text_hash", "_hash")
