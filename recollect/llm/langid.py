@@ -5,8 +5,9 @@ character n-grams instead: by those of length five that are known, or if there i
 on down to single characters.  Scores are made relative to the other languages before they are added up.
 
 The model is fitted on a bounded sample of labelled rows: about `SAMPLE` documents of each language (drawn by a hash of ``doc_id``), or
-fewer if there are more than `TOTAL` / `SAMPLE` languages.  Of these it keeps every language, every word and every n-gram, each with
-the languages that it was seen in; so what is sent to the tasks is bounded by the sample.
+fewer if there are more than `TOTAL` / `SAMPLE` languages, or if these have more than a language's part of `BYTES`.  Of these it keeps every
+language, every word and every n-gram, each with the languages that it was seen in; so what is sent to the tasks is bounded by the sample, in
+rows and in bytes, however long texts are.
 
 Results for odd input: null and empty texts and texts without a letter are ``und`` with score 0; without a labelled row
 everything is ``und``; a null ``doc_id`` is not held out and not learned from; rows with a null ``lang`` are not learned from;
@@ -30,6 +31,8 @@ from .segments import LETTER, Pieces, PieceTable, classes, lower_nfc, portions,
 
 #: Labelled documents that a language is learned from, and those of all languages.
 SAMPLE, TOTAL = 2000, 200_000
+#: Bytes of text that all languages are learned from, and the fewest that one is (a hundred languages still have that much each).
+BYTES, LEAST_BYTES = 64 << 20, 640 << 10
 LONGEST = 5
 #: What an unseen word or n-gram counts as.
 SMOOTH = 0.5
@@ -121,21 +124,22 @@ class Model:
             out[mine, :-1] = self.scored([w for w, m in zip(words, mine, strict=True) if m])
             return [row.tobytes() for row in out]
 
-        return PieceTable("word", encode, {}, keep=40_000)
+        # As many bytes for many languages as for a few.
+        return PieceTable("word", encode, {}, keep=max(1000, 40_000 * 16 // max(16, len(self.languages))))
 
 
 def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, size: int = BYTES) -> Model:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = labelled.groupBy("lang").count().collect()  # one row for each language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # one row for each language
     if not sizes:
         return Model.of([], np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0), np.zeros((LONGEST + 1, 0)))
-    each = min(sample, total / len(sizes))
+    each, most = min(sample, total / len(sizes)), max(size / len(sizes), min(size, LEAST_BYTES))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000_000)) / 1_000_000_000
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"], most / max(r["bytes"], 1))) for r in sizes], "lang string, share double")
     drawn = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", "text")  # one row for each language
 
     def count(batches):
