@@ -44,6 +44,9 @@ class Config:
     cap_hours: int = 6
     settle_minutes: int = 5
     backoff_minutes: tuple[int, ...] = (10, 20, 40, 60, 60)
+    #: Tries of what fails for good, and hours after its first failure in which something is tried at all.
+    permanent_tries: int = 3
+    dead_hours: float = 24
     chunk_chars: int = 6000
     #: How many open rows of each kind the working set holds.
     bounds: dict[str, int] = field(default_factory=lambda: {"goal": 3, "task": 7, "topic": 5, "state": 5, "emotion": 1})

@@ -117,7 +117,7 @@ def take_due(pending: DataFrame, cursor: DataFrame, now: Column, config: Config
     the newest that still settle."""
     rows = pending.filter(F.col("id") > baseline).join(cursor, "session", "left").filter(F.col("last_id").isNull() | (F.col("id") > F.col("last_id")))
     due = timeline.due_sessions(rows.select("session", "ts"), now, config).filter(F.col("state").isin("idle", "capped")).select("session", "state")
-    waits = F.coalesce("failed_at", F.lit("1970-01-01").cast("timestamp")) + F.make_interval(mins=backoff(F.coalesce("fails", F.lit(0)), config))
+    waits = F.coalesce(F.col("failed_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")) + F.make_interval(mins=backoff(F.coalesce("fails", F.lit(0)), config))
     settled = F.col("ts").cast("timestamp") <= now.cast("timestamp") - F.expr(f"INTERVAL {config.settle_minutes} MINUTES")
     return rows.filter(waits <= now.cast("timestamp")).join(due, "session").filter((F.col("state") == "idle") | settled).select("session", "id", "ts", "state")
 
@@ -125,18 +125,27 @@ def take_due(pending: DataFrame, cursor: DataFrame, now: Column, config: Config
 def process(taken: DataFrame, cursor: DataFrame, now: Column, work: Callable[[DataFrame], DataFrame], config: Config = CONFIG) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, the whole new cursor, dead letters).  `work` gives a row for each session with ``ok``, ``permanent`` and ``result``.
 
-    A session that fails keeps its place and counts the failure, from whose time it waits; at the last step of the wait, or if the failure is
-    permanent, it is skipped past and becomes a dead letter.  Sessions that were not taken keep their rows.
+    A session that fails keeps its place and counts the failure, from whose time it waits.  At the last step of the wait, after `permanent_tries` of a
+    failure that is permanent, or when `dead_hours` have passed since the first one, it is skipped past and becomes a dead letter.  Sessions that were not
+    taken keep their rows.  `streaming.sessions` does the same as one stream.
     """
+    if "first_failed_at" not in cursor.columns:
+        cursor = cursor.withColumn("first_failed_at", F.col("failed_at"))
+    moment = now.cast("timestamp")
     ends = taken.groupBy("session").agg(F.max("id").alias("end"))
     both = work(taken).join(ends, "session").join(cursor, "session", "left")
     fails = F.when(F.col("ok"), 0).otherwise(F.coalesce("fails", F.lit(0)) + 1)
-    dead = ~F.col("ok") & ((fails >= len(config.backoff_minutes)) | F.coalesce("permanent", F.lit(False)))
+    first = F.when(fails > 1, F.coalesce(F.col("first_failed_at").cast("timestamp"), moment)).otherwise(moment)
+    tries = F.when(F.coalesce("permanent", F.lit(False)), config.permanent_tries).otherwise(len(config.backoff_minutes))
+    late = F.unix_seconds(moment) - F.unix_seconds(first) >= config.dead_hours * 3600
+    dead = ~F.col("ok") & ((fails >= tries) | late)
+    waits = ~F.col("ok") & ~dead
     moved = both.select(
         "session", F.when(F.col("ok") | dead, F.col("end")).otherwise(F.col("last_id")).alias("last_id"), F.when(dead, 0).otherwise(fails).cast("int").alias("fails"),
-        F.when(~F.col("ok") & ~dead, now.cast("timestamp")).alias("failed_at"),
+        F.when(waits, moment).alias("failed_at"), F.when(waits, first).alias("first_failed_at"),
     )
-    rest = cursor.join(moved.select("session"), "session", "left_anti").select("session", "last_id", F.col("fails").cast("int").alias("fails"), F.col("failed_at").cast("timestamp").alias("failed_at"))
+    rest = cursor.join(moved.select("session"), "session", "left_anti")
+    rest = rest.select("session", "last_id", F.col("fails").cast("int").alias("fails"), *(F.col(c).cast("timestamp").alias(c) for c in ("failed_at", "first_failed_at")))
     letters = both.filter(dead).select("session", F.coalesce("last_id", F.lit(0)).alias("after"), "end")
     return both.filter("ok").select("session", "result"), moved.unionByName(rest), letters
 
@@ -146,7 +155,13 @@ def retried(cursor: DataFrame, letters: DataFrame) -> DataFrame:
     again = letters.groupBy("session").agg(F.min("after").alias("after"))
     both = cursor.join(again, "session", "left")
     back = F.col("after").isNotNull()
-    return both.select("session", F.when(back, F.least("last_id", "after")).otherwise(F.col("last_id")).alias("last_id"), F.when(back, 0).otherwise(F.col("fails")).cast("int").alias("fails"), F.when(~back, F.col("failed_at")).alias("failed_at"))
+    times = [F.when(~back, F.col(c)).alias(c) for c in ("failed_at", "first_failed_at") if c in cursor.columns]
+    return both.select("session", F.when(back, F.least("last_id", "after")).otherwise(F.col("last_id")).alias("last_id"), F.when(back, 0).otherwise(F.col("fails")).cast("int").alias("fails"), *times)
+
+
+def dropped(letters: DataFrame, sessions: list[str]) -> DataFrame:
+    """The dead letters without those of some sessions, which somebody has looked at and given up."""
+    return letters.filter(~F.col("session").isin(sessions))
 
 
 def session_stream(events: DataFrame, seconds: int = CONFIG.idle_minutes * 60) -> DataFrame:

@@ -1,9 +1,11 @@
 import json
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.config import CONFIG
 from recollect.sources import transcripts
 from recollect.streaming import ingest
 
@@ -119,7 +121,8 @@ def test_rounds_of_sessions(spark):
     now = at("2024-01-02 00:00:00")
     taken = ingest.take_due(pending, cursor, now)
     assert sorted((r["session"], r["id"]) for r in taken.collect()) == [("a", 2), ("c", 4), ("d", 5)]
-    out, cursor, dead = ingest.process(taken, cursor, now, work)
+    once = replace(CONFIG, permanent_tries=1)
+    out, cursor, dead = ingest.process(taken, cursor, now, work, once)
     assert [r["session"] for r in out.collect()] == ["a"] and [tuple(r) for r in dead.collect()] == [("d", 0, 5)]
     assert state(cursor) == {"a": (2, 0, False), "c": (None, 1, True), "d": (5, 0, False), "z": (9, 0, False)}
 
@@ -127,7 +130,7 @@ def test_rounds_of_sessions(spark):
     now = at("2024-01-02 06:00:00")
     taken = ingest.take_due(pending, cursor, now)
     assert sorted(r["session"] for r in taken.collect()) == ["b", "c"]
-    _, cursor, _ = ingest.process(taken, cursor, now, work)
+    _, cursor, _ = ingest.process(taken, cursor, now, work, once)
     assert state(cursor)["c"] == (None, 2, True) and state(cursor)["b"] == (None, 1, True) and state(cursor)["z"] == (9, 0, False)
     assert state(ingest.retried(cursor, dead))["d"] == (0, 0, False)
     assert ingest.take_due(pending, cursor, now, baseline=5).count() == 0
@@ -135,6 +138,13 @@ def test_rounds_of_sessions(spark):
     last = spark.createDataFrame([("c", None, 4, None)], CURSOR)
     _, moved, dead = ingest.process(ingest.take_due(pending.filter("session = 'c'"), last, now), last, now, work)
     assert state(moved) == {"c": (4, 0, False)} and dead.count() == 1  # the fifth failure
+    assert ingest.dropped(dead, ["c"]).count() == 0 and ingest.dropped(dead, ["a"]).count() == 1
+
+    # A permanent failure is tried three times, any failure for a day.
+    for fails, first, name, n in ((1, None, "d", 0), (2, None, "d", 1), (1, "2024-01-01 06:00:01", "c", 0), (1, "2024-01-01 06:00:00", "c", 1)):
+        held = spark.createDataFrame([(name, None, fails, None, first)], CURSOR + ", first_failed_at string")
+        _, moved, dead = ingest.process(ingest.take_due(pending.filter(F.col("session") == name), held, now), held, now, work)
+        assert (dead.count(), state(moved)[name][1]) == (n, 0 if n else fails + 1)
 
 
 def test_late_records_are_not_dropped(spark, tmp_path):
