@@ -30,15 +30,72 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).filter(F.length("value") > 0)
 
 
-def harvested(lines: DataFrame, header: str, least: int = 8) -> DataFrame:
-    """`parsed` without sessions that are background tasks (their first words of the user begin with `header`), the last channel's body where a message
-    is wrapped in channels, and without bodies of fewer than `least` characters."""
-    from recollect.operators import inputs
-
-    rows = parsed(lines)
-    first = rows.filter("role = 'user'").groupBy("path").agg(F.min_by("body", "line").alias("first"))
-    tasks = first.filter(F.ltrim("first").startswith(header)).select("path")
-    return rows.join(tasks, "path", "left_anti").withColumn("body", inputs.incoming(F.col("body"))).filter(F.length("body") >= least)
+CHANNEL = r"(?s)<channel\s+([^>]*)>(.*?)(?:</channel>|\z)"
+#: Beginnings of texts that a program puts into a user's turn, and what stands for an attachment (of the transcripts' format).
+NOT_SPOKEN = ("This session is being continued", "<command", "<local-command", "Caveat:", "[Request interrupted", "<system-reminder", "<task-notification")
+ATTACHED = r"\((?:Images? also|Files) saved locally[^)]*\)|\[Image: [^\]]*\]"
+
+
+def blocks(message: Column) -> Column:
+    """Array of (sender_id, sender, ts, body) of the channel blocks of a message, in order; one that is never closed reaches to the end."""
+    attribute = lambda attrs, name: F.nullif(F.regexp_extract(attrs, rf'(?<!\w){name}="([^"]*)"', 1), F.lit(""))
+    both = F.arrays_zip(F.regexp_extract_all(message, F.lit(CHANNEL), F.lit(1)).alias("a"), F.regexp_extract_all(message, F.lit(CHANNEL), F.lit(2)).alias("b"))
+    return F.transform(both, lambda x: F.struct(attribute(x["a"], "user_id").alias("sender_id"), attribute(x["a"], "user").alias("sender"), attribute(x["a"], "ts").alias("ts"), F.trim(F.regexp_replace(x["b"], r"^\s+|\s+$", "")).alias("body")))
+
+
+def sender_of(sender_id: Column, sender: Column, by_id: dict[str, str], by_name: dict[str, str]) -> Column:
+    """The actor of a sender by id or by name, null where neither is known or the two disagree; a name of digits alone is an id."""
+    look = lambda known, key: F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), key) if known else F.lit(None).cast("string")
+    first = F.coalesce(look(by_id, F.trim(sender_id)), F.when(sender.rlike(r"^\s*[0-9]+\s*$"), look(by_id, F.trim(sender))))
+    second = look(by_name, F.trim(sender))
+    return F.when(first.isNotNull() & second.isNotNull() & (first != second), None).otherwise(F.coalesce(first, second))
+
+
+def first_words(lines: DataFrame) -> DataFrame:
+    """path and the first text of a user in it."""
+    order = "line" if "line" in lines.columns else "position"
+    return _records(lines, order).filter("role = 'user' AND trim(text) <> ''").groupBy("path").agg(F.min_by("text", order).alias("first"))
+
+
+def background(lines: DataFrame, header: str) -> DataFrame:
+    """path of the sessions whose first words of the user begin with `header`: tasks that a program has set."""
+    return first_words(lines).filter(F.ltrim("first").startswith(header)).select("path")
+
+
+def _records(lines: DataFrame, order: str) -> DataFrame:
+    """path, line or position, role, text (of a user: all text blocks), parts (of an assistant), stamp, aside."""
+    rows = lines.withColumn("r", F.from_json("value", RECORD)).filter(F.col("r.message").isNotNull())
+    content = F.col("r.message.content")
+    parts = F.when(F.ltrim(content).startswith("["), F.from_json(content, BLOCKS))
+    text = F.when(parts.isNull(), content).otherwise(F.array_join(F.filter(F.transform(parts, lambda b: F.when(b["type"] == "text", b["text"])), lambda t: t.isNotNull()), "\n"))
+    aside = F.coalesce(F.col("r.isMeta"), F.lit(False)) | F.coalesce(F.col("r.isSidechain"), F.lit(False))
+    return rows.select("path", order, F.col("r.message.role").alias("role"), text.alias("text"), parts.alias("parts"), F.col("r.timestamp").alias("stamp"), aside.alias("aside"))
+
+
+def harvested(lines: DataFrame, header: str, by_id: dict[str, str], by_name: dict[str, str], owner: str, assistant: str, reply: str = "reply", least: int = 8, tasks: DataFrame | None = None) -> DataFrame:
+    """What was said, a row for each channel block: path, line (or position), part, actor, body, ts; actor is null for an unknown sender.
+
+    A user's message is channel blocks, each of its own sender, or else words of the owner; those that a program has put there, asides and tasks
+    (`background`) are left out, and so are attachments.  An assistant says what it gives to a tool whose name has `reply` in it, and texts of `least`
+    characters or more, as one row each; blocks that stand there are no messages.  Thoughts are not said.  `tasks` (path) says which sessions are tasks
+    where `lines` are only a part of them.
+    """
+    order = "line" if "line" in lines.columns else "position"
+    rows = _records(lines, order)
+    stamp = F.to_timestamp("stamp")
+    found = rows.filter("role = 'user'").withColumn("blocks", blocks(F.col("text")))
+    sent = found.select("path", order, F.posexplode("blocks").alias("part", "b"), stamp.alias("ts"))
+    sent = sent.filter((F.col("b.body") != "") & ~F.col("b.body").rlike(r"^\s*<[^>]+>\s*$"))
+    sent = sent.select("path", order, "part", sender_of(F.col("b.sender_id"), F.col("b.sender"), by_id, by_name).alias("actor"), F.col("b.body").alias("body"), F.coalesce(F.to_timestamp("b.ts"), "ts").alias("ts"))
+    begins = lambda c, some: F.coalesce(*[F.when(c.startswith(x), True) for x in some], F.lit(False))
+    plain = found.filter((F.size("blocks") == 0) & ~F.col("aside") & ~begins(F.ltrim("text"), NOT_SPOKEN)).join(background(lines, header) if tasks is None else tasks, "path", "left_anti")
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ATTACHED, ""), r"\n{2,}", "\n"), r"^\s+|\s+$", ""))
+    plain = plain.select("path", order, F.lit(0).alias("part"), F.lit(owner).alias("actor"), body.alias("body"), stamp.alias("ts")).filter("body <> ''")
+    own = rows.filter("role = 'assistant'").select("path", order, F.posexplode("parts").alias("part", "b"), stamp.alias("ts"))
+    said = F.when((F.col("b.type") == "tool_use") & F.contains("b.name", F.lit(reply)), F.col("b.input.text")).when(F.col("b.type") == "text", F.col("b.text"))
+    own = own.select("path", order, "part", F.lit(assistant).alias("actor"), F.regexp_replace(said, r"^\s+|\s+$", "").alias("body"), "ts", F.col("b.type").alias("type"))
+    own = own.filter((F.length("body") > 0) & ((F.col("type") == "tool_use") | (F.length("body") >= least))).drop("type")
+    return sent.unionByName(plain).unionByName(own)
 
 
 def windowed(spark: SparkSession, path: str, since: Column, until: Column, roles: list[str]) -> DataFrame:

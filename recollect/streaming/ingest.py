@@ -9,6 +9,7 @@ only repeated.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from recollect.config import CONFIG, Config
 from recollect.functions import redaction
 from recollect.operators import timeline
-from recollect.sources import transcripts
+from recollect.sources import tail, transcripts
 
 IDENTITY = ("path", "line", "sha")
 
@@ -103,6 +104,44 @@ def follow(spark: SparkSession, source: str, store: str) -> None:
     named.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+@dataclass(frozen=True)
+class Speakers:
+    """Who is who in transcripts: senders by id and by name, the owner of plain words, the assistant, and how tasks of programs begin."""
+
+    by_id: dict[str, str] = field(default_factory=dict)
+    by_name: dict[str, str] = field(default_factory=dict)
+    owner: str = CONFIG.owner
+    assistant: str = CONFIG.assistants[0]
+    task: str = "TASK:"
+
+
+def follow_growing(spark: SparkSession, source: str, store: str, speakers: Speakers = Speakers(), range_bytes: int = tail.RANGE) -> None:  # noqa: B008
+    """Takes in what the transcript files under `source` have gained, up to now: appended bytes alone are read, each channel block is a row.
+
+    Evidence has path, line (the byte at which the line begins), actor, content, sha, occurred_at; rows of unknown senders are counted in the
+    store's ``unknown`` and go no further.  Whether a session is a task is settled by its first words, which are kept in ``sessions``.
+    """
+    tail.register(spark)
+    lines = spark.readStream.format("growing_lines").option("rangeBytes", range_bytes).load(source)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        seen = _read(spark, f"{store}/sessions", "path string, task boolean, batch long").select("path", "task").distinct()
+        known = seen.select("path")
+        named = df.join(known, "path", "left_anti")
+        first = transcripts.first_words(named).select("path", F.ltrim("first").startswith(speakers.task).alias("task"), F.lit(batch_id).cast("long").alias("batch"))
+        first.write.mode("append").parquet(f"{store}/sessions")
+        tasks = seen.unionByName(first.select("path", "task")).filter("task").select("path").distinct()
+        said = transcripts.harvested(df, speakers.task, speakers.by_id, speakers.by_name, speakers.owner, speakers.assistant, tasks=tasks)
+        clean = redaction.redacted(F.col("body"))
+        rows = said.select("path", F.col("position").alias("line"), "actor", clean.alias("content"), F.sha2(clean, 256).alias("sha"), F.col("ts").alias("occurred_at"))
+        append_new(spark, rows.filter("actor IS NOT NULL"), store, batch_id)
+        rows.filter("actor IS NULL").groupBy("path").agg(F.count("*").alias("n")).withColumn("batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{store}/unknown")
+        df.unpersist()
+
+    lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store}/lines-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 # -- sessions -------------------------------------------------------------------------------------
 
 

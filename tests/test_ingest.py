@@ -28,10 +28,7 @@ def test_parsed(spark):
     assert [(r["role"], r["body"]) for r in transcripts.parsed(rows).orderBy("line").collect()] == [("user", "hello there"), ("assistant", "hi\nagain"), ("system", "x")]
 
 
-def test_harvest_and_windows(spark, tmp_path):
-    lines = [("a", record("user", "TASK: clean up")), ("a", record("assistant", "I have cleaned up")), ("b", record("user", "<channel x=1>a whole sentence</channel>")), ("b", record("user", "short"))]
-    rows = spark.createDataFrame([(p, k, v) for k, (p, v) in enumerate(lines)], "path string, line int, value string")
-    assert [(r["path"], r["body"]) for r in transcripts.harvested(rows, "TASK:").collect()] == [("b", "a whole sentence")]
+def test_windows(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text("\n".join(json.dumps(json.loads(record(role, f"said {k}")) | {"timestamp": f"2024-01-0{k}T00:00:00Z"}) for k, role in ((3, "user"), (1, "user"), (2, "assistant"), (2, "system"))))
     at = lambda d: F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp")
     assert [(r["line"], r["body"]) for r in transcripts.windowed(spark, str(tmp_path), at(1), at(3), ["user", "assistant"]).collect()] == [(2, "said 1"), (3, "said 2")]
