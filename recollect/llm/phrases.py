@@ -10,8 +10,7 @@ total of the leaves below it.  As in ERA the tree is parted vertically, by prefi
 3.  Prefixes are dealt to groups so that a group has a fourth of `BUDGET` suffixes on average.  Tasks send each distinct suffix of a
     portion of text once, with its number.
 4.  Each group is made into subtrees independently of the others, level by level; what is below a node of fewer than `LEAST` is cut off.  Nodes above
-    a group's prefixes get a part of their count from each of several groups, and these parts are added up.  A suffix of frequent words only is a
-    leaf (or ends with its piece); such leaves are spread by task as well.
+    the prefixes, the phrases of frequent words alone, belong to no group: tasks count them by themselves and send a row for each of a portion.
 
 Which words are frequent is sent to the tasks as filters of at most 16 MB, whatever the corpus; what they let through wrongly costs time alone.
 
@@ -42,11 +41,13 @@ LONGEST = 4
 LEAST, COVERED, FIRST = 30, 80, 2000
 SCALE = 2_000_000
 #: About as many suffixes make up a group at most.
-BUDGET = 1_000_000
+BUDGET = 500_000
 #: Texts are handled in portions of about so many bytes, and rows sent in batches of so many.
-PORTION, ROWS = 8 << 20, 100_000
-#: Parts among which leaves of frequent words only, and the ranks of one language, are dealt.
+PORTION, ROWS = 5 << 20, 50_000
+#: Parts among which the ranks of one language are dealt.
 SPREAD = 64
+#: The rows of a phrase of frequent words alone are dealt to one part for each so many words of the corpus.
+DEALT = 10_000_000_000
 
 WORD, BLANK, BREAK = range(3)
 _KINDS = np.full(256, WORD, np.uint8)
@@ -126,11 +127,12 @@ def _join(columns: list[pa.Array]) -> pa.Array:
     return pc.binary_join_element_wise(*columns, " ", null_handling="skip") if len(columns) > 1 else columns[0]
 
 
-def suffixes(frequent: Filter, hot: Filter, groups: int):
-    """A function that makes texts into rows (group, lang, suffix, n); a group's number tells the length of its prefixes, too."""
+def suffixes(frequent: Filter, hot: Filter, groups: int, parts: int):
+    """A function that makes texts into rows (group, lang, suffix, n).  A group's number tells the length of its prefixes, too; if that is
+    beyond LONGEST, its rows are whole phrases of frequent words."""
 
     def run(batches):
-        salt = np.uint64(TaskContext.get().partitionId() % SPREAD)
+        salt = np.uint64(TaskContext.get().partitionId() % parts)
         for lang, data in portions(batches, PORTION):
             words = Words(data)
             keys = words.keys(lang)
@@ -138,49 +140,68 @@ def suffixes(frequent: Filter, hot: Filter, groups: int):
             if not often.any():
                 continue
             # Codes from 1, 0 is behind the end; a suffix ends with its piece and before a word that is seldom.
-            code = np.where(often, np.cumsum(often), 0)
+            code = np.where(often, np.cumsum(often), 0).astype(np.int32)
             at = np.flatnonzero(often[words.codes])
             first, piece = code[words.codes[at]], words.pieces[at]
             follows = np.append((np.diff(at) == 1) & (np.diff(piece) == 0), False)
-            columns, goes_on = [first], np.ones(len(at), bool)
+            columns, goes_on = [first], follows
             for k in range(1, LONGEST):
-                goes_on = np.append(goes_on[1:], False) & follows if k > 1 else follows
+                if k > 1:
+                    goes_on = np.append(goes_on[1:], False) & follows
                 columns.append(np.where(goes_on, np.append(first[k:], np.zeros(min(k, len(first)), first.dtype)), 0))
-            columns, n = leaves(columns)
-            strings = words.distinct.filter(pa.array(often))
-            keys = np.append(np.uint64(0), keys[often])
+            strings, keys = words.distinct.filter(pa.array(often)), np.append(np.uint64(0), keys[often])
             heavy = np.append(False, hot.has(keys[1:]))
-            lead, length, leading = np.zeros(len(n), int), np.zeros(len(n), int), np.ones(len(n), bool)
-            for c in columns:
-                length += c > 0
+            del words, data, at, piece
+            columns, n = leaves(columns)
+            leading, lead = np.ones(len(n), bool), np.zeros(len(n), np.int64)
+            for depth, c in enumerate(columns, 1):
                 leading &= heavy[c]
                 lead += leading
-            prefix = np.where(lead == length, LONGEST + 1, lead + 1)
-            mixed = keys[columns[0]]
-            for k, c in enumerate(columns[1:], 2):
-                mixed = np.where(prefix >= k, Filter.mixed(mixed ^ (keys[c] + np.uint64(k)), k), mixed)
-            mixed = np.where(prefix > LONGEST, Filter.mixed(mixed ^ salt, LONGEST + 1), mixed)
-            group = (prefix - 1) * groups + (Filter.mixed(mixed, 0) % np.uint64(groups)).astype(np.int64)
-            for k in range(0, len(n), ROWS):
-                part = [c[k : k + ROWS] for c in columns]
-                text = _join([strings.take(pa.array(c - 1, mask=c == 0)) for c in part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[k : k + ROWS]), pa.array([lang] * len(text), pa.string()), text, pa.array(n[k : k + ROWS], pa.int64())], ["group", "lang", "suffix", "n"]
-                )
+                # Nodes above all prefixes: each distinct run of `depth` frequent words, with the number of suffixes that begin with it.
+                some = np.flatnonzero(leading)
+                if len(some):
+                    above = [x[some] for x in columns[:depth]]
+                    new = np.append(True, np.any([x[1:] != x[:-1] for x in above], axis=0))
+                    mixed = _group(keys, above, np.full(int(new.sum()), LONGEST), np.flatnonzero(new)) ^ salt
+                    yield from _rows(lang, strings, [x[new] for x in above], np.add.reduceat(n[some], np.flatnonzero(new)), LONGEST * groups + (Filter.mixed(mixed, 7) % np.uint64(groups)).astype(np.int64))
+            prefix = lead + 1
+            rest = np.flatnonzero((prefix <= LONGEST) & (np.stack(columns)[np.minimum(lead, LONGEST - 1), np.arange(len(n))] > 0))  # a suffix of frequent words alone is done
+            columns, n, prefix = [c[rest] for c in columns], n[rest], prefix[rest]
+            group = (prefix - 1) * groups + (_group(keys, columns, prefix, slice(None)) % np.uint64(groups)).astype(np.int64)
+            yield from _rows(lang, strings, columns, n, group)
 
     return run
 
 
+def _group(keys: np.ndarray, columns: list[np.ndarray], length: np.ndarray, at) -> np.ndarray:
+    """A number from the keys of the first `length` words of some rows of `columns`."""
+    mixed = keys[columns[0][at]]
+    for k, c in enumerate(columns[1:], 2):
+        mixed = np.where(length >= k, Filter.mixed(mixed ^ (keys[c[at]] + np.uint64(k)), k), mixed)
+    return Filter.mixed(mixed, 0)
+
+
+def _rows(lang: str, strings: pa.Array, columns: list[np.ndarray], n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(n), ROWS):
+        part = [c[k : k + ROWS] for c in columns]
+        text = _join([strings.take(pa.array(c - 1, mask=c == 0)) for c in part])
+        yield pa.RecordBatch.from_arrays([pa.array(group[k : k + ROWS]), pa.array([lang] * len(text), pa.string()), text, pa.array(n[k : k + ROWS], pa.int64())], ["group", "lang", "suffix", "n"])
+
+
 def subtrees(table: pa.Table, groups: int, least: int) -> pa.Table:
-    """The nodes (lang, phrase, words, f) of a group's subtrees; those above its prefixes have a part of their count, the others are `least` or more."""
-    depth_of_prefix = table.column("group")[0].as_py() // groups + 1
+    """The nodes (lang, phrase, words, f) of a group's subtrees that are there `least` times, from its prefixes down.  For whole phrases it adds up their rows."""
+    shortest = table.column("group")[0].as_py() // groups + 1
+    if shortest > LONGEST:
+        sums = table.group_by(["lang", "suffix"]).aggregate([("n", "sum")])
+        words = pc.add(pc.count_substring(sums.column("suffix"), " "), 1)
+        return pa.table({"lang": sums.column("lang"), "phrase": sums.column("suffix"), "words": words.cast(pa.int32()), "f": sums.column("n_sum")})
     n = table.column("n").to_numpy()
     langs = table.column("lang").combine_chunks().dictionary_encode()
     lists = pc.split_pattern(table.column("suffix").combine_chunks(), " ")
     flat = lists.flatten().dictionary_encode()
     size = np.diff(lists.offsets.to_numpy())
     owner = np.repeat(np.arange(len(n)), size)
-    words = np.zeros((len(n), LONGEST), np.int64)  # codes from 1
+    words = np.zeros((len(n), LONGEST), np.int32)  # codes from 1
     words[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = flat.indices.to_numpy() + 1
     node, rows, out = langs.indices.to_numpy().astype(np.int64), np.arange(len(n)), []
     for depth in range(1, LONGEST + 1):
@@ -194,10 +215,11 @@ def subtrees(table: pa.Table, groups: int, least: int) -> pa.Table:
         totals = np.add.reduceat(n[rows[order]], np.flatnonzero(new))
         node = np.empty(len(rows), np.int64)
         node[order] = np.cumsum(new) - 1
-        kept = np.full(len(totals), True) if depth < depth_of_prefix else totals >= least
-        at = rows[order[np.flatnonzero(new)]][kept]
-        phrase = _join([flat.dictionary.take(pa.array(words[at, k] - 1)) for k in range(depth)])
-        out.append(pa.table({"lang": langs.take(pa.array(at)).cast(pa.string()), "phrase": phrase, "words": pa.array(np.full(len(at), depth, np.int32)), "f": totals[kept]}))
+        kept = np.full(len(totals), True) if depth < shortest else totals >= least
+        if depth >= shortest:
+            at = rows[order[np.flatnonzero(new)]][kept]
+            phrase = _join([flat.dictionary.take(pa.array(words[at, k] - 1)) for k in range(depth)])
+            out.append(pa.table({"lang": langs.take(pa.array(at)).cast(pa.string()), "phrase": phrase, "words": pa.array(np.full(len(at), depth, np.int32)), "f": totals[kept]}))
         rows, node = rows[kept[node]], node[kept[node]]
     return pa.concat_tables(out)
 
@@ -208,10 +230,11 @@ def nodes(df: DataFrame, lang: str, text: str, least: int, budget: int) -> tuple
     words = written(rows.mapInArrow(_counted, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f")), "phrase-words")
     key = F.xxhash64("lang", "word")
     frequent = words.filter(F.col("f") >= least)
-    groups = 1 + 4 * (frequent.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] // budget)
-    run = suffixes(Filter.of(frequent.select(key)), Filter.of(words.filter(F.col("f") > budget // 4).select(key)), groups)
+    total = frequent.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    groups, spread = 1 + 4 * (total // budget), 1 + total // DEALT
+    run = suffixes(Filter.of(frequent.select(key)), Filter.of(words.filter(F.col("f") > budget // 4).select(key)), groups, spread)
     parts = rows.mapInArrow(run, "group long, lang string, suffix string, n long").groupBy("group").applyInArrow(lambda t: subtrees(t, groups, least), "lang string, phrase string, words int, f long")
-    found = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    found = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)  # phrases that were dealt to several parts
     return written(found, "phrase-nodes"), words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 

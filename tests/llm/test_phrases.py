@@ -46,6 +46,7 @@ def test_against_counts(spark, docs, monkeypatch, least, budget, portion, first)
     """Small budgets make prefixes of several words, small portions part leaves and long texts."""
     monkeypatch.setattr(phrases, "PORTION", portion)
     monkeypatch.setattr(phrases, "ROWS", 1000)
+    monkeypatch.setattr(phrases, "DEALT", 10_000 if budget < 1000 else 10**10)
     df = docs.filter("doc_id % 3 = 0").repartition(3)
     assert got(df, least=least, budget=budget, first=first) == brute([(r["lang"], r["text"]) for r in df.collect()], least, first=first)
 
@@ -70,13 +71,13 @@ def test_leaves():
 
 
 def test_a_group_is_a_tree():
-    """Below its prefix a group has whole counts and nothing under `least`; above it, parts."""
-    rows = [("a b c", 5), ("a b d", 2), ("a e", 1), ("b", 4)]
-    table = lambda group: pa.table({"group": [group] * 4, "lang": ["x"] * 4, "suffix": [s for s, _ in rows], "n": [n for _, n in rows]})
-    nodes = lambda group: {(r["phrase"], r["f"]) for r in phrases.subtrees(table(group), 10, 4).to_pylist()}
-    assert nodes(3) == {("a", 8), ("b", 4), ("a b", 7), ("a b c", 5)}
-    assert nodes(13) == {("a", 8), ("b", 4), ("a b", 7), ("a b c", 5)}
-    assert nodes(43) == {("a", 8), ("b", 4), ("a b", 7), ("a e", 1), ("a b c", 5), ("a b d", 2)}
+    """From its prefixes down a group has whole counts and nothing under `least`; whole phrases are added up."""
+    rows = [("a b c", 5), ("a b d", 2), ("a e", 1), ("b", 4), ("b", 3)]
+    table = lambda group: pa.table({"group": [group] * 5, "lang": ["x"] * 5, "suffix": [s for s, _ in rows], "n": [n for _, n in rows]})
+    nodes = lambda group: {(r["phrase"], r["words"], r["f"]) for r in phrases.subtrees(table(group), 10, 4).to_pylist()}
+    assert nodes(3) == {("a", 1, 8), ("b", 1, 7), ("a b", 2, 7), ("a b c", 3, 5)}
+    assert nodes(13) == {("a b", 2, 7), ("a b c", 3, 5)}
+    assert nodes(43) == {("a b c", 3, 5), ("a b d", 3, 2), ("a e", 2, 1), ("b", 1, 7)}
 
 
 def test_scores_pass_64_bits(spark):
