@@ -431,19 +431,19 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     found: doc_id, text_hash, component_id and keep_hash of each row of `docs`.  Only rows that may have to go are moved.
     """
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))
-    each = found.groupBy(_key(F.col("doc_id"), F.col("text_hash")).alias("_k")).agg(F.bool_or(stays).alias("_stays"), F.count("*").alias("n"))
-    touched = written(each.filter(~F.col("_stays") | (F.col("n") > 1)).select("_k", "_stays"), "touched")
-    may = Filter.of(touched.select("_k"))
+    each = found.groupBy(_key(F.col("doc_id"), F.col("text_hash")).alias("key")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n"))
+    touched = written(each.filter(~F.col("stays") | (F.col("n") > 1)).select("key", "stays"), "touched")
+    may = Filter.of(touched.select("key"))
 
     @F.arrow_udf("boolean")
     def has(keys: pa.Array) -> pa.Array:
         return pa.array(may.has(keys.to_numpy()))
 
-    rows = docs.withColumn("_k", _key(F.col("doc_id"), F.xxhash64(whole_text())))
-    rows = rows.withColumn("_may", has("_k"))
-    clean = rows.filter(~F.col("_may")).select(*docs.columns)
-    doubtful = rows.filter("_may").join(touched, "_k", "left").filter(F.coalesce("_stays", F.lit(True)))
-    return clean.unionByName(doubtful.dropDuplicates(["_k"]).select(*docs.columns))
+    # The row is one value, so that none of its columns meets a column of this function.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col("doc_id"), F.xxhash64(whole_text())).alias("key"))
+    rows = rows.withColumn("may", has("key"))
+    doubtful = rows.filter("may").join(touched, "key", "left").filter(F.coalesce("stays", F.lit(True)))
+    return rows.filter("NOT may").select("row.*").unionByName(doubtful.dropDuplicates(["key"]).select("row.*"))
 
 
 def kept(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
