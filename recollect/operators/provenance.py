@@ -58,22 +58,58 @@ def newest_marks(marks: DataFrame) -> DataFrame:
     return marks.groupBy("old_id").agg(F.max_by("new_id", F.struct("marked_at", "new_id")).alias("new_id"))
 
 
-#: Why a pair of an old and a new fact is no supersession, the first that holds.
 def stale_reason(owner: str = CONFIG.owner) -> Column:
+    """Why a pair of an old and a new fact is no supersession: the first rule that it breaks, or ``ok``.  A null never passes a rule.
+
+    Of both sides: id, subject, status, pinned, at, valid_to, key, value, polarity (as old_... and new_...); own (whether the owner's own words
+    support the new one) and slot (the question that both answer, where somebody has named it).
+    """
     o, n = (lambda c: F.col(f"old_{c}")), (lambda c: F.col(f"new_{c}"))
+    fails = lambda rule: ~F.coalesce(rule, F.lit(False))
+    both_keys = o("key").isNotNull() & n("key").isNotNull()
+    same = o("value").eqNullSafe(n("value")) & o("polarity").eqNullSafe(n("polarity"))
     return (
-        F.when(o("id") == n("id"), "same-row")
-        .when(o("subject") != n("subject"), "subject")
-        .when(o("subject") != owner, "not-owner")
-        .when(~o("status").isin("candidate") | o("pinned"), "old-not-plain")
-        .when(~n("status").isin("candidate", "confirmed"), "new-not-live")
-        .when(n("valid_from") <= o("valid_from"), "not-later")
-        .when(o("key") != n("key"), "key")
-        .when(o("value") == n("value"), "same-value")
+        F.when(o("status").isNull() | n("status").isNull(), "unknown-fact")
+        .when(o("id") == n("id"), "same-row")
+        .when(~o("subject").eqNullSafe(n("subject")), "subject")
+        .when(fails(n("subject") == owner), "not-owner")
+        .when((o("status") != "candidate") | F.coalesce(o("pinned"), F.lit(False)) | o("valid_to").isNotNull(), "old-not-plain")
+        .when(~n("status").isin("candidate", "confirmed") | n("valid_to").isNotNull(), "new-not-live")
+        .when(fails(o("at") < n("at")), "not-later")
+        .when(fails(F.col("own")), "not-own-words")
+        .when(both_keys & (o("key") != n("key")), "key")
+        .when(both_keys & same, "same-value")
+        .when(~both_keys & fails(F.trim("slot") != ""), "no-slot")
         .otherwise("ok")
     )
 
 
+def stale_checked(pairs: DataFrame, facts: DataFrame, said: DataFrame, owner: str = CONFIG.owner) -> DataFrame:
+    """`pairs` (old_id, new_id, slot) with ``reason``.
+
+    facts: fact_id, subject, status, pinned, valid_from, created_at, valid_to, key, value, polarity; said: fact_id and actor of supporting evidence.
+    A fact is as old as its valid_from says, or else its created_at.
+    """
+    when = F.coalesce("valid_from", "created_at").alias("at")
+    side = lambda p: facts.select("subject", "status", "pinned", when, "valid_to", "key", "value", "polarity", "fact_id").toDF(*(f"{p}_{c}" for c in ("subject", "status", "pinned", "at", "valid_to", "key", "value", "polarity", "id")))
+    mine = said.filter(F.col("actor") == owner).select(F.col("fact_id").alias("new_id"), F.lit(True).alias("own")).distinct()
+    both = pairs.join(side("old"), "old_id", "left").join(side("new"), "new_id", "left").join(mine, "new_id", "left")
+    return both.select(*pairs.columns, stale_reason(owner).alias("reason"))
+
+
+def stale_annotated(rows: DataFrame, marks: DataFrame, facts: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """`rows` (fact_id, score and more) with ``newer_id`` and ``slot`` of the newest mark that still holds, and the score weakened by it.
+
+    A mark (old_id, new_id, slot) lapses when the old fact is confirmed, pinned or closed since, or the new one is no longer live.
+    """
+    plain = facts.filter("status = 'candidate' AND NOT coalesce(pinned, false) AND valid_to IS NULL").select(F.col("fact_id").alias("old_id"))
+    fresh = facts.filter(F.col("status").isin(*config.live) & F.col("valid_to").isNull()).select(F.col("fact_id").alias("new_id"), F.coalesce("valid_from", "created_at").alias("at"))
+    held = marks.join(plain, "old_id").join(fresh, "new_id")
+    newest = held.groupBy(F.col("old_id").alias("fact_id")).agg(F.max_by(F.struct(F.col("new_id").alias("newer_id"), "slot"), F.struct("at", "new_id")).alias("m")).select("fact_id", "m.*")
+    both = rows.join(newest, "fact_id", "left")
+    return both.withColumn("score", F.col("score") * F.when(F.col("newer_id").isNotNull(), config.stale_factor).otherwise(1.0))
+
+
 def verified(evidence: DataFrame, lines: DataFrame) -> DataFrame:
     """evidence with state: verified (equal text), uncertain (contained either way), broken (no line, or another text); lines: path, turn, line."""
     both = evidence.join(lines, ["path", "turn"], "left")

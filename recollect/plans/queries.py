@@ -250,19 +250,53 @@ def stale_marks_latest(spark, d):
     return provenance.newest_marks(B.marks(spark, d))
 
 
-_STATE = "SELECT o_orderkey AS id, o_custkey % 5 AS s, CASE o_orderstatus WHEN 'F' THEN 'superseded' WHEN 'O' THEN 'candidate' ELSE 'confirmed' END AS status, o_orderkey % 37 = 0 AS pinned, o_orderdate AS valid_from, substr(o_orderpriority, 1, 1) AS key, o_orderpriority AS value FROM orders"
+_STATE = """st AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 < 3 THEN 0 ELSE o_custkey % 5 END AS s, CASE WHEN o_orderkey % 9 = 0 THEN 'superseded' WHEN o_orderkey % 9 < 7 THEN 'candidate' ELSE 'confirmed' END AS status,
+    o_orderkey % 37 = 0 AS pinned, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS valid_from, CASE WHEN o_orderkey % 26 <> 0 THEN o_orderdate END AS created_at, CASE WHEN o_orderkey % 41 = 0 THEN o_orderdate END AS valid_to,
+    CASE WHEN o_orderkey % 7 > 1 THEN 'k' || o_custkey % 2 * (o_orderkey % 3 // 2) END AS key, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 2 AS VARCHAR) END AS value, o_orderkey % 4 > 0 AS polarity FROM orders),
+    own AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'N'), pr AS (SELECT old_id, CASE WHEN old_id % 17 = 0 THEN old_id WHEN old_id % 19 = 0 THEN -1 ELSE new_id END AS new_id,
+    CASE old_id % 5 WHEN 0 THEN 'what is it' WHEN 1 THEN ' ' END AS slot FROM marks),
+    ch AS (SELECT pr.*, CASE WHEN o.status IS NULL OR n.status IS NULL THEN 'unknown-fact' WHEN o.id = n.id THEN 'same-row' WHEN o.s <> n.s THEN 'subject' WHEN n.s <> 0 THEN 'not-owner'
+    WHEN o.status <> 'candidate' OR o.pinned OR o.valid_to IS NOT NULL THEN 'old-not-plain' WHEN n.status NOT IN ('candidate', 'confirmed') OR n.valid_to IS NOT NULL THEN 'new-not-live'
+    WHEN NOT coalesce(coalesce(o.valid_from, o.created_at) < coalesce(n.valid_from, n.created_at), false) THEN 'not-later' WHEN own.id IS NULL THEN 'not-own-words'
+    WHEN o.key <> n.key THEN 'key' WHEN o.key = n.key AND o.value IS NOT DISTINCT FROM n.value AND o.polarity = n.polarity THEN 'same-value'
+    WHEN (o.key IS NULL OR n.key IS NULL) AND coalesce(trim(slot), '') = '' THEN 'no-slot' ELSE 'ok' END AS reason
+    FROM pr LEFT JOIN st o ON o.id = pr.old_id LEFT JOIN st n ON n.id = pr.new_id LEFT JOIN own ON own.id = pr.new_id)"""
+
+
+def _stale_facts(spark, d):
+    k, when = F.col("o_orderkey"), lambda c: F.when(c, F.col("o_orderdate"))
+    status = F.when(k % 9 == 0, "superseded").when(k % 9 < 7, "candidate").otherwise("confirmed")
+    subject = F.when(F.col("o_custkey") % 5 < 3, CONFIG.owner).otherwise(F.element_at(F.array(*map(F.lit, B.SUBJECTS)), (F.col("o_custkey") % 5 + 1).cast("int")))
+    key = F.when(k % 7 > 1, F.concat(F.lit("k"), (F.col("o_custkey") % 2 * F.floor(k % 3 / 2)).cast("int")))
+    value = F.when(k % 11 != 0, (k % 2).cast("string"))
+    return B.table(spark, d, "orders").select(
+        k.alias("fact_id"), subject.alias("subject"), status.alias("status"), (k % 37 == 0).alias("pinned"), when(k % 13 != 0).alias("valid_from"), when(k % 26 != 0).alias("created_at"), when(k % 41 == 0).alias("valid_to"),
+        key.alias("key"), value.alias("value"), (k % 4 > 0).alias("polarity"),
+    )
+
+
+def _stale_pairs(spark, d):
+    """The next order of a customer, now and then the order itself or none that is known; supported by the owner where a line was not returned."""
+    old = F.col("old_id")
+    pairs = B.marks(spark, d).select("old_id", F.when(old % 17 == 0, old).when(old % 19 == 0, -1).otherwise(F.col("new_id")).alias("new_id"), F.when(old % 5 == 0, "what is it").when(old % 5 == 1, " ").alias("slot"))
+    said = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.when(F.col("l_returnflag") == "N", CONFIG.owner).otherwise(CONFIG.assistants[0]).alias("actor"))
+    return provenance.stale_checked(pairs, _stale_facts(spark, d), said)
 
 
-@query("stale_gate", B.with_tables("marks", then=f"""WITH st AS ({_STATE}), j AS (SELECT m.old_id, m.new_id, CASE WHEN o.s <> n.s THEN 'subject' WHEN o.s <> 0 THEN 'not-owner' WHEN o.status <> 'candidate' OR o.pinned THEN 'old-not-plain'
-    WHEN n.status NOT IN ('candidate', 'confirmed') THEN 'new-not-live' WHEN n.valid_from <= o.valid_from THEN 'not-later' WHEN o.key <> n.key THEN 'key' WHEN o.value = n.value THEN 'same-value' ELSE 'ok' END AS reason
-    FROM marks m JOIN st o ON o.id = m.old_id JOIN st n ON n.id = m.new_id) SELECT reason, count(*) AS n FROM j GROUP BY reason"""))
+@query("stale_gate", B.with_tables("marks", then=f"WITH {_STATE} SELECT reason, count(*) AS n FROM ch GROUP BY reason"))
 def stale_gate(spark, d):
-    o = B.table(spark, d, "orders")
-    status = F.when(F.col("o_orderstatus") == "F", "superseded").when(F.col("o_orderstatus") == "O", "candidate").otherwise("confirmed")
-    fields = {"id": F.col("o_orderkey"), "subject": F.element_at(F.array(*map(F.lit, B.SUBJECTS)), (F.col("o_custkey") % 5 + 1).cast("int")), "status": status, "pinned": F.col("o_orderkey") % 37 == 0, "valid_from": F.col("o_orderdate"), "key": F.substring("o_orderpriority", 1, 1), "value": F.col("o_orderpriority")}
-    side = lambda p: o.select(*(c.alias(f"{p}_{k}") for k, c in fields.items()))
-    both = B.marks(spark, d).select("old_id", "new_id").join(side("old"), "old_id").join(side("new"), "new_id")
-    return both.select(provenance.stale_reason().alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return _stale_pairs(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("stale_annotated", B.with_tables("marks", then=f"""WITH {_STATE}, mk AS (SELECT old_id, CASE WHEN old_id % 3 = 0 THEN old_id ELSE new_id END AS new_id, slot FROM ch WHERE reason IN ('ok', 'no-slot', 'same-value', 'key', 'not-own-words', 'old-not-plain', 'new-not-live')),
+    h AS (SELECT mk.*, coalesce(n.valid_from, n.created_at) AS happened FROM mk JOIN st o ON o.id = old_id AND o.status = 'candidate' AND NOT o.pinned AND o.valid_to IS NULL JOIN st n ON n.id = new_id AND n.status IN ('candidate', 'confirmed') AND n.valid_to IS NULL),
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY happened DESC NULLS LAST, new_id DESC) = 1)
+    SELECT id AS fact_id, new_id AS newer_id, slot, CASE WHEN new_id IS NULL THEN 1.0 ELSE {CONFIG.stale_factor} END::DOUBLE AS score FROM st LEFT JOIN b ON old_id = id"""))
+def stale_annotated(spark, d):
+    kept = _stale_pairs(spark, d).filter(F.col("reason").isin("ok", "no-slot", "same-value", "key", "not-own-words", "old-not-plain", "new-not-live"))
+    marks = kept.withColumn("new_id", F.when(F.col("old_id") % 3 == 0, F.col("old_id")).otherwise(F.col("new_id")))
+    facts = _stale_facts(spark, d)
+    return provenance.stale_annotated(facts.select("fact_id", F.lit(1.0).alias("score")), marks, facts).select("fact_id", "newer_id", "slot", "score")
 
 
 @query("evidence_verify", B.with_tables("evidence", then="""WITH l AS (SELECT path, turn, CASE WHEN turn % 3 = 0 THEN content WHEN turn % 3 = 1 THEN content || '!' ELSE 'other' END AS line FROM evidence WHERE turn <> 5)

@@ -283,3 +283,39 @@ def test_working_set_and_bin(spark):
     back, log2 = lifecycle.restored(log, archive, F.lit(5), now)
     assert [(r["fact_id"], r["version"], r["status"], r["layer"]) for r in log2.collect()] == [(1, 3, "candidate", "active")]
     assert lifecycle.restored(log2, archive.unionByName(back), F.lit(5), now)[0].count() == 0  # once
+
+
+def test_stale_rules(spark):
+    """Each rule by itself: a pair that is fine but for one thing; and a null never passes."""
+    from recollect.operators import provenance
+
+    base = dict(subject="user", status="candidate", pinned=False, valid_from="2024-01-01", created_at="2024-01-01", valid_to=None, key="k", value="a", polarity=True)
+    later = base | dict(valid_from="2024-02-01", value="b")
+    cases = {
+        "ok": [({}, {}), ({}, dict(value="a", polarity=False)), ({}, dict(status="confirmed")), (dict(valid_from=None), {}), (dict(key=None), dict(slot="asked")), ({}, dict(value=None))],
+        "subject": [(dict(subject="assistant_a"), {}), (dict(subject=None), {})],
+        "not-owner": [(dict(subject="us"), dict(subject="us")), (dict(subject=None), dict(subject=None))],
+        "old-not-plain": [(dict(status="confirmed"), {}), (dict(pinned=True), {}), (dict(valid_to="2024-01-05"), {})],
+        "new-not-live": [({}, dict(status="superseded")), ({}, dict(valid_to="2024-03-01"))],
+        "not-later": [({}, dict(valid_from="2024-01-01")), (dict(valid_from=None, created_at=None), {}), ({}, dict(valid_from=None, created_at=None))],
+        "not-own-words": [({}, dict(said="assistant_a")), ({}, dict(said=None))],
+        "key": [({}, dict(key="other"))],
+        "same-value": [({}, dict(value="a")), (dict(value=None), dict(value=None))],
+        "no-slot": [(dict(key=None), {}), ({}, dict(key=None)), (dict(key=None), dict(key=None, slot="  "))],
+    }
+    facts, pairs, said, want = [], [], [], {}
+    for reason, some in cases.items():
+        for old, new in some:
+            k = len(want) * 2 + 2
+            slot, speaker = new.pop("slot", None), new.pop("said", "user")
+            facts += [(k, *(base | old).values()), (k + 1, *(later | new).values())]
+            pairs.append((k, k + 1, slot))
+            said += [(k + 1, speaker)] if speaker else []
+            want[k] = reason
+    pairs += [(1, 1, None), (0, 2, None), (2, 10**6, "x")]
+    facts.append((1, *base.values()))
+    schema = "fact_id long, subject string, status string, pinned boolean, valid_from string, created_at string, valid_to string, key string, value string, polarity boolean"
+    out = provenance.stale_checked(spark.createDataFrame(pairs, "old_id long, new_id long, slot string"), spark.createDataFrame(facts, schema), spark.createDataFrame(said, "fact_id long, actor string")).collect()
+    got = {(r["old_id"], r["new_id"]): r["reason"] for r in out}
+    assert {k: got[k, k + 1] for k in want} == want
+    assert got[1, 1] == "same-row" and got[0, 2] == "unknown-fact" and got[2, 10**6] == "unknown-fact"
