@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the folder in spark.checkpoint.dir, so that an iteration's lineage ends; tests without one use a local folder."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own(spark)
-    path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own(spark)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _OWN: dict[str, str] = {}

@@ -608,4 +608,4 @@ def events_props_json(spark, d):
     return B.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
 
 
-from recollect.plans import dialogue, memory, pools, store  # noqa: E402, F401  register their queries here
+from recollect.plans import dialogue, indexed, memory, pools, store  # noqa: E402, F401  register their queries here
