@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.operators.recall import small
+from recollect.operators.recall import containing, small
 
 #: Lengths of a term, in characters.
 SHORTEST, LONGEST = 2, 12
@@ -28,7 +28,7 @@ def spans(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def frequency(facts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(term, kind, df, weight): facts whose text holds the term; a term of many facts spreads less."""
-    hits = facts.select("content").join(small(dictionary), F.contains(F.lower("content"), F.col("term"))).groupBy("term").agg(F.count("*").alias("df"))
+    hits = containing(facts.select("fact_id", F.lower("content").alias("low")), dictionary, "fact_id", "low").groupBy("term").agg(F.count("*").alias("df"))
     out = dictionary.join(hits, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return out.withColumn("weight", F.round(1 / (1 + 0.001 * F.pow(F.greatest(F.col("df") - 1, F.lit(0)).cast("double"), F.lit(2.0))), 6))
 

@@ -20,7 +20,8 @@ STEP = 0.1
 
 def entity_facts(facts: DataFrame, dictionary: DataFrame, limit: int = 30) -> DataFrame:
     """term, fact_id, place: the facts that name a term, pinned ones first, then confirmed, then newer ones."""
-    met = facts.join(recall.small(dictionary), F.contains(F.lower("content"), F.col("term")))
+    rows = facts.select("fact_id", F.lower("content").alias("low"))
+    met = facts.join(recall.containing(rows, dictionary, "fact_id", "low"), "fact_id")
     w = Window.partitionBy("term").orderBy(F.desc("pinned"), F.desc(F.col("status") == "confirmed"), F.desc("valid_from"), F.desc("fact_id"))
     return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("term", "fact_id", "place")
 

@@ -10,6 +10,8 @@ from recollect.functions import scores, text
 
 #: Queries come in batches; a batch is sent to all tasks only up to this many rows.
 SMALL = 10_000
+#: Up to so many terms are looked for in each text; more meet the texts by equi-joins.
+SCAN = 200
 
 
 def is_small(df: DataFrame) -> bool:
@@ -17,7 +19,7 @@ def is_small(df: DataFrame) -> bool:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """`df` marked for broadcast if it is known to be small, else as it is."""
+    """`df` marked for broadcast if it is known to be small, else as it is: only for joins that have equal keys, which are then shuffled."""
     return F.broadcast(df) if is_small(df) else df
 
 
@@ -51,23 +53,45 @@ def with_activation(facts: DataFrame, now: Column) -> DataFrame:
     return facts.withColumns({"fresh": fresh, "act": act})
 
 
-def term_matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, term, term_rank and the columns of every fact whose text holds the term; terms: query_id, term_rank, term.
+def containing(rows: DataFrame, terms: DataFrame, key: str, low: str, scan: int = SCAN) -> DataFrame:
+    """(key, term): each row whose lower-case text `low` holds a term; terms: term.
 
-    A small batch of terms goes to the facts.  A larger one meets the facts' runs of up to three characters by equi-joins, on the first ones
-    of each term, and what is found is then looked at; facts need a ``fact_id`` for that.
+    A few terms are looked for in each text, one pass.  More of them meet the texts' runs of up to three characters by equi-joins, each by its rarest
+    run, so that no run is hot because many terms begin with it; what is found is then looked at.
     """
-    if is_small(terms):
+    asked = terms.select("term").distinct().filter(F.length("term") > 0)
+    texts = rows.select(key, F.col(low).alias("_low"))
+    if asked.limit(scan + 1).count() <= scan:
+        return texts.join(F.broadcast(asked), F.contains("_low", F.col("term"))).select(key, "term")
+    size = F.least(F.length("term"), F.lit(3))
+    parts = F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring(F.col("term"), i, size))
+    cut = asked.select("term", F.explode(F.array_distinct(parts)).alias("_run"))
+    runs = texts.select(key, F.explode(F.concat(*(text.windows(F.col("_low"), n) for n in (1, 2, 3)))).alias("_run"))
+    runs = runs.join(cut.select("_run").distinct(), "_run", "left_semi")
+    df = runs.groupBy("_run").agg(F.count("*").alias("n"))
+    rarest = cut.join(df, "_run", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_run")).alias("r")).filter("r.n > 0")
+    near = runs.join(rarest.select("term", F.col("r._run").alias("_run")), "_run").select(key, "term")
+    return near.join(texts, key).filter(F.contains("_low", F.col("term"))).select(key, "term")
+
+
+def term_matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, term, term_rank and the columns of every fact whose text holds the term; terms: query_id, term_rank, term; facts have a ``fact_id``."""
+    if terms.limit(SCAN + 1).count() <= SCAN:
         return facts.join(F.broadcast(terms), F.contains(F.lower("content"), F.col("term")))
-    low = F.lower("content")
-    runs = facts.select("fact_id", F.explode(F.concat(*(text.windows(low, n) for n in (1, 2, 3)))).alias("_run"))
-    wanted = terms.withColumn("_run", F.substring("term", 1, 3))
-    near = runs.join(wanted.select("_run").distinct(), "_run", "left_semi").join(wanted, "_run").drop("_run")
-    return facts.join(near, "fact_id").filter(F.contains(low, F.col("term")))
+    rows = facts.select("fact_id", F.lower("content").alias("low"))
+    return facts.join(containing(rows, terms, "fact_id", "low").join(terms, "term"), "fact_id")
+
+
+def word_matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, term, fact_id, tf and len (of the fact, in words): words of facts that are asked for, by an equi-join; terms: query_id, term."""
+    words = facts.select("fact_id", tokens(F.col("content")).alias("words")).select("fact_id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    asked = terms.select("query_id", "term").distinct()
+    held = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("fact_id", "term", "len").agg(F.count("*").alias("tf"))
+    return held.join(small(asked), "term")
 
 
 def document_frequency(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    hits = term_matches(facts.select("fact_id", "content"), terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
+    hits = containing(facts.select("fact_id", F.lower("content").alias("low")), terms, "fact_id", "low").groupBy("term").agg(F.count("*").alias("df"))
     return terms.join(hits, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
@@ -164,12 +188,10 @@ def tokens(content: Column) -> Column:
 
 def bm25(facts: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, fact_id, score, rank.  Only the terms asked for are counted, one pass over the texts."""
-    t = small(terms.select("query_id", "term").distinct())
-    docs = facts.select("fact_id", tokens(F.col("content")).alias("words")).withColumn("len", F.size("words"))
-    size = docs.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = docs.join(t, F.array_contains("words", F.col("term"))).select("query_id", "fact_id", "term", "len", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"))
+    size = facts.select(F.size(tokens(F.col("content"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = word_matches(facts, terms)
     df = tf.select("term", "fact_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(small(df), "term").join(F.broadcast(size), F.lit(True))  # df: a row for each term asked for; size: one row
+    scored = tf.join(df, "term").join(F.broadcast(size), F.lit(True))  # size: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
@@ -188,7 +210,8 @@ def discover(cards: DataFrame, terms: DataFrame, limit: int, config: Config = CO
 
     cards: fact_id, card (lower case), act, echo.
     """
-    hits = cards.join(small(terms), F.contains("card", F.col("term"))).groupBy("query_id", "fact_id").agg(F.count("*").alias("n"), F.first("act").alias("act"), F.first("echo").alias("echo"))
+    met = containing(cards, terms, "fact_id", "card").join(small(terms), "term")
+    hits = met.groupBy("query_id", "fact_id").agg(F.count("*").alias("n")).join(cards.select("fact_id", "act", "echo"), "fact_id")
     first = Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("act"), "fact_id")
     more = hits.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= 3 * limit)
     score = F.round(F.col("n") * F.col("act") * F.when(F.col("echo"), config.echo_factor).otherwise(1.0), 6)

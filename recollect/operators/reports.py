@@ -92,9 +92,14 @@ def probe(matches: DataFrame, sims: DataFrame) -> DataFrame:
 
 def relevance_to_goals(rows: DataFrame, goals: DataFrame, key: str = "fact_id") -> DataFrame:
     """(key, relevance): the greatest share of a row's grams in one open goal, times its kind's weight; rows: key, grams; goals: grams, weight."""
-    from recollect.operators.recall import small
+    aims = goals.select(F.xxhash64("grams", "weight").alias("goal"), "weight", F.array_distinct("grams").alias("grams")).dropDuplicates(["goal"])
+    held = rows.select(key, F.size("grams").alias("size"), F.explode(F.array_distinct("grams")).alias("g"))
+    met = held.join(aims.select("goal", "weight", F.explode("grams").alias("g")), "g").groupBy(key, "size", "goal", "weight").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    best = met.groupBy(key).agg(F.max(F.col("shared") / F.col("size") * F.col("weight")).alias("best"))
+    return rows.select(key).join(best, key, "left").select(key, F.round(F.coalesce("best", F.lit(0.0)), 6).alias("relevance"))
 
-    shared = F.size(F.array_intersect("grams", "goal_grams"))
-    share: Column = F.when(shared >= 2, shared / F.size("grams")).otherwise(0.0) * F.col("weight")
-    met = rows.join(small(goals.select(F.col("grams").alias("goal_grams"), "weight")), F.lit(True))
-    return met.groupBy(key).agg(F.round(F.max(share), 6).alias("relevance"))
+
+def sharing(rows: DataFrame, asked: DataFrame, least: int = 2) -> DataFrame:
+    """(query_id, fact_id, shared): rows and questions that share at least so many grams, by an equi-join; rows: fact_id, g; asked: query_id, q."""
+    left, right = rows.select("fact_id", F.explode(F.array_distinct("g")).alias("x")), asked.select("query_id", F.explode(F.array_distinct("q")).alias("x"))
+    return left.join(right, "x").groupBy("query_id", "fact_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)

@@ -37,7 +37,7 @@ _POOL = f"""t(query_id, term_rank, term) AS {_values(WORDS)}, hit AS (SELECT DIS
 
 def pool(spark, d):
     facts = active(spark, d).select("fact_id", "act", "valid_from", "content")
-    hit = facts.join(recall.small(terms(spark, WORDS)), F.array_contains(recall.tokens(F.col("content")), F.col("term"))).dropDuplicates(["query_id", "fact_id"])
+    hit = facts.join(recall.word_matches(facts, terms(spark, WORDS)).select("query_id", "fact_id").distinct(), "fact_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("act"), "fact_id")
     return graphs.saved(hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= POOL).select("query_id", "fact_id", "valid_from", "content"))
 
@@ -156,7 +156,8 @@ def key_entropy(spark, d):
     SELECT fact_id, term, CASE WHEN s IS NULL THEN substr(c, a1, b1 - a1 + 1) WHEN a2 <= b1 + 1 THEN substr(c, a1, b2 - a1 + 1) ELSE substr(c, a1, b1 - a1 + 1) || ' … ' || substr(c, a2, b2 - a2 + 1) END AS snippet FROM w"""))
 def snippets(spark, d):
     t = spark.createDataFrame([("waser",), ("thean",)], "term string")
-    met = recall.live(B.facts(spark, d)).join(recall.small(t), F.contains(F.lower("content"), F.col("term")))
+    facts = recall.live(B.facts(spark, d))
+    met = facts.join(recall.containing(facts.select("fact_id", F.lower("content").alias("low")), t, "fact_id", "low"), "fact_id")
     return met.select("fact_id", "term", text.snippet(F.col("content"), F.col("term")).alias("snippet"))
 
 
@@ -180,8 +181,7 @@ def pinned_candidates(spark, d):
     q = spark.createDataFrame(QUESTIONS, "query_id string, text string").select("query_id", text.bigrams(F.col("text")).alias("q"))
     pinned = recall.live(B.facts(spark, d)).filter("pinned").select("fact_id", text.bigrams(F.col("content")).alias("g"))
     w = Window.partitionBy("query_id").orderBy(F.desc("shared"), "fact_id")
-    met = pinned.join(recall.small(q), F.lit(True)).select("query_id", "fact_id", F.size(F.array_intersect("q", "g")).cast("long").alias("shared")).filter("shared >= 2")
-    return met.withColumn("place", F.row_number().over(w)).filter("place <= 3")
+    return reports.sharing(pinned, q).withColumn("place", F.row_number().over(w)).filter("place <= 3")
 
 
 @query("lexical_probe", B.with_tables("live", then=f"""WITH {ACTIVE}, {_POOL}, df AS (SELECT term, (SELECT count(*) FROM live WHERE contains(lower(content), term)) AS df FROM (SELECT DISTINCT term FROM t)),

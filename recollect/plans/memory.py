@@ -81,8 +81,8 @@ _RANKED = f"""{ACTIVE}, t(query_id, term_rank, term) AS {_values(WORDS)}, h AS (
 
 def _hits(spark, d):
     """Ranked hits of two questions; the first asks about the owner, the second about nobody in particular."""
-    facts = active(spark, d).withColumn("words", recall.tokens(F.col("content")))
-    met = facts.join(recall.small(terms(spark, WORDS)), F.array_contains("words", F.col("term"))).dropDuplicates(["query_id", "fact_id"])
+    facts = active(spark, d)
+    met = facts.join(recall.word_matches(facts, terms(spark, WORDS)).select("query_id", "fact_id").distinct(), "fact_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("act"), "fact_id")
     ranked = met.withColumns({"rank": F.row_number().over(w), "want": F.when(F.col("query_id") == "q1", OWNER)})
     return ranked.select("query_id", "fact_id", "rank", "want", "subject", "content").join(_supported(spark, d).select("fact_id", "actors"), "fact_id")
