@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,14 +243,86 @@ def best_window(doc: Column, words: Column, limit: int = 300) -> Column:
     return F.when(F.length(doc) <= limit, doc).when((F.size(sentences) == 0) | (best["n"] == 0), F.substring(doc, 1, limit)).otherwise(both["out"])
 
 
+def closed(text: str) -> str | None:
+    """The longest JSON object that a cut-off one still is: its last incomplete part dropped or its open string closed, and its open brackets closed.
+
+    A text is read once.  A stack holds the brackets that are open; wherever a value is whole the place is noted with the stack.  An open string is
+    a value unless it is a key; an escape that is cut off goes with it.
+    """
+    import json
+
+    begin = text.find("{")
+    if begin < 0:
+        return None
+    stack: list[str] = []
+    cuts: list[tuple[int, str]] = []  # the places up to which everything is whole, and what is open there
+    at, key = begin, False
+    while at < len(text):
+        c = text[at]
+        if c == '"':
+            end = at + 1
+            while end < len(text) and text[end] != '"':
+                end += 2 if text[end] == "\\" else 1
+            is_key = bool(stack) and stack[-1] == "}" and key
+            if end >= len(text):
+                held = text[at + 1 :]
+                for drop in range(min(7, len(held) + 1)):  # an escape is six characters at most
+                    tried = text[begin:at] + '"' + held[: len(held) - drop] + '"' + "".join(reversed(stack))
+                    if not is_key and _object(tried):
+                        return tried
+                break
+            at = end + 1
+            if not is_key:
+                cuts.append((at, "".join(reversed(stack))))
+            continue
+        if c in "{[":
+            stack.append("}" if c == "{" else "]")
+            key = c == "{"
+            cuts.append((at + 1, "".join(reversed(stack))))
+        elif c in "}]":
+            if not stack or stack[-1] != c:
+                break
+            stack.pop()
+            cuts.append((at + 1, "".join(reversed(stack))))
+            key = False
+            if not stack:
+                break
+        elif c == ",":
+            key = bool(stack) and stack[-1] == "}"
+        elif c == ":":
+            key = False
+        elif not c.isspace():
+            end = at
+            while end < len(text) and text[end] not in ',:]}"{[' and not text[end].isspace():
+                end += 1
+            if end < len(text) or text[at:end] in ("true", "false", "null"):  # a number that may go on is not whole
+                cuts.append((end, "".join(reversed(stack))))
+            at = end
+            continue
+        at += 1
+    # The last of them is an object, unless the text was no JSON before it was cut off: then some places before it are tried.
+    return next((out for cut, closers in reversed(cuts[-64:]) if _object(out := text[begin:cut] + closers)), None)
+
+
+def _object(text: str) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
 def tolerant_json(reply: Column) -> Column:
-    """The JSON object of a model's reply, without fences, talk around it and commas before a closing bracket; null if that doesn't parse."""
+    """The JSON object of a model's reply, without fences, talk around it and commas before a closing bracket; of one that was cut off the longest
+    object that it still is; null if there is none."""
+    @F.pandas_udf("string")
+    def repaired(replies: pd.Series) -> pd.Series:
+        return replies.map(lambda t: closed(t) if isinstance(t, str) else None)
+
     bare = F.regexp_replace(F.trim(reply), r"(?i)^```(?:json)?\s*|\s*```$", "")
     inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     mended = F.regexp_replace(inner, r",\s*([}\]])", "$1")
-    tries = [bare, inner, mended]
     out = F.when(F.lit(False), F.lit(""))
-    for t in tries:
+    for t in (bare, inner, mended, repaired(F.regexp_replace(F.regexp_extract(bare, r"(?s)(\{.*)$", 1), r",\s*([}\]])", "$1"))):
         out = out.when(F.trim(t).startswith("{") & F.try_parse_json(t).isNotNull(), t)
     return out
 

@@ -17,11 +17,33 @@ def context_window(evidence: DataFrame, before: int = 8, after: int = 8) -> Data
 
 
 def without_repeats(evidence: DataFrame, seconds: int) -> DataFrame:
-    """Turns without those that repeat the turn before them (same speaker and text) within `seconds`."""
+    """Turns without those that repeat the last *kept* turn of their session (same speaker and text) within `seconds` of it.
+
+    Turns that repeat each other stand in one run.  The turn kept after a kept one is the first of the run beyond its `seconds`, which a range of
+    the run's times finds for every turn; which turns are reached from the first of the run is followed by doubling, so a run of n turns takes log n steps.
+    A null speaker or text repeats nothing.
+    """
+    us = F.unix_micros(F.col("occurred_at").cast("timestamp"))
     w = Window.partitionBy("path").orderBy("occurred_at", "id")
-    gap = F.unix_micros(F.col("occurred_at").cast("timestamp")) - F.unix_micros(F.lag("occurred_at").over(w).cast("timestamp"))
-    again = (F.lag("actor").over(w) == F.col("actor")) & (F.lag("content").over(w) == F.col("content")) & (gap <= seconds * 1_000_000)
-    return evidence.withColumn("again", F.coalesce(again, F.lit(False))).filter("NOT again").drop("again")
+    same = (F.lag("actor").over(w) == F.col("actor")) & (F.lag("content").over(w) == F.col("content"))
+    rows = evidence.withColumns({"_us": us, "_new": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)})
+    rows = rows.withColumn("_run", F.sum("_new").over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("path", "_run")))
+    rows = graphs.saved(rows)
+    times = rows.filter("_n > 1").groupBy("path", "_run", "_us").agg(F.min("id").alias("_first"))
+    beyond = Window.partitionBy("path", "_run").orderBy("_us").rangeBetween(seconds * 1_000_000 + 1, Window.unboundedFollowing)
+    steps = graphs.saved(times.withColumn("_to", F.min("_us").over(beyond)))
+    kept = graphs.saved(steps.groupBy("path", "_run").agg(F.min("_us").alias("_us")))
+    jumps = steps.select("path", "_run", "_us", "_to").filter("_to IS NOT NULL")
+    while True:
+        more = kept.join(jumps, ["path", "_run", "_us"]).select("path", "_run", F.col("_to").alias("_us"))
+        both = graphs.saved(kept.unionByName(more).distinct())
+        if both.count() == kept.count():
+            break
+        far = jumps.select("path", "_run", F.col("_us").alias("_to"), F.col("_to").alias("_far"))
+        kept, jumps = both, graphs.saved(jumps.join(far, ["path", "_run", "_to"]).select("path", "_run", "_us", F.col("_far").alias("_to")))
+    ids = kept.join(steps, ["path", "_run", "_us"]).select("path", "_run", F.col("_first").alias("id"))
+    long = rows.filter("_n > 1").join(ids, ["path", "_run", "id"], "left_semi")
+    return rows.filter("_n = 1").unionByName(long).select(*evidence.columns)
 
 
 def greedy_chunks(evidence: DataFrame, budget: int = CONFIG.chunk_chars) -> DataFrame:

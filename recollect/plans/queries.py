@@ -315,11 +315,13 @@ def context_window(spark, d):
     return timeline.context_window(B.evidence(spark, d)).withColumn("around", F.array_join(F.col("around").cast("array<string>"), ","))
 
 
-@query("turn_dedupe", """WITH e AS (SELECT event_id AS id, user_id, event_type, ts, lag(event_type) OVER w AS p, lag(ts) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT id, user_id FROM e WHERE NOT coalesce(p = event_type AND epoch_us(ts) - epoch_us(pt) <= 3600000000, false)""")
+@query("turn_dedupe", """WITH RECURSIVE l AS (SELECT event_id AS id, user_id, ts, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT id, user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id) AS run FROM l),
+    k(user_id, run, ts) AS (SELECT user_id, run, min(ts) FROM r GROUP BY ALL UNION ALL SELECT k.user_id, k.run, min(r.ts) FROM k JOIN r ON r.user_id = k.user_id AND r.run = k.run AND epoch_us(r.ts) - epoch_us(k.ts) > 21600000000 GROUP BY k.user_id, k.run)
+    SELECT min(id) AS id, user_id FROM k JOIN r USING (user_id, run, ts) GROUP BY user_id, run, ts""")
 def turn_dedupe(spark, d):
     e = B.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("path"), F.col("event_type").alias("actor"), F.lit("").alias("content"), F.col("ts").alias("occurred_at"))
-    return timeline.without_repeats(e, 3600).select("id", F.col("path").alias("user_id"))
+    return timeline.without_repeats(e, 6 * 3600).select("id", F.col("path").alias("user_id"))
 
 
 @query("interval_dedupe", """SELECT event_id, user_id FROM events a WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'view' AND b.user_id = a.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 900000000)""")
