@@ -108,7 +108,20 @@ class Filter:
         return found
 
 
+#: Rows that Spark sends to a Python task at once.  Texts are a few thousand characters and some far more, so the default of 10,000 would be 50 MB on either side.
+ROWS = 1000
+
+
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to `ROWS`, where they are more; a setting below that stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(name, ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_a_batch(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
