@@ -1,6 +1,10 @@
 """A pipeline over ``documents``: quality rules, language ID, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of ``documents``.
+
+Results for odd input: null and empty texts fail the quality rules; without labelled rows the language stage keeps all texts with a letter; of rows
+that are equal in ``doc_id`` and text one stays; ``n_chars`` is set anew after personal data is gone, if there is such a column and it was not null; an
+empty table gives no rows; further columns go through all stages but the last unchanged, whatever they are called.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import langid, packing, pii, quality, simhash
-from recollect.llm.common import documents, written
+from recollect.llm.common import documents, few_rows_a_batch, written
 
 #: Score of language ID below which a document goes.
 SURE = 0.5
@@ -26,6 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or whose language is unsure, go.  Without a labelled row there is nothing to judge by: all with a letter stay."""
+    few_rows_a_batch(spark)
     model = langid.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -37,16 +42,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (verified by their five-word shingles) stays."""
+    few_rows_a_batch(spark)
     return simhash.kept_similar(docs, PRINTS, RADIUS, SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; terms that give it away are generalised or removed."""
-    return pii.cleaned(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+    clean = pii.cleaned(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
+    few_rows_a_batch(spark)
     return packing.pieces(docs)
 
 
