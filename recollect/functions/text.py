@@ -116,17 +116,6 @@ def slot(text: Column) -> Column:
     return out
 
 
-#: Token rules of redaction: kind and pattern (fixed values of public key formats).
-SECRETS = [("sk", r"\bsk-[A-Za-z0-9_-]{20,}"), ("aws", r"\bAKIA[0-9A-Z]{16}\b"), ("github", r"\bgh[pousr]_[A-Za-z0-9]{30,}"), ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"), ("assigned", r"(?i)\b(?:token|secret|password|api_?key)\s*[=:]\s*[\"']?[0-9a-f]{32,}")]
-
-
-def redact(text: Column) -> Column:
-    out = text
-    for kind, pattern in SECRETS:
-        out = F.regexp_replace(out, pattern, f"[redacted:{kind}]")
-    return out
-
-
 def token_estimate(text: Column) -> Column:
     """0.75 for each CJK character and 0.3 for any other."""
     cjk = F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG
-from recollect.functions import scores, text
+from recollect.functions import redaction, scores, text
 from recollect.operators import graphs, lifecycle, provenance, recall, timeline
 from recollect.sources import bindings as B
 
@@ -502,10 +502,19 @@ def clause_classify(spark, d):
     return B.evidence(spark, d).withColumn("c", text.clause_type(F.col("content"))).select("id", "c.fact_type", F.round("c.confidence", 6).alias("confidence"))
 
 
-@query("redaction_counts", B.with_tables("facts", then="SELECT fact_id, " + " + ".join("len(regexp_extract_all(content, '" + p.replace("'", "''") + "'))" for _, p in text.SECRETS) + " AS n FROM facts WHERE n > 0"))
+_TOKENS = r"[A-Za-z0-9](?:[A-Za-z0-9_+~=-]|[.:][A-Za-z0-9]){11,}"
+
+
+@query("redaction_counts", B.with_tables("facts", then=f"""WITH t AS (SELECT fact_id, unnest(regexp_extract_all(regexp_replace(content, 'https?://[^\s"''<>]+', ' ', 'g'), '{_TOKENS}')) AS t FROM facts)
+    SELECT fact_id, count(*) AS n FROM t WHERE {" OR ".join(f"regexp_matches(t, '{p}')" for _, p in redaction.FORMATS)} GROUP BY fact_id"""))
 def redaction_counts(spark, d):
-    n = sum((F.regexp_count("content", F.lit(p)) for _, p in text.SECRETS), F.lit(0))
-    return B.facts(spark, d).select("fact_id", n.cast("long").alias("n")).filter("n > 0")
+    """Tokens of public key formats outside of addresses."""
+    bare = F.regexp_replace("content", r"https?://[^\s\"'<>]+", " ")
+    rows = B.facts(spark, d).select("fact_id", F.explode(F.regexp_extract_all(bare, F.lit(_TOKENS), F.lit(0))).alias("t"))
+    known = F.lit(False)
+    for _, pattern in redaction.FORMATS:
+        known = known | F.col("t").rlike(pattern)
+    return rows.filter(known).groupBy("fact_id").agg(F.count("*").alias("n"))
 
 
 @query("length_buckets", B.with_tables("evidence", then="""SELECT actor, CASE WHEN length(content) <= 12 THEN '0-12' WHEN length(content) <= 20 THEN '13-20' WHEN length(content) <= 40 THEN '21-40' WHEN length(content) <= 100 THEN '41-100' ELSE '101+' END AS bucket, count(*) AS n FROM evidence GROUP BY ALL"""))

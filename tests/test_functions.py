@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from recollect import schemas
 from recollect.config import CONFIG
-from recollect.functions import scores, text
+from recollect.functions import redaction, scores, text
 from recollect.operators import gates, lifecycle, provenance, recall, timeline
 
 
@@ -43,7 +43,7 @@ def test_prefilter(spark, s, want):
 
 def test_redaction(spark):
     secret = "AKIA" + "A" * 16
-    assert one(spark, text.redact(F.lit(f"key {secret} end"))) == "key [redacted:aws] end"
+    assert one(spark, redaction.redacted(F.lit(f"key {secret} end"))) == "key [redacted:aws:AKIA…AA] end"
 
 
 def test_clause_type(spark):

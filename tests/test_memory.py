@@ -102,29 +102,47 @@ def test_cjk_and_thoughts(spark):
 
 def plain_redaction(text):
     """The same rules in Python."""
+    limits = redaction.LIMITS
     mask = lambda k, v: f"[redacted:{k}:{v[:4]}…{v[-2:]}]"
-
-    def secret(t, least, bits):
-        t = t.rstrip("=")
-        parts = [p for p in re.split("[_-]", t) if p]
-        words = len(parts) >= 3 and sum(len(p) for p in parts if re.fullmatch("[0-9]+|[A-Za-z]{2,}", p)) >= 0.7 * sum(map(len, parts))
-        entropy = -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0
-        return len(t) >= least and not re.match(redaction.UUID, t) and not re.match(redaction.HEX, t) and bool(re.search("[0-9]", t)) and bool(re.search("[A-Za-z]", t)) and not words and entropy >= bits
-
-    for kind, before, key in redaction.KNOWN:
-        text = re.sub(before + key, lambda m, kind=kind: mask(kind, m[0]), text)
-
-    def assigned(m):
-        t = m[2]
-        digest = re.match(redaction.HEX, t) and len(t) >= 20 and re.search("[0-9]", t) and re.search("[A-Fa-f]", t)
-        return m[1] + mask("kv", t) if secret(t, 16, 2.8) or digest else m[0]
-
-    def long(m):
-        before = m.string[max(0, m.start() - 40) : m.start()]
-        harmless = re.search(redaction.PUBLIC_BEFORE, before) or (before.endswith("/") and re.match(redaction.EXTENSION, m.string[m.end() :]))
-        return mask("entropy", m[0]) if secret(m[0], 32, 4.0) and not harmless else m[0]
-
-    return re.sub(redaction.LONG, long, re.sub(redaction.ASSIGNED, assigned, text))
+    word = lambda p: p.replace(r"\p{XDigit}", "[0-9A-Fa-f]")
+    of = lambda c: "aA0"[1 if c.isupper() else 2 if c.isdigit() else 0]
+
+    def mixed(t):
+        if not re.search("[A-Za-z]", t) or len(re.findall("[0-9]", t)) < 2:
+            return 0
+        pairs = sum(x.isascii() and x.isalnum() and y.isascii() and y.isalnum() and of(x) != of(y) for x, y in zip(t, t[1:], strict=False))
+        return pairs / sum(c.isalnum() for c in t)
+
+    def kind(t, lead):
+        if re.search(word(redaction.UUID), t):
+            return None
+        for k, p in redaction.FORMATS:
+            if re.search(p, t, re.A):
+                return k
+        digest = re.search(word(redaction.HEX), t)
+        if re.search(redaction.BEARER, lead) and len(t) >= limits.named:
+            return "bearer"
+        telling = len(t) >= limits.digest and re.search("[0-9]", t) and re.search("[A-Fa-f]", t) if digest else len(t) >= limits.named and mixed(t) >= limits.named_mixed
+        if re.search(redaction.NAMED, lead, re.A) and telling:
+            return "named"
+        file = re.search(r"\.[A-Za-z0-9]{2,5}$", t) and t.count(".") == 1
+        return "random" if len(t) >= limits.anywhere and not digest and mixed(t) >= limits.mixed and not re.search(redaction.PUBLIC, lead) and not file else None
+
+    def part(m):
+        v, rest = m[0], m.string[m.end() :]
+        file = re.search(r"^\.[A-Za-z0-9]{2,5}(?:$|[?#])", re.split(redaction.SEGMENT, rest)[0])
+        return v if re.search(word(redaction.UUID), v) or re.search(word(redaction.HEX), v) or mixed(v) < limits.mixed or file else mask("url", v)
+
+    out, at, last = [], 0, ""
+    for m in re.finditer(redaction.TOKEN, text):
+        gap, t = text[at : m.start()], m[0]
+        if t.startswith(("http://", "https://")):
+            out += [gap, re.sub(redaction.SEGMENT, part, t)]
+        else:
+            k = kind(t, last + gap)
+            out += [gap, mask(k, t) if k else t]
+        at, last = m.end(), t
+    return "".join(out) + text[at:]
 
 
 def test_redaction_against_python(spark):
@@ -134,13 +152,16 @@ def test_redaction_against_python(spark):
     parts = [
         lambda: "sk-" + made(24), lambda: "ghp_" + made(30), lambda: "xoxb-" + made(14), lambda: "AKIA" + made(16, "ABCDEFGH0123456789"), lambda: made(9, "123456789") + ":" + made(35), lambda: "Bearer " + made(20),
         lambda: "password: " + made(18), lambda: "api_key = '" + made(20, "0123456789abcdef") + "'", lambda: made(40), lambda: made(40, "0123456789abcdef"), lambda: "a-file-name-with-many-words-2024-01-02-in-it",
-        lambda: "123e4567-e89b-42d3-a456-426614174000", lambda: "https://x.org/inbox/" + made(36) + ".jpg", lambda: "ssh-ed25519 " + made(60), lambda: "file_id=" + made(50), lambda: "token is " + made(15), lambda: "plain words", lambda: "https://api.day.app/" + made(22),
+        lambda: "123e4567-e89b-42d3-a456-426614174000", lambda: "https://x.org/inbox/" + made(36) + ".jpg", lambda: "ssh-ed25519 " + made(60), lambda: "file_id=" + made(50), lambda: "token is " + made(15), lambda: "plain words", lambda: "https://push.example.org/" + made(22) + "/title", lambda: "bearer \t " + made(30), lambda: "https://x.org/a-long-name-of-a-page-2024?key=" + made(30), lambda: "authorization_token => " + made(24),
+        lambda: "AIza" + made(35), lambda: "getUserNameFromDatabaseConnectionPoolOfAll", lambda: "ecdsa-sha2-nistp256 " + made(50), lambda: "口令是" + made(20), lambda: "eyJ" + made(20) + "." + made(20) + "." + made(9),
     ]
     texts = ["", "short", *(f" {rng.choice(['and', '.', ',', 'x'])} ".join(p() for p in rng.choices(parts, k=rng.randint(1, 6))) for _ in range(120))]
     got = each(spark, texts, redaction.redacted)
     assert got == [plain_redaction(t) for t in texts]
     kinds = {k for r in each(spark, got, redaction.masks, "string") for k, _ in r}
-    assert kinds >= {"sk", "github", "slack", "aws", "tg", "bearer", "kv", "entropy", "push"}
+    assert kinds >= {"sk", "github", "slack", "aws", "tg", "jwt", "google", "bearer", "named", "random", "url"}
+    plain = ["a-file-name-with-many-words-2024-01-02-in-it", "123e4567-e89b-42d3-a456-426614174000", "getUserNameFromDatabaseConnectionPoolOfAll", "https://example.org/wiki/Some_long_title_of_a_page", "0123456789abcdef" * 4, "2024-01-02T03:04:05.678Z", "https://x.org/inbox/Ab3dE5gH7jK9mN1pQ3sT5vW7.jpg"]
+    assert each(spark, plain, redaction.redacted) == plain
     assert each(spark, got[:40], redaction.redacted) == got[:40]  # what is masked stays as it is
 
 
