@@ -85,23 +85,33 @@ def _voted(clauses: Column, pattern: str) -> Column:
     return F.size(F.filter(clauses, lambda c: c.rlike(pattern)))
 
 
-#: Reasons not to keep a message, the first that holds (RE2-safe patterns).
-PREFILTER = [
-    ("ack", r"^(ok|okay|yes|no|sure|thanks|thank you|got it|fine|great|k)[.! ]*$"),
-    ("heartbeat", r"^(ping|heartbeat|keepalive|tick)[.! ]*$"),
-    ("too-short", r"^.{0,3}$"),
-    ("tool-output", r"^(\$ |>>> |traceback|exit code|stdout:|stderr:)"),
-    ("json-blob", r"^[\[{].*[\]}]$"),
-    ("error-log", r"^[a-z.]*(error|exception|warning)[: ]"),
-]
-
-
-def prefilter(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    out = F.when(F.lit(False), F.lit(""))
-    for reason, pattern in PREFILTER:
-        out = out.when(t.rlike(pattern), reason)
-    return out
+#: What is said in answer, by itself (an English rule pack); a picture or two says as little.
+ACKS = ("ok", "okay", "yes", "yep", "yeah", "no", "nope", "sure", "thanks", "thankyou", "thx", "gotit", "fine", "great", "k", "lol", "haha", "hm", "hmm", "done", "nice", "right", "alright", "bye", "goodnight", "morning")
+PICTURE = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+HEARTBEAT = r"(?i)^(?:heartbeat(?:_ok)?|ping|pong|keep-?alive|alive|tick)\s*[:.!]?$"
+TOOL = r"(?i)^(?:<(?:tool_result|function_results)|\[?tool[ _]?(?:result|output)|std(?:out|err)\s*:|exit code\s*:?\s*[0-9]|\$ \S|>>> )"
+ERROR_LINE = r"(?i)^\s*(?:(?:[a-z_]+\.)*[a-z]*(?:error|exception|traceback|fatal|warn(?:ing)?|errno)\b|[0-9]{4}-[0-9]{2}-[0-9]{2}[ t][0-9:.,]+\s*\[?(?:error|warn|fatal))"
+SHORTEST = 4
+#: Reasons for which a message is left out altogether; the others stay as context.
+LEFT_OUT = ("heartbeat", "tool-output", "json-blob", "error-log")
+
+
+def prefilter(message: Column, blob: Column | None = None, thought: Column | None = None) -> Column:
+    """Why nothing is to be found in a message, or null: an answer, a sign of life, too little, a tool's output, JSON, a log of errors, a thought.
+
+    An error log begins with a line of an error and half of its lines are such.  `blob` and `thought` (`pool.is_json_blob`, `pool.is_thinking`; the latter for
+    an assistant's words alone) are the tests of the message that need more than patterns.
+    """
+    t = F.trim(message)
+    core = F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
+    errors = F.size(F.filter(lines, lambda x: x.rlike(ERROR_LINE)))
+    log = F.coalesce(F.get(lines, F.lit(0)).rlike(ERROR_LINE) & (errors * 2 >= F.size(lines)), F.lit(False))
+    out = F.when(core.isin(*ACKS) | ((core == "") & t.rlike(PICTURE)), "ack").when(t.rlike(HEARTBEAT), "heartbeat").when(F.length(core) < SHORTEST, "too-short").when(t.rlike(TOOL), "tool-output")
+    if blob is not None:
+        out = out.when(blob, "json-blob")
+    out = out.when(log, "error-log")
+    return out if thought is None else out.when(thought, "thought")
 
 
 #: Slots with the pattern that fills them (an English registry).

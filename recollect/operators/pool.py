@@ -140,3 +140,8 @@ def is_json_blob(message: Column, density: float = 0.18) -> Column:
     """Whether a message is JSON, or in brackets and mostly its punctuation."""
     t = F.trim(message)
     return t.rlike(r"(?s)^[{\[].*[}\]]$") & (F.try_parse_json(t).isNotNull() | (F.length(F.regexp_replace(t, r'[^{}\[\]":,]', "")) > density * F.length(t)))
+
+
+def prefiltered(message: Column, assistant: Column) -> Column:
+    """Why nothing is to be found in a message, with all tests; whether an assistant said it decides if it may be a thought."""
+    return text.prefilter(message, is_json_blob(message), assistant & is_thinking(message))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG
 from recollect.functions import redaction, scores, text
-from recollect.operators import graphs, lifecycle, provenance, recall, timeline
+from recollect.operators import graphs, lifecycle, pool, provenance, recall, timeline
 from recollect.sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,9 +468,20 @@ def card_text(spark, d):
     return B.facts(spark, d).select("fact_id", text.card(F.col("content")).alias("card"))
 
 
-@query("prefilter_reasons", B.with_tables("evidence", then="SELECT coalesce(CASE " + " ".join(f"WHEN regexp_matches(lower(trim(content)), '{p}') THEN '{r}'" for r, p in text.PREFILTER) + " END, 'kept') AS reason, actor, count(*) AS n FROM evidence GROUP BY ALL"))
+#: A message of every kind, from what was said.
+_KINDS = "CASE turn % 9 WHEN 1 THEN '{\"abcd\": [' || turn || ']}' WHEN 2 THEN 'Error: ' || replace(content, chr(10), ' ') || chr(10) || 'TypeError at x' WHEN 3 THEN 'Warning: once' || chr(10) || 'a' || chr(10) || content || chr(10) || 'b' WHEN 4 THEN 'OK!' WHEN 5 THEN '$ ls ' || content WHEN 6 THEN 'ping' WHEN 7 THEN '{\"wxyz\": \"' || turn || '\", [,],{},}' ELSE content END"
+_ERROR_LINE = text.ERROR_LINE.replace("'", "''")
+
+
+@query("prefilter_reasons", B.with_tables("evidence", then=rf"""WITH m AS (SELECT actor, trim({_KINDS}) AS t FROM evidence), c AS (SELECT *, lower(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) AS core, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM m),
+    r AS (SELECT actor, CASE WHEN core IN {text.ACKS} OR (core = '' AND regexp_matches(t, '{text.PICTURE}')) THEN 'ack' WHEN regexp_matches(t, '{text.HEARTBEAT}') THEN 'heartbeat' WHEN length(core) < {text.SHORTEST} THEN 'too-short' WHEN regexp_matches(t, '{text.TOOL}') THEN 'tool-output'
+    WHEN regexp_full_match(t, '(?s)[{{\[].*[}}\]]') AND (json_valid(t) OR length(regexp_replace(t, '[^{{}}\[\]":,]', '', 'g')) > 0.18 * length(t)) THEN 'json-blob'
+    WHEN len(l) > 0 AND regexp_matches(l[1], '{_ERROR_LINE}') AND 2 * len(list_filter(l, lambda x: regexp_matches(x, '{_ERROR_LINE}'))) >= len(l) THEN 'error-log' ELSE 'kept' END AS reason FROM c)
+    SELECT reason, actor, count(*) AS n FROM r GROUP BY ALL"""))
 def prefilter_reasons(spark, d):
-    return B.evidence(spark, d).select(F.coalesce(text.prefilter(F.col("content")), F.lit("kept")).alias("reason"), "actor").groupBy("reason", "actor").agg(F.count("*").alias("n"))
+    message = F.expr(_KINDS.replace("chr(10)", "char(10)"))
+    rows = B.evidence(spark, d).select("actor", message.alias("t"))
+    return rows.select(F.coalesce(text.prefilter(F.col("t"), pool.is_json_blob(F.col("t"))), F.lit("kept")).alias("reason"), "actor").groupBy("reason", "actor").agg(F.count("*").alias("n"))
 
 
 @query("numbers_supported", B.with_tables("evidence", then="""WITH x AS (SELECT id, list_distinct(regexp_extract_all(content, '[0-9]+')) AS n, lag(content) OVER (PARTITION BY path ORDER BY turn) AS before FROM evidence)
@@ -503,18 +516,19 @@ def clause_classify(spark, d):
 
 
 _TOKENS = r"[A-Za-z0-9](?:[A-Za-z0-9_+~=-]|[.:][A-Za-z0-9]){11,}"
+#: A hexadecimal key that is assigned to a telling name.
+_ASSIGNED = rf"(?i)(?:{'|'.join(redaction.NAMES)})\w{{0,12}}\s*[:=]\s*[\x22\x27]?[0-9a-f]{{20,}}\b"
 
 
-@query("redaction_counts", B.with_tables("facts", then=f"""WITH t AS (SELECT fact_id, unnest(regexp_extract_all(regexp_replace(content, 'https?://[^\s"''<>]+', ' ', 'g'), '{_TOKENS}')) AS t FROM facts)
-    SELECT fact_id, count(*) AS n FROM t WHERE {" OR ".join(f"regexp_matches(t, '{p}')" for _, p in redaction.FORMATS)} GROUP BY fact_id"""))
+@query("redaction_counts", B.with_tables("facts", then=rf"""WITH t AS (SELECT fact_id, unnest(regexp_extract_all(regexp_replace(content, 'https?://[^\s"''<>]+', ' ', 'g'), '{_TOKENS}')) AS t FROM facts),
+    k AS (SELECT fact_id, count(*) AS n FROM t WHERE {" OR ".join(f"regexp_matches(t, '{p}')" for _, p in redaction.FORMATS)} GROUP BY fact_id)
+    SELECT fact_id, coalesce(n, 0) AS known, len(regexp_extract_all(content, '{_ASSIGNED}')) AS assigned FROM facts LEFT JOIN k USING (fact_id) WHERE coalesce(n, 0) + len(regexp_extract_all(content, '{_ASSIGNED}')) > 0"""))
 def redaction_counts(spark, d):
-    """Tokens of public key formats outside of addresses."""
+    """Tokens of public key formats outside of addresses, and hexadecimal keys that are assigned."""
     bare = F.regexp_replace("content", r"https?://[^\s\"'<>]+", " ")
-    rows = B.facts(spark, d).select("fact_id", F.explode(F.regexp_extract_all(bare, F.lit(_TOKENS), F.lit(0))).alias("t"))
-    known = F.lit(False)
-    for _, pattern in redaction.FORMATS:
-        known = known | F.col("t").rlike(pattern)
-    return rows.filter(known).groupBy("fact_id").agg(F.count("*").alias("n"))
+    found = F.filter(F.regexp_extract_all(bare, F.lit(_TOKENS), F.lit(0)), lambda t: reduce(or_, (t.rlike(p) for _, p in redaction.FORMATS)))
+    rows = B.facts(spark, d).select("fact_id", F.size(found).cast("long").alias("known"), F.regexp_count("content", F.lit(_ASSIGNED)).cast("long").alias("assigned"))
+    return rows.filter("known + assigned > 0")
 
 
 @query("length_buckets", B.with_tables("evidence", then="""SELECT actor, CASE WHEN length(content) <= 12 THEN '0-12' WHEN length(content) <= 20 THEN '13-20' WHEN length(content) <= 40 THEN '21-40' WHEN length(content) <= 100 THEN '41-100' ELSE '101+' END AS bucket, count(*) AS n FROM evidence GROUP BY ALL"""))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from recollect import schemas
 from recollect.config import CONFIG
+from recollect.operators import pool
 from recollect.functions import redaction, scores, text
 from recollect.operators import gates, lifecycle, provenance, recall, timeline
 
@@ -36,9 +37,21 @@ def test_card(spark, s, want):
     assert one(spark, text.card(F.lit(s))) == want
 
 
-@pytest.mark.parametrize("s,want", [("OK!", "ack"), ("ping", "heartbeat"), ("hm", "too-short"), ("$ ls -la", "tool-output"), ('{"a": 1}', "json-blob"), ("ValueError: no", "error-log"), ("I moved to Lisbon", None)])
+PREFILTER = [
+    ("OK!", "ack"), ("got it", "ack"), ("😀😀", "ack"), ("ping", "heartbeat"), ("Heartbeat_OK", "heartbeat"), ("a b", "too-short"), ("...", "too-short"), ("$ ls -la", "tool-output"), ("exit code: 1", "tool-output"), ('{"a": 1234}', "json-blob"),
+    ('{"abcd": [1, 2', None), ("ValueError: no", "error-log"), ("Error: a\nTraceback of it\nand more\nfoo.BarException: x", "error-log"), ("Error: a\nis what I saw\nwhen I ran\nthe thing", None), ("2024-01-02 03:04:05 [ERROR] x", "error-log"),
+    ("errors are made by everyone", None), ("I moved to Lisbon", None), ("", "too-short"),
+]
+
+
+@pytest.mark.parametrize("s,want", PREFILTER)
 def test_prefilter(spark, s, want):
-    assert one(spark, text.prefilter(F.lit(s))) == want
+    assert one(spark, pool.prefiltered(F.lit(s), F.lit(False))) == want
+
+
+def test_thoughts_are_the_assistants(spark):
+    s = "Let me look at the file first. I should check what the test says about it. I will fix the code after that."
+    assert [one(spark, pool.prefiltered(F.lit(s), F.lit(a))) for a in (True, False)] == ["thought", None]
 
 
 def test_redaction(spark):
