@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.config import CONFIG, Config
-from recollect.functions import text
+from recollect.functions import redaction, text
 
 #: Versions of the algorithms, which every run is stamped with.
 VERSIONS = {"engine": "2", "gate": "2", "pool": "2", "scores": "1"}
@@ -74,7 +74,8 @@ def atom_reason(original: Column, content: Column, quote: Column, shortest: int
     """Why an atom can't stand for a part of the original, or null."""
     grams = text.bigrams(content)
     return (
-        F.when(~F.length(F.trim(content)).between(shortest, longest), "atom-length")
+        F.when(redaction.redacted(content) != content, "secret")
+        .when(~F.length(F.trim(content)).between(shortest, longest), "atom-length")
         .when((F.length(quote) < 4) | ~F.contains(original, quote), "quote-not-verbatim")
         .when(F.size(F.array_except(text.numbers(content), text.numbers(original))) > 0, "invented-number")
         .when(F.size(grams) == 0, "not-from-original")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions import text
+
 
 def exam(ranks: DataFrame, expected: DataFrame) -> DataFrame:
     """(asked, found, top3, mean_rank) of expected (query_id, fact_id) among ranks (query_id, fact_id, rank); one row."""
@@ -33,6 +35,44 @@ def contradicted(slots: DataFrame, single: list[str]) -> DataFrame:
     return values.filter("n > 1").select("cluster", F.lit("value").alias("why")).union(signs.filter("n > 1").select("cluster", F.lit("polarity").alias("why"))).distinct()
 
 
+#: What a summary says about how often, how sure, of whom and why (an English rule pack; patterns that any engine reads).
+OFTEN = r"(?i)\b(?:often|usually|frequently|repeatedly|several times|many times|again and again|always|constantly|every (?:day|week|time))\b"
+ALWAYS = r"(?i)\b(?:always|constantly|every (?:day|week|time))\b"
+STANCE = r"(?i)\b(?:likes?|loves?|hates?|prefers?|wants?|hopes?|thinks?|believes?|plans?|decide[sd]?|refuse[sd]?|fears?|worries|agree[sd]?|insists?|avoids?|promise[sd]?)\b"
+VAGUE = r"(?i)\b(?:someone|somebody|something|a certain|some (?:person|thing|place)|the other (?:person|party))\b"
+BARE = r"(?i)\b(?:mention(?:s|ed)?|talk(?:s|ed)?|speaks?|spoke|discuss(?:es|ed)?|says?|said|asks?|asked|topics?|things|matters)\b"
+CAUSE = r"(?i)\b(?:because|therefore|thus|hence|so that|due to|as a result|leads? to|led to|cause[sd]?|results? in)\b"
+SUMMARY_CHARS, CITED, CITED_DAYS = (8, 200), 2, 2
+
+
+def summary_checked(summaries: DataFrame, members: DataFrame, contradicted: DataFrame, secret: Column) -> DataFrame:
+    """(cluster, reason): why a summary of a cluster can't stand, the first rule that it breaks, or ``ok``.
+
+    summaries: cluster, summary, cited (ids); members: cluster, id, content, own (whether the owner said it), day, events (of one source each);
+    contradicted: cluster; secret: whether ``summary`` holds one.  A word of frequency needs two events (three if it says always) on two days and something
+    that was liked, decided or the like; a cause needs a cited text with a cause that shares three pairs of characters with the summary.
+    """
+    cited = summaries.select("cluster", "summary", F.explode(F.array_distinct("cited")).alias("id")).join(members, ["cluster", "id"], "left")
+    bare = text.bigrams(F.regexp_replace("summary", CAUSE, ""))
+    caused = F.coalesce(F.col("content").rlike(CAUSE) & (F.size(F.array_intersect(bare, text.bigrams(F.col("content")))) >= 3), F.lit(False))
+    found = cited.withColumn("caused", caused).groupBy("cluster").agg(
+        F.count("*").alias("n"), F.bool_and(F.coalesce("own", F.lit(False))).alias("all_own"), F.count_distinct("day").alias("days"), F.size(F.array_distinct(F.flatten(F.collect_list("events")))).alias("events"),
+        F.bool_or("caused").alias("supported"), F.array_distinct(F.flatten(F.collect_list(text.numbers(F.col("content"))))).alias("known"),
+    )
+    both = summaries.join(found, "cluster", "left").join(contradicted.select("cluster", F.lit(True).alias("against")).distinct(), "cluster", "left")
+    s, n = F.col("summary"), lambda c: F.coalesce(c, F.lit(0))
+    body = F.trim(F.coalesce(s, F.lit("")))
+    needed = F.when(s.rlike(ALWAYS), 3).otherwise(2)
+    reason = (
+        F.when((body == "") | (F.upper(body) == "NONE"), "none").when(~F.length(body).between(*SUMMARY_CHARS) | F.contains(body, F.lit("\n")), "length").when(secret, "secret")
+        .when(body.rlike(r"(?i)^(?:i|we|my|our)\b"), "first-person").when((n("n") > 0) & ~F.coalesce("all_own", F.lit(False)), "others-words").when(n("n") < CITED, "too-few").when(n("days") < CITED_DAYS, "one-day")
+        .when(F.coalesce("against", F.lit(False)), "contradiction").when(body.rlike(OFTEN) & (n("events") < needed), "frequency").when(body.rlike(VAGUE), "vague")
+        .when(body.rlike(OFTEN) & ~body.rlike(STANCE) & body.rlike(BARE), "bare-frequency").when(body.rlike(CAUSE) & ~F.coalesce("supported", F.lit(False)), "cause")
+        .when(F.size(F.array_except(text.numbers(body), F.coalesce("known", F.array().cast("array<string>")))) > 0, "number").otherwise("ok")
+    )
+    return both.select("cluster", reason.alias("reason"))
+
+
 def mark_plan(marks: DataFrame, facts: DataFrame) -> DataFrame:
     """(fact_id, action) of the marks a reader set: ticks reject, pins confirm; both at once conflict, pinned facts refuse a tick, others skip.
 

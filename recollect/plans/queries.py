@@ -633,4 +633,4 @@ def events_props_json(spark, d):
     return B.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
 
 
-from recollect.plans import arms, dialogue, indexed, memory, named, pools, store, validity  # noqa: E402, F401  register their queries here
+from recollect.plans import arms, dialogue, indexed, memory, named, pools, store, summaries, validity  # noqa: E402, F401  register their queries here
