@@ -469,17 +469,17 @@ def card_text(spark, d):
 
 
 #: A message of every kind, from what was said.
-_KINDS = "CASE turn % 9 WHEN 1 THEN '{\"abcd\": [' || turn || ']}' WHEN 2 THEN 'Error: ' || replace(content, chr(10), ' ') || chr(10) || 'TypeError at x' WHEN 3 THEN 'Warning: once' || chr(10) || 'a' || chr(10) || content || chr(10) || 'b' WHEN 4 THEN 'OK!' WHEN 5 THEN '$ ls ' || content WHEN 6 THEN 'ping' WHEN 7 THEN '{\"wxyz\": \"' || turn || '\", [,],{},}' ELSE content END"
+_EVERY_KIND = "CASE turn % 9 WHEN 1 THEN '{\"abcd\": [' || turn || ']}' WHEN 2 THEN 'Error: ' || replace(content, chr(10), ' ') || chr(10) || 'TypeError at x' WHEN 3 THEN 'Warning: once' || chr(10) || 'a' || chr(10) || content || chr(10) || 'b' WHEN 4 THEN 'OK!' WHEN 5 THEN '$ ls ' || content WHEN 6 THEN 'ping' WHEN 7 THEN '{\"wxyz\": \"' || turn || '\", [,],{},}' ELSE content END"
 _ERROR_LINE = text.ERROR_LINE.replace("'", "''")
 
 
-@query("prefilter_reasons", B.with_tables("evidence", then=rf"""WITH m AS (SELECT actor, trim({_KINDS}) AS t FROM evidence), c AS (SELECT *, lower(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) AS core, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM m),
+@query("prefilter_reasons", B.with_tables("evidence", then=rf"""WITH m AS (SELECT actor, trim({_EVERY_KIND}) AS t FROM evidence), c AS (SELECT *, lower(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) AS core, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM m),
     r AS (SELECT actor, CASE WHEN core IN {text.ACKS} OR (core = '' AND regexp_matches(t, '{text.PICTURE}')) THEN 'ack' WHEN regexp_matches(t, '{text.HEARTBEAT}') THEN 'heartbeat' WHEN length(core) < {text.SHORTEST} THEN 'too-short' WHEN regexp_matches(t, '{text.TOOL}') THEN 'tool-output'
     WHEN regexp_full_match(t, '(?s)[{{\[].*[}}\]]') AND (json_valid(t) OR length(regexp_replace(t, '[^{{}}\[\]":,]', '', 'g')) > 0.18 * length(t)) THEN 'json-blob'
     WHEN len(l) > 0 AND regexp_matches(l[1], '{_ERROR_LINE}') AND 2 * len(list_filter(l, lambda x: regexp_matches(x, '{_ERROR_LINE}'))) >= len(l) THEN 'error-log' ELSE 'kept' END AS reason FROM c)
     SELECT reason, actor, count(*) AS n FROM r GROUP BY ALL"""))
 def prefilter_reasons(spark, d):
-    message = F.expr(_KINDS.replace("chr(10)", "char(10)"))
+    message = F.expr(_EVERY_KIND.replace("chr(10)", "char(10)"))
     rows = B.evidence(spark, d).select("actor", message.alias("t"))
     return rows.select(F.coalesce(text.prefilter(F.col("t"), pool.is_json_blob(F.col("t"))), F.lit("kept")).alias("reason"), "actor").groupBy("reason", "actor").agg(F.count("*").alias("n"))
 

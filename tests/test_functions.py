@@ -88,12 +88,13 @@ def test_fact_check(spark):
 
 
 def test_stale_reasons(spark):
-    fields = ["id", "subject", "status", "pinned", "valid_from", "key", "value"]
-    row = lambda **k: tuple((dict(id=1, subject=CONFIG.owner, status="candidate", pinned=False, valid_from=1, key="k", value="a") | k)[f] for f in fields)
-    cases = {"same-row": {}, "subject": dict(id=2, subject="us"), "new-not-live": dict(id=2, status="invalid"), "not-later": dict(id=2), "key": dict(id=2, valid_from=2, key="z"), "same-value": dict(id=2, valid_from=2), "ok": dict(id=2, valid_from=2, value="b")}
-    kinds = ["long", "string", "string", "boolean", "long", "string", "string"]
+    fields = ["id", "subject", "status", "pinned", "at", "valid_to", "key", "value", "polarity"]
+    row = lambda **k: tuple((dict(id=1, subject=CONFIG.owner, status="candidate", pinned=False, at=1, valid_to=None, key="k", value="a", polarity=True) | k)[f] for f in fields)
+    cases = {"same-row": {}, "subject": dict(id=2, subject="us"), "new-not-live": dict(id=2, status="invalid"), "not-later": dict(id=2), "key": dict(id=2, at=2, key="z"), "same-value": dict(id=2, at=2), "ok": dict(id=2, at=2, value="b")}
+    kinds = ["long", "string", "string", "boolean", "long", "long", "string", "string", "boolean"]
     schema = ", ".join(f"{side}_{f} {k}" for side in ("old", "new") for f, k in zip(fields, kinds, strict=True))
     rows = spark.createDataFrame([row() + row(**c) for c in cases.values()], schema)
+    rows = rows.withColumns({"own": F.lit(True), "slot": F.lit(None).cast("string")})
     assert [r[0] for r in rows.select(provenance.stale_reason()).collect()] == list(cases)
 
 
