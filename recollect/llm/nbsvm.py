@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import Filter, documents, written
 
 BUCKETS = 1 << 20
 #: Rows of each class, and bytes of text of each class, that the linear model is fitted on.
@@ -181,7 +181,16 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     """The rows to learn from: label, held (1 if held back for the curve), size, draw and text."""
     votes = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.avg(F.when(F.col(label) >= 1, 1).otherwise(0)).alias("_mean"))
     votes = votes.filter(F.col("_mean") != 0.5).select(F.col(key).alias("_key"), (F.col("_mean") > 0.5).cast("int").alias("label"))
-    rows = docs.filter(learn).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).join(votes, "_key")
+    votes = written(votes, "nbsvm-labels")
+    known = Filter.of(votes.select(F.xxhash64("_key")))
+
+    @F.arrow_udf("boolean")
+    def has(keys: pa.Array) -> pa.Array:
+        return pa.array(known.has(keys.to_numpy()))
+
+    # Only texts that (almost surely) have a label are moved.
+    rows = docs.filter(learn).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = rows.filter(has(F.xxhash64("_key"))).join(votes.hint("merge"), "_key")
     draw = _share(F.struct("_key", F.xxhash64("text")), "draw", 1_000_000) / 1_000_000
     return rows.select("label", (_share(F.col("_key"), "held back", 5) == 0).cast("int").alias("held"), F.octet_length("text").alias("size"), draw.alias("draw"), "text")
 
