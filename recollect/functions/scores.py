@@ -20,13 +20,20 @@ def decay(age: Column, kind: Column, config: Config = CONFIG) -> Column:
     return F.when(age.isNull() | (age < 0), 0.5).otherwise(F.pow(F.lit(0.5), age / half))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """`value` rounded as SQL engines round a double: scaled, rounded half away from zero and scaled back.  F.round works on the shortest decimal
+    writing instead, which lifts 0.81725 to 0.8173 though the double lies below it; scores that tie in SQL would come apart."""
+    scale = F.lit(float(10**places))
+    return F.round(value * scale) / scale
+
+
 def activation(pinned: Column, importance: Column, fresh: Column, access: Column, confidence: Column, emotion: Column | None = None, context: Column | None = None) -> Column:
     value = F.coalesce(importance, F.lit(0.5)) * (0.4 + 0.6 * fresh) + F.least(access, F.lit(8)) * 0.06 + F.coalesce(confidence, F.lit(0.5)) * 0.4
     if emotion is not None:
         value = value + F.coalesce(emotion, F.lit(0.0)) * 0.15
     if context is not None:
         value = value + F.coalesce(context, F.lit(0.0)) * 0.8
-    return F.when(pinned, F.lit(10.0)).otherwise(F.round(value, 4))
+    return F.when(pinned, F.lit(10.0)).otherwise(rounded(value, 4))
 
 
 def rrf(rank: Column, weight: float = 1.0, config: Config = CONFIG) -> Column:
