@@ -15,6 +15,11 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, many).when(n == 1, F.array(s)).otherwise(F.array().cast("array<string>"))
 
 
+def plain_bounds(pattern: str) -> str:
+    r"""`pattern` with ``\b`` as SQL engines read it: between letters of ASCII and anything else; Java counts é as a letter of a word as well."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def windows(text: Column, n: int) -> Column:
     """The distinct runs of n characters."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -52,9 +52,10 @@ def summary_checked(summaries: DataFrame, members: DataFrame, contradicted: Data
     contradicted: cluster; secret: whether ``summary`` holds one.  A word of frequency needs two events (three if it says always) on two days and something
     that was liked, decided or the like; a cause needs a cited text with a cause that shares three pairs of characters with the summary.
     """
+    often, always, stance, vague, bare_of, cause = map(text.plain_bounds, (OFTEN, ALWAYS, STANCE, VAGUE, BARE, CAUSE))
     cited = summaries.select("cluster", "summary", F.explode(F.array_distinct("cited")).alias("id")).join(members, ["cluster", "id"], "left")
-    bare = text.bigrams(F.regexp_replace("summary", CAUSE, ""))
-    caused = F.coalesce(F.col("content").rlike(CAUSE) & (F.size(F.array_intersect(bare, text.bigrams(F.col("content")))) >= 3), F.lit(False))
+    bare = text.bigrams(F.regexp_replace("summary", cause, ""))
+    caused = F.coalesce(F.col("content").rlike(cause) & (F.size(F.array_intersect(bare, text.bigrams(F.col("content")))) >= 3), F.lit(False))
     found = cited.withColumn("caused", caused).groupBy("cluster").agg(
         F.count("*").alias("n"), F.bool_and(F.coalesce("own", F.lit(False))).alias("all_own"), F.count_distinct("day").alias("days"), F.size(F.array_distinct(F.flatten(F.collect_list("events")))).alias("events"),
         F.bool_or("caused").alias("supported"), F.array_distinct(F.flatten(F.collect_list(text.numbers(F.col("content"))))).alias("known"),
@@ -62,12 +63,12 @@ def summary_checked(summaries: DataFrame, members: DataFrame, contradicted: Data
     both = summaries.join(found, "cluster", "left").join(contradicted.select("cluster", F.lit(True).alias("against")).distinct(), "cluster", "left")
     s, n = F.col("summary"), lambda c: F.coalesce(c, F.lit(0))
     body = F.trim(F.coalesce(s, F.lit("")))
-    needed = F.when(s.rlike(ALWAYS), 3).otherwise(2)
+    needed = F.when(s.rlike(always), 3).otherwise(2)
     reason = (
         F.when((body == "") | (F.upper(body) == "NONE"), "none").when(~F.length(body).between(*SUMMARY_CHARS) | F.contains(body, F.lit("\n")), "length").when(secret, "secret")
-        .when(body.rlike(r"(?i)^(?:i|we|my|our)\b"), "first-person").when((n("n") > 0) & ~F.coalesce("all_own", F.lit(False)), "others-words").when(n("n") < CITED, "too-few").when(n("days") < CITED_DAYS, "one-day")
-        .when(F.coalesce("against", F.lit(False)), "contradiction").when(body.rlike(OFTEN) & (n("events") < needed), "frequency").when(body.rlike(VAGUE), "vague")
-        .when(body.rlike(OFTEN) & ~body.rlike(STANCE) & body.rlike(BARE), "bare-frequency").when(body.rlike(CAUSE) & ~F.coalesce("supported", F.lit(False)), "cause")
+        .when(body.rlike(text.plain_bounds(r"(?i)^(?:i|we|my|our)\b")), "first-person").when((n("n") > 0) & ~F.coalesce("all_own", F.lit(False)), "others-words").when(n("n") < CITED, "too-few").when(n("days") < CITED_DAYS, "one-day")
+        .when(F.coalesce("against", F.lit(False)), "contradiction").when(body.rlike(often) & (n("events") < needed), "frequency").when(body.rlike(vague), "vague")
+        .when(body.rlike(often) & ~body.rlike(stance) & body.rlike(bare_of), "bare-frequency").when(body.rlike(cause) & ~F.coalesce("supported", F.lit(False)), "cause")
         .when(F.size(F.array_except(text.numbers(body), F.coalesce("known", F.array().cast("array<string>")))) > 0, "number").otherwise("ok")
     )
     return both.select("cluster", reason.alias("reason"))
