@@ -1,10 +1,11 @@
 """What larger tables brought to light: results that must equal SQL's, and work that must not grow faster than the input."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from recollect.functions import scores, text
-from recollect.operators import entities, reports
+from recollect.operators import entities, graphs, reports
 
 
 def test_rounding_is_that_of_sql(spark):
@@ -38,3 +39,18 @@ def test_spans_by_either_way(spark):
         want |= {(i, t, p) for p, e, t in found if not any((a, b) != (p, e) and a <= p and b >= e for a, b, _ in found)} if found is not None else {(i, t, p) for k in range(2000) for t, p in (("aa", 3 * k), ("aba", 3 * k + 1)) if t == "aa" or k < 1999} | {(i, "ab", 5998)}
     for scan in (200, 0):
         assert {(r["id"], r["term"], r["pos"]) for r in entities.spans(rows, dictionary, scan).collect()} == want
+
+
+def test_similar_sets_need_no_key_for_each_pair_of_grams(spark, monkeypatch):
+    """Texts of few letters share rare pairs of them: what is written stays within a few rows for each, and no similar pair is lost."""
+    rng = np.random.default_rng(5)
+    sets = [sorted(set(map(int, rng.integers(0, 90, rng.integers(8, 40))))) for _ in range(300)]
+    sets += [s[:-1] for s in sets[:40]]
+    rows = spark.createDataFrame([(k, k % 2, [str(x) for x in s]) for k, s in enumerate(sets)], "id long, source long, grams array<string>")
+    classes, _ = graphs.gram_classes(rows, "source")
+    written, plain = [], graphs.saved
+    monkeypatch.setattr(graphs, "saved", lambda df: written.append(plain(df)) or written[-1])
+    got = {(r["a"], r["b"]) for r in graphs.jaccard_pairs(classes, 0.65, "source").collect()}
+    kept = {r["id"] for r in classes.collect()}
+    want = {(a, b) for a in kept for b in kept if a < b and a % 2 == b % 2 and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.65}
+    assert got == want and max(df.count() for df in written) <= 2 * len(sets)
