@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 
 from recollect.config import CONFIG, Config
 from recollect.functions import text
-from recollect.operators.recall import tokens
+from recollect.operators import recall
+from recollect.operators.graphs import saved
+from recollect.operators.recall import small, tokens
 
 BLOCK = 1024
+#: Blocks that one task of a batch makes.
+TOGETHER = 8
 RUNS = (2, 3, 4)
 K1, B = 1.2, 0.75
 #: Blocks of a query that are read before the bounds are compared.
@@ -38,19 +42,22 @@ def append(facts: DataFrame, path: str, batch: int) -> None:
         return
     part = f"batch={batch}"
     low = F.lower(F.coalesce("content", F.lit("")))
-    rows = facts.select("fact_id", low.alias("low"), tokens(low).alias("tokens")).dropDuplicates(["fact_id"]).withColumn("len", F.size("tokens"))
     # Facts of one band of lengths are dealt to as many blocks as they need; a band is a doubling of the length.
-    band = F.when(F.col("len") == 0, 0).otherwise(F.floor(F.log2("len")) + 1).cast("int")
-    sizes = rows.groupBy(band.alias("band")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # some thirty rows
-    placed = rows.withColumn("band", band).join(F.broadcast(sizes), "band").withColumn("block", F.struct("band", F.pmod(F.xxhash64("fact_id"), F.col("parts")).cast("int").alias("part")))
+    rows = facts.select("fact_id", low.alias("low")).dropDuplicates(["fact_id"]).withColumn("len", F.size(tokens(F.col("low"))))
+    rows = saved(rows.withColumn("band", F.when(F.col("len") == 0, 0).otherwise(F.floor(F.log2("len")) + 1).cast("int")))
+    sizes = saved(rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))  # some thirty rows
+    placed = rows.join(F.broadcast(sizes), "band").select("fact_id", "low", "len", F.struct("band", F.pmod(F.xxhash64("fact_id"), F.col("parts")).cast("int").alias("part")).alias("block"))
     placed.select("fact_id", F.col("len").alias("words"), "block").write.mode("overwrite").parquet(f"{path}/lengths/{part}")
-    counted = placed.select("fact_id", "block", "len", F.explode("tokens").alias("term")).groupBy("term", "block", "fact_id", "len").agg(F.count("*").cast("int").alias("tf"))
+    # Texts move to the tasks of their blocks; terms are made and gathered there, so that no posting is shuffled.
+    blocks = sizes.agg(F.sum("parts")).first()[0] or 1
+    placed = placed.repartition(max(min(blocks, spark.sparkContext.defaultParallelism), -(-blocks // TOGETHER)), "block")
+    counted = placed.select("block", "fact_id", "len", F.explode(tokens(F.col("low"))).alias("term")).groupBy("block", "term", "fact_id", "len").agg(F.count("*").cast("int").alias("tf"))
     posting = F.array_sort(F.collect_list(F.struct("fact_id", "tf", "len"))).alias("p")
-    words = counted.groupBy("term", "block").agg(posting, F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"))
-    words.select("term", "block", "n", "most", "shortest", F.col("p.fact_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens")).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words/{part}")
-    runs = placed.select("fact_id", "block", F.explode(F.array_distinct(F.concat(*(text.windows(F.col("low"), n) for n in RUNS)))).alias("term"))
-    runs = runs.groupBy("term", "block").agg(F.array_sort(F.collect_list("fact_id")).alias("ids"), F.count("*").alias("n"))
-    runs.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/runs/{part}")
+    words = counted.groupBy("block", "term").agg(posting, F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"))
+    words.select("term", "block", "n", "most", "shortest", F.col("p.fact_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words/{part}")
+    runs = placed.select("block", "fact_id", F.explode(F.array_distinct(F.concat(*(text.windows(F.col("low"), n) for n in RUNS)))).alias("term"))
+    runs = runs.groupBy("block", "term").agg(F.array_sort(F.collect_list("fact_id")).alias("ids"), F.count("*").alias("n"))
+    runs.select("term", "block", "ids", "n").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/runs/{part}")
     spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{path}/batches")
 
 
@@ -70,7 +77,7 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def frequency(spark: SparkSession, path: str, terms: DataFrame, name: str = "words") -> DataFrame:
     """term and df of the words, or runs, that are in the index."""
-    return table(spark, path, name).select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    return table(spark, path, name).select("term", "n").join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def _part(tf: Column, length: Column, mean: Column) -> Column:
@@ -79,8 +86,6 @@ def _part(tf: Column, length: Column, mean: Column) -> Column:
 
 def bm25(spark: SparkSession, path: str, terms: DataFrame, k: int = 10, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
     """(query_id, fact_id, score, rank) and what was read for it: (query_id, blocks, read), the blocks with a word of the query and those that were opened."""
-    from recollect.operators.graphs import saved
-
     asked = terms.select("query_id", "term").distinct()
     size = table(spark, path, "lengths").agg(F.count("*").alias("n_facts"), F.avg("words").alias("mean"))  # one row
     index = table(spark, path, "words")
@@ -95,7 +100,7 @@ def bm25(spark: SparkSession, path: str, terms: DataFrame, k: int = 10, first: i
 
     def scored(blocks: DataFrame) -> DataFrame:
         """The facts of the chosen blocks (query_id, block, batch), with their scores."""
-        wanted = blocks.join(weights, "query_id")
+        wanted = small(saved(blocks.join(weights, "query_id")))
         opened = index.join(wanted, ["term", "block", "batch"]).select("query_id", "idf", "mean", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p"))
         return opened.groupBy("query_id", F.col("p.ids").alias("fact_id")).agg(F.round(F.sum(F.col("idf") * _part(F.col("p.tfs"), F.col("p.lens"), F.col("mean"))), 6).alias("score"))
 
@@ -113,19 +118,24 @@ def containing(spark: SparkSession, path: str, facts: DataFrame, terms: DataFram
     """term and fact_id for each term (distinct rows, column term) and fact whose lower-case text holds it, by the term's rarest run."""
     low = F.lower(F.coalesce("content", F.lit("")))
     longest = F.least(F.length("term"), F.lit(max(RUNS)))
-    several = terms.select("term").distinct().filter(F.length("term") >= min(RUNS))
+    asked = saved(terms.select("term").distinct())
+    several = asked.filter(F.length("term") >= min(RUNS))
     starts = F.sequence(F.lit(1), F.length("term") - longest + 1)
-    cut = several.select("term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("term"), i, longest)))).alias("run"))
+    cut = saved(several.select("term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("term"), i, longest)))).alias("run")))
     df = frequency(spark, path, cut.select(F.col("run").alias("term")), "runs")
     each = cut.join(df.withColumnRenamed("term", "run"), "run", "left")
     # A run that no fact has makes its term unfindable; else the rarest is looked up.
-    rarest = each.groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("r")).filter("r.df > 0").select("term", F.col("r.run").alias("run"))
-    near = table(spark, path, "runs").select(F.col("term").alias("run"), "ids").join(rarest, "run").select("term", F.explode("ids").alias("fact_id"))
-    exact = near.filter(F.length("term") <= max(RUNS))
-    look = near.filter(F.length("term") > max(RUNS)).join(facts.select("fact_id", low.alias("low")), "fact_id").filter(F.contains("low", F.col("term"))).select("term", "fact_id")
-    single = terms.select("term").distinct().filter(F.length("term") == 1)
-    letters = facts.select("fact_id", F.explode(F.array_distinct(F.split(low, ""))).alias("term")).join(single, "term").select("term", "fact_id")
-    return exact.unionByName(look).unionByName(letters)
+    rarest = saved(each.groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("r")).filter("r.df > 0").select("term", F.col("r.run").alias("run")))
+    lists = table(spark, path, "runs").select(F.col("term").alias("run"), "ids")
+    found = lambda some: lists.join(small(some), "run").select("term", F.explode("ids").alias("fact_id"))
+    exact = found(rarest.filter(F.length("term") <= max(RUNS)))
+    near = small(saved(found(rarest.filter(F.length("term") > max(RUNS)))))
+    look = facts.select("fact_id", low.alias("low")).join(near, "fact_id").filter(F.contains("low", F.col("term"))).select("term", "fact_id")
+    both = exact.unionByName(look)
+    single = asked.filter(F.length("term") == 1)
+    if single.isEmpty():
+        return both
+    return both.unionByName(recall.containing(facts.select("fact_id", low.alias("low")).filter("low <> ''"), single, "fact_id", "low").select("term", "fact_id"))
 
 
 def forms(term: Column) -> Column:
@@ -164,20 +174,21 @@ def probe(spark: SparkSession, path: str, facts: DataFrame, terms: DataFrame, li
     layer_of (the layer it is in; one fact may be in several), act, layer.
     """
     config = CONFIG
-    hit = containing(spark, path, facts.select("fact_id", "content").dropDuplicates(["fact_id"]), terms)
+    texts = facts.select("fact_id", "content").dropDuplicates(["fact_id"])
     score = F.col("act") * F.when(F.col("layer") == "cold", config.cold_factor).otherwise(1.0)
     each = facts.select("fact_id", F.col("layer_of").alias("stage"), F.round(score, 6).alias("score"))
-    found = terms.join(hit, "term").join(each, "fact_id").select("query_id", "stage", "term_rank", "term", F.lit(0).alias("form_rank"), "fact_id", "score")
+    w = Window.partitionBy("query_id", "stage", "term_rank", "form_rank").orderBy(F.desc("score"), "fact_id")
+    best = lambda df: saved(df.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit))
+    found = best(containing(spark, path, texts, terms).join(small(terms), "term").join(each, "fact_id").select("query_id", "stage", "term_rank", "term", F.lit(0).alias("form_rank"), "fact_id", "score"))
     # Terms that a stage does not hold, by their forms.
-    stages = facts.select(F.col("layer_of").alias("stage")).distinct()
+    stages = saved(facts.select(F.col("layer_of").alias("stage")).distinct())
     long_terms = terms.filter(F.length("term") > 3)
-    open_ = long_terms.join(F.broadcast(stages), F.lit(True)).join(found.select("query_id", "term", "stage").distinct(), ["query_id", "term", "stage"], "left_anti")  # stages are a fixed few
-    used = usable_forms(spark, path, facts.select("fact_id", "content").dropDuplicates(["fact_id"]), open_)
-    wider = open_.join(used.select("query_id", "term", "form", F.col("place").alias("form_rank")), ["query_id", "term"])
-    other = containing(spark, path, facts.select("fact_id", "content").dropDuplicates(["fact_id"]), wider.select(F.col("form").alias("term"))).withColumnRenamed("term", "form")
-    more = wider.join(other, "form").join(each, ["fact_id", "stage"]).select("query_id", "stage", "term_rank", "term", "form_rank", "fact_id", "score")
-    w = Window.partitionBy("query_id", "stage", "term_rank", "form_rank").orderBy(F.desc("score"), "fact_id")
-    both = found.unionByName(more).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
+    open_ = saved(long_terms.join(F.broadcast(stages), F.lit(True)).join(found.select("query_id", "term", "stage").distinct(), ["query_id", "term", "stage"], "left_anti"))  # stages are a fixed few
+    used = usable_forms(spark, path, texts, open_)
+    wider = saved(open_.join(used.select("query_id", "term", "form", F.col("place").alias("form_rank")), ["query_id", "term"]))
+    other = containing(spark, path, texts, wider.select(F.col("form").alias("term"))).withColumnRenamed("term", "form")
+    more = best(other.join(small(wider), "form").join(each, ["fact_id", "stage"]).select("query_id", "stage", "term_rank", "term", "form_rank", "fact_id", "score"))
+    both = found.unionByName(more)
     once = both.groupBy("query_id", "stage", "term_rank", "fact_id", "score").agg(F.min(F.struct("form_rank", "n")).alias("o"))
     w = Window.partitionBy("query_id", "stage", "term_rank").orderBy("o", "fact_id")
     return once.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 2 * limit).select("query_id", "stage", "term_rank", "fact_id", "score", "n")

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recollect.functions import scores, text
-from recollect.operators import entities, graphs, reports
+from recollect.operators import entities, graphs, index, reports
 
 
 def test_rounding_is_that_of_sql(spark):
@@ -54,3 +54,13 @@ def test_similar_sets_need_no_key_for_each_pair_of_grams(spark, monkeypatch):
     kept = {r["id"] for r in classes.collect()}
     want = {(a, b) for a in kept for b in kept if a < b and a % 2 == b % 2 and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.65}
     assert got == want and max(df.count() for df in written) <= 2 * len(sets)
+
+
+def test_postings_are_made_where_their_block_lies(spark, tmp_path, monkeypatch):
+    """No posting is shuffled: words and runs are grouped in the tasks that the texts of their blocks came to."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.update({path.split("/")[-2]: self._df._jdf.queryExecution().executedPlan().toString()}) or write(self, path, *a, **k))
+    index.append(spark.createDataFrame([(k, f"fact {k} of this") for k in range(50)], "fact_id long, content string"), str(tmp_path / "i"), 0)
+    assert [plans[t].count("Exchange ") - plans[t].count("BroadcastExchange ") for t in ("words", "runs")] == [1, 1]
