@@ -56,6 +56,16 @@ def test_similar_sets_need_no_key_for_each_pair_of_grams(spark, monkeypatch):
     assert got == want and max(df.count() for df in written) <= 2 * len(sets)
 
 
+def test_blocks_of_vectors_are_large(spark):
+    """A vector is sent to as many tiles as there are blocks, not to one for each thousand vectors."""
+    assert graphs._parts(600_000) <= 40 and graphs._parts(500) == 1
+    v = np.random.default_rng(2).normal(size=(2600, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>")
+    sims = np.round(v @ v.T, 6)
+    assert {(r["a"], r["b"]) for r in graphs.cosine_pairs(rows, 0.999).collect()} == {(a, b) for a, b in zip(*map(list, np.nonzero(sims >= 0.999))) if a < b}
+
+
 def test_postings_are_made_where_their_block_lies(spark, tmp_path, monkeypatch):
     """No posting is shuffled: words and runs are grouped in the tasks that the texts of their blocks came to."""
     from pyspark.sql import DataFrameWriter
