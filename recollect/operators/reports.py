@@ -23,8 +23,14 @@ def quota(rows: DataFrame, most: int, hours: int) -> DataFrame:
 def covered(members: DataFrame, summaries: DataFrame, least: float = 0.5) -> DataFrame:
     """(cluster, own, best, covered): the greatest number of a cluster's members in one earlier summary; members: cluster, id, summaries: parent, id."""
     m, s = members.select("cluster", "id").distinct(), summaries.select("parent", "id").distinct()
-    met = m.join(s, "id").groupBy("cluster", "parent").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max("n").alias("best"))
-    out = m.groupBy("cluster").agg(F.count("*").alias("own")).join(met, "cluster", "left").withColumn("best", F.coalesce("best", F.lit(0)))
+    # A summary gets the clusters of each of its ids as one list.  One that stands in a list counts one; only those that stand there again are counted.
+    lists = s.join(m.groupBy("id").agg(F.collect_list("cluster").alias("of")), "id")
+    held = lists.groupBy("parent").agg(F.array_sort(F.flatten(F.collect_list("of"))).alias("of"))
+    again = held.select("parent", F.explode(F.filter("of", lambda c, i: (i > 0) & (F.get("of", i - 1) == c))).alias("cluster"))
+    most = again.groupBy("parent", "cluster").agg((F.count("*") + 1).alias("n")).groupBy("cluster").agg(F.max("n").alias("n"))
+    once = m.join(s.select("id").distinct(), "id", "left_semi").select("cluster", F.lit(1).alias("one")).distinct()
+    out = m.groupBy("cluster").agg(F.count("*").alias("own")).join(once, "cluster", "left").join(most, "cluster", "left")
+    out = out.select("cluster", "own", F.coalesce("n", "one", F.lit(0)).cast("long").alias("best"))
     return out.withColumn("covered", F.col("best") >= least * F.col("own"))
 
 

@@ -66,6 +66,17 @@ def test_blocks_of_vectors_are_large(spark):
     assert {(r["a"], r["b"]) for r in graphs.cosine_pairs(rows, 0.999).collect()} == {(a, b) for a, b in zip(*map(list, np.nonzero(sims >= 0.999))) if a < b}
 
 
+def test_coverage_counts_only_what_stands_twice(spark):
+    rows = [(c, i) for c in range(6) for i in range(12) if (c * 7 + i * 5) % 4 < 2] + [(9, 99), (0, 0)]
+    parents = [(p, i) for p in range(5) for i in range(12) if (p + i) % 3] + [(0, 1)]
+    got = reports.covered(spark.createDataFrame(rows, "cluster long, id long"), spark.createDataFrame(parents, "parent long, id long"))
+    mine = lambda c: {i for x, i in rows if x == c}
+    best = lambda c: max(len(mine(c) & {i for q, i in parents if q == p}) for p in range(5))
+    assert {(r["cluster"], r["own"], r["best"]) for r in got.collect()} == {(c, len(mine(c)), best(c)) for c, _ in rows}
+    keys = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(cluster" in line and "parent" in line]
+    assert not keys
+
+
 def test_postings_are_made_where_their_block_lies(spark, tmp_path, monkeypatch):
     """No posting is shuffled: words and runs are grouped in the tasks that the texts of their blocks came to."""
     from pyspark.sql import DataFrameWriter
