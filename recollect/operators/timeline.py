@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,23 +84,91 @@ def due_sessions(pending: DataFrame, now: Column, config: Config = CONFIG) -> Da
     return each.withColumn("state", state)
 
 
+#: Facts that ask in one task, fewer where a subject is small, and facts that they meet there.
+ASKING, LEAST, SPREAD, OFFERED = 131_072, 2048, 16, 262_144
+_BEST = "unit long, later_id long, at long, shared int"
+
+
+def _micros(facts: DataFrame, column: str) -> Column:
+    """A moment as a number; one without a time zone by its own days and hours, whatever the session's zone."""
+    if facts.schema[column].dataType.simpleString() != "timestamp_ntz":
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.expr(f"(unix_date(CAST({column} AS DATE)) * 86400L + hour({column}) * 3600 + minute({column}) * 60) * 1000000L + CAST(extract(SECOND FROM {column}) * 1000000 AS LONG)")
+
+
+def _best(shared: int, gap: int, keep: int):
+    """For one tile the best `keep` later facts of each fact that asks.  Counts of shared words are held for one fact at a time."""
+
+    def best(tile: pa.Table) -> pa.Table:
+        ids, at, asks = (tile.column(c).to_numpy() for c in ("id", "at", "asks"))
+        lists = tile.column("words").combine_chunks()
+        flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        offered = np.flatnonzero(~asks)
+        offered = offered[np.lexsort((ids[offered], -at[offered]))]  # the newest first, as ties are decided
+        n = size[offered]
+        known, code = np.unique(flat[np.arange(n.sum()) + np.repeat(ends[offered] - np.cumsum(n) + n, n)], return_inverse=True)
+        holders = np.repeat(np.arange(len(offered)), n)[np.argsort(code, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(known)))])
+        counts = np.zeros(len(offered), np.uint8 if size.max(initial=0) < 256 else np.int32)
+        asking = np.flatnonzero(asks) if len(known) else np.zeros(0, int)
+        out = []
+        for row, cut in zip(asking, np.searchsorted(-at[offered], -(at[asking] + gap)), strict=True):  # `cut` of them are late enough
+            words = flat[ends[row] : ends[row + 1]]
+            c = np.minimum(known.searchsorted(words), len(known) - 1)
+            c = c[known[c] == words]
+            if not cut or len(c) < shared:
+                continue
+            counts.fill(0)
+            for x in c.tolist():
+                counts[holders[begin[x] : begin[x + 1]]] += 1
+            who = np.flatnonzero(counts[:cut] >= shared)
+            if len(who) > keep:
+                who = who[np.argpartition(who - counts[who].astype(np.int64) * len(offered), keep - 1)[:keep]]
+            out.append((np.full(len(who), ids[row]), who, counts[who]))
+        unit, who, n = (np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64) for c in range(3))
+        return pa.table({"unit": pa.array(unit, pa.int64()), "later_id": pa.array(ids[offered[who]], pa.int64()), "at": pa.array(at[offered[who]], pa.int64()), "shared": pa.array(n.astype(np.int32))})
+
+    return best
+
+
 def later_siblings(facts: DataFrame, shared: int = 3, hours: int = 12, keep: int = 5) -> DataFrame:
     """(fact_id, later_id, shared, place): later facts on the same subject that share at least so many words; facts: fact_id, subject, valid_from, words.
 
-    Sets of words meet, each once.  Of the facts with one set only the newest `keep` can be among the best of any fact.
+    Facts with one set of words and one time ask once, and of the facts with one set only the newest `keep` can be among the best of any fact.
+    Nearly every two facts share a word, so no pairs are written: facts are dealt to blocks by their times, and blocks of those that ask and of those
+    they may find meet in tiles, each in one task, which gives the best `keep` of each fact in it.  Work is quadratic in a subject; rows moved are
+    facts times blocks, and a block is large.
+    """
+    rows = facts.filter(F.col("subject").isNotNull() & F.col("valid_from").isNotNull()).select(F.col("fact_id").alias("id"), "subject", "words", _micros(facts, "valid_from").alias("at"))
+    rows = graphs.saved(rows.filter(F.size("words") >= shared).withColumn("words", F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))))
+    units = graphs.saved(rows.groupBy("subject", "words", "at").agg(F.min("id").alias("unit")))
+    first = Window.partitionBy("subject", "words").orderBy(F.desc("at"), "id")
+    offered = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= keep).drop("n")
+    asks = _dealt(units.withColumnRenamed("unit", "id"), F.least(F.lit(ASKING), F.greatest(F.lit(LEAST), F.ceil(F.col("all") / SPREAD))))
+    offered = _dealt(offered, F.lit(OFFERED))
+    gap = hours * 3_600_000_000
+    i = asks.groupBy("subject", F.col("part").alias("i")).agg(F.min("at").alias("low"))
+    j = offered.groupBy("subject", F.col("part").alias("j")).agg(F.max("at").alias("high"))
+    tiles = graphs.saved(i.join(j, "subject").filter(F.col("high") > F.col("low") + gap).select("subject", "i", "j"))
+    placed = lambda rows, side, mine: rows.join(tiles.withColumn("part", F.col(side)), ["subject", "part"]).select("subject", "i", "j", "id", "at", "words", F.lit(mine).alias("asks"))
+    best = placed(asks, "i", True).unionByName(placed(offered, "j", False)).groupBy("subject", "i", "j").applyInArrow(_best(shared, gap, keep), _BEST)
+    w = Window.partitionBy("unit").orderBy(F.desc("shared"), F.desc("at"), "later_id")
+    best = best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).drop("at")
+    of = rows.join(units, ["subject", "words", "at"]).select(F.col("id").alias("fact_id"), "unit")
+    return of.join(best, "unit").select("fact_id", "later_id", F.col("shared").cast("long").alias("shared"), "place")
+
+
+def _dealt(rows: DataFrame, block: Column) -> DataFrame:
+    """`rows` with the ``part`` of their subject that they are in, about `block` of them by their times; `block` sees ``all``, the size of the subject.
+
+    How many there are of each time gives every row a place in the order of times, ties by chance, without a sort of all.
     """
-    rows = facts.select(F.col("fact_id").alias("id"), "subject", F.col("words").alias("grams"))
-    classes, members = graphs.gram_classes(rows, "subject")
-    pairs = graphs.overlap_pairs(classes, shared, "subject")
-    same = classes.filter(F.col("size") >= shared).select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("size").alias("shared"))
-    ways = pairs.union(pairs.select("b", "a", "shared")).union(same)
-    dated = graphs.saved(members.withColumnRenamed("id", "fact_id").join(facts.select("fact_id", "valid_from"), "fact_id"))
-    newest = Window.partitionBy("class").orderBy(F.desc("valid_from"), "fact_id")
-    later = dated.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= keep)
-    later = later.select(F.col("class").alias("b"), F.col("fact_id").alias("later_id"), F.col("valid_from").alias("at"))
-    met = dated.select("fact_id", "valid_from", F.col("class").alias("a")).join(ways, "a").join(later, "b").filter(F.col("at") > F.col("valid_from") + F.expr(f"INTERVAL {hours} HOURS"))
-    w = Window.partitionBy("fact_id").orderBy(F.desc("shared"), F.desc("at"), "later_id")
-    return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("fact_id", "later_id", F.col("shared").cast("long").alias("shared"), "place")
+    times = rows.groupBy("subject", "at").agg(F.count("*").alias("n"))
+    before, whole = Window.partitionBy("subject").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("subject")
+    times = times.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(whole)}).withColumn("block", block)
+    part = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("n"))) / F.col("block")).cast("int")
+    return graphs.saved(rows.join(times, ["subject", "at"]).select("id", "subject", "words", "at", part.alias("part")))
 
 
 def timeline_candidates(facts: DataFrame, per_term: int = 4, keep: int = 6) -> DataFrame:

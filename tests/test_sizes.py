@@ -1,11 +1,13 @@
 """What larger tables brought to light: results that must equal SQL's, and work that must not grow faster than the input."""
 
+import datetime
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from recollect.functions import scores, text
-from recollect.operators import entities, graphs, index, reports
+from recollect.operators import entities, graphs, index, reports, timeline
 
 
 def test_rounding_is_that_of_sql(spark):
@@ -85,3 +87,23 @@ def test_postings_are_made_where_their_block_lies(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.update({path.split("/")[-2]: self._df._jdf.queryExecution().executedPlan().toString()}) or write(self, path, *a, **k))
     index.append(spark.createDataFrame([(k, f"fact {k} of this") for k in range(50)], "fact_id long, content string"), str(tmp_path / "i"), 0)
     assert [plans[t].count("Exchange ") - plans[t].count("BroadcastExchange ") for t in ("words", "runs")] == [1, 1]
+
+
+def test_later_siblings_write_no_pairs(spark, monkeypatch):
+    """Facts of few words share three with most others: what is written stays within a few rows for each, by any blocks, with copies and ties, as brute force has it."""
+    rng = np.random.default_rng(3)
+    start, hour = datetime.datetime(2024, 1, 1), datetime.timedelta(hours=1)
+    sets = [sorted({f"w{x}" for x in rng.integers(0, 14, rng.integers(2, 9))}) for _ in range(60)] + [[f"v{k}" for k in range(300)]] * 3
+    facts = [(k, f"s{k % 2}" if k % 29 else None, start + hour * int(rng.integers(0, 60)) if k % 31 else None, sets[int(rng.integers(0, len(sets)))]) for k in range(400)]
+    rows = spark.createDataFrame(facts, "fact_id long, subject string, valid_from timestamp_ntz, words array<string>")
+    want = set()
+    for k, subject, at, words in facts:
+        met = [(-len(set(words) & set(w)), -(t - start) / hour, i) for i, s, t, w in facts if s == subject and s and at and t and t > at + 12 * hour]
+        want |= {(k, i, -n, place) for place, (n, _, i) in enumerate(sorted(x for x in met if x[0] <= -3)[:5], 1)}
+    written, plain = [], graphs.saved
+    monkeypatch.setattr(graphs, "saved", lambda df: written.append(plain(df)) or written[-1])
+    for asking, offered in ((1 << 17, 1 << 18), (30, 50)):
+        for name, size in (("ASKING", asking), ("LEAST", min(asking, 2048)), ("OFFERED", offered)):
+            monkeypatch.setattr(timeline, name, size)
+        assert {tuple(r) for r in timeline.later_siblings(rows).collect()} == want
+    assert max(df.count() for df in written) <= len(facts)
