@@ -8,7 +8,7 @@ total of the leaves below it.  As in ERA the tree is parted vertically, by prefi
     word, and so on while words are that frequent: f(prefix) is at most the least f of its words, so every prefix that ends in a
     seldom word is small, and no scan for the counts of longer prefixes is needed.
 3.  Prefixes are dealt to groups so that a group has a fourth of `BUDGET` suffixes on average.  Tasks send each distinct suffix of a
-    portion of text once, with its number.
+    portion of text once, with its number; those of one group travel as one compressed row, in order, so that what they begin with costs little.
 4.  Each group is made into subtrees independently of the others, level by level; what is below a node of fewer than `LEAST` is cut off.  Nodes above
     the prefixes, the phrases of frequent words alone, belong to no group: tasks count them by themselves and send a row for each of a portion.
 
@@ -128,7 +128,7 @@ def _join(columns: list[pa.Array]) -> pa.Array:
 
 
 def suffixes(frequent: Filter, hot: Filter, groups: int, parts: int):
-    """A function that makes texts into rows (group, lang, suffix, n).  A group's number tells the length of its prefixes, too; if that is
+    """A function that makes texts into packed rows of (group, lang, suffix, n).  A group's number tells the length of its prefixes, too; if that is
     beyond LONGEST, its rows are whole phrases of frequent words."""
 
     def run(batches):
@@ -163,12 +163,12 @@ def suffixes(frequent: Filter, hot: Filter, groups: int, parts: int):
                     above = [x[some] for x in columns[:depth]]
                     new = np.append(True, np.any([x[1:] != x[:-1] for x in above], axis=0))
                     mixed = _group(keys, above, np.full(int(new.sum()), LONGEST), np.flatnonzero(new)) ^ salt
-                    yield from _rows(lang, strings, [x[new] for x in above], np.add.reduceat(n[some], np.flatnonzero(new)), LONGEST * groups + (Filter.mixed(mixed, 7) % np.uint64(groups)).astype(np.int64))
+                    yield from _packed(lang, strings, [x[new] for x in above], np.add.reduceat(n[some], np.flatnonzero(new)), LONGEST * groups + (Filter.mixed(mixed, 7) % np.uint64(groups)).astype(np.int64))
             prefix = lead + 1
             rest = np.flatnonzero((prefix <= LONGEST) & (np.stack(columns)[np.minimum(lead, LONGEST - 1), np.arange(len(n))] > 0))  # a suffix of frequent words alone is done
             columns, n, prefix = [c[rest] for c in columns], n[rest], prefix[rest]
             group = (prefix - 1) * groups + (_group(keys, columns, prefix, slice(None)) % np.uint64(groups)).astype(np.int64)
-            yield from _rows(lang, strings, columns, n, group)
+            yield from _packed(lang, strings, columns, n, group)
 
     return run
 
@@ -181,11 +181,34 @@ def _group(keys: np.ndarray, columns: list[np.ndarray], length: np.ndarray, at)
     return Filter.mixed(mixed, 0)
 
 
-def _rows(lang: str, strings: pa.Array, columns: list[np.ndarray], n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(n), ROWS):
-        part = [c[k : k + ROWS] for c in columns]
-        text = _join([strings.take(pa.array(c - 1, mask=c == 0)) for c in part])
-        yield pa.RecordBatch.from_arrays([pa.array(group[k : k + ROWS]), pa.array([lang] * len(text), pa.string()), text, pa.array(n[k : k + ROWS], pa.int64())], ["group", "lang", "suffix", "n"])
+def _packed(lang: str, strings: pa.Array, columns: list[np.ndarray], n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of `PACKED`: the suffixes of a group as lines, then their numbers, compressed."""
+    order = np.argsort(group, kind="stable")
+    for k in range(0, len(order), ROWS):
+        at = order[k : k + ROWS]
+        text = _join([strings.take(pa.array(c[at] - 1, mask=c[at] == 0)) for c in columns])
+        lines = pc.binary_join_element_wise(text, "", "\n")  # no word has a line break
+        ends, data = np.frombuffer(lines.buffers()[1], np.int32)[: len(at) + 1], memoryview(lines.buffers()[2])
+        first = np.flatnonzero(np.append(True, np.diff(group[at]) != 0))
+        last, numbers = np.append(first[1:], len(at)), n[at].astype("<u4")
+        raw = [bytes(data[ends[a] : ends[b]]) + numbers[a:b].tobytes() for a, b in zip(first, last, strict=True)]
+        out = [pa.array(group[at][first]), pa.array([lang] * len(raw), pa.string()), pa.array(last - first), pa.array(map(len, raw), pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, ["group", "lang", "rows", "size", "packed"])
+
+
+PACKED = "group long, lang string, rows long, size long, packed binary"
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows (group, lang, suffix, n) of a group's packed ones."""
+    rows, texts, n = table.column("rows").to_numpy(), [], []
+    for x, size, many in zip(table.column("packed"), table.column("size").to_pylist(), rows.tolist(), strict=True):
+        raw = pa.decompress(x.as_buffer(), size, "zstd", asbytes=True)
+        texts.append(raw[: size - 4 * many - 1])
+        n.append(np.frombuffer(raw, "<u4", many, size - 4 * many))
+    suffix = pc.split_pattern(pa.array(texts, pa.binary()).view(pa.string()), "\n").flatten()
+    owner = pa.array(np.repeat(np.arange(len(rows)), rows))
+    return pa.table({"group": table.column("group").take(owner), "lang": table.column("lang").take(owner), "suffix": suffix, "n": np.concatenate(n).astype(np.int64)})
 
 
 def subtrees(table: pa.Table, groups: int, least: int) -> pa.Table:
@@ -233,7 +256,7 @@ def nodes(df: DataFrame, lang: str, text: str, least: int, budget: int) -> tuple
     total = frequent.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     groups, spread = 1 + 4 * (total // budget), 1 + total // DEALT
     run = suffixes(Filter.of(frequent.select(key)), Filter.of(words.filter(F.col("f") > budget // 4).select(key)), groups, spread)
-    parts = rows.mapInArrow(run, "group long, lang string, suffix string, n long").groupBy("group").applyInArrow(lambda t: subtrees(t, groups, least), "lang string, phrase string, words int, f long")
+    parts = rows.mapInArrow(run, PACKED).groupBy("group").applyInArrow(lambda t: subtrees(unpacked(t), groups, least), "lang string, phrase string, words int, f long")
     found = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)  # phrases that were dealt to several parts
     return written(found, "phrase-nodes"), words.groupBy("lang").agg(F.sum("f").alias("n"))
 

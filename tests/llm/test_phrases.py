@@ -92,3 +92,20 @@ def test_query_equals_sql(spark, sf):
     want, query = con.sql(phrases.OP13_SQL), phrases.op13_phrases(spark, sf)
     assert query.columns == want.columns
     assert sorted(map(tuple, query.collect())) == sorted(want.fetchall())
+
+
+def test_suffixes_travel_packed():
+    """Many suffixes of few groups are few rows, of a fraction of their bytes, and come back as they were."""
+    rng = np.random.default_rng(4)
+    strings = pa.array([f"wörd{k}" for k in range(300)])
+    columns, n = phrases.leaves([rng.integers(1, 301, 60_000), rng.integers(0, 301, 60_000)])
+    group = columns[0] % 7
+    batches = list(phrases._packed("de", strings, columns, n, group))
+    table = pa.Table.from_batches(batches)
+    assert table.num_rows <= 7 + len(batches) and sum(len(x.as_py()) for x in table.column("packed")) < 8 * len(n)
+    got = []
+    for g in range(7):
+        rows = phrases.unpacked(table.filter(pa.array(table.column("group").to_numpy() == g))).to_pylist()
+        got += [(r["group"], r["lang"], r["suffix"], r["n"]) for r in rows]
+    want = [(g, "de", " ".join(strings[c - 1].as_py() for c in x if c), m) for *x, m, g in zip(*(c.tolist() for c in columns), n.tolist(), group.tolist(), strict=True)]
+    assert sorted(got) == sorted(want)
