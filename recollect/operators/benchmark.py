@@ -46,22 +46,26 @@ def passages(items: DataFrame, roles: tuple[str, ...] = ("user",)) -> DataFrame:
 
 
 def ranked(questions: DataFrame, haystacks: DataFrame, k: int = 10) -> DataFrame:
-    """question_id, arm, passage_id, rank (up to k); questions: question_id, question; haystacks: question_id, passage_id, content."""
+    """question_id, arm, passage_id, rank (up to k); questions: question_id, question; haystacks: question_id, passage_id, content.
+
+    A passage meets its question once, and is counted where they meet: its words and pairs of characters are never rows.
+    """
     from recollect.operators.graphs import saved
 
-    words = haystacks.select("question_id", "passage_id", tokens(F.coalesce("content", F.lit(""))).alias("words")).withColumn("len", F.size("words"))
-    size = words.groupBy("question_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")).filter(F.length("term") > 2)
-    held = words.select("question_id", "passage_id", "len", F.explode("words").alias("term")).join(asked, ["question_id", "term"])
-    tf = held.groupBy("question_id", "passage_id", "len", "term").agg(F.count("*").alias("tf"))
+    asked = questions.select("question_id", F.filter(F.array_distinct(tokens(F.col("question"))), lambda t: F.length(t) > 2).alias("terms"), text.bigrams(F.col("question")).alias("pairs"))
+    body = F.coalesce("content", F.lit(""))
+    met = haystacks.join(asked, "question_id").select("question_id", "passage_id", tokens(body).alias("words"), text.bigrams(body).alias("grams"), "terms", "pairs")
+    found = F.transform("terms", lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
+    shared = F.size(F.array_intersect("grams", "pairs"))
+    met = saved(met.select("question_id", "passage_id", F.size("words").alias("len"), F.filter(found, lambda x: x["tf"] > 0).alias("found"), shared.alias("shared"), F.size("pairs").alias("size")))
+    size = met.groupBy("question_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = met.select("question_id", "passage_id", "len", F.inline("found")).groupBy("question_id", "passage_id", "len", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("question_id", "term").agg(F.count("*").alias("df"))
     both = saved(tf.join(df, ["question_id", "term"]).join(size, "question_id"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     lexical = saved(both.groupBy("question_id", "passage_id").agg(F.round(F.sum(part), 6).alias("bm25"), F.round(F.sum(1 / F.log2(F.col("df") + 2)), 6).alias("rare")))
-    pairs = questions.select("question_id", F.explode(text.bigrams(F.col("question"))).alias("g"), F.size(text.bigrams(F.col("question"))).alias("size"))
-    each = haystacks.select("question_id", "passage_id", F.explode(text.bigrams(F.coalesce("content", F.lit("")))).alias("g")).join(pairs, ["question_id", "g"])
-    grams = each.groupBy("question_id", "passage_id").agg(F.round(F.count("*") / F.first("size"), 6).alias("score"))
+    grams = met.filter("shared > 0").groupBy("question_id", "passage_id").agg(F.round(F.sum("shared") / F.first("size"), 6).alias("score"))
     one = lambda df, arm, score: df.select("question_id", F.lit(arm).alias("arm"), "passage_id", F.col(score).alias("score"))
     w = Window.partitionBy("question_id", "arm").orderBy(F.desc("score"), "passage_id")
     three = one(lexical, "bm25", "bm25").unionByName(one(lexical, "rare", "rare")).unionByName(one(grams, "grams", "score"))

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recollect.functions import scores, text
-from recollect.operators import entities, graphs, index, reports, timeline
+from recollect.operators import benchmark, entities, graphs, index, reports, timeline
 
 
 def test_rounding_is_that_of_sql(spark):
@@ -107,3 +107,14 @@ def test_later_siblings_write_no_pairs(spark, monkeypatch):
             monkeypatch.setattr(timeline, name, size)
         assert {tuple(r) for r in timeline.later_siblings(rows).collect()} == want
     assert max(df.count() for df in written) <= len(facts)
+
+
+def test_passages_are_counted_where_they_meet_their_question(spark, monkeypatch):
+    """No row for each word or pair of characters of a passage."""
+    plans, plain = [], graphs.saved
+    monkeypatch.setattr(graphs, "saved", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    asked = spark.createDataFrame([(1, "blue birds sing"), (2, None), (3, "a")], "question_id long, question string")
+    stacks = spark.createDataFrame([(1, 10, "blue birds, blue sky"), (1, 11, None), (1, 12, "nothing"), (2, 10, "x"), (3, 10, "a")], "question_id long, passage_id long, content string")
+    found = {(r["question_id"], r["arm"], r["passage_id"], r["rank"]) for r in benchmark.ranked(asked, stacks).collect()}
+    assert found == {(1, arm, 10, 1) for arm in benchmark.ARMS} | {(1, "grams", 12, 2), (1, "hybrid", 12, 2), (3, "grams", 10, 1), (3, "hybrid", 10, 1)}
+    assert "Generate" not in plans[0] and not any("explode(words" in p or "regexp_replace" in p for p in plans[1:])
