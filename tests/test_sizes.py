@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scores, text
 from recollect.operators import benchmark, entities, graphs, index, reports, timeline
+from recollect.plans import queries
 
 
 def test_rounding_is_that_of_sql(spark):
@@ -118,3 +119,8 @@ def test_passages_are_counted_where_they_meet_their_question(spark, monkeypatch)
     found = {(r["question_id"], r["arm"], r["passage_id"], r["rank"]) for r in benchmark.ranked(asked, stacks).collect()}
     assert found == {(1, arm, 10, 1) for arm in benchmark.ARMS} | {(1, "grams", 12, 2), (1, "hybrid", 12, 2), (3, "grams", 10, 1), (3, "hybrid", 10, 1)}
     assert "Generate" not in plans[0] and not any("explode(words" in p or "regexp_replace" in p for p in plans[1:])
+
+
+def test_telemetry_needs_no_table_of_keys_for_each_answer(spark, sf):
+    shown = queries.telemetry_report(spark, sf)
+    assert "Expand" not in shown._jdf.queryExecution().executedPlan().toString() and shown.count() == 15
