@@ -166,8 +166,10 @@ def postcheck_reasons(spark, d):
     """Candidates with the line they are said to come from: their own, or for every fourth the line before, which mostly doesn't hold them."""
     w = Window.partitionBy("path").orderBy("turn")
     lines = B.evidence(spark, d).select(F.col("id").alias("evidence_id"), F.col("content").alias("line"), F.coalesce(F.lag("content").over(w), F.lit("")).alias("before"))
-    rows = _candidates(spark, d).join(lines, "evidence_id").withColumn("source", F.when(F.col("fact_id") % 4 == 0, F.col("before")).otherwise(F.col("line")))
-    reason = value_gate.postcheck(F.col("subject"), F.col("kind"), F.col("content"), F.substring("content", 1, 60), F.col("source"))
+    lines = lines.withColumns({f"{c}_grams": text.bigrams(F.col(c)) for c in ("line", "before")})  # once for a line, not for each of its sentences
+    of = lambda end: F.when(F.col("fact_id") % 4 == 0, F.col(f"before{end}")).otherwise(F.col(f"line{end}"))
+    rows = _candidates(spark, d).join(lines, "evidence_id").withColumns({"source": of(""), "said": of("_grams")})
+    reason = value_gate.postcheck(F.col("subject"), F.col("kind"), F.col("content"), F.substring("content", 1, 60), F.col("source"), F.col("said"))
     return rows.groupBy("subject", F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -350,6 +350,7 @@ def gate_replay(spark, d):
     """What is grounded in the line before, and what in the three lines before: how many facts a wider window would let in."""
     w = Window.partitionBy("path").orderBy("turn")
     lines = B.evidence(spark, d).select(F.col("id").alias("evidence_id"), F.coalesce(F.lag("content").over(w), F.lit("")).alias("one"), F.array_join(F.collect_list("content").over(w.rowsBetween(-3, -1)), " ").alias("three"))
+    lines = lines.select("evidence_id", text.bigrams(F.col("one")).alias("one"), text.bigrams(F.col("three")).alias("three"))  # once for a line, not for each of its sentences
     rows = B.statements(spark, d).join(lines, "evidence_id")
-    by = lambda c: value_gate.grounded(F.col("content"), F.col(c))
+    by = lambda c: value_gate.grounded(F.col("content"), None, said=F.col(c))
     return rows.groupBy("subject", by("one").alias("by_line"), by("three").alias("by_window")).agg(F.count("*").alias("n"))

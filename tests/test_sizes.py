@@ -1,6 +1,7 @@
 """What larger tables brought to light: results that must equal SQL's, and work that must not grow faster than the input."""
 
 import datetime
+import re
 
 import duckdb
 import numpy as np
@@ -124,3 +125,10 @@ def test_passages_are_counted_where_they_meet_their_question(spark, monkeypatch)
 def test_telemetry_needs_no_table_of_keys_for_each_answer(spark, sf):
     shown = queries.telemetry_report(spark, sf)
     assert "Expand" not in shown._jdf.queryExecution().executedPlan().toString() and shown.count() == 15
+
+
+def test_bigrams_of_a_line_are_made_once(spark, sf):
+    """They are made before a line meets its sentences, not for each of these."""
+    for query in ("gate_replay", "postcheck_reasons"):
+        above = queries.QUERIES[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+        assert not re.search(r"lower\((one|three|source)#\d+\), \\s\+", above)
