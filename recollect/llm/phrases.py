@@ -7,8 +7,9 @@ total of the leaves below it.  As in ERA the tree is parted vertically, by prefi
 2.  A word that begins few suffixes is a prefix by itself.  One that begins more than a quarter of `BUDGET` is taken together with the next
     word, and so on while words are that frequent: f(prefix) is at most the least f of its words, so every prefix that ends in a
     seldom word is small, and no scan for the counts of longer prefixes is needed.
-3.  Prefixes are dealt to groups so that a group has a fourth of `BUDGET` suffixes on average.  Tasks send each distinct suffix of a
-    portion of text once, with its number; those of one group travel as one compressed row, in order, so that what they begin with costs little.
+3.  Prefixes are dealt to groups so that a group has a fourth of `BUDGET` suffixes on average, and groups to `PARTS` parts.  Tasks send each distinct
+    suffix of a portion of text once, with its number; those of one part travel as one compressed row, in order, so that what they begin with costs
+    little, and a portion makes no more rows where there are more groups.  What arrives is dealt to its groups a few portions' worth at a time.
 4.  Each group is made into subtrees independently of the others, level by level; what is below a node of fewer than `LEAST` is cut off.  Nodes above
     the prefixes, the phrases of frequent words alone, belong to no group: tasks count them by themselves and send a row for each of a portion.
 
@@ -44,6 +45,8 @@ SCALE = 2_000_000
 BUDGET = 500_000
 #: Texts are handled in portions of about so many bytes, and rows sent in batches of so many.
 PORTION, ROWS = 5 << 20, 50_000
+#: Parts that all groups are dealt to, whatever their number; each lies in one task, which works off its groups one after the other.
+PARTS = 512
 #: Parts among which the ranks of one language are dealt.
 SPREAD = 64
 #: The rows of a phrase of frequent words alone are dealt to one part for each so many words of the corpus.
@@ -128,7 +131,7 @@ def _join(columns: list[pa.Array]) -> pa.Array:
 
 
 def suffixes(frequent: Filter, hot: Filter, groups: int, parts: int):
-    """A function that makes texts into packed rows of (group, lang, suffix, n).  A group's number tells the length of its prefixes, too; if that is
+    """A function that makes texts into packed rows of (group, lang, suffix, n), by part.  A group's number tells the length of its prefixes, too; if that is
     beyond LONGEST, its rows are whole phrases of frequent words."""
 
     def run(batches):
@@ -163,12 +166,13 @@ def suffixes(frequent: Filter, hot: Filter, groups: int, parts: int):
                     above = [x[some] for x in columns[:depth]]
                     new = np.append(True, np.any([x[1:] != x[:-1] for x in above], axis=0))
                     mixed = _group(keys, above, np.full(int(new.sum()), LONGEST), np.flatnonzero(new)) ^ salt
-                    yield from _packed(lang, strings, [x[new] for x in above], np.add.reduceat(n[some], np.flatnonzero(new)), LONGEST * groups + (Filter.mixed(mixed, 7) % np.uint64(groups)).astype(np.int64))
+                    whole = LONGEST * groups + (Filter.mixed(mixed, 7) % np.uint64(groups)).astype(np.int64)
+                    yield from _packed(lang, strings, [x[new] for x in above], np.add.reduceat(n[some], np.flatnonzero(new)), whole, PARTS)
             prefix = lead + 1
             rest = np.flatnonzero((prefix <= LONGEST) & (np.stack(columns)[np.minimum(lead, LONGEST - 1), np.arange(len(n))] > 0))  # a suffix of frequent words alone is done
             columns, n, prefix = [c[rest] for c in columns], n[rest], prefix[rest]
             group = (prefix - 1) * groups + (_group(keys, columns, prefix, slice(None)) % np.uint64(groups)).astype(np.int64)
-            yield from _packed(lang, strings, columns, n, group)
+            yield from _packed(lang, strings, columns, n, group, PARTS)
 
     return run
 
@@ -181,34 +185,84 @@ def _group(keys: np.ndarray, columns: list[np.ndarray], length: np.ndarray, at)
     return Filter.mixed(mixed, 0)
 
 
-def _packed(lang: str, strings: pa.Array, columns: list[np.ndarray], n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of `PACKED`: the suffixes of a group as lines, then their numbers, compressed."""
-    order = np.argsort(group, kind="stable")
+def _packed(lang: str, strings: pa.Array, columns: list[np.ndarray], n: np.ndarray, group: np.ndarray, parts: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of `PACKED`: those of a group in one, or with `parts` rows of `DEALT_OUT`: those of a part in one."""
+    key = group % parts if parts else group
+    order = np.argsort(key, kind="stable")
     for k in range(0, len(order), ROWS):
         at = order[k : k + ROWS]
         text = _join([strings.take(pa.array(c[at] - 1, mask=c[at] == 0)) for c in columns])
-        lines = pc.binary_join_element_wise(text, "", "\n")  # no word has a line break
-        ends, data = np.frombuffer(lines.buffers()[1], np.int32)[: len(at) + 1], memoryview(lines.buffers()[2])
-        first = np.flatnonzero(np.append(True, np.diff(group[at]) != 0))
-        last, numbers = np.append(first[1:], len(at)), n[at].astype("<u4")
-        raw = [bytes(data[ends[a] : ends[b]]) + numbers[a:b].tobytes() for a, b in zip(first, last, strict=True)]
-        out = [pa.array(group[at][first]), pa.array([lang] * len(raw), pa.string()), pa.array(last - first), pa.array(map(len, raw), pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, ["group", "lang", "rows", "size", "packed"])
+        first, *out = _runs(text, n[at], group[at], key[at])
+        yield pa.RecordBatch.from_arrays([pa.array(key[at][first]), pa.array([lang] * len(first), pa.string()), *out], ["part" if parts else "group", "lang", *SENT])
 
 
+def _runs(text: pa.Array, n: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple:
+    """Where each run of equal keys begins, and of each the columns `SENT`: its suffixes as lines, then their numbers and groups, compressed."""
+    lines = pc.binary_join_element_wise(text, "", "\n")  # no word has a line break
+    ends, data = np.frombuffer(lines.buffers()[1], np.int32)[: len(text) + 1], memoryview(lines.buffers()[2])
+    first = np.flatnonzero(np.append(True, np.diff(key) != 0))
+    last, n, group = np.append(first[1:], len(text)), n.astype("<u4"), group.astype("<u4")
+    raw = [bytes(data[ends[a] : ends[b]]) + n[a:b].tobytes() + group[a:b].tobytes() for a, b in zip(first, last, strict=True)]
+    return first, pa.array(last - first), pa.array(map(len, raw), pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
+
+
+SENT = ("rows", "size", "packed")
 PACKED = "group long, lang string, rows long, size long, packed binary"
+DEALT_OUT = PACKED.replace("group", "part")
 
 
 def unpacked(table: pa.Table) -> pa.Table:
-    """The rows (group, lang, suffix, n) of a group's packed ones."""
-    rows, texts, n = table.column("rows").to_numpy(), [], []
+    """The rows (group, lang, suffix, n) of packed ones."""
+    rows, texts, n, group = table.column("rows").to_numpy(), [], [], []
     for x, size, many in zip(table.column("packed"), table.column("size").to_pylist(), rows.tolist(), strict=True):
         raw = pa.decompress(x.as_buffer(), size, "zstd", asbytes=True)
-        texts.append(raw[: size - 4 * many - 1])
-        n.append(np.frombuffer(raw, "<u4", many, size - 4 * many))
+        texts.append(raw[: size - 8 * many - 1])
+        n.append(np.frombuffer(raw, "<u4", many, size - 8 * many))
+        group.append(np.frombuffer(raw, "<u4", many, size - 4 * many))
     suffix = pc.split_pattern(pa.array(texts, pa.binary()).view(pa.string()), "\n").flatten()
     owner = pa.array(np.repeat(np.arange(len(rows)), rows))
-    return pa.table({"group": table.column("group").take(owner), "lang": table.column("lang").take(owner), "suffix": suffix, "n": np.concatenate(n).astype(np.int64)})
+    return pa.table({"group": np.concatenate(group).astype(np.int64), "lang": table.column("lang").take(owner), "suffix": suffix, "n": np.concatenate(n).astype(np.int64)})
+
+
+def _regrouped(batches) -> Iterator[pa.RecordBatch]:
+    """Rows of `PACKED` from those of `DEALT_OUT`, some portions' worth of them at a time."""
+    held, size = [], 0
+
+    def packed():
+        table = unpacked(pa.Table.from_batches(held))
+        group, lang = table.column("group").to_numpy(), table.column("lang").combine_chunks().dictionary_encode()
+        key = group * len(lang.dictionary) + lang.indices.to_numpy()
+        order, suffix, n = np.argsort(key, kind="stable"), table.column("suffix").combine_chunks(), table.column("n").to_numpy()
+        for k in range(0, len(order), ROWS):
+            at = order[k : k + ROWS]
+            first, *out = _runs(suffix.take(pa.array(at)), n[at], group[at], key[at])
+            yield pa.RecordBatch.from_arrays([pa.array(group[at][first]), lang.take(pa.array(at[first])).cast(pa.string()), *out], ["group", "lang", *SENT])
+
+    for batch in batches:
+        for k, more in enumerate(batch.column("size").to_pylist()):
+            held.append(batch.slice(k, 1))
+            size += more
+            if size >= 4 * PORTION:
+                yield from packed()
+                held, size = [], 0
+    if held:
+        yield from packed()
+
+
+def _by_group(batches) -> Iterator[pa.Table]:
+    """The rows of each group from rows of `PACKED` that lie together."""
+    held, now = [], None
+    for batch in batches:
+        group = batch.column("group").to_numpy()
+        first = np.flatnonzero(np.append(len(group) > 0, np.diff(group) != 0))
+        for a, b in zip(first, np.append(first[1:], len(group)), strict=True):
+            if held and group[a] != now:
+                yield unpacked(pa.Table.from_batches(held))
+                held = []
+            now = group[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield unpacked(pa.Table.from_batches(held))
 
 
 def subtrees(table: pa.Table, groups: int, least: int) -> pa.Table:
@@ -256,7 +310,13 @@ def nodes(df: DataFrame, lang: str, text: str, least: int, budget: int) -> tuple
     total = frequent.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     groups, spread = 1 + 4 * (total // budget), 1 + total // DEALT
     run = suffixes(Filter.of(frequent.select(key)), Filter.of(words.filter(F.col("f") > budget // 4).select(key)), groups, spread)
-    parts = rows.mapInArrow(run, PACKED).groupBy("group").applyInArrow(lambda t: subtrees(unpacked(t), groups, least), "lang string, phrase string, words int, f long")
+    together = rows.mapInArrow(run, DEALT_OUT).repartition("part").mapInArrow(_regrouped, PACKED).sortWithinPartitions("group")
+
+    def grown(batches):
+        for table in _by_group(batches):
+            yield from subtrees(table, groups, least).to_batches()
+
+    parts = together.mapInArrow(grown, "lang string, phrase string, words int, f long")
     found = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)  # phrases that were dealt to several parts
     return written(found, "phrase-nodes"), words.groupBy("lang").agg(F.sum("f").alias("n"))
 

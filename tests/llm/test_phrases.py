@@ -109,3 +109,23 @@ def test_suffixes_travel_packed():
         got += [(r["group"], r["lang"], r["suffix"], r["n"]) for r in rows]
     want = [(g, "de", " ".join(strings[c - 1].as_py() for c in x if c), m) for *x, m, g in zip(*(c.tolist() for c in columns), n.tolist(), group.tolist(), strict=True)]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("portion", [5 << 20, 1000])
+def test_rows_of_a_portion_are_bounded(spark, monkeypatch, portion):
+    """A portion makes no more rows where there are more groups, and each group comes whole from its part."""
+    monkeypatch.setattr(phrases, "PORTION", portion)
+    rng = np.random.default_rng(5)
+    strings = pa.array([f"wörd{k}" for k in range(300)])
+    columns, n = phrases.leaves([rng.integers(1, 301, 60_000), rng.integers(0, 301, 60_000)])
+    for groups in (700, 20_000):
+        group = (columns[0] * 300 + columns[1]) % groups
+        batches = [b for lang in ("de", "en") for b in phrases._packed(lang, strings, columns, n, group, phrases.PARTS)]
+        assert sum(b.num_rows for b in batches) <= 2 * (phrases.PARTS + len(batches))
+        table = pa.Table.from_batches(batches)
+        part = table.filter(pa.array(table.column("part").to_numpy() == 5))
+        regrouped = pa.Table.from_batches(phrases._regrouped(part.to_batches())).sort_by("group")
+        whole = [{(lang, s, m) for lang, s, m in zip(*(t.column(c).to_pylist() for c in ("lang", "suffix", "n")), strict=True)} for t in phrases._by_group(regrouped.to_batches(max_chunksize=3))]
+        words = lambda k: " ".join(strings[c[k] - 1].as_py() for c in columns if c[k])
+        mine = sorted({int(g) for g in group[group % phrases.PARTS == 5]})
+        assert whole == [{(lang, words(k), int(n[k])) for lang in ("de", "en") for k in np.flatnonzero(group == g)} for g in mine]
