@@ -1,7 +1,8 @@
 """Names in texts by a packed trie, and whether what was said supports the names in a fact.
 
 A dictionary of aliases becomes sorted arrays: a transition is a node and a character, its target the place in the array.  A portion of texts is matched from all
-its places at once, one character deeper in each step, so work is in proportion to what still matches; no substring is made.  A dictionary of up to
+its places at once, one character deeper in each step, so work is in proportion to what still matches; no substring is made.  What is found in a portion
+is sent on before the next one, so memory is bounded by a portion, however many rows Spark hands over at once.  A dictionary of up to
 `PART` aliases goes to the tasks as one trie.  A larger one is dealt to parts, and each part meets each block of texts in one task.
 
 Of the matches in a text the longest are taken first, and what overlaps one that is taken is none: an alias inside a longer one says nothing.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 PART = 50_000
 #: Code points that are matched at once, and texts of a block where the dictionary is dealt to parts.
-PORTION, BLOCK = 1 << 20, 5000
+PORTION, BLOCK = 1 << 18, 5000
 SPANS = "name string, alias string, start int, end int"
 
 
@@ -111,6 +112,18 @@ def _all(frame: pd.DataFrame, trie: Trie, names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"id": [ids[r[0]] for r in rows], "name": [names[r[1]] for r in rows], "alias": [trie.terms[r[1]] for r in rows], "start": [r[2] for r in rows], "end": [r[3] for r in rows]})
 
 
+def _portions(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in runs of at most `PORTION` characters; a longer text is one by itself."""
+    sizes = [len(t) if isinstance(t, str) else 0 for t in frame["content"]]
+    first, size = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and size + n > PORTION:
+            yield frame.iloc[first:k]
+            first, size = k, 0
+        size += n
+    yield frame.iloc[first:]
+
+
 def _taken(found: pd.DataFrame) -> pd.DataFrame:
     kept = [i for _, g in found.groupby("id", sort=False) for i in g.index[longest_first(list(zip(g["start"], g["end"], strict=True)))]]
     return found.loc[kept]
@@ -133,7 +146,8 @@ def mentions(texts: DataFrame, aliases: DataFrame, part: int = PART) -> DataFram
         def run(frames):
             trie, names = Trie([a for a, _ in pairs]), [n for _, n in pairs]
             for frame in frames:
-                yield _taken(_all(frame, trie, names))
+                for some in _portions(frame):
+                    yield _taken(_all(some, trie, names))
 
         return rows.mapInPandas(run, schema)
     parts, blocks = -(-terms.count() // part), max(1, -(-rows.count() // BLOCK))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 
 from recollect.operators import names
@@ -103,3 +104,13 @@ def test_match_order(spark):
     found = spark.createDataFrame([(1, "A", "a", 5, 9), (1, "B", "b", 0, 2), (1, "C", "c", 3, 5), (1, "D", "d", 9, 11), (2, "A", "a", 0, 4)], f"id long, {names.SPANS}")
     known = spark.createDataFrame([("A", False, 3), ("B", True, 90), ("C", True, 90), ("D", True, 2)], "name string, direct boolean, df long")
     assert [r["name"] for r in names.match_order(found, known).filter("id = 1").orderBy("place").collect()] == ["D", "B", "C", "A"]
+
+
+def test_a_batch_is_matched_by_portions(monkeypatch):
+    """What a task holds follows a portion of text, not the rows that Spark hands over at once; no row is lost."""
+    monkeypatch.setattr(names, "PORTION", 50)
+    texts = [*random_texts(400), None, "x" * 200, "", "ann"]
+    frame = pd.DataFrame({"id": range(len(texts)), "content": texts})
+    runs = list(names._portions(frame))
+    assert pd.concat(runs).equals(frame) and list(names._portions(frame[:0]))[0].empty
+    assert len(runs) > 50 and all(len(r) == 1 or sum(len(t or "") for t in r["content"]) <= 50 for r in runs)
