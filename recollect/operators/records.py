@@ -72,14 +72,13 @@ def telemetry(messages: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFram
 
 def atom_reason(original: Column, content: Column, quote: Column, shortest: int = 4, longest: int = 120, overlap: float = 0.6) -> Column:
     """Why an atom can't stand for a part of the original, or null."""
-    grams = text.bigrams(content)
+    strange = redaction.let(text.bigrams(content), lambda grams: (F.size(grams) == 0) | (text.coverage(grams, text.bigrams(original)) < overlap))
     return (
         F.when(redaction.redacted(content) != content, "secret")
         .when(~F.length(F.trim(content)).between(shortest, longest), "atom-length")
         .when((F.length(quote) < 4) | ~F.contains(original, quote), "quote-not-verbatim")
         .when(F.size(F.array_except(text.numbers(content), text.numbers(original))) > 0, "invented-number")
-        .when(F.size(grams) == 0, "not-from-original")
-        .when(text.coverage(grams, text.bigrams(original)) < overlap, "not-from-original")
+        .when(strange, "not-from-original")
         .when(F.trim(content) == F.trim(original), "duplicate-atom")
     )
 
@@ -87,11 +86,15 @@ def atom_reason(original: Column, content: Column, quote: Column, shortest: int
 def splits(facts: DataFrame, atoms: DataFrame, most: int = 6) -> DataFrame:
     """fact_id, atoms, verdict: split if there are two to `most` atoms that all stand, distinct ones; else atomic or the first reason.
 
-    facts: fact_id, content; atoms: fact_id, n (order), content, quote.
+    facts: fact_id, content; atoms: fact_id, n (order), content, quote.  Fewer atoms, or more, decide by their number alone: those are counted and not
+    compared with the fact.
     """
-    each = atoms.withColumnRenamed("content", "atom").join(facts.select("fact_id", "content"), "fact_id").withColumn("reason", atom_reason(F.col("content"), F.col("atom"), F.col("quote")))
+    ids = facts.groupBy("fact_id").agg(F.count("*").alias("copies"))
+    numbers = atoms.groupBy("fact_id").agg(F.count("*").alias("atoms")).join(ids, "fact_id").select("fact_id", (F.col("atoms") * F.col("copies")).alias("atoms"))
+    few = numbers.filter(F.col("atoms").between(2, most)).select("fact_id")
+    each = atoms.withColumnRenamed("content", "atom").join(few, "fact_id", "left_semi").join(facts.select("fact_id", "content"), "fact_id").withColumn("reason", atom_reason(F.col("content"), F.col("atom"), F.col("quote")))
     first = F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("n")))
-    found = each.groupBy("fact_id").agg(F.count("*").alias("atoms"), F.count_distinct(F.trim("atom")).alias("distinct"), first.alias("reason"))
+    found = numbers.join(each.groupBy("fact_id").agg(F.count_distinct(F.trim("atom")).alias("distinct"), first.alias("reason")), "fact_id", "left")
     verdict = F.when(F.coalesce("atoms", F.lit(0)) < 2, "atomic").when(F.col("atoms") > most, "too-many-atoms").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("distinct") < F.col("atoms"), "duplicate-atom").otherwise("split")
     return facts.select("fact_id").join(found, "fact_id", "left").select("fact_id", F.coalesce("atoms", F.lit(0)).alias("atoms"), verdict.alias("verdict"))
 

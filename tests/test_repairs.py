@@ -77,3 +77,18 @@ def test_repeats_of_the_last_kept_turn(spark):
         kept.add(k)
     got = timeline.without_repeats(df, 60)
     assert got.columns == df.columns and {r["id"] for r in got.collect()} == kept
+
+
+def test_only_atoms_of_facts_that_can_be_split_are_compared(spark):
+    """A number of atoms that decides alone costs no comparison; the verdicts are those of the rules, for repeated facts as well."""
+    said = {k: " ".join(f"word{k} number{j} stands here." for j in range(k)) for k in range(9)}
+    facts = [*said.items(), (9, said[4]), (9, said[4]), (10, said[2]), (11, said[2]), (12, said[3])]
+    atoms = [(k, j, f"word{k} number{j} stands here.", f"word{k} number{j} stands here.") for k in range(9) for j in range(k)]
+    atoms += [(9, j, f"word4 number{j} stands here.", f"word4 number{j} stands here.") for j in range(4)]
+    atoms += [(10, 0, "word2 number0 stands", "word2 number0"), (10, 1, "word2 number7 stands", "word2 number1"), (11, 1, "qqqq zzzz xxxx", "stands"), (11, 2, "abc", "stands")]
+    atoms += [(12, 0, "word3 number0 stands", "stands"), (12, 1, " word3 number0 stands", "stands"), (77, 0, "of no fact", "fact"), (77, 1, "of no fact", "fact")]
+    out = records.splits(spark.createDataFrame(facts, "fact_id long, content string"), spark.createDataFrame(atoms, "fact_id long, n long, content string, quote string"))
+    want = [(k, k, "atomic" if k < 2 else "split" if k < 7 else "too-many-atoms") for k in range(9)]
+    want += [(9, 8, "too-many-atoms")] * 2 + [(10, 2, "invented-number"), (11, 2, "not-from-original"), (12, 2, "duplicate-atom")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
