@@ -272,6 +272,10 @@ def linked(rows: DataFrame, near_of: Callable, hubs: int = HUBS) -> DataFrame:
     return edges.union(tested(whole.unionByName(minor), "g", "part", "block"))
 
 
+#: Edges that one task takes through a step; more are dealt to all tasks.  A step over few edges would be a thousand tasks with nothing to do, each of which the driver keeps account of.
+FEW_EDGES = 50_000
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, root) for every node that is not itself the least of its component; edges: (a, b), in any direction.
 
@@ -279,19 +283,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     tables of each step are written to the shared folder, so that lineage stays short.
     """
     edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    sign = None
+    sign, n = None, edges.count()
     while True:
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        dealt = (lambda df: df.coalesce(1).hint("merge")) if n <= FEW_EDGES else (lambda df: df)
+        both = dealt(edges.union(edges.select("b", "a")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = dealt(large).join(least, "u")
         tied = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = written(tied.filter("a != b").distinct(), name)
+        edges = written(dealt(tied.filter("a != b")).distinct(), name)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == sign or not row[0]:
             return edges.select("a", F.col("b").alias("root"))
-        sign = tuple(row)
+        sign, n = tuple(row), row[0]
 
 
 def families(nodes: DataFrame, prints: tuple[str, ...] = ("fp",), radius: int = 3, tile: int = TILE) -> DataFrame:
