@@ -169,9 +169,11 @@ def estimates(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
     state = written(starts(vectors, us, accuracy), "estimate")
     done = None
     while True:
-        far = vectors.join(state, "g").select("g", "start", "before", *us, distance().alias("d"))
-        bound = written(far.groupBy("g", "start").agg(F.percentile_approx("d", ALPHA, accuracy).alias("bound")), "bound")
-        near = far.join(bound, ["g", "start"]).filter("d <= bound")
+        # The bound comes with the estimate it was taken by, so that its second use reads and sends one table.
+        by = [F.first(c).alias(c) for c in ("before", "m1", "m2", "m3", *ids)]
+        far = vectors.join(state, "g").withColumn("d", distance()).groupBy("g", "start")
+        bound = written(far.agg(F.percentile_approx("d", ALPHA, accuracy).alias("bound"), *by), "bound")
+        near = vectors.join(bound, "g").filter(distance() <= F.col("bound"))
         state = written(shape(near.groupBy("g", "start", "before"), us, consistency(ALPHA)).withColumn("settled", F.coalesce(F.col("det") >= F.col("before") * (1 - SETTLES), F.lit(False))), "estimate")
         ends = state.filter("settled")
         done = ends if done is None else done.unionByName(ends)

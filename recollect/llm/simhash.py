@@ -272,31 +272,49 @@ def linked(rows: DataFrame, near_of: Callable, hubs: int = HUBS) -> DataFrame:
     return edges.union(tested(whole.unionByName(minor), "g", "part", "block"))
 
 
-#: Edges that one task takes through a step; more are dealt to all tasks.  A step over few edges would be a thousand tasks with nothing to do, each of which the driver keeps account of.
+#: Edges that one task ties together at once; more are taken through steps over all tasks.  A step is two queries of some ten stages, which the driver plans and keeps account of.
 FEW_EDGES = 50_000
 
 
+def roots_of(batches) -> Iterator[pa.RecordBatch]:
+    """(a, root) as `components`, of edges (a, b) that are all in `batches`: the greater root of an edge is hung on the lesser one until no edge has two."""
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    ends = np.concatenate([np.zeros(0, np.int64), *(x for pair in zip(*held, strict=True) for x in pair)])
+    nodes, codes = np.unique(ends, return_inverse=True)
+    label, (u, v) = np.arange(len(nodes)), codes.reshape(2, -1)
+    while len(u):
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+        u, v = label[u], label[v]
+        u, v = u[u != v], v[u != v]
+    under = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[under]), pa.array(nodes[label[under]])], ["a", "root"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, root) for every node that is not itself the least of its component; edges: (a, b), in any direction.
 
     Large star: the greater neighbours of a node are tied to the least neighbour.  Small star: the lesser ones are.  The
-    tables of each step are written to the shared folder, so that lineage stays short.
+    tables of each step are written to the shared folder, so that lineage stays short.  At most `FEW_EDGES` are tied together in one task.
     """
     edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     sign, n = None, edges.count()
-    while True:
-        dealt = (lambda df: df.coalesce(1).hint("merge")) if n <= FEW_EDGES else (lambda df: df)
-        both = dealt(edges.union(edges.select("b", "a")).toDF("u", "v"))
+    while n > FEW_EDGES:
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = dealt(large).join(least, "u")
+        small = large.join(least, "u")
         tied = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = written(dealt(tied.filter("a != b")).distinct(), name)
+        edges = written(tied.filter("a != b").distinct(), name)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == sign or not row[0]:
-            return edges.select("a", F.col("b").alias("root"))
+        if tuple(row) == sign:
+            break
         sign, n = tuple(row), row[0]
+    if not n or n > FEW_EDGES:
+        return edges.select("a", F.col("b").alias("root"))
+    return written(edges.coalesce(1).mapInArrow(roots_of, "a long, root long"), name)
 
 
 def families(nodes: DataFrame, prints: tuple[str, ...] = ("fp",), radius: int = 3, tile: int = TILE) -> DataFrame:
