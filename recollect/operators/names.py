@@ -108,8 +108,10 @@ def longest_first(found: list[tuple[int, int]]) -> list[int]:
 def _all(frame: pd.DataFrame, trie: Trie, names: list[str]) -> pd.DataFrame:
     texts = [folded(t) if isinstance(t, str) else "" for t in frame["content"]]
     rows = [(k, n, s, e) for k, n, s, e in trie.matches(texts) if _whole(texts[k], trie.terms[n], s, e)]
-    ids = frame["id"].to_numpy()
-    return pd.DataFrame({"id": [ids[r[0]] for r in rows], "name": [names[r[1]] for r in rows], "alias": [trie.terms[r[1]] for r in rows], "start": [r[2] for r in rows], "end": [r[3] for r in rows]})
+    number, term, start, end = np.array(rows, np.int64).reshape(-1, 4).T
+    # Kinds of columns are given: one without rows would be of floats, which Arrow takes for no text.
+    held = lambda values: np.array(values, object)[term]
+    return pd.DataFrame({"id": frame["id"].to_numpy()[number], "name": held(names), "alias": held(trie.terms), "start": start, "end": end})
 
 
 def _portions(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -50,6 +50,15 @@ def test_mentions(spark, monkeypatch, part, portion):
     assert {k: sorted(v) for k, v in got.items()} == {k: m for k, t in enumerate(texts) if (m := brute_mentions(fold(t)))}
 
 
+@pytest.mark.parametrize("part", [50_000, 4])
+def test_portions_without_names(spark, part):
+    """A portion in which nobody is named has no rows, but columns of text all the same."""
+    row = lambda *x: spark.createDataFrame([x], "id string, content string")
+    rows = row("x:1", "nobody here").union(row("x:2", "ann"))  # a task for each
+    found = names.mentions(rows, spark.createDataFrame(ALIASES, "alias string, name string"), part=part).collect()
+    assert [tuple(r) for r in found] == [("x:2", "Ann", "ann", 0, 3)]
+
+
 def test_work_follows_the_matches():
     """A dictionary of many aliases that begin alike, and a long text: all places at once, nothing per alias."""
     trie = names.Trie([f"name{k:05d}" for k in range(20_000)] + ["e0", "name"])
