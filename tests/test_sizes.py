@@ -132,3 +132,20 @@ def test_bigrams_of_a_line_are_made_once(spark, sf):
     for query in ("gate_replay", "postcheck_reasons"):
         above = queries.QUERIES[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
         assert not re.search(r"lower\((one|three|source)#\d+\), \\s\+", above)
+
+
+def test_large_sets_meet_in_tiles_of_their_own(spark, monkeypatch):
+    """Sets that fill one, two and three words with chance bits, in many small blocks: as brute force has it, and each tile in a task of its own."""
+    rng = np.random.default_rng(7)
+    sets = [sorted(set(map(int, rng.choice(400, n, replace=False)))) for n in (4, 20, 40, 60, 70, 110, 150) for _ in range(12)]
+    sets += [s[: -(len(s) // k)] for k in (3, 4, 6) for s in sets[::2]]
+    rows = spark.createDataFrame([(k, k % 2, [str(x) for x in s]) for k, s in enumerate(sets)], "id long, source long, grams array<string>")
+    classes, _ = graphs.gram_classes(rows, "source")
+    monkeypatch.setattr(graphs, "LEAST", 10)
+    used, plain = [], graphs._in_tiles
+    monkeypatch.setattr(graphs, "_in_tiles", lambda dealt, tiles, *a: used.append((tiles.count(), out := plain(dealt, tiles, *a))) or out)
+    got = {(r["a"], r["b"]) for r in graphs.jaccard_pairs(classes, 0.65, "source").collect()}
+    kept = {r["id"] for r in classes.collect()}
+    j = lambda a, b: round(len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])), 6)
+    assert got == {(a, b) for a in kept for b in kept if a < b and a % 2 == b % 2 and j(a, b) >= 0.65} and len(got) > 50
+    assert used[0][0] > 10 and used[0][1].rdd.getNumPartitions() == used[0][0]
