@@ -149,3 +149,23 @@ def test_large_sets_meet_in_tiles_of_their_own(spark, monkeypatch):
     j = lambda a, b: round(len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])), 6)
     assert got == {(a, b) for a in kept for b in kept if a < b and a % 2 == b % 2 and j(a, b) >= 0.65} and len(got) > 50
     assert used[0][0] > 10 and used[0][1].rdd.getNumPartitions() == used[0][0]
+
+
+def test_links_are_few(spark, monkeypatch):
+    """Vectors of a few dense groups have pairs by the square; a tile writes fewer links than it has vectors, and the components are the same."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([c + 0.3 * rng.normal(size=(70, 6)) for c in rng.normal(size=(5, 6))] + [rng.normal(size=(30, 6))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([*((k, x.tolist()) for k, x in enumerate(v)), (900, None)], "id long, vec array<double>")
+    for fewest, threshold in ((1024, 0.9), (100, 0.9), (100, 0.97)):
+        monkeypatch.setattr(graphs, "FEWEST", fewest)
+        parts = graphs._parts(len(v) + 1)
+        links = [(r["a"], r["b"]) for r in graphs.cosine_links(rows, threshold).collect()]
+        pairs = {(a, b) for a, b in zip(*map(list, np.nonzero(np.round(v @ v.T, 6) >= threshold))) if a < b}
+        assert set(links) <= pairs and len(links) < (len(v) + 1) * parts and (len(links) < len(pairs) / 3 or threshold > 0.9)
+        label = list(range(len(v)))
+        for _ in v:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        got = {r["id"]: r["component"] for r in graphs.components(graphs.cosine_links(rows, threshold), rows).collect()}
+        assert got == dict(enumerate(label)) | {900: 900}
