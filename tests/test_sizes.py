@@ -169,3 +169,15 @@ def test_links_are_few(spark, monkeypatch):
                 label[a] = label[b] = min(label[a], label[b])
         got = {r["id"]: r["component"] for r in graphs.components(graphs.cosine_links(rows, threshold), rows).collect()}
         assert got == dict(enumerate(label)) | {900: 900}
+
+
+def test_rounds_of_merges_deal_each_tile_to_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([c + 0.2 * rng.normal(size=(9, 4)) for c in np.eye(4)[:3]] + [np.eye(4)[3:]] * 2)
+    rows = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v)], "id long, component long, vec array<double>")
+    monkeypatch.setattr(graphs, "FEWEST", 12)
+    used, plain = [], graphs._in_tiles
+    monkeypatch.setattr(graphs, "_in_tiles", lambda dealt, tiles, *a: used.append((tiles.count(), out := plain(dealt, tiles, *a))) or out)
+    got = {r["id"]: r["cluster"] for r in graphs.merge_rounds(rows, 0.8).collect()}
+    assert got == dict(enumerate(graphs.average_linkage(v, 0.8).tolist())) and len(set(got.values())) < len(v)
+    assert used[0][0] == 6 and used[0][1].rdd.getNumPartitions() == 6
